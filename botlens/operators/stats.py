@@ -316,3 +316,54 @@ def recent_activity(t: Tables, limit: int = 10, bots=None) -> DataFrame:
         F.when(stored, F.col("event_code")).otherwise(code).alias("event_code"),
         F.when(stored, F.coalesce(F.col("params"), F.lit("{}"))).otherwise(params).alias("params"),
         X.iso_text("created_at").alias("created_at"))
+
+
+# --- Q18 -----------------------------------------------------------------------------
+
+def dashboard(t: Tables, as_of, bots=None, limit: int = 10,
+              uptime_threshold: float = DEFAULT_UPTIME_THRESHOLD) -> DataFrame:
+    """Q18: one row per bot with the six dashboard documents as structs.
+
+    The reference issues 16 statements per bot; here each fact table is
+    scanned by one conditional aggregate, the series come from per-day
+    pre-aggregates, and all parts are joined on bot_id.
+    """
+    m = join_measures(bot_keys(t, bots), [
+        _user_agg(t, as_of, bots), _message_agg(t, as_of, bots),
+        _revenue_agg(t, as_of, bots), _health_agg(t, as_of, bots)])
+    parts = [
+        nest_series(weekly_user_series(t, as_of, bots), "weekly_series"),
+        nest_series(monthly_user_series(t, as_of, bots), "monthly_series"),
+        nest_series(daily_user_series(t, as_of, bots), "growth_series"),
+        nest_series(daily_revenue_series(t, as_of, bots), "revenue_series"),
+        nest_series(daily_message_series(t, as_of, bots), "daily_messages_series"),
+    ]
+    for p in parts:
+        m = m.join(p, "bot_id", "left")
+    ra = recent_activity(t, limit, bots)
+    ra_nested = ra.groupBy("bot_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "id", "event_type", "description", "event_code", "params", "created_at")))
+        .alias("recent_activity"))
+    m = m.join(ra_nested, "bot_id", "left")
+    weekly_pct = X.pct_change("weekly_current", "weekly_previous")
+    return m.select(
+        "bot_id",
+        F.struct("total_users", "active_users_today", "new_users_today", "messages_today",
+                 "total_messages", weekly_pct.alias("weekly_growth_pct"), "revenue_today",
+                 "revenue_this_week", "revenue_this_month", "bot_status",
+                 _api_health(uptime_threshold), "uptime_pct", "requests_today").alias("overview"),
+        F.struct(weekly_pct.alias("weekly_growth_pct"),
+                 X.pct_change("monthly_current", "monthly_previous").alias("monthly_growth_pct"),
+                 "weekly_series", "monthly_series").alias("growth"),
+        F.struct("total_users", "active_users_today", "new_users_today",
+                 "growth_series").alias("users"),
+        F.struct("revenue_today", "revenue_this_week", "revenue_this_month",
+                 "revenue_series").alias("revenue"),
+        F.struct("total_messages", "messages_today", "daily_messages_series").alias("messages"),
+        F.coalesce("recent_activity", F.array().cast(ra_nested.schema["recent_activity"].dataType))
+         .alias("recent_activity"))
+
+
+def to_document_json(df: DataFrame, key: str = "bot_id") -> DataFrame:
+    """Render each row as one JSON document (``to_json(struct(*))``)."""
+    return df.select(key, F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("document"))

@@ -68,3 +68,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
+
+
+def stage(df):
+    """Cut the lineage of an intermediate result with a reliable checkpoint
+    in the shared checkpoint folder (survives executor loss; keeps plans of
+    multi-step batch jobs small)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

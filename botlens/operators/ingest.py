@@ -23,7 +23,7 @@ MEMBER = T.StructType([
 
 def stable_id(*parts: Column) -> Column:
     """UUID-shaped id from the md5 of the given parts."""
-    h = F.md5(F.concat_ws("\u0000", *parts))
+    h = F.md5(F.concat_ws("\u001f", *parts))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                        F.substring(h, 17, 4), F.substring(h, 21, 12))
 

@@ -202,21 +202,29 @@ def _key(secret: str):
     return F.unhex(F.sha2(F.lit(secret), 256))
 
 
+def _bind(value, fn):
+    """Evaluate ``value`` once and apply ``fn`` to it (a lambda variable is
+    bound per row, so a random IV is not re-drawn per reference)."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def protect_tokens(df: DataFrame, col: str, secret: str, out: str | None = None) -> DataFrame:
     """AES-256-GCM, key = SHA-256(secret); text ``iv:tag:cipher``
     in base64 (Spark's output is iv || cipher || tag, re-arranged)."""
     blob = F.aes_encrypt(F.encode(F.col(col), "UTF-8"), _key(secret), F.lit("GCM"))
-    n = F.length(blob)
-    iv = F.substring(blob, 1, 12)
-    tag = F.substring(blob, n - 15, 16)
-    cipher = F.substring(blob, 13, n - 28)
-    text = F.concat_ws(":", F.base64(iv), F.base64(tag), F.base64(cipher))
-    return df.withColumn(out or col, F.when(F.col(col).isNotNull(), text))
+
+    def text(b):
+        n = F.length(b)
+        return F.concat_ws(":", F.base64(F.substring(b, 1, 12)),
+                           F.base64(F.substring(b, n - 15, 16)),
+                           F.base64(F.substring(b, 13, n - 28)))
+    return df.withColumn(out or col, F.when(F.col(col).isNotNull(), _bind(blob, text)))
 
 
 def reveal_tokens(df: DataFrame, col: str, secret: str, out: str | None = None) -> DataFrame:
     """Inverse of ``protect_tokens``; malformed or forged text -> null."""
-    parts = F.split(F.col(col), ":")
-    blob = F.concat(F.unbase64(parts[0]), F.unbase64(parts[2]), F.unbase64(parts[1]))
-    plain = F.try_aes_decrypt(blob, _key(secret), F.lit("GCM"))
-    return df.withColumn(out or col, F.when(F.size(parts) == 3, F.decode(plain, "UTF-8")))
+    def opened(parts):
+        blob = F.concat(F.unbase64(parts[0]), F.unbase64(parts[2]), F.unbase64(parts[1]))
+        plain = F.try_aes_decrypt(blob, _key(secret), F.lit("GCM"))
+        return F.when(F.size(parts) == 3, F.decode(plain, "UTF-8"))
+    return df.withColumn(out or col, _bind(F.split(F.col(col), ":"), opened))

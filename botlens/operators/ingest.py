@@ -15,6 +15,8 @@ from botlens.functions import exprs as X
 from botlens.functions.sequential import exclusive_running_sum
 from botlens.schemas import conform, plan_catalogue
 
+SENDER_SUB = (1 << 20) - 1      # the sender's message sorts after all joins
+
 MEMBER = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("is_bot", T.BooleanType()),
     T.StructField("first_name", T.StringType()), T.StructField("last_name", T.StringType()),
@@ -60,7 +62,7 @@ def flatten_telegram_updates(raw: DataFrame, body_col: str = "body"):
         F.lit(False))
     sender = F.struct(
         F.lit("message").alias("kind"),
-        F.lit(1000000).alias("sub_seq"),
+        F.lit(SENDER_SUB).alias("sub_seq"),
         F.variant_get("_v", "$.message.from.id", "string").alias("telegram_id"),
         F.variant_get("_v", "$.message.from.username", "string").alias("username"),
         F.variant_get("_v", "$.message.from.first_name", "string").alias("first_name"),

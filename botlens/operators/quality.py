@@ -26,12 +26,12 @@ ENUMS = [
     ("subscriptions", "provider", S.BILLING_PROVIDERS), ("subscriptions", "plan", S.PLANS),
     ("subscriptions", "status", S.SUBSCRIPTION_STATUSES),
 ]
-# (table, rule name, condition that must hold)
+# (table, rule name, condition that must hold; built lazily)
 CHECKS = [
-    ("payments", "amount_non_negative", F.col("amount") >= 0),
-    ("bot_health_logs", "uptime_range", (F.col("uptime") >= 0) & (F.col("uptime") <= 100)),
-    ("bot_health_logs", "request_count_non_negative", F.col("request_count") >= 0),
-    ("subscriptions", "amount_non_negative", F.col("amount_monthly") >= 0),
+    ("payments", "amount_non_negative", lambda: F.col("amount") >= 0),
+    ("bot_health_logs", "uptime_range", lambda: (F.col("uptime") >= 0) & (F.col("uptime") <= 100)),
+    ("bot_health_logs", "request_count_non_negative", lambda: F.col("request_count") >= 0),
+    ("subscriptions", "amount_non_negative", lambda: F.col("amount_monthly") >= 0),
 ]
 UNIQUE = [
     ("accounts", ["id"]), ("accounts", ["email"]), ("accounts", ["api_key_hash"]),
@@ -72,10 +72,11 @@ def check_contracts(t: Tables) -> DataFrame:
                          .select(_row(name, f"check:{col}", F.col("id"))))
     for name, rule, cond in CHECKS:
         if name in t:
-            parts.append(t[name].filter(~cond).select(_row(name, f"check:{rule}", F.col("id"))))
+            parts.append(t[name].filter(~cond()).select(_row(name, f"check:{rule}", F.col("id"))))
     for name, cols in UNIQUE:
         if name in t:
-            dup = (t[name].filter(F.greatest(*[F.col(c).isNull() for c in cols]) == F.lit(False))
+            any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+            dup = (t[name].filter(~any_null)
                    .groupBy(*cols).count().filter(F.col("count") > 1))
             parts.append(dup.select(_row(name, "unique:" + ",".join(cols),
                                          F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))))

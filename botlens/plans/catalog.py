@@ -13,7 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botlens.functions import exprs as X
+from botlens.operators import accounts as AC
+from botlens.operators import billing as BL
+from botlens.operators import bots as BO
+from botlens.operators import ingest as IN
+from botlens.operators import quality as QU
 from botlens.operators import stats
+from botlens.operators.validate import validate_api_events
+from botlens.plans.ingest_batch import Secrets, ingest_api_batch, ingest_platform_batch
+from botlens.sources import raw as RAW
 from botlens.plans import oracle_sql as O
 from botlens.sources import fixtures as FX
 
@@ -53,6 +61,128 @@ def _recent(mapping, limit=10) -> Query:
 
 
 A, B = FX.AS_OF_A, FX.AS_OF_B
+SECRETS = Secrets(api_key=RAW.API_KEY_SECRET, token=RAW.TOKEN_SECRET)
+TOKEN_KEY = "fixture-token-encryption-secret"
+
+
+def _iso(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select([X.iso_text(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _dashboard(spark, sf_dir):
+    return stats.to_document_json(stats.dashboard(tables_a(spark, sf_dir), A))
+
+
+def _upsert_users(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    arrivals = FX.user_arrivals_a(spark, sf_dir).withColumn(
+        "seq", F.col("seq") + F.lit(O.ARRIVAL_SEQ_BASE))
+    return _iso(IN.upsert_users(t.users, arrivals), "created_at", "last_active_at")
+
+
+def _telegram_events(spark, sf_dir):
+    ev, _ = IN.flatten_telegram_updates(RAW.platform_updates(spark, sf_dir))
+    return _iso(ev.select("bot_id", "ingest_seq", "kind", "sub_seq", "telegram_id", "username",
+                          "first_name", "text", "created_at"), "created_at")
+
+
+def _api_validation_errors(spark, sf_dir):
+    _, rej = validate_api_events(RAW.api_events(spark, sf_dir))
+    return rej.groupBy("error_code", "error_field", "error_detail").agg(
+        F.count(F.lit(1)).alias("events"))
+
+
+def _accepted_billing(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    acc, rej = BL.accept_billing_events(RAW.billing_webhooks(spark, sf_dir), t.accounts)
+    return t, acc, rej
+
+
+def _billing_events_state(spark, sf_dir):
+    t, acc, _ = _accepted_billing(spark, sf_dir)
+    from botlens.schemas import empty
+    ev = BL.upsert_billing_events(empty(spark, "billing_events"), acc)
+    return _iso(ev.drop("payload"), "processed_at", "created_at")
+
+
+def _current_subscription(spark, sf_dir):
+    t, acc, _ = _accepted_billing(spark, sf_dir)
+    from botlens.schemas import empty
+    subs = BL.upsert_subscriptions(empty(spark, "subscriptions"), t.accounts, acc)
+    return _iso(AC.current_subscription(subs), "current_period_start", "current_period_end",
+                "created_at", "updated_at")
+
+
+def _billing_rejections(spark, sf_dir):
+    _, _, rej = _accepted_billing(spark, sf_dir)
+    return rej.groupBy("error_code").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _contracts_report(spark, sf_dir):
+    return QU.check_contracts(tables_a(spark, sf_dir))
+
+
+def _erase_starter_accounts(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    keys = t.accounts.filter(F.col("plan") == "starter").select(F.col("id").alias("account_id"))
+    return QU.row_counts(QU.erase_accounts(t, keys))
+
+
+def _api_keys(spark, sf_dir):
+    return RAW.api_events(spark, sf_dir).select("api_key").distinct()
+
+
+def _lookup_accounts_by_key(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    keys = _api_keys(spark, sf_dir).withColumn(
+        "api_key_hash", X.hmac_sha256_hex("api_key", FX.FIXTURE_API_SECRET))
+    found = AC.lookup_accounts(t.accounts, keys.select("api_key_hash"))
+    return keys.join(found, "api_key_hash").select(
+        "api_key", F.col("id").alias("account_id"), "email", "plan")
+
+
+def _identities(spark, sf_dir):
+    n = FX.read(spark, sf_dir, "nation")
+    ev = FX.events_a(spark, sf_dir).select("bot_id").distinct()
+    return ev.join(F.broadcast(n), ev.bot_id == n.n_nationkey.cast("string")).select(
+        F.col("n_regionkey").cast("string").alias("owner_account_id"),
+        F.when(F.col("n_nationkey") % 2 == 0, "username").otherwise("token").alias("bot_type"),
+        F.lower("n_name").alias("bot_identifier"), "n_nationkey", "n_name")
+
+
+def _lookup_bots_by_identity(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    keys = _identities(spark, sf_dir).select("owner_account_id", "bot_type", "bot_identifier")
+    return AC.lookup_bots(t.bots, keys).select(
+        F.col("id").alias("bot_id"), "owner_account_id", "bot_type", "bot_identifier", "display_name")
+
+
+def _token_round_trip(spark, sf_dir):
+    ids = _identities(spark, sf_dir).filter(F.col("bot_type") == "token")
+    tokens = ids.select(F.concat((F.lit(7000000) + F.col("n_nationkey")).cast("string"),
+                                 F.lit(":AAH_token-"), F.lower("n_name"),
+                                 F.lit("_xxxxxxxxxxxx")).alias("token")).distinct()
+    sealed = BO.protect_tokens(tokens, "token", TOKEN_KEY, out="sealed")
+    opened = BO.reveal_tokens(sealed, "sealed", TOKEN_KEY, out="opened")
+    return opened.select("token", (F.col("opened") == F.col("token")).alias("round_trip_ok"))
+
+
+def _api_ingest(spark, sf_dir):
+    return ingest_api_batch(RAW.api_events(spark, sf_dir), tables_a(spark, sf_dir), A, SECRETS)
+
+
+def _ingest_api_rejections(spark, sf_dir):
+    out = _api_ingest(spark, sf_dir)
+    return out.rejected.groupBy("error_code", "error_field").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _ingest_api_activity(spark, sf_dir):
+    return _iso(_api_ingest(spark, sf_dir).facts["activity_logs"], "created_at")
+
+
+def _ingest_platform_messages(spark, sf_dir):
+    out = ingest_platform_batch(RAW.platform_updates(spark, sf_dir), tables_a(spark, sf_dir))
+    return _iso(out.facts["messages"], "created_at")
 
 
 def queries() -> dict[str, Query]:
@@ -77,6 +207,25 @@ def queries() -> dict[str, Query]:
         "message_stats": _composite(stats.message_stats, tables_a, A, ["daily_messages_series"]),
         "recent_activity": _recent(tables_a),
         "recent_activity_star": _recent(tables_b),
+        "dashboard": _dashboard,
+        "account_usage": _stat(AC.account_usage, tables_a, A),
+        "account_summary": _stat(AC.account_summary, tables_a, A),
+        "owner_bots": _stat(AC.owner_bots, tables_a, A),
+        "owner_bots_star": _stat(AC.owner_bots, tables_b, B),
+        "upsert_users": _upsert_users,
+        "telegram_events": _telegram_events,
+        "api_validation_errors": _api_validation_errors,
+        "billing_events_state": _billing_events_state,
+        "current_subscription": _current_subscription,
+        "billing_rejections": _billing_rejections,
+        "contracts_report": _contracts_report,
+        "erase_starter_accounts": _erase_starter_accounts,
+        "lookup_accounts_by_key": _lookup_accounts_by_key,
+        "lookup_bots_by_identity": _lookup_bots_by_identity,
+        "token_round_trip": _token_round_trip,
+        "ingest_api_rejections": _ingest_api_rejections,
+        "ingest_api_activity": _ingest_api_activity,
+        "ingest_platform_messages": _ingest_platform_messages,
     }
     return q
 
@@ -103,4 +252,19 @@ def oracle_sql() -> dict[str, str]:
         "message_stats": O.message_stats("a"),
         "recent_activity": O.recent_activity("a"),
         "recent_activity_star": O.recent_activity("b"),
+        "account_usage": O.account_usage("a"),
+        "account_summary": O.account_summary("a"),
+        "owner_bots": O.owner_bots("a"),
+        "owner_bots_star": O.owner_bots("b"),
+        "upsert_users": O.upsert_users(),
+        "telegram_events": O.telegram_events(),
+        "api_validation_errors": O.api_validation_errors(),
+        "billing_events_state": O.billing_events_state(),
+        "current_subscription": O.current_subscription(),
+        "billing_rejections": O.billing_rejections(),
+        "contracts_report": O.contracts_report(),
+        "erase_starter_accounts": O.erase_starter_accounts(),
+        "lookup_accounts_by_key": O.lookup_accounts_by_key(),
+        "lookup_bots_by_identity": O.lookup_bots_by_identity(),
+        "token_round_trip": O.token_round_trip(),
     }

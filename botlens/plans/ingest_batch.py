@@ -27,7 +27,6 @@ from botlens.session import stage
 from botlens.sources.tables import Tables
 
 SUB_BITS = 20                     # events derived from one input row: seq * 2^20 + sub
-SENDER_SUB = (1 << SUB_BITS) - 1
 
 REJECTED_COLS = ["source", "ingest_seq", "received_at", "kind", "body",
                  "error_code", "error_field", "error_detail"]
@@ -122,8 +121,7 @@ def ingest_platform_batch(raw: DataFrame, state: Tables) -> IngestOutput:
     missing = raw.join(known, "bot_id", "left_anti").select(
         "*", F.lit(None).cast("string").alias("kind"), F.lit("BOT_NOT_FOUND").alias("error_code"),
         F.lit("botId").alias("error_field"), F.lit("Bot not found").alias("error_detail"))
-    sub = F.when(F.col("kind") == "message", F.lit(SENDER_SUB)).otherwise(F.col("sub_seq"))
-    good = ok.withColumn("seq", F.col("ingest_seq") * F.lit(1 << SUB_BITS) + sub) \
+    good = ok.withColumn("seq", F.col("ingest_seq") * F.lit(1 << SUB_BITS) + F.col("sub_seq")) \
         .withColumn("amount", F.lit(None).cast("decimal(12,2)")) \
         .withColumn("currency", F.lit(None).cast("string"))
     return IngestOutput(facts=_facts(good), users_delta=_users_delta(good), bots=state.bots,

@@ -280,3 +280,277 @@ SELECT bot_id, CAST(rnk AS INTEGER) AS rank, id, event_type, description,
        CASE WHEN {stored} THEN coalesce(params, '{{}}') ELSE {params} END AS params,
        {iso('created_at')} AS created_at
 FROM ranked WHERE rnk <= {limit}"""
+
+
+# --- accounts (Q19-Q21) -------------------------------------------------------------
+
+def _usage_ctes(c: Clock) -> str:
+    return f"""bot_count AS (SELECT owner_account_id AS account_id, count(*) AS total_bots
+                  FROM d_bots GROUP BY 1),
+ev_count AS (SELECT b.owner_account_id AS account_id, count(*) AS monthly_events
+             FROM d_activity_logs a JOIN d_bots b ON b.id = a.bot_id
+             WHERE a.created_at >= {sql_ts(c.month_start)} GROUP BY 1)"""
+
+
+def account_usage(which: str = "a") -> str:
+    base, c = _mapping(which)
+    return f"""{base}, {_usage_ctes(c)}
+SELECT a.id AS account_id, {z('bc.total_bots')} AS total_bots, {z('ec.monthly_events')} AS monthly_events
+FROM d_accounts a LEFT JOIN bot_count bc ON bc.account_id = a.id LEFT JOIN ev_count ec ON ec.account_id = a.id"""
+
+
+PLANS_SQL = ("(VALUES ('starter', 2, 5000), ('growth', 25, 250000)) "
+             "AS p(plan, max_bots, monthly_event_limit)")
+
+
+def account_summary(which: str = "a") -> str:
+    base, c = _mapping(which)
+    return f"""{base}, {_usage_ctes(c)}
+SELECT a.id AS account_id, a.email, a.name, a.plan, CAST(p.max_bots AS INTEGER) AS max_bots,
+       CAST(p.monthly_event_limit AS INTEGER) AS monthly_event_limit,
+       {z('bc.total_bots')} AS total_bots, {z('ec.monthly_events')} AS monthly_events
+FROM d_accounts a LEFT JOIN {PLANS_SQL} ON p.plan = a.plan
+LEFT JOIN bot_count bc ON bc.account_id = a.id LEFT JOIN ev_count ec ON ec.account_id = a.id"""
+
+
+def owner_bots(which: str = "a") -> str:
+    base, c = _mapping(which)
+    return f"""{base},
+uc AS (SELECT bot_id, count(*) AS n FROM d_users GROUP BY 1),
+mc AS (SELECT bot_id, count(*) AS n FROM d_messages GROUP BY 1),
+rc AS (SELECT bot_id, sum(amount) FILTER (WHERE created_at >= {sql_ts(c.month_start)}) AS r
+       FROM d_payments GROUP BY 1)
+SELECT b.owner_account_id, b.id AS bot_id,
+       coalesce(b.display_name, CASE WHEN b.bot_type = 'username' THEN '@' || b.bot_identifier
+                                     ELSE 'Telegram Bot' END) AS display_name,
+       b.bot_type, b.verification_status, b.tracking_status, {iso('b.connected_at')} AS connected_at,
+       {z('uc.n')} AS total_users, {z('mc.n')} AS total_messages, {z('rc.r', MONEY)} AS revenue_this_month
+FROM d_bots b LEFT JOIN uc ON uc.bot_id = b.id LEFT JOIN mc ON mc.bot_id = b.id
+LEFT JOIN rc ON rc.bot_id = b.id"""
+
+
+# --- users upsert (I9) ------------------------------------------------------------------
+
+ARRIVAL_SEQ_BASE = 1_000_000_000
+
+
+def stable_id_sql(*parts: str) -> str:
+    h = f"md5(concat_ws(chr(31), {', '.join(parts)}))"
+    return (f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' "
+            f"|| substr({h}, 17, 4) || '-' || substr({h}, 21, 12))")
+
+
+def upsert_users() -> str:
+    base, _ = _mapping("a")
+    uid = stable_id_sql("'user'", "bot_id", "telegram_id")
+    return f"""{base},
+arrivals AS (
+  SELECT bot_id, uid AS telegram_id,
+         CASE WHEN k % 7 = 0 THEN NULL ELSE event_type END AS username,
+         CAST(NULL AS VARCHAR) AS first_name, CAST(NULL AS VARCHAR) AS last_name,
+         ts - k * INTERVAL 1 HOUR AS event_time, event_id + {ARRIVAL_SEQ_BASE} AS seq
+  FROM ev),
+rows AS (
+  SELECT id, bot_id, telegram_id, username, first_name, last_name, created_at, last_active_at,
+         first_seq, last_seq FROM d_users
+  UNION ALL
+  SELECT {uid}, bot_id, telegram_id, username, first_name, last_name, event_time, event_time, seq, seq
+  FROM arrivals),
+m AS (
+  SELECT bot_id, telegram_id, arg_min(id, first_seq) AS id, arg_min(created_at, first_seq) AS created_at,
+         arg_max({{'u': username, 'f': first_name, 'l': last_name}}, last_seq) AS p,
+         max(last_active_at) AS last_active_at, min(first_seq) AS first_seq, max(last_seq) AS last_seq
+  FROM rows GROUP BY bot_id, telegram_id)
+SELECT id, bot_id, telegram_id, p.u AS username, p.f AS first_name, p.l AS last_name,
+       {iso('created_at')} AS created_at, {iso('last_active_at')} AS last_active_at, first_seq, last_seq
+FROM m"""
+
+
+# --- platform updates (I4) --------------------------------------------------------------
+
+def telegram_events() -> str:
+    base, _ = _mapping("a")
+    return f"""{base}
+SELECT bot_id, event_id AS ingest_seq, 'user_joined' AS kind, 0 AS sub_seq,
+       CAST(user_id * 10 + 1 AS VARCHAR) AS telegram_id, CAST(NULL AS VARCHAR) AS username,
+       'Joe' AS first_name, CAST(NULL AS VARCHAR) AS text, {iso("date_trunc('second', ts)")} AS created_at
+FROM ev WHERE event_type = 'signup'
+UNION ALL
+SELECT bot_id, event_id, 'user_joined', 1, CAST(user_id * 10 + 2 AS VARCHAR), 'bo', 'Bo', NULL,
+       {iso("date_trunc('second', ts)")}
+FROM ev WHERE event_type = 'signup' AND k % 2 = 1
+UNION ALL
+SELECT bot_id, event_id, 'message', 1048575, uid, 'u' || uid, 'Ann', props,
+       {iso("date_trunc('second', ts)")}
+FROM ev WHERE event_type IN ('click', 'view')"""
+
+
+# --- API validation (I1-I3) -------------------------------------------------------------
+
+def api_validation_errors() -> str:
+    base, _ = _mapping("a")
+    return f"""{base},
+bad AS (
+  SELECT k % 10 AS c FROM ev WHERE event_type = 'error'),
+labelled AS (
+  SELECT CASE WHEN c IN (0, 5) THEN 'INVALID_JSON' ELSE 'VALIDATION_ERROR' END AS error_code,
+         CASE c WHEN 0 THEN 'body' WHEN 5 THEN 'body' WHEN 1 THEN 'botType' WHEN 2 THEN 'user.telegramId'
+                WHEN 3 THEN 'createdAt' WHEN 4 THEN 'text' WHEN 6 THEN 'user.username'
+                WHEN 7 THEN 'botType' ELSE 'user.telegramId' END AS error_field,
+         CASE c WHEN 0 THEN 'Invalid JSON body' WHEN 5 THEN 'Invalid JSON body'
+                WHEN 1 THEN 'must be a string' WHEN 2 THEN 'must be a string'
+                WHEN 3 THEN 'must be a string' WHEN 4 THEN 'must be a string'
+                WHEN 6 THEN 'must be at most 255 characters'
+                WHEN 7 THEN 'must be "token" or "username"' ELSE 'must be a string' END AS error_detail
+  FROM bad WHERE c <> 8)
+SELECT error_code, error_field, error_detail, count(*) AS events
+FROM labelled GROUP BY ALL"""
+
+
+# --- billing (I15, I16 -> Q22) ----------------------------------------------------------
+
+def _webhooks_sql() -> str:
+    base, _ = _mapping("a")
+    return f"""{base},
+wh AS (
+  SELECT o_orderkey AS seq, o_custkey,
+         CASE WHEN o_orderkey % 97 = 0 THEN 'missing' ELSE CAST(n_regionkey AS VARCHAR) END AS account_id,
+         CAST(o_orderkey % 5000 AS VARCHAR) AS provider_event_id,
+         CASE WHEN o_orderstatus = 'P' THEN 'subscription.canceled' ELSE 'subscription.updated' END AS event_type,
+         CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'growth' ELSE 'starter' END AS plan,
+         CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'past_due' ELSE 'canceled' END AS status,
+         CASE WHEN o_orderkey % 4 = 0 THEN 'cus_' || CAST(o_custkey AS VARCHAR) END AS customer_id,
+         'sub_' || CAST(o_custkey AS VARCHAR) AS subscription_id,
+         CASE WHEN o_orderkey % 83 = 0 THEN -1.0
+              WHEN o_orderkey % 3 = 0 THEN round(o_totalprice / 1000, 2) END AS amount,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'EUR' END AS currency,
+         o_orderkey % 89 = 0 AS bad_date,
+         CAST(o_orderdate AS TIMESTAMP) AS period_start,
+         CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY AS period_end,
+         CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 86400) * INTERVAL 1 SECOND AS received_at
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+ok AS (
+  SELECT * FROM wh
+  WHERE account_id IN (SELECT id FROM d_accounts) AND NOT bad_date
+    AND (amount IS NULL OR amount >= 0))"""
+
+
+def billing_events_state() -> str:
+    return f"""{_webhooks_sql()},
+g AS (
+  SELECT provider_event_id, arg_min(account_id, seq) AS account_id, arg_min(received_at, seq) AS created_at,
+         arg_max(event_type, seq) AS event_type, arg_max(received_at, seq) AS processed_at
+  FROM ok GROUP BY provider_event_id)
+SELECT {stable_id_sql("'billing'", "'stripe'", "provider_event_id")} AS id, account_id, 'stripe' AS provider,
+       provider_event_id, event_type, {iso('processed_at')} AS processed_at, {iso('created_at')} AS created_at
+FROM g"""
+
+
+def current_subscription() -> str:
+    return f"""{_webhooks_sql()},
+cust AS (
+  SELECT account_id, arg_max(customer_id, seq) AS customer_id FROM ok
+  WHERE customer_id IS NOT NULL GROUP BY account_id),
+firsts AS (SELECT account_id, arg_min(received_at, seq) AS created_at FROM ok GROUP BY account_id),
+lasts AS (SELECT account_id, arg_max(seq, seq) AS seq FROM ok GROUP BY account_id)
+SELECT {stable_id_sql("'sub'", "o.account_id")} AS id, o.account_id, 'stripe' AS provider,
+       c.customer_id AS provider_customer_id, o.subscription_id AS provider_subscription_id,
+       o.plan, o.status,
+       CAST(coalesce(CAST(o.amount AS DECIMAL(12,2)),
+                     CASE WHEN o.plan = 'growth' THEN 99.00 ELSE 29.00 END) AS DECIMAL(12,2)) AS amount_monthly,
+       coalesce(o.currency, 'USD') AS currency,
+       {iso('o.period_start')} AS current_period_start, {iso('o.period_end')} AS current_period_end,
+       o.event_type = 'subscription.canceled' AS cancel_at_period_end,
+       {iso('f.created_at')} AS created_at, {iso('o.received_at')} AS updated_at
+FROM lasts l JOIN ok o ON o.seq = l.seq JOIN firsts f ON f.account_id = o.account_id
+JOIN cust c ON c.account_id = o.account_id"""
+
+
+def billing_rejections() -> str:
+    return f"""{_webhooks_sql()}
+SELECT CASE WHEN account_id NOT IN (SELECT id FROM d_accounts) THEN 'ACCOUNT_NOT_FOUND'
+            WHEN bad_date THEN 'VALIDATION_ERROR' ELSE 'INTERNAL_ERROR' END AS error_code,
+       count(*) AS events
+FROM wh WHERE account_id NOT IN (SELECT id FROM d_accounts) OR bad_date OR amount < 0
+GROUP BY 1"""
+
+
+# --- quality (I23, I24) -----------------------------------------------------------------
+
+def erase_starter_accounts() -> str:
+    base, _ = _mapping("a")
+    gone_b = "(SELECT id FROM d_bots WHERE owner_account_id IN (SELECT id FROM d_accounts WHERE plan = 'starter'))"
+    tables = ["users", "messages", "payments", "bot_health_logs", "activity_logs"]
+    parts = [f"SELECT 'accounts' AS table_name, count(*) AS row_count FROM d_accounts WHERE plan <> 'starter'",
+             f"SELECT 'bots', count(*) FROM d_bots WHERE id NOT IN {gone_b}"]
+    parts += [f"SELECT '{t}', count(*) FROM d_{t} WHERE bot_id NOT IN {gone_b}" for t in tables]
+    return base + "\n" + "\nUNION ALL\n".join(parts)
+
+
+def contracts_report() -> str:
+    from botlens.operators import quality as Q
+    from botlens.schemas import TABLE_SCHEMAS
+    base, _ = _mapping("a")
+    names = ["accounts", "bots", "users", "messages", "payments", "bot_health_logs", "activity_logs"]
+    parts = []
+    for n in names:
+        for f in TABLE_SCHEMAS[n].fields:
+            if not f.nullable:
+                parts.append(f"SELECT '{n}', 'not_null:{f.name}', CAST(id AS VARCHAR) FROM d_{n} "
+                             f"WHERE {f.name} IS NULL")
+    for n, col, allowed in Q.ENUMS:
+        if n in names:
+            vals = ", ".join(f"'{v}'" for v in allowed)
+            parts.append(f"SELECT '{n}', 'check:{col}', id FROM d_{n} WHERE {col} NOT IN ({vals})")
+    conds = {"amount_non_negative": "amount >= 0", "uptime_range": "uptime >= 0 AND uptime <= 100",
+             "request_count_non_negative": "request_count >= 0"}
+    for n, rule, _ in Q.CHECKS:
+        if n in names:
+            parts.append(f"SELECT '{n}', 'check:{rule}', id FROM d_{n} WHERE NOT ({conds[rule]})")
+    for n, cols in Q.UNIQUE:
+        if n in names:
+            key = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+            nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+            parts.append(f"SELECT '{n}', 'unique:{','.join(cols)}', {key} FROM d_{n} WHERE {nn} "
+                         f"GROUP BY {', '.join(cols)} HAVING count(*) > 1")
+    for child, col, parent in Q.FOREIGN:
+        if child in names and parent in names:
+            parts.append(f"SELECT '{child}', 'fk:{col}->{parent}', id FROM d_{child} c "
+                         f"WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_{parent} p WHERE p.id = c.{col})")
+    body = "\nUNION ALL\n".join(parts)
+    return f"{base},\nv(table_name, rule, key) AS (\n{body})\nSELECT table_name, rule, key FROM v"
+
+
+# --- lookups (Q24, Q25) -----------------------------------------------------------------
+
+def lookup_accounts_by_key() -> str:
+    from botlens.sources.fixtures import FIXTURE_API_SECRET, sql_hmac
+    base, _ = _mapping("a")
+    keys = f"""SELECT DISTINCT CASE WHEN k = 99 THEN 'key-unknown'
+                                 ELSE 'key-' || CAST(n_regionkey AS VARCHAR) END AS api_key
+               FROM ev JOIN nation ON CAST(n_nationkey AS VARCHAR) = ev.bot_id"""
+    return f"""{base}, keys AS ({keys}),
+hashed AS (SELECT api_key, {sql_hmac('api_key', FIXTURE_API_SECRET)} AS api_key_hash FROM keys)
+SELECT h.api_key, a.id AS account_id, a.email, a.plan
+FROM hashed h JOIN d_accounts a ON a.api_key_hash = h.api_key_hash"""
+
+
+def lookup_bots_by_identity() -> str:
+    base, _ = _mapping("a")
+    return f"""{base},
+keys AS (
+  SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS owner_account_id,
+         CASE WHEN n_nationkey % 2 = 0 THEN 'username' ELSE 'token' END AS bot_type,
+         lower(n_name) AS bot_identifier
+  FROM ev JOIN nation ON CAST(n_nationkey AS VARCHAR) = ev.bot_id)
+SELECT b.id AS bot_id, b.owner_account_id, b.bot_type, b.bot_identifier, b.display_name
+FROM d_bots b JOIN keys k ON k.owner_account_id = b.owner_account_id AND k.bot_type = b.bot_type
+  AND k.bot_identifier = b.bot_identifier"""
+
+
+def token_round_trip() -> str:
+    base, _ = _mapping("a")
+    return f"""{base}
+SELECT DISTINCT CAST(7000000 + n_nationkey AS VARCHAR) || ':AAH_token-' || lower(n_name) || '_xxxxxxxxxxxx' AS token,
+       true AS round_trip_ok
+FROM ev JOIN nation ON CAST(n_nationkey AS VARCHAR) = ev.bot_id WHERE n_nationkey % 2 = 1"""

@@ -123,14 +123,17 @@ def billing_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", "subscription.canceled")
          .otherwise("subscription.updated").alias("type"),
         (key % 5000).cast("string").alias("providerEventId"),
-        F.col("n_regionkey").cast("string").alias("accountId"),
+        F.when(key % 97 == 0, F.lit("missing")).otherwise(F.col("n_regionkey").cast("string"))
+         .alias("accountId"),
         plan.alias("plan"), status.alias("status"),
         F.when(key % 4 == 0, F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")))
          .alias("providerCustomerId"),
         F.concat(F.lit("sub_"), F.col("o_custkey").cast("string")).alias("providerSubscriptionId"),
-        F.when(key % 3 == 0, F.round(F.col("o_totalprice") / 1000, 2)).alias("amount"),
+        F.when(key % 83 == 0, F.lit(-1.0))
+         .when(key % 3 == 0, F.round(F.col("o_totalprice") / 1000, 2)).alias("amount"),
         F.when(key % 7 == 0, F.lit("eur")).alias("currency"),
-        X.iso_text("o_orderdate").alias("currentPeriodStart"),
+        F.when(key % 89 == 0, F.lit("soon")).otherwise(X.iso_text("o_orderdate"))
+         .alias("currentPeriodStart"),
         X.iso_text(F.timestamp_add("DAY", F.lit(30), F.col("o_orderdate"))).alias("currentPeriodEnd")))
     return x.select(body.alias("body"), key.alias("ingest_seq"),
                     F.timestamp_add("SECOND", key % 86400, F.col("o_orderdate")).alias("received_at"))

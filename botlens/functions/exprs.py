@@ -20,8 +20,10 @@ JOINED_DESC = r"^User (.+) joined\z"
 GENERIC_BOT_NAME = "Telegram Bot"
 # --- end of fixed values -------------------------------------------------------
 
-# JavaScript String.prototype.trim removes Unicode white space and the BOM.
-_JS_TRIM = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
+# JavaScript String.prototype.trim removes WhiteSpace (TAB, VT, FF, SP, NBSP,
+# BOM and the Zs category) and LineTerminators (LF, CR, LS, PS).
+_JS_SPACE = ("\t\n\u000b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+             + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 
 def col_(c) -> Column:
@@ -29,13 +31,17 @@ def col_(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """trim like JavaScript (Unicode spaces and U+FEFF)."""
-    return F.regexp_replace(col_(c), _JS_TRIM, "")
+    """trim like JavaScript (Unicode spaces and U+FEFF), no regex."""
+    return F.btrim(col_(c), F.lit(_JS_SPACE))
 
 
 def utf16_length(c) -> Column:
-    """string length in UTF-16 code units (an emoji counts 2)."""
-    return (F.octet_length(F.encode(col_(c), "UTF-16BE")) / 2).cast("int")
+    """string length in UTF-16 code units (an emoji counts 2).
+
+    ASCII text (byte length = character length) skips the re-encoding."""
+    s = col_(c)
+    return F.when(F.octet_length(s) == F.length(s), F.length(s)) \
+            .otherwise((F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int"))
 
 
 def normalize_username(c) -> Column:

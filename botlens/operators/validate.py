@@ -8,7 +8,7 @@ event kind: the rule list is chosen per row by the ``kind`` column.
 JSON.parse semantics kept: trailing text is invalid, a duplicated key keeps
 its last value, ``null`` bodies are not objects.  Spark's ``parse_json``
 accepts trailing text, so the body is parsed wrapped in an object with an
-end marker, and the wrapper must have exactly two keys.
+end-marker key; text after the body makes the wrapper invalid.
 """
 
 from __future__ import annotations
@@ -53,11 +53,8 @@ class Rule:
 
 def parse_body(body: Column) -> tuple[Column, Column]:
     """(variant of the body or null, JSON-valid flag)."""
-    wrapped_text = F.concat(F.lit('{"v":'), body, F.lit(',"' + _END + '":1}'))
-    wrapped = F.try_parse_json(wrapped_text)
-    keys = F.json_object_keys(wrapped_text)
-    ok = wrapped.isNotNull() & (F.size(keys) == 2) \
-        & F.variant_get(wrapped, f"$['{_END}']", "int").isNotNull()
+    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit(',"' + _END + '":1}')))
+    ok = wrapped.isNotNull() & F.variant_get(wrapped, f"$['{_END}']", "int").isNotNull()
     return F.when(ok, F.variant_get(wrapped, "$.v", "variant")), ok
 
 
@@ -81,13 +78,14 @@ def extract(df: DataFrame, v: str, fields: list[str]) -> DataFrame:
     which keeps the generated code small (the optimizer does not inline an
     expensive alias that is referenced several times).
     """
+    subs = [F.variant_get(F.col(v), "$." + f, "variant").alias(_slot(f) + "_v") for f in fields]
+    out = df.select("*", *subs)
     cols = []
     for f in fields:
-        path = "$." + f
-        slot = _slot(f)
-        cols.append(F.schema_of_variant(F.variant_get(F.col(v), path, "variant")).alias(slot + "_t"))
-        cols.append(X.js_trim(F.variant_get(F.col(v), path, "string")).alias(slot + "_s"))
-    out = df.select("*", *cols)
+        sub = F.col(_slot(f) + "_v")
+        cols.append(F.schema_of_variant(sub).alias(_slot(f) + "_t"))
+        cols.append(X.js_trim(F.variant_get(sub, "$", "string")).alias(_slot(f) + "_s"))
+    out = out.select("*", *cols)
     return out.select("*", *[X.utf16_length(F.col(_slot(f) + "_s")).alias(_slot(f) + "_n")
                              for f in fields])
 

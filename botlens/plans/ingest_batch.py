@@ -85,12 +85,13 @@ def ingest_api_batch(raw: DataFrame, state: Tables, as_of, secrets: Secrets,
     created = parse_event_time(F.col("created_at_text"), F.col("received_at"))
     post_err = (F.when(created.isNull(), F.lit("createdAt"))
                  .when((F.col("kind") == "payment") & F.col("amount").isNull(), F.lit("amount")))
-    checked = stage(checked.withColumn("created_at", created).withColumn("_post", post_err))
+    checked = stage(checked.withColumn("created_at", created).withColumn("_post", post_err),
+                    "api-checked")
     counts = F.col("error_code").isNull() & F.col("_post").isNull() \
         & (F.col("created_at") >= ts_lit(c.month_start))
     usage = A.account_usage(state, c)
     passed, rej_quota = I.enforce_event_quota(checked, usage, counts, chunk=chunk)
-    passed = stage(passed)
+    passed = stage(passed, "api-passed")
     rej_val_after = passed.filter(F.col("error_code").isNotNull())
     to_resolve = passed.filter(F.col("error_code").isNull()) \
         .drop("error_code", "error_field", "error_detail")

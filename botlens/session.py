@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,7 @@ def get_session(master: str | None = None, app: str = "botlens",
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -70,9 +72,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
 
 
-def stage(df):
-    """Cut the lineage of an intermediate result with a reliable checkpoint
-    in the shared checkpoint folder (survives executor loss; keeps plans of
-    multi-step batch jobs small)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df, name: str = "stage"):
+    """Cut the lineage of an intermediate result by writing it as a Parquet
+    table in the shared checkpoint folder and reading it back.
+
+    Unlike ``checkpoint(eager=True)`` (which evaluates the plan once for the
+    count and again to write the files) the plan runs once; the table
+    survives executor loss and keeps later plans small.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,0 +1,135 @@
+"""Batch-id storage of facts and state.
+
+Layout under ``root`` (any Hadoop-compatible folder):
+
+    <fact>/batch_id=N/...        append-only facts, one folder per batch
+    users_delta/batch_id=N/...   mergeable user rows of batch N
+    users/v=N/...                compacted users snapshot
+    bots/v=N/, accounts/v=N/, subscriptions/v=N/, billing_events/v=N/
+    rejected/batch_id=N/...
+    _commits/batch_id=N/...      commit record, written LAST
+
+Every batch folder is written with dynamic partition overwrite, so a retried
+batch replaces its own folder instead of duplicating rows.  Readers only
+see batches that have a commit record, so a batch that failed half way is
+invisible: this gives the all-or-nothing behaviour of the reference's
+transaction without a table format.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from botlens.operators.ingest import merge_users
+from botlens.schemas import TABLE_SCHEMAS, empty
+from botlens.sources.tables import Tables
+
+FACTS = ["messages", "payments", "bot_health_logs", "activity_logs"]
+VERSIONED = ["users", "bots", "accounts", "subscriptions", "billing_events"]
+
+
+def _with_batch(table: str) -> T.StructType:
+    return T.StructType(list(TABLE_SCHEMAS[table].fields) + [T.StructField("batch_id", T.LongType())])
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def _path(self, *parts) -> str:
+        return "/".join([self.root, *map(str, parts)])
+
+    # --- writing ---------------------------------------------------------------------
+
+    def _write_batch(self, df: DataFrame, table: str, batch_id: int) -> None:
+        (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("batch_id").parquet(self._path(table)))
+
+    def write_version(self, df: DataFrame, table: str, version: int) -> None:
+        df.write.mode("overwrite").parquet(self._path(table, f"v={version}"))
+
+    def commit(self, batch_id: int, versions: dict, log: str = "_commits") -> None:
+        rows = [("_batch", int(batch_id))] + [(t, int(v)) for t, v in versions.items()]
+        rec = self.spark.createDataFrame(rows, "table_name string, version long")
+        self._write_batch(rec, log, batch_id)
+
+    def write_ingest(self, batch_id: int, out, versions: dict | None = None) -> None:
+        """Persist one ``IngestOutput``; the commit record goes last."""
+        for table, df in out.facts.items():
+            self._write_batch(df, table, batch_id)
+        if out.users_delta is not None:
+            self._write_batch(out.users_delta, "users_delta", batch_id)
+        if out.rejected is not None:
+            self._write_batch(out.rejected, "rejected", batch_id)
+        versions = dict(versions or {})
+        if out.bots is not None:
+            self.write_version(out.bots, "bots", batch_id)
+            versions["bots"] = batch_id
+        self.commit(batch_id, versions)
+
+    # --- reading ---------------------------------------------------------------------
+
+    def _log(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self._path(name))
+        except Exception:  # noqa: BLE001 - nothing written yet
+            return None
+
+    def committed(self) -> tuple[int | None, dict]:
+        """(highest committed batch id, latest version per versioned table).
+
+        Streaming batches commit in order and a failed batch is retried with
+        the same id, so every batch up to the highest commit is complete.
+        The commit log is one small row per (batch, table)."""
+        c = self._log("_commits")
+        if c is None:
+            return None, {}
+        rows = c.groupBy("table_name").agg(F.max("version").alias("v")).collect()
+        latest = {r.table_name: r.v for r in rows}
+        return latest.pop("_batch", None), latest
+
+    def _read_batches(self, table: str, lo: int | None, hi: int, schema_of: str | None = None) -> DataFrame:
+        schema_of = schema_of or table
+        try:
+            df = self.spark.read.schema(_with_batch(schema_of)).parquet(self._path(table))
+        except Exception:  # noqa: BLE001 - no batch wrote rows to this table yet
+            return empty(self.spark, schema_of)
+        cond = F.col("batch_id") <= hi
+        if lo is not None:
+            cond = cond & (F.col("batch_id") > lo)
+        return df.filter(cond).drop("batch_id")
+
+    def read_state(self, base: Tables | None = None) -> Tables:
+        """Committed state: base tables plus committed batches."""
+        base = base or Tables()
+        hi, versions = self.committed()
+        out = Tables(base)
+        for table in FACTS:
+            facts = self._read_batches(table, None, hi) if hi is not None else empty(self.spark, table)
+            out[table] = base.get_or_empty(self.spark, table).unionByName(facts)
+        for table in VERSIONED:
+            if table in versions:
+                out[table] = self.spark.read.schema(TABLE_SCHEMAS[table]) \
+                    .parquet(self._path(table, f"v={versions[table]}"))
+        compacted = None
+        comp = self._log("_compactions")
+        if comp is not None:
+            compacted = comp.agg(F.max("version").alias("v")).first()["v"]
+            out["users"] = self.spark.read.schema(TABLE_SCHEMAS["users"]) \
+                .parquet(self._path("users", f"v={compacted}"))
+        if hi is not None:
+            deltas = self._read_batches("users_delta", compacted, hi, "users")
+            out["users"] = merge_users(out.get_or_empty(self.spark, "users").unionByName(deltas))
+        return out
+
+    def compact_users(self, base: Tables | None = None) -> None:
+        """Fold committed user deltas into a snapshot (a periodic batch job)."""
+        hi, _ = self.committed()
+        if hi is None:
+            return
+        self.write_version(self.read_state(base).users, "users", hi)
+        self.commit(hi, {"users": hi}, log="_compactions")

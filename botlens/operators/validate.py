@@ -58,13 +58,27 @@ def parse_body(body: Column) -> tuple[Column, Column]:
     return F.when(ok, F.variant_get(wrapped, "$.v", "variant")), ok
 
 
+def gated(err: Column) -> Column:
+    """Reference the ``_task`` barrier so column pruning keeps it."""
+    return F.when(F.col("_task") >= 0, err)
+
+
 def first_failure(rules: list[Rule]) -> Column:
-    """struct(code, field, detail) of the first failing rule, else null."""
-    return F.coalesce(*[
-        F.when(F.coalesce(r.fails, F.lit(False)),
-               F.struct(F.lit(r.code).alias("code"), F.lit(r.field).alias("field"),
-                        F.lit(r.detail).alias("detail")))
-        for r in rules])
+    """struct(code, field, detail) of the first failing rule, else null.
+
+    The rules yield the 1-based index of the first failure (small generated
+    code); the error triple is looked up in one literal array whose extra
+    last slot is a null struct.  The index is never NULL: Spark 4.1's
+    generated code for ``element_at`` returns the LAST element for a NULL
+    index computed by an expression.
+    """
+    n = len(rules)
+    idx = F.coalesce(*[F.when(F.coalesce(r.fails, F.lit(False)), F.lit(i + 1))
+                       for i, r in enumerate(rules)], F.lit(n + 1))
+    structs = [F.struct(F.lit(r.code).alias("code"), F.lit(r.field).alias("field"),
+                        F.lit(r.detail).alias("detail")) for r in rules]
+    none = F.lit(None).cast("struct<code:string,field:string,detail:string>")
+    return F.element_at(F.array(*structs, none), idx)
 
 
 def _slot(field: str) -> str:
@@ -79,7 +93,10 @@ def extract(df: DataFrame, v: str, fields: list[str]) -> DataFrame:
     expensive alias that is referenced several times).
     """
     subs = [F.variant_get(F.col(v), "$." + f, "variant").alias(_slot(f) + "_v") for f in fields]
-    out = df.select("*", *subs)
+    # ``_task`` (nondeterministic) is an optimizer barrier: a later filter on
+    # the error columns is not pushed below this projection, which would
+    # inline every JSON extraction into the predicate (hundreds of copies).
+    out = df.select("*", *subs, F.spark_partition_id().alias("_task"))
     cols = []
     for f in fields:
         sub = F.col(_slot(f) + "_v")
@@ -195,8 +212,8 @@ def check_api_events(raw: DataFrame, body_col: str = "body", kind_col: str = "ki
     parsed = parsed.select("*", F.schema_of_variant("_v").alias("_v_t"))
     ex = extract(parsed, "_v", API_FIELDS)
     b, kind = Fields(), F.col(kind_col)
-    err = F.coalesce(first_failure(_body_rules(F.col(body_col), F.col("_json_ok"), F.col("_v_t"))),
-                     first_failure(api_event_rules(b, kind)))
+    err = gated(first_failure(_body_rules(F.col(body_col), F.col("_json_ok"), F.col("_v_t"))
+                              + api_event_rules(b, kind)))
     checked = ex.withColumn("_err", err)
     return _with_errors(checked, [
         *[F.col(c) for c in raw.columns],
@@ -258,8 +275,8 @@ def check_billing_events(raw: DataFrame, body_col: str = "body") -> DataFrame:
     parsed = parsed.select("*", F.schema_of_variant("_v").alias("_v_t"))
     ex = extract(parsed, "_v", BILLING_FIELDS)
     b = Fields()
-    err = F.coalesce(first_failure(_body_rules(F.col(body_col), F.col("_json_ok"), F.col("_v_t"))),
-                     first_failure(billing_rules(b)))
+    err = gated(first_failure(_body_rules(F.col(body_col), F.col("_json_ok"), F.col("_v_t"))
+                              + billing_rules(b)))
     checked = ex.withColumn("_err", err)
     has_amount = ~b.nullish("amount")
     return _with_errors(checked, [

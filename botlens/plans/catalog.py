@@ -69,6 +69,20 @@ def _iso(df: DataFrame, *cols: str) -> DataFrame:
     return df.select([X.iso_text(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def _landed(df: DataFrame, name: str) -> DataFrame:
+    """Raw inputs are landed as a table first, as a deployment receives them."""
+    from botlens.session import stage
+    return stage(df, name)
+
+
+def _raw_api(spark, sf_dir):
+    return _landed(RAW.api_events(spark, sf_dir), "raw-api")
+
+
+def _raw_billing(spark, sf_dir):
+    return _landed(RAW.billing_webhooks(spark, sf_dir), "raw-billing")
+
+
 def _dashboard(spark, sf_dir):
     return stats.to_document_json(stats.dashboard(tables_a(spark, sf_dir), A))
 
@@ -87,14 +101,14 @@ def _telegram_events(spark, sf_dir):
 
 
 def _api_validation_errors(spark, sf_dir):
-    _, rej = validate_api_events(RAW.api_events(spark, sf_dir))
+    _, rej = validate_api_events(_raw_api(spark, sf_dir))
     return rej.groupBy("error_code", "error_field", "error_detail").agg(
         F.count(F.lit(1)).alias("events"))
 
 
 def _accepted_billing(spark, sf_dir):
     t = tables_a(spark, sf_dir)
-    acc, rej = BL.accept_billing_events(RAW.billing_webhooks(spark, sf_dir), t.accounts)
+    acc, rej = BL.accept_billing_events(_raw_billing(spark, sf_dir), t.accounts)
     return t, acc, rej
 
 
@@ -168,7 +182,7 @@ def _token_round_trip(spark, sf_dir):
 
 
 def _api_ingest(spark, sf_dir):
-    return ingest_api_batch(RAW.api_events(spark, sf_dir), tables_a(spark, sf_dir), A, SECRETS)
+    return ingest_api_batch(_raw_api(spark, sf_dir), tables_a(spark, sf_dir), A, SECRETS)
 
 
 def _ingest_api_rejections(spark, sf_dir):

@@ -199,6 +199,96 @@ def _ingest_platform_messages(spark, sf_dir):
     return _iso(out.facts["messages"], "created_at")
 
 
+def _connects(spark, sf_dir):
+    """Bot "connect" requests: one per events row, identity of its bot."""
+    n = F.broadcast(FX.read(spark, sf_dir, "nation"))
+    ev = FX.events_a(spark, sf_dir)
+    x = ev.join(n, ev.bot_id == n.n_nationkey.cast("string"))
+    is_user = F.col("n_nationkey") % 2 == 0
+    value = F.when(is_user, F.concat(F.lit("@"), F.col("n_name"))).otherwise(F.concat(
+        (F.lit(7000000) + F.col("n_nationkey")).cast("string"), F.lit(":AAH_token-"),
+        F.lower("n_name"), F.lit("_xxxxxxxxxxxx")))
+    return x.select(F.col("n_regionkey").cast("string").alias("owner_account_id"),
+                    F.when(is_user, "username").otherwise("token").alias("bot_type"),
+                    value.alias("bot_value"), F.col("event_id").alias("ingest_seq"),
+                    F.col("ts").alias("received_at"))
+
+
+def _bot_cap_connects(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    ok, rej = BO.enforce_bot_cap(_connects(spark, sf_dir), t.bots, t.accounts, RAW.TOKEN_SECRET)
+    cols = ["owner_account_id", "bot_type", "bot_value"]
+    return ok.select(*cols, F.lit(True).alias("allowed")).unionByName(
+        rej.select(*cols, F.lit(False).alias("allowed"))).distinct()
+
+
+def _account_change_log(spark, sf_dir):
+    c = FX.read(spark, sf_dir, "customer")
+    o = FX.read(spark, sf_dir, "orders")
+    cust = c.join(F.broadcast(FX.read(spark, sf_dir, "nation")), c.c_nationkey == F.col("n_nationkey"))
+    email = F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit("@Example.com"))
+    creates = c.select(F.lit("create").alias("change"), email.alias("email"),
+                       F.col("c_name").alias("name"), F.sha2(email, 256).alias("api_key_hash"),
+                       F.lit(None).cast("string").alias("account_id"), F.lit(None).cast("string").alias("plan"),
+                       F.col("c_custkey").alias("ingest_seq"))
+    again = c.filter(F.col("c_custkey") % 10 == 0).select(
+        F.lit("create").alias("change"), F.upper(email).alias("email"), F.col("c_name").alias("name"),
+        F.sha2(F.upper(email), 256).alias("api_key_hash"), F.lit(None).cast("string").alias("account_id"),
+        F.lit(None).cast("string").alias("plan"), (F.col("c_custkey") + 1000000).alias("ingest_seq"))
+    oc = o.filter(F.col("o_orderkey") % 50 == 0).join(cust, o.o_custkey == cust.c_custkey)
+    plans = oc.select(
+        F.lit("plan").alias("change"), F.lit(None).cast("string").alias("email"),
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("api_key_hash"),
+        F.when(F.col("o_orderkey") % 350 == 0, F.lit("missing"))
+         .otherwise(F.col("n_regionkey").cast("string")).alias("account_id"),
+        F.when(F.substring("o_orderpriority", 1, 1) == "1", "GROWTH").otherwise("starter").alias("plan"),
+        (F.col("o_orderkey") + 2000000).alias("ingest_seq"))
+    return (creates.unionByName(again).unionByName(plans)
+            .withColumn("received_at", F.timestamp_add("SECOND", F.col("ingest_seq") % 86400,
+                                                       F.lit("2024-02-01").cast("timestamp"))))
+
+
+def _account_changes_state(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    acc, _ = BL.apply_account_changes(t.accounts, _account_change_log(spark, sf_dir))
+    return acc.select("id", "email", "plan")
+
+
+def _account_changes_rejections(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    _, rej = BL.apply_account_changes(t.accounts, _account_change_log(spark, sf_dir))
+    return rej.groupBy("error_code").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _bot_changes(spark, sf_dir):
+    """Verify every bot, then enable tracking; token bots send credentials."""
+    t = tables_a(spark, sf_dir)
+    b = t.bots.select("id", "bot_type", "bot_identifier", F.col("id").cast("int").alias("k"))
+    token = F.concat((F.lit(7000000) + F.col("k")).cast("string"), F.lit(":AAH_token-"),
+                     F.col("bot_identifier"), F.lit("_xxxxxxxxxxxx"))
+    base = dict(display_name=F.lit(None).cast("string"), telegram_bot_id=F.lit(None).cast("string"),
+                encrypted_token=F.lit(None).cast("string"))
+
+    def rows(change, seq, **over):
+        cols = {**base, **over}
+        return b.select(F.col("id").alias("bot_id"), F.lit(change).alias("change"),
+                        X.is_token_shaped(token).alias("token_ok"),
+                        *[v.alias(k) for k, v in cols.items()],
+                        F.lit("2024-02-01").cast("timestamp").alias("received_at"),
+                        (F.col("k") * 10 + seq).cast("long").alias("ingest_seq"))
+    creds = rows("credentials", 1, display_name=F.concat(F.lit("@"), F.col("bot_identifier")),
+                 telegram_bot_id=F.col("k").cast("string"),
+                 encrypted_token=F.concat(F.lit("enc:"), token)).filter(F.col("bot_type") == "token")
+    verify = rows("verify", 2).filter(F.col("bot_type") == "username")
+    track = rows("track", 3).filter(F.col("k") % 4 != 3)
+    ghost = rows("track", 4).filter(F.col("k") == 0).withColumn("bot_id", F.lit("no-such-bot"))
+    changes = creds.unionByName(verify).unionByName(track).unionByName(ghost)
+    new_bots, rej = BO.apply_bot_changes(t.bots, changes)
+    return _iso(new_bots.select("id", "display_name", "verification_status", "tracking_status",
+                                "webhook_status", "verified_at", "tracking_enabled_at"),
+                "verified_at", "tracking_enabled_at")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "user_window": _stat(stats.user_window, tables_a, A),
@@ -240,6 +330,10 @@ def queries() -> dict[str, Query]:
         "ingest_api_rejections": _ingest_api_rejections,
         "ingest_api_activity": _ingest_api_activity,
         "ingest_platform_messages": _ingest_platform_messages,
+        "bot_cap_connects": _bot_cap_connects,
+        "account_changes_state": _account_changes_state,
+        "account_changes_rejections": _account_changes_rejections,
+        "bot_changes": _bot_changes,
     }
     return q
 
@@ -281,4 +375,7 @@ def oracle_sql() -> dict[str, str]:
         "lookup_accounts_by_key": O.lookup_accounts_by_key(),
         "lookup_bots_by_identity": O.lookup_bots_by_identity(),
         "token_round_trip": O.token_round_trip(),
+        "bot_cap_connects": O.bot_cap_connects(),
+        "account_changes_state": O.account_changes_state(),
+        "account_changes_rejections": O.account_changes_rejections(),
     }

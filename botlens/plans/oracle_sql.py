@@ -554,3 +554,68 @@ def token_round_trip() -> str:
 SELECT DISTINCT CAST(7000000 + n_nationkey AS VARCHAR) || ':AAH_token-' || lower(n_name) || '_xxxxxxxxxxxx' AS token,
        true AS round_trip_ok
 FROM ev JOIN nation ON CAST(n_nationkey AS VARCHAR) = ev.bot_id WHERE n_nationkey % 2 = 1"""
+
+
+# --- bot cap (I7), account changes (I18) ------------------------------------------------
+
+def bot_cap_connects() -> str:
+    base, _ = _mapping("a")
+    return f"""{base},
+c AS (
+  SELECT CAST(n_regionkey AS VARCHAR) AS owner_account_id, n_nationkey,
+         CASE WHEN n_nationkey % 2 = 0 THEN 'username' ELSE 'token' END AS bot_type,
+         CASE WHEN n_nationkey % 2 = 0 THEN '@' || n_name
+              ELSE CAST(7000000 + n_nationkey AS VARCHAR) || ':AAH_token-' || lower(n_name) || '_xxxxxxxxxxxx'
+         END AS bot_value,
+         min(event_id) AS first_seq
+  FROM ev JOIN nation ON CAST(n_nationkey AS VARCHAR) = ev.bot_id GROUP BY ALL),
+have AS (SELECT owner_account_id, count(*) AS n FROM d_bots GROUP BY 1),
+ranked AS (
+  SELECT c.*, row_number() OVER (PARTITION BY owner_account_id ORDER BY first_seq) AS k
+  FROM c WHERE bot_type = 'token')
+SELECT c.owner_account_id, c.bot_type, c.bot_value,
+       CASE WHEN c.bot_type = 'username' THEN true
+            ELSE coalesce(h.n, 0) + r.k <= CASE WHEN a.plan = 'growth' THEN 25 ELSE 2 END END AS allowed
+FROM c LEFT JOIN ranked r ON r.n_nationkey = c.n_nationkey
+LEFT JOIN have h ON h.owner_account_id = c.owner_account_id
+LEFT JOIN d_accounts a ON a.id = c.owner_account_id"""
+
+
+def _account_changes_ctes() -> str:
+    base, _ = _mapping("a")
+    return f"""{base},
+creates AS (
+  SELECT lower('C' || CAST(c_custkey AS VARCHAR) || '@Example.com') AS email, c_custkey AS seq FROM customer
+  UNION ALL
+  SELECT lower(upper('C' || CAST(c_custkey AS VARCHAR) || '@Example.com')), c_custkey + 1000000
+  FROM customer WHERE c_custkey % 10 = 0),
+firsts AS (SELECT email, min(seq) AS seq FROM creates GROUP BY email),
+new_acc AS (
+  SELECT {stable_id_sql("'account'", "email")} AS id, email, 'starter' AS plan FROM firsts
+  WHERE email NOT IN (SELECT email FROM d_accounts)),
+allacc AS (SELECT id, email, plan FROM d_accounts UNION ALL SELECT id, email, plan FROM new_acc),
+plans AS (
+  SELECT CASE WHEN o_orderkey % 350 = 0 THEN 'missing' ELSE CAST(n_regionkey AS VARCHAR) END AS account_id,
+         CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'growth' ELSE 'starter' END AS plan,
+         o_orderkey + 2000000 AS seq
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE o_orderkey % 50 = 0)"""
+
+
+def account_changes_state() -> str:
+    return f"""{_account_changes_ctes()},
+last_plan AS (SELECT account_id, arg_max(plan, seq) AS plan FROM plans
+              WHERE account_id IN (SELECT id FROM allacc) GROUP BY 1)
+SELECT a.id, a.email, coalesce(l.plan, a.plan) AS plan
+FROM allacc a LEFT JOIN last_plan l ON l.account_id = a.id"""
+
+
+def account_changes_rejections() -> str:
+    return f"""{_account_changes_ctes()},
+r AS (
+  SELECT 'EMAIL_TAKEN' AS error_code FROM creates c
+  WHERE c.email IN (SELECT email FROM d_accounts)
+     OR c.seq <> (SELECT f.seq FROM firsts f WHERE f.email = c.email)
+  UNION ALL
+  SELECT 'ACCOUNT_NOT_FOUND' FROM plans WHERE account_id NOT IN (SELECT id FROM allacc))
+SELECT error_code, count(*) AS events FROM r GROUP BY 1"""

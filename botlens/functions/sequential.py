@@ -33,12 +33,24 @@ def exclusive_running_sum(df: DataFrame, keys: list[str], order: str, value: str
             .drop("_chunk", "_off"))
 
 
-def last_non_null(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+def last_non_null(df: DataFrame, keys: list[str], order: str, value: str, out: str,
+                  chunk: int = 1 << 20) -> DataFrame:
     """``out`` = latest non-null ``value`` up to and including each row.
 
-    Used for "customer id so far" style state.  The frame is bounded by the
-    rows of one key inside one micro-batch.
+    Used for "customer id so far" style state.  Two levels as above: one
+    row per (key, chunk) holds the chunk's last non-null value, a window over
+    that small table carries it forward, and a window inside each chunk does
+    the rest, so a hot key is spread over chunks instead of one task.
     """
-    w = Window.partitionBy(*keys).orderBy(order) \
+    with_chunk = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    per_chunk = with_chunk.groupBy(*keys, "_chunk").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    prior = Window.partitionBy(*keys).orderBy("_chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_chunk.select(*keys, "_chunk",
+                               F.last("_last", ignorenulls=True).over(prior).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    return (with_chunk.join(carried, [*keys, "_chunk"])
+            .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carry")))
+            .drop("_chunk", "_carry"))

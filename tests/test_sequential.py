@@ -58,3 +58,17 @@ def test_upsert_users_split_batches(spark):
         assert r.username == last[r.telegram_id][2]
         assert r.created_at.strftime("%Y-%m-%d %H:%M:%S") == first[r.telegram_id][5]
     assert key
+
+
+def test_last_non_null_matches_fold(spark):
+    from botlens.functions.sequential import last_non_null
+    rnd = random.Random(11)
+    rows = [(s, rnd.choice(["a", "b"]), rnd.choice([None, None, None, f"c{s}"])) for s in range(400)]
+    df = spark.createDataFrame(rows, "seq long, k string, v string")
+    got = {r.seq: r.out for r in last_non_null(df, ["k"], "seq", "v", "out", chunk=16).collect()}
+    cur, expect = {}, {}
+    for seq, k, v in rows:
+        if v is not None:
+            cur[k] = v
+        expect[seq] = cur.get(k)
+    assert got == expect

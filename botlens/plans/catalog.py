@@ -18,6 +18,7 @@ from botlens.operators import billing as BL
 from botlens.operators import bots as BO
 from botlens.operators import ingest as IN
 from botlens.operators import quality as QU
+from botlens.operators import rollup as RU
 from botlens.operators import stats
 from botlens.operators.validate import validate_api_events
 from botlens.plans.ingest_batch import Secrets, ingest_api_batch, ingest_platform_batch
@@ -289,6 +290,13 @@ def _bot_changes(spark, sf_dir):
                 "verified_at", "tracking_enabled_at")
 
 
+def _overview_rollup(mapping, as_of) -> Query:
+    def run(spark, sf_dir):
+        t = mapping(spark, sf_dir)
+        return RU.overview_from_rollup(t, RU.daily_rollup(t), as_of)
+    return run
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "user_window": _stat(stats.user_window, tables_a, A),
@@ -334,6 +342,8 @@ def queries() -> dict[str, Query]:
         "account_changes_state": _account_changes_state,
         "account_changes_rejections": _account_changes_rejections,
         "bot_changes": _bot_changes,
+        "overview_rollup": _overview_rollup(tables_a, A),
+        "overview_rollup_star": _overview_rollup(tables_b, B),
     }
     return q
 
@@ -378,4 +388,7 @@ def oracle_sql() -> dict[str, str]:
         "bot_cap_connects": O.bot_cap_connects(),
         "account_changes_state": O.account_changes_state(),
         "account_changes_rejections": O.account_changes_rejections(),
+        # the rollup must give exactly the overview's answers
+        "overview_rollup": O.overview("a"),
+        "overview_rollup_star": O.overview("b"),
     }

@@ -63,6 +63,10 @@ class Store:
             self._write_batch(df, table, batch_id)
         if out.users_delta is not None:
             self._write_batch(out.users_delta, "users_delta", batch_id)
+        if out.facts:
+            from botlens.operators.rollup import daily_rollup
+            facts = Tables({t: out.facts.get(t, empty(self.spark, t)) for t in FACTS})
+            self._write_batch(daily_rollup(facts), "rollup_daily", batch_id)
         if out.rejected is not None:
             self._write_batch(out.rejected, "rejected", batch_id)
         versions = dict(versions or {})
@@ -126,6 +130,24 @@ class Store:
             out["users"] = merge_users(out.get_or_empty(self.spark, "users").unionByName(deltas))
         return out
 
+    def read_rollup(self, base_rollup: DataFrame | None = None) -> DataFrame | None:
+        """Merged daily rollup of every committed batch (plus a base one)."""
+        from botlens.operators.rollup import merge_rollups
+        hi, _ = self.committed()
+        parts = [] if base_rollup is None else [base_rollup]
+        if hi is not None:
+            try:
+                df = self.spark.read.parquet(self._path("rollup_daily"))
+                parts.append(df.filter(F.col("batch_id") <= hi).drop("batch_id"))
+            except Exception:  # noqa: BLE001 - no rollup written yet
+                pass
+        if not parts:
+            return None
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return merge_rollups(rows)
+
     def compact_users(self, base: Tables | None = None) -> None:
         """Fold committed user deltas into a snapshot (a periodic batch job)."""
         hi, _ = self.committed()

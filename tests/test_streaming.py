@@ -40,3 +40,11 @@ def test_stream_equals_batch(spark):
     store.compact_users(base)
     again = store.read_state(base)
     assert again.users.count() == state.users.count()
+
+
+def test_rollup_matches_overview(spark):
+    from botlens.operators import rollup, stats
+    t = FX.mapping_a(spark, SF)
+    a = {tuple(r) for r in stats.overview(t, FX.AS_OF_A).collect()}
+    b = {tuple(r) for r in rollup.overview_from_rollup(t, rollup.daily_rollup(t), FX.AS_OF_A).collect()}
+    assert a == b

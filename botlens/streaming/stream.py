@@ -89,3 +89,37 @@ def start_platform_ingest(spark: SparkSession, source_dir: str, store: Store, ba
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
+
+
+BILLING_RAW = T.StructType([
+    T.StructField("body", T.StringType()), T.StructField("ingest_seq", T.LongType()),
+    T.StructField("received_at", T.TimestampType())])
+
+
+def billing_batch_writer(store: Store, base: Tables):
+    """foreachBatch for billing notifications (E3: I14-I17).  The new
+    billing events, subscriptions and accounts states are written as
+    versions of this batch; the commit record makes them visible."""
+    from botlens.operators.billing import apply_billing_batch
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        state = store.read_state(base)
+        events, subs, accounts, rejected = apply_billing_batch(batch, state)
+        versions = {}
+        for name, df in (("billing_events", events), ("subscriptions", subs), ("accounts", accounts)):
+            store.write_version(df, name, batch_id)
+            versions[name] = batch_id
+        store._write_batch(rejected, "billing_rejected", batch_id)
+        store.commit(batch_id, versions)
+    return run
+
+
+def start_billing_ingest(spark: SparkSession, source_dir: str, store: Store, base: Tables,
+                         checkpoint: str, available_now: bool = False):
+    stream = spark.readStream.schema(BILLING_RAW).json(source_dir)
+    writer = (stream.writeStream.foreachBatch(billing_batch_writer(store, base))
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()

@@ -48,3 +48,19 @@ def test_rollup_matches_overview(spark):
     a = {tuple(r) for r in stats.overview(t, FX.AS_OF_A).collect()}
     b = {tuple(r) for r in rollup.overview_from_rollup(t, rollup.daily_rollup(t), FX.AS_OF_A).collect()}
     assert a == b
+
+
+def test_billing_stream(spark):
+    from botlens.operators import accounts as A
+    from botlens.streaming.stream import start_billing_ingest
+    work = tempfile.mkdtemp(prefix="botlens-billing-")
+    src = os.path.join(work, "in")
+    R.billing_webhooks(spark, SF).repartition(2).write.json(src)
+    base = FX.mapping_a(spark, SF)
+    store = Store(spark, os.path.join(work, "store"))
+    q = start_billing_ingest(spark, src, store, base, os.path.join(work, "ckpt"), available_now=True)
+    q.awaitTermination(600)
+    state = store.read_state(base)
+    subs = A.current_subscription(state.subscriptions).collect()
+    assert len(subs) == base.accounts.count()
+    assert {r.provider for r in subs} == {"stripe"}

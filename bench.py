@@ -22,6 +22,7 @@ HEADLINE = [
     "overview_star",            # Q7 on the star mapping (line items as messages)
     "overview_rollup_star",     # Q7 answered from a maintained daily rollup
     "dashboard_star",           # Q18, all parts, one row per bot
+    "dashboard_rollup_star",    # Q18 with fact parts from the maintained rollup
     "owner_bots_star",          # Q21
     "recent_activity_star",     # Q17 top-10 per bot
     "overview",                 # Q7 on the events mapping
@@ -63,8 +64,15 @@ def build(spark, sf_dir):
             prebuilt["r"] = stage(rollup.daily_rollup(t), "bench-rollup")
         return rollup.overview_from_rollup(t, prebuilt["r"], catalog.B)
 
+    def dashboard_rollup_star(s, d):
+        t = catalog.tables_b(s, d)
+        if "r" not in prebuilt:
+            prebuilt["r"] = stage(rollup.daily_rollup(t), "bench-rollup")
+        return stats.to_document_json(rollup.dashboard_from_rollup(t, prebuilt["r"], catalog.B))
+
     extra = {"dashboard_star": dashboard_star, "ingest_api": ingest_api,
-             "overview_rollup_star": overview_rollup_star}
+             "overview_rollup_star": overview_rollup_star,
+             "dashboard_rollup_star": dashboard_rollup_star}
     return {name: extra.get(name) or qs[name] for name in HEADLINE}
 
 

@@ -64,23 +64,21 @@ def _half_up_div(num: Column, den: Column) -> Column:
     return ((n2 - F.pmod(n2, d2)).cast("decimal(38,0)") / d2.cast("decimal(38,0)")).cast("long")
 
 
-def overview_from_rollup(t: Tables, rollup: DataFrame, as_of, bots=None,
-                         uptime_threshold: float = DEFAULT_UPTIME_THRESHOLD) -> DataFrame:
-    """Q7 with facts read from the rollup (users still from the users state)."""
-    c = as_of if isinstance(as_of, Clock) else Clock.at(as_of)
+def _rollup_measures(t: Tables, rollup: DataFrame, c: Clock, bots):
+    """Per-bot fact measures of the overview from the rollup."""
     day = F.col("day")
 
     def since(d, col):
         return F.sum(F.when(day >= date_lit(d), F.col(col)))
 
     r = S._restrict(rollup, bots).groupBy("bot_id").agg(
-        F.sum("messages").alias("total_messages"),
-        since(c.today, "messages").alias("messages_today"),
+        F.sum("messages").cast("long").alias("total_messages"),
+        since(c.today, "messages").cast("long").alias("messages_today"),
         since(c.today, "revenue").cast("decimal(22,2)").alias("revenue_today"),
         since(c.week_start, "revenue").cast("decimal(22,2)").alias("revenue_this_week"),
         since(c.month_start, "revenue").cast("decimal(22,2)").alias("revenue_this_month"),
         F.sum("health_rows").alias("_hn"), F.sum("uptime_cents").alias("_uc"),
-        since(c.today, "requests").alias("requests_today"),
+        since(c.today, "requests").cast("long").alias("requests_today"),
         F.max("latest").alias("_latest"))
     cents = F.when(F.col("_hn") > 0, _half_up_div(F.col("_uc"), F.col("_hn")))
     r = r.select(
@@ -90,12 +88,43 @@ def overview_from_rollup(t: Tables, rollup: DataFrame, as_of, bots=None,
     defaults = {"total_messages": 0, "messages_today": 0, "revenue_today": 0,
                 "revenue_this_week": 0, "revenue_this_month": 0, "requests_today": 0,
                 "bot_status": "offline", "uptime_pct": 0}
-    out = S.join_measures(S.bot_keys(t, bots), [S._user_agg(t, c, bots), (r, defaults)])
+    return S.join_measures(S.bot_keys(t, bots), [S._user_agg(t, c, bots), (r, defaults)])
+
+
+def overview_from_rollup(t: Tables, rollup: DataFrame, as_of, bots=None,
+                         uptime_threshold: float = DEFAULT_UPTIME_THRESHOLD) -> DataFrame:
+    """Q7 with facts read from the rollup (users still from the users state)."""
+    c = as_of if isinstance(as_of, Clock) else Clock.at(as_of)
+    out = _rollup_measures(t, rollup, c, bots)
     return out.select(
         "bot_id", "total_users", "active_users_today", "new_users_today",
-        F.col("messages_today").cast("long").alias("messages_today"),
-        F.col("total_messages").cast("long").alias("total_messages"),
+        "messages_today", "total_messages",
         X.pct_change("weekly_current", "weekly_previous").alias("weekly_growth_pct"),
         "revenue_today", "revenue_this_week", "revenue_this_month",
-        "bot_status", S._api_health(uptime_threshold), "uptime_pct",
-        F.col("requests_today").cast("long").alias("requests_today"))
+        "bot_status", S._api_health(uptime_threshold), "uptime_pct", "requests_today")
+
+
+def _rollup_series(t: Tables, rollup: DataFrame, bots, start, end, col: str, typ: str) -> DataFrame:
+    agg = (S._restrict(rollup, bots)
+           .filter((F.col("day") >= date_lit(start)) & (F.col("day") <= date_lit(end)))
+           .groupBy("bot_id", F.col("day").alias("bucket_date"))
+           .agg(F.sum(col).cast(typ).alias("value")))
+    spine = S.bot_keys(t, bots).select(
+        "bot_id", F.explode(F.sequence(date_lit(start), date_lit(end), F.expr("INTERVAL 1 DAY")))
+        .alias("bucket_date"))
+    return (spine.join(agg, ["bot_id", "bucket_date"], "left")
+            .select("bot_id", "bucket_date", F.coalesce("value", F.lit(0).cast(typ)).alias("value")))
+
+
+def dashboard_from_rollup(t: Tables, rollup: DataFrame, as_of, bots=None, limit: int = 10,
+                          uptime_threshold: float = DEFAULT_UPTIME_THRESHOLD) -> DataFrame:
+    """Q18 with message / revenue / health parts read from the rollup."""
+    c = as_of if isinstance(as_of, Clock) else Clock.at(as_of)
+    m = _rollup_measures(t, rollup, c, bots)
+    series = [
+        S.nest_series(_rollup_series(t, rollup, bots, c.days_ago(29), c.today, "revenue",
+                                     "decimal(22,2)"), "revenue_series"),
+        S.nest_series(_rollup_series(t, rollup, bots, c.days_ago(29), c.today, "messages", "long"),
+                      "daily_messages_series"),
+    ]
+    return S.assemble_dashboard(t, c, bots, m, series, limit, uptime_threshold)

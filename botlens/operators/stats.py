@@ -331,13 +331,23 @@ def dashboard(t: Tables, as_of, bots=None, limit: int = 10,
     m = join_measures(bot_keys(t, bots), [
         _user_agg(t, as_of, bots), _message_agg(t, as_of, bots),
         _revenue_agg(t, as_of, bots), _health_agg(t, as_of, bots)])
+    series = [
+        nest_series(daily_revenue_series(t, as_of, bots), "revenue_series"),
+        nest_series(daily_message_series(t, as_of, bots), "daily_messages_series"),
+    ]
+    return assemble_dashboard(t, as_of, bots, m, series, limit, uptime_threshold)
+
+
+def assemble_dashboard(t: Tables, as_of, bots, measures: DataFrame, fact_series: list,
+                       limit: int, uptime_threshold) -> DataFrame:
+    """Join the per-bot measures, the series and the recent activity into
+    the dashboard structs (shared by the fact-table and rollup paths)."""
+    m = measures
     parts = [
         nest_series(weekly_user_series(t, as_of, bots), "weekly_series"),
         nest_series(monthly_user_series(t, as_of, bots), "monthly_series"),
         nest_series(daily_user_series(t, as_of, bots), "growth_series"),
-        nest_series(daily_revenue_series(t, as_of, bots), "revenue_series"),
-        nest_series(daily_message_series(t, as_of, bots), "daily_messages_series"),
-    ]
+    ] + fact_series
     for p in parts:
         m = m.join(p, "bot_id", "left")
     ra = recent_activity(t, limit, bots)

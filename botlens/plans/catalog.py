@@ -297,6 +297,11 @@ def _overview_rollup(mapping, as_of) -> Query:
     return run
 
 
+def _dashboard_rollup(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    return stats.to_document_json(RU.dashboard_from_rollup(t, RU.daily_rollup(t), A))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "user_window": _stat(stats.user_window, tables_a, A),
@@ -344,6 +349,7 @@ def queries() -> dict[str, Query]:
         "bot_changes": _bot_changes,
         "overview_rollup": _overview_rollup(tables_a, A),
         "overview_rollup_star": _overview_rollup(tables_b, B),
+        "dashboard_rollup": _dashboard_rollup,
     }
     return q
 

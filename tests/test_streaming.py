@@ -64,3 +64,11 @@ def test_billing_stream(spark):
     subs = A.current_subscription(state.subscriptions).collect()
     assert len(subs) == base.accounts.count()
     assert {r.provider for r in subs} == {"stripe"}
+
+
+def test_rollup_dashboard_matches(spark):
+    from botlens.operators import rollup, stats
+    t = FX.mapping_a(spark, SF)
+    a = stats.to_document_json(stats.dashboard(t, FX.AS_OF_A))
+    b = stats.to_document_json(rollup.dashboard_from_rollup(t, rollup.daily_rollup(t), FX.AS_OF_A))
+    assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}

@@ -28,9 +28,6 @@ from botlens.sources import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_CACHE: dict = {}
-
-
 def tables_a(spark: SparkSession, sf_dir: str):
     return FX.mapping_a(spark, sf_dir)
 

@@ -22,7 +22,7 @@ from botlens.functions.clock import Clock, ts_lit
 from botlens.operators import accounts as A
 from botlens.operators import bots as BO
 from botlens.operators import ingest as I
-from botlens.operators.validate import check_api_events, parse_event_time
+from botlens.operators.validate import MSG_DATE, check_api_events, parse_event_time
 from botlens.session import stage
 from botlens.sources.tables import Tables
 
@@ -96,9 +96,10 @@ def ingest_api_batch(raw: DataFrame, state: Tables, as_of, secrets: Secrets,
     to_resolve = passed.filter(F.col("error_code").isNull()) \
         .drop("error_code", "error_field", "error_detail")
     resolved, bots, rej_conflict = BO.resolve_bots(to_resolve, state.bots, secrets.token)
+    resolved = stage(resolved, "api-resolved")           # feeds every output below
     bad_post = resolved.filter(F.col("_post").isNotNull()).select(
         "*", F.lit("VALIDATION_ERROR").alias("error_code"), F.col("_post").alias("error_field"),
-        F.when(F.col("_post") == "createdAt", F.lit("must be a valid ISO date string"))
+        F.when(F.col("_post") == "createdAt", F.lit(MSG_DATE))
          .otherwise(F.lit("numeric field overflow")).alias("error_detail"))
     good = resolved.filter(F.col("_post").isNull()).withColumn(
         "seq", F.col("ingest_seq") * F.lit(1 << SUB_BITS))

@@ -20,7 +20,6 @@ from botlens.sources.fixtures import events_a, read
 
 TOKEN_SECRET = "fixture-token-secret"
 API_KEY_SECRET = "fixture-api-key-secret"
-BILLING_ACCOUNTS_MOD = 5
 
 
 def _nation(spark, sf_dir) -> DataFrame:

@@ -394,4 +394,5 @@ def oracle_sql() -> dict[str, str]:
         # the rollup must give exactly the overview's answers
         "overview_rollup": O.overview("a"),
         "overview_rollup_star": O.overview("b"),
+        "ingest_api_rejections": O.ingest_api_rejections(),
     }

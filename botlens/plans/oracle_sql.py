@@ -619,3 +619,36 @@ r AS (
   UNION ALL
   SELECT 'ACCOUNT_NOT_FOUND' FROM plans WHERE account_id NOT IN (SELECT id FROM allacc))
 SELECT error_code, count(*) AS events FROM r GROUP BY 1"""
+
+
+# --- I20 end to end: rejections of one API batch ------------------------------------------
+
+def ingest_api_rejections() -> str:
+    """Auth (k = 99), then the monthly quota in arrival order, then the body
+    rules, then the date check after bot resolution (FIXTURES §2 cases)."""
+    base, c = _mapping("a")
+    return f"""{base}, {_usage_ctes(c)},
+e AS (
+  SELECT ev.event_id, ev.k, ev.event_type, CAST(n.n_regionkey AS VARCHAR) AS owner
+  FROM ev JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = ev.bot_id),
+owned AS (SELECT * FROM e WHERE k <> 99),
+flagged AS (
+  SELECT o.*, CASE WHEN o.event_type <> 'error' THEN 1 ELSE 0 END AS counts,
+         coalesce(u.monthly_events, 0) AS base_n,
+         CASE WHEN a.plan = 'growth' THEN 250000 ELSE 5000 END AS lim
+  FROM owned o LEFT JOIN ev_count u ON u.account_id = o.owner JOIN d_accounts a ON a.id = o.owner),
+ran AS (
+  SELECT *, base_n + coalesce(sum(counts) OVER (PARTITION BY owner ORDER BY event_id
+                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+  FROM flagged),
+labelled AS (
+  SELECT 'INVALID_API_KEY' AS error_code, 'api_key' AS error_field FROM e WHERE k = 99
+  UNION ALL
+  SELECT 'PLAN_LIMIT_REACHED', 'monthlyEvents' FROM ran WHERE used >= lim
+  UNION ALL
+  SELECT CASE WHEN k % 10 IN (0, 5) THEN 'INVALID_JSON' ELSE 'VALIDATION_ERROR' END,
+         CASE k % 10 WHEN 0 THEN 'body' WHEN 5 THEN 'body' WHEN 1 THEN 'botType' WHEN 2 THEN 'user.telegramId'
+                     WHEN 3 THEN 'createdAt' WHEN 4 THEN 'text' WHEN 6 THEN 'user.username'
+                     WHEN 7 THEN 'botType' WHEN 8 THEN 'createdAt' ELSE 'user.telegramId' END
+  FROM ran WHERE used < lim AND event_type = 'error')
+SELECT error_code, error_field, count(*) AS events FROM labelled GROUP BY ALL"""

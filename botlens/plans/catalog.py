@@ -395,4 +395,5 @@ def oracle_sql() -> dict[str, str]:
         "overview_rollup": O.overview("a"),
         "overview_rollup_star": O.overview("b"),
         "ingest_api_rejections": O.ingest_api_rejections(),
+        "ingest_api_activity": O.ingest_api_activity(),
     }

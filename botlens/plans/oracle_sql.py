@@ -652,3 +652,41 @@ labelled AS (
                      WHEN 7 THEN 'botType' WHEN 8 THEN 'createdAt' ELSE 'user.telegramId' END
   FROM ran WHERE used < lim AND event_type = 'error')
 SELECT error_code, error_field, count(*) AS events FROM labelled GROUP BY ALL"""
+
+
+def ingest_api_activity() -> str:
+    """Activity rows written by one API batch (I6 + I13 after I5/I8/I1-I3)."""
+    from botlens.sources.fixtures import sql_hmac
+    from botlens.sources.raw import TOKEN_SECRET
+    base, _ = _mapping("a")
+    token = ("CAST(7000000 + n.n_nationkey AS VARCHAR) || ':AAH_token-' || lower(n.n_name) "
+             "|| '_xxxxxxxxxxxx'")
+    new_bot = stable_id_sql("'bot'", "'token'", sql_hmac(token, TOKEN_SECRET))
+    prefix = ingest_api_rejections().rsplit("SELECT error_code", 1)[0].rstrip()
+    return f"""{prefix},
+ok AS (
+  SELECT r.event_id, r.k, r.event_type, ev.uid, ev.ts, ev.amount,
+         CASE WHEN n.n_nationkey % 2 = 0 THEN CAST(n.n_nationkey AS VARCHAR) ELSE {new_bot} END AS bot_id
+  FROM ran r JOIN ev ON ev.event_id = r.event_id
+  JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = ev.bot_id
+  WHERE r.used < r.lim AND r.event_type <> 'error'),
+facts AS (
+  SELECT {stable_id_sql("'activity'", "CAST(event_id * 1048576 AS VARCHAR)")} AS id, bot_id,
+         CASE WHEN event_type IN ('click', 'view') THEN 'message'
+              WHEN event_type = 'purchase' THEN 'payment' ELSE 'user_joined' END AS kind,
+         uid, amount, CASE WHEN k % 10 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
+         CASE WHEN k % 5 <> 0 THEN CAST(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS TIMESTAMP)
+              ELSE ts + INTERVAL 5 SECOND END AS created_at
+  FROM ok)
+SELECT id, bot_id, kind AS event_type,
+       CASE kind WHEN 'message' THEN 'Message received from ' || uid
+                 WHEN 'payment' THEN 'Payment of ' || CAST(amount AS VARCHAR) || ' ' || currency
+                 ELSE 'User ' || uid || ' joined' END AS description,
+       CASE kind WHEN 'message' THEN 'message.received' WHEN 'payment' THEN 'payment.received'
+                 ELSE 'user.joined' END AS event_code,
+       CASE WHEN kind = 'payment'
+            THEN '{{"user":' || to_json(uid) || ',"amount":' || {js_num('amount')} || ',"currency":'
+                 || to_json(currency) || '}}'
+            ELSE '{{"user":' || to_json(uid) || '}}' END AS params,
+       {iso('created_at')} AS created_at
+FROM facts"""

@@ -396,4 +396,5 @@ def oracle_sql() -> dict[str, str]:
         "overview_rollup_star": O.overview("b"),
         "ingest_api_rejections": O.ingest_api_rejections(),
         "ingest_api_activity": O.ingest_api_activity(),
+        "ingest_platform_messages": O.ingest_platform_messages(),
     }

@@ -690,3 +690,13 @@ SELECT id, bot_id, kind AS event_type,
             ELSE '{{"user":' || to_json(uid) || '}}' END AS params,
        {iso('created_at')} AS created_at
 FROM facts"""
+
+
+def ingest_platform_messages() -> str:
+    """Messages written from platform updates (I4 -> I10): click/view rows."""
+    base, _ = _mapping("a")
+    return f"""{base}
+SELECT {stable_id_sql("'message'", "CAST(event_id * 1048576 + 1048575 AS VARCHAR)")} AS id, bot_id,
+       {stable_id_sql("'user'", "bot_id", "uid")} AS user_id, props AS text,
+       {iso("date_trunc('second', ts)")} AS created_at
+FROM ev WHERE event_type IN ('click', 'view')"""

@@ -397,4 +397,5 @@ def oracle_sql() -> dict[str, str]:
         "ingest_api_rejections": O.ingest_api_rejections(),
         "ingest_api_activity": O.ingest_api_activity(),
         "ingest_platform_messages": O.ingest_platform_messages(),
+        "bot_changes": O.bot_changes(),
     }

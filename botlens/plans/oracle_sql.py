@@ -700,3 +700,24 @@ SELECT {stable_id_sql("'message'", "CAST(event_id * 1048576 + 1048575 AS VARCHAR
        {stable_id_sql("'user'", "bot_id", "uid")} AS user_id, props AS text,
        {iso("date_trunc('second', ts)")} AS created_at
 FROM ev WHERE event_type IN ('click', 'view')"""
+
+
+def bot_changes() -> str:
+    """I19 on the nation bots: token bots send credentials, username bots
+    verify (needs a display name), then tracking (needs verified)."""
+    base, _ = _mapping("a")
+    at = "TIMESTAMP '2024-02-01 00:00:00'"
+    return f"""{base},
+b AS (SELECT *, CAST(id AS INTEGER) AS k FROM d_bots),
+v AS (SELECT id FROM b WHERE bot_type = 'token' OR display_name IS NOT NULL),
+t AS (SELECT id FROM b WHERE k % 4 <> 3 AND (verification_status = 'verified' OR id IN (SELECT id FROM v)))
+SELECT id,
+       CASE WHEN bot_type = 'token' THEN '@' || bot_identifier ELSE display_name END AS display_name,
+       CASE WHEN id IN (SELECT id FROM v) THEN 'verified' ELSE verification_status END AS verification_status,
+       CASE WHEN id IN (SELECT id FROM t) THEN 'enabled' ELSE tracking_status END AS tracking_status,
+       CASE WHEN id IN (SELECT id FROM t)
+            THEN CASE WHEN bot_type = 'token' THEN 'enabled' ELSE 'pending' END
+            ELSE webhook_status END AS webhook_status,
+       {iso(f"CASE WHEN id IN (SELECT id FROM v) THEN {at} ELSE verified_at END")} AS verified_at,
+       {iso(f"CASE WHEN id IN (SELECT id FROM t) THEN {at} ELSE tracking_enabled_at END")} AS tracking_enabled_at
+FROM b"""

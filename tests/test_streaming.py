@@ -72,3 +72,19 @@ def test_rollup_dashboard_matches(spark):
     a = stats.to_document_json(stats.dashboard(t, FX.AS_OF_A))
     b = stats.to_document_json(rollup.dashboard_from_rollup(t, rollup.daily_rollup(t), FX.AS_OF_A))
     assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
+
+
+def test_store_batch_retry_is_idempotent(spark):
+    from botlens.plans.ingest_batch import ingest_platform_batch
+    work = tempfile.mkdtemp(prefix="botlens-retry-")
+    base = FX.mapping_a(spark, SF)
+    store = Store(spark, os.path.join(work, "store"))
+    out = ingest_platform_batch(R.platform_updates(spark, SF), base)
+    out.bots = None
+    store.write_ingest(0, out)
+    first = store.read_state(base).messages.count()
+    store.write_ingest(0, out)                      # the same batch again (retry)
+    assert store.read_state(base).messages.count() == first
+    # an uncommitted later batch is invisible
+    store._write_batch(out.facts["messages"], "messages", 1)
+    assert store.read_state(base).messages.count() == first

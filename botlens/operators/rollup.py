@@ -25,7 +25,7 @@ from botlens.sources.tables import Tables
 
 MEASURES = {
     "messages": "long", "revenue": "decimal(32,2)", "health_rows": "long",
-    "uptime_cents": "long", "requests": "long",
+    "uptime_cents": "long", "requests": "long", "activity": "long",
 }
 
 
@@ -39,7 +39,8 @@ def _part(df: DataFrame, **measures: Column) -> DataFrame:
 
 def daily_rollup(t: Tables) -> DataFrame:
     """(bot_id, day) -> messages, revenue, health rows, uptime cents,
-    requests, latest health struct.  Partial aggregation per part."""
+    requests, activity rows, latest health struct.  Partial aggregation
+    per part."""
     parts = [
         _part(t.messages, messages=F.lit(1).cast("long")),
         _part(t.payments, revenue=F.col("amount").cast("decimal(32,2)")),
@@ -47,6 +48,7 @@ def daily_rollup(t: Tables) -> DataFrame:
               uptime_cents=(F.col("uptime") * 100).cast("long"),
               requests=F.col("request_count").cast("long"),
               latest=F.struct(F.col("created_at"), F.col("id"), F.col("status"))),
+        _part(t.activity_logs, activity=F.lit(1).cast("long")),
     ]
     return merge_rollups(reduce(DataFrame.unionByName, parts))
 
@@ -128,3 +130,21 @@ def dashboard_from_rollup(t: Tables, rollup: DataFrame, as_of, bots=None, limit:
                       "daily_messages_series"),
     ]
     return S.assemble_dashboard(t, c, bots, m, series, limit, uptime_threshold)
+
+
+def account_usage_from_rollup(t: Tables, rollup: DataFrame, as_of, owners=None) -> DataFrame:
+    """Q19 (bots per owner, activity rows since the 1st) from the rollup, so
+    the per-batch quota base costs bots x days rows, not a month of facts."""
+    from botlens.operators.accounts import _restrict_owner
+    c = as_of if isinstance(as_of, Clock) else Clock.at(as_of)
+    accounts = _restrict_owner(t.accounts.select(F.col("id").alias("account_id")), owners, "account_id")
+    bots = t.bots.select(F.col("id").alias("bot_id"), F.col("owner_account_id").alias("account_id"))
+    bot_count = bots.groupBy("account_id").agg(F.count(F.lit(1)).alias("total_bots"))
+    per_bot = (rollup.filter(F.col("day") >= date_lit(c.month_start))
+               .groupBy("bot_id").agg(F.sum("activity").alias("n")))
+    events = per_bot.join(bots, "bot_id").groupBy("account_id").agg(
+        F.sum("n").cast("long").alias("monthly_events"))
+    return (accounts.join(bot_count, "account_id", "left").join(events, "account_id", "left")
+            .select("account_id",
+                    F.coalesce("total_bots", F.lit(0).cast("long")).alias("total_bots"),
+                    F.coalesce("monthly_events", F.lit(0).cast("long")).alias("monthly_events")))

@@ -294,6 +294,11 @@ def _overview_rollup(mapping, as_of) -> Query:
     return run
 
 
+def _account_usage_rollup(spark, sf_dir):
+    t = tables_a(spark, sf_dir)
+    return RU.account_usage_from_rollup(t, RU.daily_rollup(t), A)
+
+
 def _dashboard_rollup(spark, sf_dir):
     t = tables_a(spark, sf_dir)
     return stats.to_document_json(RU.dashboard_from_rollup(t, RU.daily_rollup(t), A))
@@ -347,6 +352,7 @@ def queries() -> dict[str, Query]:
         "overview_rollup": _overview_rollup(tables_a, A),
         "overview_rollup_star": _overview_rollup(tables_b, B),
         "dashboard_rollup": _dashboard_rollup,
+        "account_usage_rollup": _account_usage_rollup,
     }
     return q
 
@@ -398,4 +404,5 @@ def oracle_sql() -> dict[str, str]:
         "ingest_api_activity": O.ingest_api_activity(),
         "ingest_platform_messages": O.ingest_platform_messages(),
         "bot_changes": O.bot_changes(),
+        "account_usage_rollup": O.account_usage("a"),
     }

@@ -77,8 +77,12 @@ def _users_delta(events: DataFrame) -> DataFrame:
 
 
 def ingest_api_batch(raw: DataFrame, state: Tables, as_of, secrets: Secrets,
-                     chunk: int = 1 << 20) -> IngestOutput:
-    """raw: kind, api_key, body, ingest_seq, received_at."""
+                     chunk: int = 1 << 20, usage: DataFrame | None = None) -> IngestOutput:
+    """raw: kind, api_key, body, ingest_seq, received_at.
+
+    ``usage`` (account_id, monthly_events) at batch start; by default it is
+    computed from the activity facts (Q19), a streaming job passes the one
+    read from the daily rollup."""
     c = as_of if isinstance(as_of, Clock) else Clock.at(as_of)
     owned, rej_auth = I.resolve_owners(raw, state.accounts, secrets.api_key)
     checked = check_api_events(owned)
@@ -89,7 +93,7 @@ def ingest_api_batch(raw: DataFrame, state: Tables, as_of, secrets: Secrets,
                     "api-checked")
     counts = F.col("error_code").isNull() & F.col("_post").isNull() \
         & (F.col("created_at") >= ts_lit(c.month_start))
-    usage = A.account_usage(state, c)
+    usage = usage if usage is not None else A.account_usage(state, c)
     passed, rej_quota = I.enforce_event_quota(checked, usage, counts, chunk=chunk)
     passed = stage(passed, "api-passed")
     rej_val_after = passed.filter(F.col("error_code").isNotNull())

@@ -39,13 +39,26 @@ def _batch_clock(df: DataFrame) -> Clock:
 
 
 def api_batch_writer(store: Store, base: Tables, secrets: Secrets):
-    """foreachBatch function for API events."""
+    """foreachBatch function for API events.
+
+    The quota base comes from the daily rollup (base facts rolled up once,
+    plus the rollup every committed batch appended)."""
+    from botlens.operators.rollup import account_usage_from_rollup, daily_rollup
+    from botlens.session import stage
+    base_rollup = {}
+
     def run(batch: DataFrame, batch_id: int) -> None:
         clock = _batch_clock(batch)
         if clock is None:
             return
+        if "r" not in base_rollup:
+            base_rollup["r"] = stage(daily_rollup(Tables(
+                {t: base.get_or_empty(batch.sparkSession, t) for t in
+                 ("messages", "payments", "bot_health_logs", "activity_logs")})), "base-rollup")
         state = store.read_state(base)
-        out = ingest_api_batch(batch, state, clock, secrets)
+        rollup = store.read_rollup(base_rollup["r"])
+        usage = account_usage_from_rollup(state, rollup, clock)
+        out = ingest_api_batch(batch, state, clock, secrets, usage=usage)
         store.write_ingest(batch_id, out)
     return run
 

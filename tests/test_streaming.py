@@ -88,3 +88,12 @@ def test_store_batch_retry_is_idempotent(spark):
     # an uncommitted later batch is invisible
     store._write_batch(out.facts["messages"], "messages", 1)
     assert store.read_state(base).messages.count() == first
+
+
+def test_read_raw_batch(spark):
+    from botlens.streaming.stream import read_raw
+    work = tempfile.mkdtemp(prefix="botlens-raw-")
+    R.platform_updates(spark, SF).write.json(os.path.join(work, "p"))
+    df = read_raw(spark, os.path.join(work, "p"), "platform")
+    assert df.columns == ["bot_id", "body", "ingest_seq", "received_at"]
+    assert df.count() == R.platform_updates(spark, SF).count()

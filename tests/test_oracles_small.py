@@ -8,7 +8,9 @@ from tests.oracle_check import canon, duck
 SF = "/root/testdata/sf0.001"
 FAST = ["overview", "overview_star", "growth", "revenue_stats", "recent_activity", "account_summary",
         "owner_bots", "upsert_users", "telegram_events", "api_validation_errors", "current_subscription",
-        "contracts_report", "erase_starter_accounts", "lookup_accounts_by_key", "token_round_trip"]
+        "contracts_report", "erase_starter_accounts", "lookup_accounts_by_key", "token_round_trip",
+        "ingest_api_rejections", "ingest_api_activity", "ingest_platform_messages", "bot_changes",
+        "bot_cap_connects", "account_changes_state", "overview_rollup", "account_usage_rollup"]
 
 
 @pytest.fixture(scope="module")

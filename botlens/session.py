@@ -53,33 +53,45 @@ def apply_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a fresh temporary folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
+    (tests, bench) without that setting gets a fresh temporary folder; on a
+    cluster a machine-local folder would be invisible to other executors, so
+    the missing setting is an error there.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="botlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext.getCheckpointDir() or configured
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="botlens-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
-def stage(df, name: str = "stage"):
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a written table through Hadoop's file system (any store)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(df, name: str = "stage", paths: list[str] | None = None):
     """Cut the lineage of an intermediate result by writing it as a Parquet
     table in the shared checkpoint folder and reading it back.
 
     Unlike ``checkpoint(eager=True)`` (which evaluates the plan once for the
     count and again to write the files) the plan runs once; the table
-    survives executor loss and keeps later plans small.
+    survives executor loss and keeps later plans small.  The written folder
+    is appended to ``paths`` so that a caller that knows when the rows are
+    no longer needed can remove it with ``drop_path``.
     """
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if paths is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)

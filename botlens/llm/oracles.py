@@ -63,3 +63,22 @@ SELECT {columns}, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b
   coalesce(NOT base_failed AND {tests}, false) AS kept
 FROM base {joins}
 """
+
+
+URL_FILTERS = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (SELECT page_id, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS place
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+marked AS (SELECT DISTINCT host FROM p WHERE regexp_matches(host,
+  '(^|\.)([^.]*-)?(adult|ads|bets|casino|pills|spam)(-[^.]*)?\..'))
+SELECT p.page_id, p.host, p.path, f.rule,
+  coalesce(f.verdict, CASE WHEN m.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN fit f ON f.page_id = p.page_id AND f.place = 1 LEFT JOIN marked m ON m.host = p.host
+"""

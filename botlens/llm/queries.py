@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from botlens.session import apply_conf
 
-from . import oracles, quality
+from . import oracles, quality, urlfilter
 from .common import bounded_batches, table
 
 
@@ -12,8 +12,19 @@ def op1_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
+             ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op2_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS t(key, kind)")
+    return urlfilter.judge(pages, rules.unionByName(urlfilter.marked_hosts(pages)), ["page_id"])
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
 }
 
 
@@ -28,4 +39,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_quality_rules": oracles.quality_sql()}
+    return {"op1_quality_rules": oracles.quality_sql(),
+            "op2_url_filters": oracles.URL_FILTERS}

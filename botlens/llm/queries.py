@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from botlens.session import apply_conf
 
-from . import oracles, quality, urlfilter
+from . import oracles, quality, simhash, urlfilter
 from .common import bounded_batches, table
 
 
@@ -22,9 +22,15 @@ def op2_url_filters(spark, sf_dir):
     return urlfilter.judge(pages, rules.unionByName(urlfilter.marked_hosts(pages)), ["page_id"])
 
 
+def op5_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", simhash.hex_fp("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
+    "op5_simhash": op5_simhash,
 }
 
 

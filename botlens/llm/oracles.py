@@ -82,3 +82,25 @@ SELECT p.page_id, p.host, p.path, f.rule,
   coalesce(f.verdict, CASE WHEN m.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN fit f ON f.page_id = p.page_id AND f.place = 1 LEFT JOIN marked m ON m.host = p.host
 """
+
+
+DECONTAMINATION = r"""
+WITH lowered AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+        FROM items WHERE len(ws) > 0)),
+dw AS (SELECT rn, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT rn, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+        FROM lowered, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+hits AS (SELECT rn, dw.n, i, item_id FROM dw JOIN iw ON iw.n = dw.n AND iw.g = dw.g),
+covered AS (SELECT rn, count(DISTINCT w) AS n_hit
+  FROM (SELECT rn, unnest(range(i, i + n)) AS w FROM (SELECT DISTINCT rn, n, i FROM hits)) GROUP BY rn),
+found AS (SELECT rn, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT rn, item_id FROM hits) GROUP BY rn)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN covered USING (rn) LEFT JOIN found USING (rn)
+"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from botlens.session import apply_conf
 
-from . import oracles, quality, simhash, urlfilter
+from . import decontam, oracles, quality, simhash, urlfilter
 from .common import bounded_batches, table
 
 
@@ -27,10 +29,18 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fp("fp").alias("fingerprint"), "component_id")
 
 
+def op7_decontamination(spark, sf_dir):
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op5_simhash": op5_simhash,
+    "op7_decontamination": op7_decontamination,
 }
 
 
@@ -46,4 +56,5 @@ def queries():
 
 def oracle_sql():
     return {"op1_quality_rules": oracles.quality_sql(),
-            "op2_url_filters": oracles.URL_FILTERS}
+            "op2_url_filters": oracles.URL_FILTERS,
+            "op7_decontamination": oracles.DECONTAMINATION}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import apply_conf
 
-from . import decontam, oracles, quality, simhash, urlfilter
+from . import decontam, oracles, quality, secretscan, simhash, urlfilter
 from .common import bounded_batches, table
 
 
@@ -24,6 +24,17 @@ def op2_url_filters(spark, sf_dir):
     return urlfilter.judge(pages, rules.unionByName(urlfilter.marked_hosts(pages)), ["page_id"])
 
 
+def op4_secret_scans(spark, sf_dir):
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"))
+
+
 def op5_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", simhash.hex_fp("fp").alias("fingerprint"), "component_id")
@@ -39,6 +50,7 @@ def op7_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
+    "op4_secret_scans": op4_secret_scans,
     "op5_simhash": op5_simhash,
     "op7_decontamination": op7_decontamination,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import apply_conf
 
-from . import decontam, oracles, quality, secretscan, simhash, urlfilter
+from . import decontam, oracles, packing, quality, secretscan, simhash, urlfilter
 from .common import bounded_batches, table
 
 
@@ -40,6 +40,10 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fp("fp").alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark, sf_dir):
+    return packing.pieces(table(spark, sf_dir, "documents"), length=2048)
+
+
 def op7_decontamination(spark, sf_dir):
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op4_secret_scans": op4_secret_scans,
     "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
 }
 

@@ -39,9 +39,13 @@ DICTIONARY = 4096      # identifiers in the dictionary
 
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY) -> bytes:
-    """The corpus's most frequent identifiers, the most frequent last (nearest for the compressor)."""
+    """The corpus's most frequent identifiers, the most frequent last (nearest for the compressor).
+
+    They hold no digit, so a secret in thousands of copies does not get in: a
+    token to be measured holds one.
+    """
     words = docs.select(F.explode(words_of(F.col("text"))).alias("w")).filter(
-        F.col("w").rlike("^[A-Za-z_][A-Za-z0-9_.]{3,39}$"))
+        F.col("w").rlike("^[A-Za-z_.]{4,40}$"))
     top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
     return " ".join(r.w for r in reversed(top)).encode()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import apply_conf
 
-from . import decontam, oracles, packing, quality, secretscan, simhash, urlfilter
+from . import decontam, htmlextract, oracles, packing, quality, secretscan, simhash, urlfilter
 from .common import bounded_batches, table
 
 
@@ -51,6 +51,11 @@ def op7_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmlextract.main_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -58,6 +63,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 

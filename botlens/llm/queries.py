@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import apply_conf
 
-from . import decontam, htmlextract, oracles, packing, quality, secretscan, simhash, urlfilter
+from . import decontam, htmlextract, lm, oracles, packing, quality, secretscan, simhash, urlfilter
 from .common import bounded_batches, table
 
 
@@ -24,6 +24,10 @@ def op2_url_filters(spark, sf_dir):
     return urlfilter.judge(pages, rules.unionByName(urlfilter.marked_hosts(pages)), ["page_id"])
 
 
+def op3_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark, sf_dir):
     found = secretscan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -59,6 +63,7 @@ def op9_html_extraction(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_secret_scans": op4_secret_scans,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,

@@ -31,18 +31,53 @@ def gram_hashes(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
     return grams
 
 
+BASE = 0xD6E8FEB86659FD93                         # odd, so it has an inverse modulo 2 ** 64
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2 ** 64; at least n of them, grown by doubling."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        size = 1 << max(10, n.bit_length())
+        held = np.full(size, np.uint64(base))
+        held[0] = 1
+        held = _powers[base] = np.multiply.accumulate(held)
+    return held[:n]
+
+
+def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of ``k`` consecutive word hashes by prefix sums."""
+    n = len(hashes)
+    if n < k:
+        return np.empty(0, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * powers(BASE, n), out=sums[1:])
+    grams = (sums[k:] - sums[:-k]) * powers(INVERSE, n - k + 1)
+    grams ^= grams >> np.uint64(32)
+    grams *= MIX
+    grams ^= grams >> np.uint64(29)
+    return grams
+
+
+def sliding(values: np.ndarray, span: int, pick) -> np.ndarray:
+    """``pick`` (np.minimum or np.maximum) over every ``span`` consecutive values, by doubling."""
+    width = 1
+    while 2 * width <= span:
+        values = pick(values[:-width], values[width:])
+        width *= 2
+    return pick(values[:len(values) - (span - width)], values[span - width:]) if span > width else values
+
+
 def least_in_windows(grams: np.ndarray, span: int) -> np.ndarray:
     """Indices of the grams that are least in some window of ``span`` grams.
 
     All ties are kept, so two texts that share a window keep the same grams of it.
     """
-    windows = len(grams) - span + 1
-    if windows < 1:
+    if len(grams) < span:
         return np.empty(0, np.int64)
-    least = grams[:windows].copy()
-    for i in range(1, span):
-        np.minimum(least, grams[i:i + windows], out=least)
-    keep = np.zeros(len(grams), bool)
-    for i in range(span):
-        keep[i:i + windows] |= grams[i:i + windows] == least
-    return np.flatnonzero(keep)
+    least = sliding(grams, span, np.minimum)
+    # a gram is kept if the greatest least of the windows that hold it is its own
+    edge = np.zeros(span - 1, np.uint64)
+    return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), span, np.maximum) == grams)

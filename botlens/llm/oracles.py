@@ -104,3 +104,18 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered LEFT JOIN covered USING (rn) LEFT JOIN found USING (rn)
 """
+
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+w AS (SELECT rn, doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS g
+  FROM (SELECT rn, doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+late AS (SELECT rn, i FROM (SELECT rn, i, rank() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) AS r FROM w) WHERE r > 1),
+gone AS (SELECT DISTINCT rn, p FROM (SELECT rn, unnest(range(i, i + 20)) AS p FROM late)),
+kept AS (SELECT rn, string_agg(x, ' ' ORDER BY p) AS body
+  FROM (SELECT rn, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN gone USING (rn, p) GROUP BY rn),
+n AS (SELECT rn, count(*) AS n_removed FROM gone GROUP BY rn)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (rn) LEFT JOIN kept USING (rn)
+"""

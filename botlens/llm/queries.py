@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import apply_conf
 
-from . import decontam, htmlextract, lm, oracles, packing, quality, secretscan, simhash, urlfilter
+from . import decontam, htmlextract, lm, oracles, packing, quality, secretscan, simhash, substrings, urlfilter
 from .common import bounded_batches, table
 
 
@@ -60,6 +60,11 @@ def op9_html_extraction(spark, sf_dir):
     return htmlextract.main_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op10_substring_dedup(spark, sf_dir):
+    found = substrings.dedup(table(spark, sf_dir, "documents"), size=20)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -69,6 +74,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op9_html_extraction": op9_html_extraction,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 
@@ -85,4 +91,5 @@ def queries():
 def oracle_sql():
     return {"op1_quality_rules": oracles.quality_sql(),
             "op2_url_filters": oracles.URL_FILTERS,
-            "op7_decontamination": oracles.DECONTAMINATION}
+            "op7_decontamination": oracles.DECONTAMINATION,
+            "op10_substring_dedup": oracles.SUBSTRING_DEDUP}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import apply_conf
 
-from . import decontam, htmlextract, lm, oracles, packing, quality, secretscan, simhash, substrings, urlfilter
+from . import decontam, htmlextract, licenses, lm, oracles, packing, quality, secretscan, simhash, substrings, urlfilter
 from .common import bounded_batches, table
 
 
@@ -55,6 +55,17 @@ def op7_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_license_scans(spark, sf_dir):
+    """The licence of the best match (ties: the first in the text), its Dice, and all licences found."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    best = F.get(F.sort_array(F.transform("matches", lambda m: F.struct(
+        (-m["dice"]).alias("d"), m["first"].alias("first"), m["licence"].alias("licence")))), 0)
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"), best["licence"].alias("licence"),
+        F.round(-best["d"], 9).alias("dice"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("matches.licence"))), ",").alias("licences"))
+
+
 def op9_html_extraction(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmlextract.main_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -73,6 +84,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_license_scans": op8_license_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }

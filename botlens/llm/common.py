@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,27 @@ def words_lower(text: str | None) -> list[bytes]:
 
 def encode(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def bucket(value: Column) -> Column:
+    """Lower bound of the sketch bucket of a non-negative long: five leading bits after the first."""
+    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+
+
+def frequent(counts: DataFrame, limit: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words of (word, c), at most ``limit``, and their counts, most frequent first.
+
+    The least count comes from a histogram, so no task sends more than it must.
+    """
+    groups = counts.groupBy(bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()
+    held, least = 0, None                             # whole groups of like frequency are taken
+    for row in groups:
+        held += row.n
+        if held > limit:
+            break
+        least = row.b
+    if least is None:
+        return [], np.empty(0, np.int64)
+    rows = sorted(((-r.c, r.word.encode()) for r in counts.filter(F.col("c") >= least).collect()))
+    return [w for _, w in rows], np.array([-n for n, _ in rows], np.int64)

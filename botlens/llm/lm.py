@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import stage
 
-from .common import words_lower, words_of
-from .quality import bucket
+from .common import frequent, words_lower, words_of
 from .urlfilter import LOWER, UPPER
 
 CLASSES = 40              # classes found by clustering
@@ -70,21 +69,6 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return train.select(F.explode(words_of(lower)).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
 
-def frequent(counts: DataFrame, limit: int) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, at most ``limit``, and their counts, most frequent first."""
-    groups = counts.groupBy(bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()
-    held, least = 0, None                             # whole groups of like frequency are taken
-    for row in groups:
-        held += row.n
-        if held > limit:
-            break
-        least = row.b
-    if least is None:
-        return [], np.empty(0, np.int64)
-    rows = sorted(((-r.c, r.word.encode()) for r in counts.filter(F.col("c") >= least).collect()))
-    return [w for _, w in rows], np.array([-n for n, _ in rows], np.int64)
-
-
 def pair_counts(train: DataFrame, words: list[bytes]) -> DataFrame:
     """(w, side, other, n): how often ``other`` stands before (0) or after (1) ``w``.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import stage
 
-from .common import BLANKS, let, total, words_of
+from .common import BLANKS, bucket, let, total, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50            # base rule: fewer words fail
@@ -81,12 +81,6 @@ def base_counts(docs: DataFrame) -> DataFrame:
     ).select("*", "_w.*", "_l.*").drop("_w", "_l")
 
 
-def bucket(value: Column) -> Column:
-    """Lower bound of the sketch bucket of a non-negative long: five leading bits after the first."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
-
-
 def sketches(features: DataFrame) -> DataFrame:
     """(lang, source, feature, bucket, n) of documents that pass the base rule."""
     pairs = F.array(*[F.struct(F.lit(k).alias("feature"), bucket(F.col(f"f_{k}")).alias("bucket"))
@@ -114,8 +108,8 @@ def fences(counts: DataFrame, by: list[str]) -> DataFrame:
     return quartiles.groupBy(*by).agg(*columns)
 
 
-def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Base counts, ``base_failed`` and ``kept`` of every row, beside the columns of ``keep``.
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Base counts, ``base_failed`` and ``kept`` of every row, beside ``_row``: the columns of ``keep``.
 
     A document is kept if it passes the base rule and every feature lies within
     the fences of its (language, source) sketch; a pair with fewer than
@@ -156,5 +150,16 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     joined = features.join(known, F.col("lang").eqNullSafe(F.col("_l"))
                            & F.col("source").eqNullSafe(F.col("_s")), "left")
     return joined.select(
-        "_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce(~F.col("base_failed") & inside, F.lit(False)).alias("kept"))
+
+
+def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``judged`` with the columns of ``keep`` in the row's place."""
+    found = judged(docs, keep)
+    return found.select("_row.*", *found.columns[1:])
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns they came with."""
+    return judged(docs, docs.columns).filter("kept").select("_row.*")

@@ -19,7 +19,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from botlens.session import stage
+
+from .common import frequent, words_of
 
 # fixed values: the patterns of the contract; ``letters in either case`` means A-Z and a-z
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -44,10 +46,10 @@ def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY) -> bytes:
     They hold no digit, so a secret in thousands of copies does not get in: a
     token to be measured holds one.
     """
-    words = docs.select(F.explode(words_of(F.col("text"))).alias("w")).filter(
-        F.col("w").rlike("^[A-Za-z_.]{4,40}$"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
-    return " ".join(r.w for r in reversed(top)).encode()
+    words = docs.select(F.explode(words_of(F.col("text"))).alias("word")).filter(
+        F.col("word").rlike("^[A-Za-z_.]{4,40}$"))
+    top, _ = frequent(stage(words.groupBy("word").agg(F.count("*").alias("c")), "identifiers"), size)
+    return b" ".join(reversed(top))
 
 
 class Meter:
@@ -137,3 +139,9 @@ def scan(docs: DataFrame) -> DataFrame:
     Rows that repeat are scanned each; an empty table gives an empty result.
     """
     return docs.select("doc_id", find(F.col("text"), identifier_dictionary(docs)).alias("spans"))
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with all secrets replaced in text and n_chars, if there, counted anew."""
+    clean = docs.withColumn("text", redact(F.col("text"), identifier_dictionary(docs)))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean

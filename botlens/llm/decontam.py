@@ -152,3 +152,11 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, item_id: str = "item
         "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` without a hit, with the columns they came with."""
+    found = scan(docs.select("doc_id", "text"), items, size).filter("n_hit > 0")
+    hit = stage(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+                     & (F.xxhash64("text") == F.col("_hash")), "left_anti")

@@ -21,7 +21,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from botlens.session import stage
@@ -49,14 +49,13 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    def run(batches):
-        for batch in batches:
-            fp = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+def fingerprints(text: Column, shingle: int) -> Column:
+    """Fingerprint of each text as a signed long."""
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return run(text)
 
 
 def masks(bits: int, radius: int) -> np.ndarray:
@@ -160,6 +159,16 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return dealt.groupBy("prefix", "cell").applyInPandas(run, "a long, b long").distinct()
 
 
+def classes(marked: DataFrame, distance: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of ``marked`` (doc_id, fp)."""
+    least = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-ids")
+    roots = connected(links(least.select("fp"), distance)).withColumnRenamed("node", "fp")
+    named = stage(least.join(roots, "fp", "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
+    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return named.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -170,15 +179,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     has an id.  Repeated rows come out as often as they came in; an empty table
     gives an empty result.
     """
-    marked = stage(fingerprints(docs, shingle), "fingerprints")
-    least = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-ids")
-    edges = links(least.select("fp"), distance)
-    roots = connected(edges).withColumnRenamed("node", "fp")
-    named = stage(least.join(roots, "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
-    return marked.join(classes, F.col("fp") == F.col("_fp")).drop("_fp")
+    marked = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                               fingerprints(F.col("text"), shingle).alias("fp")), "fingerprints")
+    return marked.join(classes(marked, distance), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """One row of each component, with the columns it came with.
+
+    The least doc_id stays; of rows with the same id, and where no member has
+    one, that with the least text hash, then the first read.
+    """
+    rows = stage(docs.select(
+        F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_at"),
+        F.col("doc_id").cast("long").alias("_id"), fingerprints(F.col("text"), shingle).alias("_fp")), "fingerprinted")
+    marked = rows.select("_at", F.col("_id").alias("doc_id"), F.col("_fp").alias("fp"),
+                         F.coalesce(F.xxhash64("_row.text"), F.lit(0)).alias("tie"))
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tie", F.col("_at").alias("at")))
+    stay = (marked.join(classes(marked.select("doc_id", "fp"), distance), "fp")
+            .groupBy("root").agg(best.alias("best")).select(F.col("best.at").alias("_at")))
+    return rows.join(stage(stay, "kept"), "_at", "left_semi").select("_row.*")
 
 
 def hex_fp(fp):

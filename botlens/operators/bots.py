@@ -96,26 +96,33 @@ def enforce_bot_cap(connects: DataFrame, bots: DataFrame, accounts: DataFrame,
 
     Known identities always pass.  New identities of an owner are ranked by
     first arrival; the k-th new one passes iff current bots + k <= max_bots.
+    An identity that another owner holds, or creates earlier in the batch, takes
+    no slot: it passes while a slot is left and is refused as a conflict when
+    the bot is resolved.  A plan that the catalogue does not know allows none.
     Ranking runs over distinct identities (bounded by bots), not events.
     """
+    identity = ["bot_type", "bot_identifier"]
     ev = connects.withColumn("bot_identifier",
                              bot_identifier("bot_type", "bot_value", token_secret))
-    known = bots.select("owner_account_id", "bot_type", "bot_identifier",
-                        F.lit(True).alias("_known"))
-    ident = ev.groupBy("owner_account_id", "bot_type", "bot_identifier").agg(
-        F.min(seq_col).alias("_first_seq")).join(
-        known, ["owner_account_id", "bot_type", "bot_identifier"], "left")
+    holders = bots.select(F.col("owner_account_id").alias("_holder"), *identity)
+    ident = ev.groupBy("owner_account_id", *identity).agg(
+        F.min(seq_col).alias("_first_seq")).join(holders, identity, "left")
+    winners = ident.filter(F.col("_holder").isNull()).groupBy(*identity).agg(
+        F.min(F.struct("_first_seq", "owner_account_id"))["owner_account_id"].alias("_winner"))
     counts = bots.groupBy("owner_account_id").agg(F.count(F.lit(1)).alias("_have"))
     caps = F.broadcast(plan_catalogue(connects.sparkSession).select("plan", "max_bots"))
     plans = accounts.select(F.col("id").alias("owner_account_id"), "plan").join(caps, "plan")
-    w = Window.partitionBy("owner_account_id").orderBy("_first_seq")
-    new = (ident.filter(F.col("_known").isNull())
-           .withColumn("_k", F.row_number().over(w))
+    before = Window.partitionBy("owner_account_id").orderBy("_first_seq").rowsBetween(
+        Window.unboundedPreceding, -1)
+    is_new = F.col("_holder").isNull() & (F.col("_winner") == F.col("owner_account_id"))
+    have = F.coalesce(F.col("_have"), F.lit(0))
+    new = (ident.join(winners, identity, "left")
+           .filter(F.coalesce(F.col("_holder") != F.col("owner_account_id"), F.lit(True)))
+           .withColumn("_new_before", F.coalesce(F.sum(F.when(is_new, 1).otherwise(0)).over(before), F.lit(0)))
            .join(counts, "owner_account_id", "left").join(plans, "owner_account_id", "left")
-           .withColumn("_allowed",
-                       F.coalesce(F.col("_have"), F.lit(0)) + F.col("_k") <= F.col("max_bots"))
-           .select("owner_account_id", "bot_type", "bot_identifier", "_allowed"))
-    decided = ev.join(new, ["owner_account_id", "bot_type", "bot_identifier"], "left") \
+           .select("owner_account_id", *identity, F.coalesce(
+               have + F.col("_new_before") < F.col("max_bots"), F.lit(False)).alias("_allowed")))
+    decided = ev.join(new, ["owner_account_id", *identity], "left") \
         .withColumn("_allowed", F.coalesce("_allowed", F.lit(True)))
     ok = decided.filter("_allowed").drop("_allowed")
     rejected = decided.filter(~F.col("_allowed")).select(
@@ -151,15 +158,20 @@ def apply_bot_changes(bots: DataFrame, changes: DataFrame, seq_col: str = "inges
                  F.struct(F.lit("VERIFICATION_FAILED").alias("code"),
                           F.lit("Verification failed").alias("detail"))))
     ch = ch.withColumn("_err", err)
-    # "verified so far": state, or any earlier accepted verify of the same bot
-    w = Window.partitionBy("bot_id").orderBy(seq_col).rowsBetween(Window.unboundedPreceding, -1)
-    ch = ch.withColumn("_verified_before", F.max(
-        F.when(F.col("_err").isNull() & is_verify, F.lit(1)).otherwise(F.lit(0))).over(w))
-    verified = (F.col("_cur_status") == "verified") | (F.col("_verified_before") == 1)
+    # a bot stays verified, so "verified by then" is: in state, or after its first accepted verify
+    firsts = ch.filter(F.col("_err").isNull() & is_verify).groupBy("bot_id").agg(
+        F.min(seq_col).alias("_verified_seq"),
+        F.min(F.when(F.col("encrypted_token").isNotNull(), F.col(seq_col))).alias("_token_seq"))
+    ch = ch.join(firsts, "bot_id", "left")
+    verified = (F.col("_cur_status") == "verified") | (F.col("_verified_seq") < F.col(seq_col))
+    known = F.col("change").isin("verify", "credentials", "track")
     ch = ch.withColumn("_err", F.coalesce(
-        "_err", F.when((F.col("change") == "track") & ~F.coalesce(verified, F.lit(False)),
-                       F.struct(F.lit("VERIFICATION_FAILED").alias("code"),
-                                F.lit("Verification failed").alias("detail")))))
+        "_err",
+        F.when(~F.coalesce(known, F.lit(False)),
+               F.struct(F.lit("VALIDATION_ERROR").alias("code"), F.lit("Unknown change").alias("detail"))),
+        F.when((F.col("change") == "track") & ~F.coalesce(verified, F.lit(False)),
+               F.struct(F.lit("VERIFICATION_FAILED").alias("code"),
+                        F.lit("Verification failed").alias("detail")))))
     ok = ch.filter(F.col("_err").isNull())
     rejected = ch.filter(F.col("_err").isNotNull()).select(
         *changes.columns, F.col("_err.code").alias("error_code"), F.lit("bot").alias("error_field"),
@@ -169,9 +181,11 @@ def apply_bot_changes(bots: DataFrame, changes: DataFrame, seq_col: str = "inges
         .alias("v"))
     any_token = ok.filter(F.col("change") == "credentials").groupBy("bot_id").agg(
         F.max_by("encrypted_token", seq_col).alias("_new_token"))
-    last_track = ok.filter(F.col("change") == "track").groupBy("bot_id").agg(
-        F.max("received_at").alias("_track_at"), F.max(seq_col).alias("_track_seq"))
-    last_any = ok.groupBy("bot_id").agg(F.max("received_at").alias("_touch"))
+    # the webhook is set up when tracking is enabled, with the token the bot has then
+    has_token = F.col("_cur_token").isNotNull() | F.coalesce(F.col("_token_seq") < F.col(seq_col), F.lit(False))
+    last_track = ok.filter(F.col("change") == "track").groupBy("bot_id").agg(F.max_by(F.struct(
+        F.col("received_at").alias("at"), has_token.alias("hooked")), seq_col).alias("t"))
+    last_any = ok.groupBy("bot_id").agg(F.max_by("received_at", seq_col).alias("_touch"))
     b = (bots.withColumnRenamed("id", "bot_id")
          .join(last_verify, "bot_id", "left").join(any_token, "bot_id", "left")
          .join(last_track, "bot_id", "left").join(last_any, "bot_id", "left"))
@@ -184,14 +198,13 @@ def apply_bot_changes(bots: DataFrame, changes: DataFrame, seq_col: str = "inges
         token_now.alias("encrypted_token"),
         F.when(F.col("v").isNotNull(), F.lit("verified")).otherwise(F.col("verification_status"))
          .alias("verification_status"),
-        F.when(F.col("_track_at").isNotNull(), F.lit("enabled")).otherwise(F.col("tracking_status"))
+        F.when(F.col("t").isNotNull(), F.lit("enabled")).otherwise(F.col("tracking_status"))
          .alias("tracking_status"),
-        F.when(F.col("_track_at").isNotNull(),
-               F.when(token_now.isNotNull(), "enabled").otherwise("pending"))
+        F.when(F.col("t").isNotNull(), F.when(F.col("t.hooked"), "enabled").otherwise("pending"))
          .otherwise(F.col("webhook_status")).alias("webhook_status"),
         "connected_at",
         F.coalesce(F.col("v.received_at"), F.col("verified_at")).alias("verified_at"),
-        F.coalesce(F.col("_track_at"), F.col("tracking_enabled_at")).alias("tracking_enabled_at"),
+        F.coalesce(F.col("t.at"), F.col("tracking_enabled_at")).alias("tracking_enabled_at"),
         "created_at", F.coalesce(F.col("_touch"), F.col("updated_at")).alias("updated_at"))
     return conform(out, "bots"), rejected
 

@@ -9,18 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from botlens.functions import exprs as X
 from botlens.functions.sequential import exclusive_running_sum
+from botlens.operators.validate import MSG_BODY, NUMERIC_TYPE, parse_body
 from botlens.schemas import conform, plan_catalogue
 
 SENDER_SUB = (1 << 20) - 1      # the sender's message sorts after all joins
 
-MEMBER = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("is_bot", T.BooleanType()),
-    T.StructField("first_name", T.StringType()), T.StructField("last_name", T.StringType()),
-    T.StructField("username", T.StringType())])
+EVENT_LIST = ("array<struct<kind:string,sub_seq:int,telegram_id:string,username:string,first_name:string,"
+              "last_name:string,text:string>>")
+EPOCH_LIMIT = 8_640_000_000_000      # seconds from 1970 that a JavaScript date can hold
 
 
 def stable_id(*parts: Column) -> Column:
@@ -39,61 +38,82 @@ def user_id_of(bot_id, telegram_id) -> Column:
 # --- I4 ------------------------------------------------------------------------------
 
 def flatten_telegram_updates(raw: DataFrame, body_col: str = "body"):
-    """I4: platform updates -> (events, dropped).
+    """I4: platform updates -> (events, rejected).
 
     One ``user_joined`` per non-bot new chat member (in array order), then
     one ``message`` from the sender if ``text`` is a JSON string (empty
     included).  Updates without ``message`` or ``message.from`` produce
-    nothing.  ``sub_seq`` orders the events derived from one update.
+    nothing, as in the reference.  An empty body is a VALIDATION_ERROR, text
+    that is not JSON INVALID_JSON, and an update that would write rows without
+    a usable date INTERNAL_ERROR.  ``sub_seq`` orders the events of one update.
     """
-    v = F.try_parse_json(F.col(body_col))
-    b = raw.withColumn("_v", v)
-    has_from = F.variant_get("_v", "$.message.from", "variant").isNotNull() \
-        & (F.schema_of_variant(F.variant_get("_v", "$.message.from", "variant")) != "VOID")
-    kept = b.filter(F.coalesce(has_from, F.lit(False)))
-    dropped = b.filter(~F.coalesce(has_from, F.lit(False))).drop("_v")
-    base_cols = [c for c in raw.columns if c != body_col]
-    created = F.timestamp_seconds(F.variant_get("_v", "$.message.date", "long"))
-    members = F.coalesce(F.try_variant_get("_v", "$.message.new_chat_members",
-                                           f"array<{MEMBER.simpleString()}>"),
-                         F.array().cast(T.ArrayType(MEMBER)))
-    text_is_string = F.coalesce(
-        F.schema_of_variant(F.variant_get("_v", "$.message.text", "variant")) == "STRING",
-        F.lit(False))
+    v, json_ok = parse_body(F.col(body_col))
+    b = raw.select("*", v.alias("_v"), json_ok.alias("_json_ok"))
+    get = lambda path, kind="string": F.try_variant_get("_v", path, kind)
+    type_of = lambda path: F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    has_from = F.coalesce(type_of("$.message.from") != "VOID", F.lit(False))
+    seconds = get("$.message.date", "double")
+    created = F.when(type_of("$.message.date").rlike(NUMERIC_TYPE) & seconds.between(-EPOCH_LIMIT, EPOCH_LIMIT),
+                     F.timestamp_millis((seconds * 1000).cast("long")))
+    members = F.coalesce(get("$.message.new_chat_members", "array<variant>"),
+                         F.array().cast("array<variant>"))
+    text_is_string = F.coalesce(type_of("$.message.text") == "STRING", F.lit(False))
     sender = F.struct(
         F.lit("message").alias("kind"),
         F.lit(SENDER_SUB).alias("sub_seq"),
-        F.variant_get("_v", "$.message.from.id", "string").alias("telegram_id"),
-        F.variant_get("_v", "$.message.from.username", "string").alias("username"),
-        F.variant_get("_v", "$.message.from.first_name", "string").alias("first_name"),
-        F.variant_get("_v", "$.message.from.last_name", "string").alias("last_name"),
-        F.variant_get("_v", "$.message.text", "string").alias("text"))
+        F.coalesce(get("$.message.from.id"), F.lit("undefined")).alias("telegram_id"),
+        get("$.message.from.username").alias("username"),
+        get("$.message.from.first_name").alias("first_name"),
+        get("$.message.from.last_name").alias("last_name"),
+        get("$.message.text").alias("text"))
+    of = lambda m, path, kind="string": F.try_variant_get(m, path, kind)
     joins = F.transform(
         F.filter(F.transform(members, lambda m, i: F.struct(m.alias("m"), i.alias("i"))),
-                 lambda x: ~F.coalesce(x["m"]["is_bot"], F.lit(False))),
+                 lambda x: ~F.coalesce(of(x["m"], "$.is_bot", "boolean"), F.lit(False))),
         lambda x: F.struct(
             F.lit("user_joined").alias("kind"), x["i"].alias("sub_seq"),
-            x["m"]["id"].cast("string").alias("telegram_id"), x["m"]["username"].alias("username"),
-            x["m"]["first_name"].alias("first_name"), x["m"]["last_name"].alias("last_name"),
+            # String(id): a number's or the text's own characters
+            F.coalesce(of(x["m"], "$.id"), F.lit("undefined")).alias("telegram_id"),
+            of(x["m"], "$.username").alias("username"),
+            of(x["m"], "$.first_name").alias("first_name"), of(x["m"], "$.last_name").alias("last_name"),
             F.lit(None).cast("string").alias("text")))
     all_events = F.when(text_is_string, F.concat(joins, F.array(sender))).otherwise(joins)
-    events = (kept.select(*base_cols, created.alias("created_at"),
-                          F.explode(all_events).alias("e"))
+    base_cols = [c for c in raw.columns if c != body_col]
+    missing = F.col(body_col).isNull() | (F.col(body_col) == "")
+    found = b.select(
+        *raw.columns, created.alias("created_at"),
+        F.when(has_from, all_events).otherwise(F.array().cast(EVENT_LIST)).alias("_events"),
+        F.when(missing, F.lit("VALIDATION_ERROR")).when(~F.col("_json_ok"), F.lit("INVALID_JSON"))
+         .when(F.schema_of_variant("_v") == "VOID", F.lit("INTERNAL_ERROR")).alias("_code"),
+        # barrier: a filter on the error column is not pushed into the extraction
+        F.spark_partition_id().alias("_task"))
+    found = found.withColumn("_code", F.when(F.col("_task") >= 0, F.coalesce("_code", F.when(
+        (F.size("_events") > 0) & F.col("created_at").isNull(), F.lit("DATE")))))
+    rejected = found.filter(F.col("_code").isNotNull()).select(
+        *raw.columns, F.when(F.col("_code") == "DATE", "INTERNAL_ERROR").otherwise(F.col("_code")).alias("error_code"),
+        F.when(F.col("_code") == "DATE", "message.date").otherwise("body").alias("error_field"),
+        F.when(F.col("_code") == "VALIDATION_ERROR", MSG_BODY).when(F.col("_code") == "INVALID_JSON", "Invalid JSON body")
+         .when(F.col("_code") == "DATE", "must be a time in seconds").otherwise("body is null").alias("error_detail"))
+    events = (found.filter(F.col("_code").isNull())
+              .select(*base_cols, "created_at", F.explode("_events").alias("e"))
               .select(*base_cols, "created_at", "e.*"))
-    return events, dropped
+    return events, rejected
 
 
 # --- I5 / I8 -------------------------------------------------------------------------
 
 def resolve_owners(events: DataFrame, accounts: DataFrame, api_key_secret: str,
-                   key_col: str = "api_key"):
-    """API key -> owning account; unknown keys are INVALID_API_KEY."""
+                   key_col: str = "api_key", keep_unknown: bool = False):
+    """API key -> owning account; unknown keys are INVALID_API_KEY.
+
+    With ``keep_unknown`` the first result holds all rows, those of unknown
+    keys without an owner."""
     hashed = events.withColumn("_hash", X.hmac_sha256_hex(X.js_trim(F.col(key_col)),
                                                           api_key_secret))
     acc = accounts.select(F.col("api_key_hash").alias("_hash"),
                           F.col("id").alias("owner_account_id"), F.col("plan"))
     joined = hashed.join(acc, "_hash", "left").drop("_hash")
-    ok = joined.filter(F.col("owner_account_id").isNotNull())
+    ok = joined if keep_unknown else joined.filter(F.col("owner_account_id").isNotNull())
     rejected = joined.filter(F.col("owner_account_id").isNull()).select(
         *events.columns, F.lit("INVALID_API_KEY").alias("error_code"),
         F.lit(key_col).alias("error_field"), F.lit("Invalid API key").alias("error_detail"))
@@ -104,29 +124,34 @@ def enforce_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
                         seq_col: str = "ingest_seq", chunk: int = 1 << 20):
     """I8: reject an owner's event once its monthly count reached the limit.
 
-    ``usage`` is (account_id, monthly_events) at batch start (Q19);
-    ``counts`` marks events that will add an activity row this month.  An
-    event is accepted iff base + (counting events before it) < limit; the
-    count only grows, so this equals the one-at-a-time rule.
+    ``usage`` is (account_id, monthly_events) at batch start (Q19), or with a
+    column ``month`` one row per month; ``counts`` marks events that add an
+    activity row dated in or after the month they arrive in.  An event is
+    accepted iff base + (counting events of its arrival month before it) <
+    limit; the count only grows, so this equals the one-at-a-time rule.  A plan
+    that the catalogue does not know has no allowance: its events are rejected.
     """
     limits = F.broadcast(plan_catalogue(events.sparkSession)
                          .select("plan", F.col("monthly_events").alias("_limit")))
+    by_month = "month" in usage.columns
     base = usage.select(F.col("account_id").alias("owner_account_id"),
+                        *([F.col("month").alias("_month")] if by_month else []),
                         F.col("monthly_events").alias("_base"))
     flagged = (events.withColumn("_counts", F.when(counts, 1).otherwise(0))
+               .withColumn("_month", F.trunc("received_at", "MM") if by_month else F.lit(0))
                .join(limits, "plan", "left")
-               .join(base, "owner_account_id", "left"))
-    ran = exclusive_running_sum(flagged, ["owner_account_id"], seq_col, "_counts", "_before",
+               .join(base, ["owner_account_id"] + ["_month"] * by_month, "left"))
+    ran = exclusive_running_sum(flagged, ["owner_account_id", "_month"], seq_col, "_counts", "_before",
                                 chunk=chunk)
     used = F.coalesce(F.col("_base"), F.lit(0)) + F.col("_before")
-    decided = ran.withColumn("_ok", used < F.col("_limit")).withColumn("_used", used)
-    accepted = decided.filter("_ok").drop("_counts", "_limit", "_base", "_before", "_ok", "_used")
+    decided = ran.withColumn("_ok", F.coalesce(used < F.col("_limit"), F.lit(False))).withColumn("_used", used)
+    accepted = decided.filter("_ok").drop("_counts", "_limit", "_base", "_before", "_ok", "_used", "_month")
     keep = [c for c in events.columns if c not in ("error_code", "error_field", "error_detail")]
     rejected = decided.filter(~F.col("_ok")).select(
         *keep, F.lit("PLAN_LIMIT_REACHED").alias("error_code"),
         F.lit("monthlyEvents").alias("error_field"),
         F.concat(F.lit("current "), F.col("_used").cast("string"), F.lit(", limit "),
-                 F.col("_limit").cast("string")).alias("error_detail"))
+                 F.coalesce(F.col("_limit").cast("string"), F.lit("none"))).alias("error_detail"))
     return accepted, rejected
 
 
@@ -155,9 +180,10 @@ def upsert_users(users: DataFrame, arrivals: DataFrame) -> DataFrame:
 def merge_users(rows: DataFrame) -> DataFrame:
     """Reduce users-schema rows (snapshot and/or deltas) to one per key."""
     merged = rows.groupBy("bot_id", "telegram_id").agg(
-        F.min_by("id", "first_seq").alias("id"),
-        F.min_by("created_at", "first_seq").alias("created_at"),
-        F.max_by(F.struct("username", "first_name", "last_name"), "last_seq").alias("p"),
+        # two streams number their rows apart: the time settles which of two like numbers comes first
+        F.min_by("id", F.struct("first_seq", "created_at")).alias("id"),
+        F.min_by("created_at", F.struct("first_seq", "created_at")).alias("created_at"),
+        F.max_by(F.struct("username", "first_name", "last_name"), F.struct("last_seq", "last_active_at")).alias("p"),
         F.max("last_active_at").alias("last_active_at"),
         F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
     return conform(merged.select("*", "p.*").drop("p"), "users")
@@ -166,7 +192,8 @@ def merge_users(rows: DataFrame) -> DataFrame:
 # --- I10 - I13 -------------------------------------------------------------------------
 
 def _fact_id(kind: str) -> Column:
-    return stable_id(F.lit(kind), F.col("seq").cast("string"))
+    """``source`` keeps the ids of two streams apart; (seq, sub_seq) is unique in one."""
+    return stable_id(F.lit(kind), F.col("source"), F.col("seq").cast("string"), F.col("sub_seq").cast("string"))
 
 
 def derive_messages(events: DataFrame) -> DataFrame:

@@ -28,6 +28,9 @@ MEASURES = {
     "uptime_cents": "long", "requests": "long", "activity": "long",
 }
 
+ROLLUP_SCHEMA = ("bot_id string, day date, " + ", ".join(f"{n} {t}" for n, t in MEASURES.items())
+                 + ", latest struct<created_at:timestamp,id:string,status:string>")
+
 
 def _part(df: DataFrame, **measures: Column) -> DataFrame:
     cols = {name: F.lit(None).cast(t) for name, t in MEASURES.items()}

@@ -7,8 +7,8 @@ event kind: the rule list is chosen per row by the ``kind`` column.
 
 JSON.parse semantics kept: trailing text is invalid, a duplicated key keeps
 its last value, ``null`` bodies are not objects.  Spark's ``parse_json``
-accepts trailing text, so the body is parsed wrapped in an object with an
-end-marker key; text after the body makes the wrapper invalid.
+accepts trailing text, so the body is parsed wrapped in an array with an
+end marker.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from botlens.functions import exprs as X
 from botlens.schemas import BILLING_PROVIDERS, BOT_TYPES, PLANS, SUBSCRIPTION_STATUSES
 
-_END = "~botlens-end-7f3a9c~"
-_NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+NUMERIC_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 # --- fixed values: these must equal the reference's for right results -------
 E_VALIDATION = "VALIDATION_ERROR"
@@ -52,10 +51,17 @@ class Rule:
 
 
 def parse_body(body: Column) -> tuple[Column, Column]:
-    """(variant of the body or null, JSON-valid flag)."""
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit(',"' + _END + '":1}')))
-    ok = wrapped.isNotNull() & F.variant_get(wrapped, f"$['{_END}']", "int").isNotNull()
-    return F.when(ok, F.variant_get(wrapped, "$.v", "variant")), ok
+    """(variant of the body or null, JSON-valid flag).
+
+    The body is parsed as the first of exactly two elements, the second being
+    its own digest, which no body can hold: text after the value, a second
+    value or an early closing bracket leave another number of elements.
+    """
+    end = F.md5(body)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), end, F.lit('"]')))
+    ok = F.coalesce((F.try_variant_get(wrapped, "$[1]", "string") == end)
+                    & F.variant_get(wrapped, "$[2]", "variant").isNull(), F.lit(False))
+    return F.when(ok, F.variant_get(wrapped, "$[0]", "variant")), ok
 
 
 def gated(err: Column) -> Column:
@@ -129,7 +135,7 @@ class Fields:
         return F.coalesce(self.typ(f) == "STRING", F.lit(False))
 
     def is_number(self, f: str) -> Column:
-        return F.coalesce(self.typ(f).rlike(_NUMERIC), F.lit(False))
+        return F.coalesce(self.typ(f).rlike(NUMERIC_TYPE), F.lit(False))
 
     def is_object(self, f: str) -> Column:           # JS typeof === "object"
         return F.coalesce(self.typ(f).rlike("^(OBJECT|ARRAY)"), F.lit(False))
@@ -172,7 +178,6 @@ API_FIELDS = ["botType", "botValue", "user", "user.telegramId", "user.username",
 def api_event_rules(b: Fields, kind: Column) -> list[Rule]:
     """I1-I3 as one ordered list; kind-specific rules are guarded."""
     is_msg, is_pay = kind == "message", kind == "payment"
-    never = F.lit(False)
     return (string_rules(b, "botType", 20) + string_rules(b, "botValue", 512)
             + [Rule("botType", ~b.text("botType").isin(BOT_TYPES), MSG_BOT_TYPE),
                Rule("user", ~b.is_object("user"), MSG_USER)]
@@ -182,10 +187,10 @@ def api_event_rules(b: Fields, kind: Column) -> list[Rule]:
             + _opt_string(b, "user.lastName", 255)
             + string_rules(b, "text", 4000, allow_empty=True, skip=b.nullish("text") | ~is_msg)
             + [Rule("amount", is_pay & ~b.is_number("amount"), MSG_NUMBER),
-               Rule("amount", is_pay & b.text("amount").cast("double").__lt__(0), MSG_NONNEG)]
+               Rule("amount", is_pay & b.is_number("amount") & (b.text("amount").try_cast("double") < 0), MSG_NONNEG)]
             + string_rules(b, "currency", 8, skip=~is_pay)
             # only an absent createdAt is optional; JSON null is an error
-            + string_rules(b, "createdAt", 64, skip=b.absent("createdAt") | never))
+            + string_rules(b, "createdAt", 64, skip=b.absent("createdAt")))
 
 
 ERROR_COLS = ["error_code", "error_field", "error_detail"]
@@ -240,9 +245,19 @@ def validate_api_events(raw: DataFrame, body_col: str = "body", kind_col: str =
     return valid.drop(body_col), rejected
 
 
+# ISO dates, alone or with a time of day; text that is only a time has no date of its own
+ISO_SHAPE = (r"^[+-]?\d{4,6}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?"
+             r"\s*(Z|[+-]\d{2}:?\d{2})?)?)?)?\z")
+
+
+def parse_iso(text: Column) -> Column:
+    """ISO text -> timestamp, else null."""
+    return F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
+
+
 def parse_event_time(text: Column, received_at: Column) -> Column:
     """absent -> received time; ISO text -> timestamp; else null."""
-    return F.when(text.isNull(), received_at).otherwise(text.try_cast("timestamp"))
+    return F.when(text.isNull(), received_at).otherwise(parse_iso(text))
 
 
 BILLING_FIELDS = ["provider", "type", "plan", "status", "providerEventId", "accountId",
@@ -288,11 +303,31 @@ def check_billing_events(raw: DataFrame, body_col: str = "body") -> DataFrame:
         b.opt_text("providerCustomerId").alias("provider_customer_id"),
         b.opt_text("providerSubscriptionId").alias("provider_subscription_id"),
         F.when(has_amount, b.text("amount").try_cast("decimal(12,2)")).alias("amount"),
-        F.when(has_amount, b.text("amount").cast("double")).alias("amount_raw"),
+        F.when(has_amount, b.text("amount").try_cast("double")).alias("amount_raw"),
         F.upper(b.opt_text("currency")).alias("currency"),
         b.opt_text("currentPeriodStart").alias("period_start_text"),
         b.opt_text("currentPeriodEnd").alias("period_end_text"),
-        F.to_json(F.col("_v")).alias("payload")])
+        _billing_payload(b).alias("payload")])
+
+
+def _billing_payload(b: Fields) -> Column:
+    """The stored payload: the validated input (trimmed, cases normalised, known
+    fields only) as JSON text, keys in the order PostgreSQL's jsonb keeps them
+    (shorter first, then by bytes).  An absent amount has no key, other absent
+    optional fields are null."""
+    text = lambda f: F.coalesce(X.json_string(b.opt_text(f)), F.lit("null"))
+    parts = {
+        "plan": X.json_string(F.lower(b.text("plan"))), "type": X.json_string(b.text("type")),
+        "amount": F.when(b.is_number("amount"), X.js_number_text(b.text("amount").try_cast("decimal(38,6)"))),
+        "status": X.json_string(F.lower(b.text("status"))),
+        "currency": F.coalesce(X.json_string(F.upper(b.opt_text("currency"))), F.lit("null")),
+        "provider": X.json_string(F.lower(b.text("provider"))), "accountId": X.json_string(b.text("accountId")),
+        "providerEventId": X.json_string(b.text("providerEventId")),
+        "currentPeriodEnd": text("currentPeriodEnd"), "currentPeriodStart": text("currentPeriodStart"),
+        "providerCustomerId": text("providerCustomerId"),
+        "providerSubscriptionId": text("providerSubscriptionId")}
+    return F.concat(F.lit("{"), F.concat_ws(",", *[
+        F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]), F.lit("}"))
 
 
 def validate_billing_events(raw: DataFrame, body_col: str = "body"):

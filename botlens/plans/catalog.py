@@ -180,7 +180,7 @@ def _token_round_trip(spark, sf_dir):
 
 
 def _api_ingest(spark, sf_dir):
-    return ingest_api_batch(_raw_api(spark, sf_dir), tables_a(spark, sf_dir), A, SECRETS)
+    return ingest_api_batch(_raw_api(spark, sf_dir), tables_a(spark, sf_dir), SECRETS)
 
 
 def _ingest_api_rejections(spark, sf_dir):

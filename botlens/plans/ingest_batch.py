@@ -14,20 +14,20 @@ output under the batch id and switches the state pointer last
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botlens.functions.clock import Clock, ts_lit
+from botlens.functions.clock import Clock, date_lit
 from botlens.operators import accounts as A
 from botlens.operators import bots as BO
 from botlens.operators import ingest as I
 from botlens.operators.validate import MSG_DATE, check_api_events, parse_event_time
+from botlens.schemas import conform
 from botlens.session import stage
 from botlens.sources.tables import Tables
 
-SUB_BITS = 20                     # events derived from one input row: seq * 2^20 + sub
-
 REJECTED_COLS = ["source", "ingest_seq", "received_at", "kind", "body",
                  "error_code", "error_field", "error_detail"]
 
@@ -44,6 +44,7 @@ class IngestOutput:
     users_delta: DataFrame | None = None           # mergeable users rows
     bots: DataFrame | None = None                  # full bots state
     rejected: DataFrame | None = None
+    staged: list[str] = field(default_factory=list)  # folders to remove once the outputs are written
 
 
 def _rejected(df: DataFrame, source: str) -> DataFrame:
@@ -61,7 +62,7 @@ def _rejected(df: DataFrame, source: str) -> DataFrame:
 
 def _facts(events: DataFrame) -> dict:
     """events: bot_id, kind, telegram_id, profile, text, amount, currency,
-    created_at, seq."""
+    created_at, source, seq, sub_seq."""
     return {
         "messages": I.derive_messages(events),
         "payments": I.derive_payments(events),
@@ -71,64 +72,85 @@ def _facts(events: DataFrame) -> dict:
 
 
 def _users_delta(events: DataFrame) -> DataFrame:
-    arrivals = events.select("bot_id", "telegram_id", "username", "first_name", "last_name",
-                             F.col("created_at").alias("event_time"), "seq")
-    return I.merge_users(I.arrivals_to_users(arrivals))
+    """Mergeable users rows.  The events of one input row are ordered by
+    ``sub_seq`` here, so the merged state needs only the row's own number."""
+    first = events.groupBy("bot_id", "telegram_id").agg(
+        F.min(F.struct("seq", "sub_seq", "created_at")).alias("first"),
+        F.max(F.struct("seq", "sub_seq", "username", "first_name", "last_name")).alias("last"),
+        F.max("created_at").alias("last_active_at"))
+    return conform(first.select(
+        I.user_id_of("bot_id", "telegram_id").alias("id"), "bot_id", "telegram_id", "last.username",
+        "last.first_name", "last.last_name", "first.created_at", "last_active_at",
+        F.col("first.seq").alias("first_seq"), F.col("last.seq").alias("last_seq")), "users")
+
+
+ERRORS = ["error_code", "error_field", "error_detail"]
 
 
-def ingest_api_batch(raw: DataFrame, state: Tables, as_of, secrets: Secrets,
-                     chunk: int = 1 << 20, usage: DataFrame | None = None) -> IngestOutput:
+def usage_by_month(raw: DataFrame, usage_at) -> DataFrame:
+    """(account_id, month, monthly_events) for each month in which rows of ``raw`` arrived;
+    ``usage_at`` gives the usage at a point in time.  A batch spans few months."""
+    months = sorted(r.m for r in raw.select(F.trunc("received_at", "MM").alias("m"))
+                    .filter("m is not null").distinct().collect())
+    parts = [usage_at(Clock.at(m)).withColumn("month", date_lit(m)) for m in months]
+    return reduce(DataFrame.unionByName, parts) if parts else \
+        usage_at(Clock.at("1970-01-01")).withColumn("month", F.lit(None).cast("date")).limit(0)
+
+
+def ingest_api_batch(raw: DataFrame, state: Tables, secrets: Secrets, chunk: int = 1 << 20,
+                     usage_at=None) -> IngestOutput:
     """raw: kind, api_key, body, ingest_seq, received_at.
 
-    ``usage`` (account_id, monthly_events) at batch start; by default it is
-    computed from the activity facts (Q19), a streaming job passes the one
-    read from the daily rollup."""
-    c = as_of if isinstance(as_of, Clock) else Clock.at(as_of)
-    owned, rej_auth = I.resolve_owners(raw, state.accounts, secrets.api_key)
-    checked = check_api_events(owned)
+    The quota is that of the month an event arrives in.  ``usage_at`` (clock ->
+    account_id, monthly_events before the batch) defaults to the activity facts
+    (Q19); a streaming job passes the daily rollup's.  Typed rows are staged
+    without the body; rejected rows get theirs back by ``ingest_seq``.
+    """
+    staged: list[str] = []
+    owned, _ = I.resolve_owners(raw, state.accounts, secrets.api_key, keep_unknown=True)
+    checked = check_api_events(owned).drop("body", "api_key")
     created = parse_event_time(F.col("created_at_text"), F.col("received_at"))
     post_err = (F.when(created.isNull(), F.lit("createdAt"))
                  .when((F.col("kind") == "payment") & F.col("amount").isNull(), F.lit("amount")))
     checked = stage(checked.withColumn("created_at", created).withColumn("_post", post_err),
-                    "api-checked")
+                    "api-checked", staged)
     counts = F.col("error_code").isNull() & F.col("_post").isNull() \
-        & (F.col("created_at") >= ts_lit(c.month_start))
-    usage = usage if usage is not None else A.account_usage(state, c)
-    passed, rej_quota = I.enforce_event_quota(checked, usage, counts, chunk=chunk)
-    passed = stage(passed, "api-passed")
-    rej_val_after = passed.filter(F.col("error_code").isNotNull())
-    to_resolve = passed.filter(F.col("error_code").isNull()) \
-        .drop("error_code", "error_field", "error_detail")
+        & (F.col("created_at") >= F.trunc("received_at", "MM"))
+    usage = usage_by_month(checked, usage_at or (lambda c: A.account_usage(state, c)))
+    unknown = checked.filter(F.col("owner_account_id").isNull()).select(
+        "ingest_seq", F.lit("INVALID_API_KEY").alias("error_code"), F.lit("api_key").alias("error_field"),
+        F.lit("Invalid API key").alias("error_detail"))
+    passed, rej_quota = I.enforce_event_quota(
+        checked.filter(F.col("owner_account_id").isNotNull()), usage, counts, chunk=chunk)
+    to_resolve = passed.filter(F.col("error_code").isNull()).drop(*ERRORS)
     resolved, bots, rej_conflict = BO.resolve_bots(to_resolve, state.bots, secrets.token)
-    resolved = stage(resolved, "api-resolved")           # feeds every output below
+    resolved = stage(resolved, "api-resolved", staged)   # feeds every output below
     bad_post = resolved.filter(F.col("_post").isNotNull()).select(
-        "*", F.lit("VALIDATION_ERROR").alias("error_code"), F.col("_post").alias("error_field"),
+        "ingest_seq", F.lit("VALIDATION_ERROR").alias("error_code"), F.col("_post").alias("error_field"),
         F.when(F.col("_post") == "createdAt", F.lit(MSG_DATE))
          .otherwise(F.lit("numeric field overflow")).alias("error_detail"))
-    good = resolved.filter(F.col("_post").isNull()).withColumn(
-        "seq", F.col("ingest_seq") * F.lit(1 << SUB_BITS))
-    rejected = (_rejected(rej_auth, "api").unionByName(_rejected(rej_quota, "api"))
-                .unionByName(_rejected(rej_val_after, "api"))
-                .unionByName(_rejected(rej_conflict, "api"))
-                .unionByName(_rejected(bad_post, "api")))
+    good = resolved.filter(F.col("_post").isNull()).select(
+        "*", F.lit("api").alias("source"), F.col("ingest_seq").alias("seq"), F.lit(0).alias("sub_seq"))
+    errors = [unknown, bad_post] + [df.select("ingest_seq", *ERRORS) for df in (
+        rej_quota, passed.filter(F.col("error_code").isNotNull()), rej_conflict)]
+    refused = stage(reduce(DataFrame.unionByName, errors), "api-refused", staged)
     return IngestOutput(facts=_facts(good), users_delta=_users_delta(good), bots=bots,
-                        rejected=rejected)
+                        rejected=_rejected(raw.join(refused, "ingest_seq"), "api"), staged=staged)
 
 
 def ingest_platform_batch(raw: DataFrame, state: Tables) -> IngestOutput:
     """raw: bot_id, body, ingest_seq, received_at (platform updates).
 
     Platform updates are not quota-limited and need no owner; an unknown
-    bot id is BOT_NOT_FOUND.  The bot state is unchanged.
+    bot id is BOT_NOT_FOUND (checked before the body).  The bot state is unchanged.
     """
-    events, _dropped = I.flatten_telegram_updates(raw)
     known = state.bots.select(F.col("id").alias("bot_id"))
-    ok = events.join(known, "bot_id", "left_semi")
     missing = raw.join(known, "bot_id", "left_anti").select(
-        "*", F.lit(None).cast("string").alias("kind"), F.lit("BOT_NOT_FOUND").alias("error_code"),
+        "*", F.lit("BOT_NOT_FOUND").alias("error_code"),
         F.lit("botId").alias("error_field"), F.lit("Bot not found").alias("error_detail"))
-    good = ok.withColumn("seq", F.col("ingest_seq") * F.lit(1 << SUB_BITS) + F.col("sub_seq")) \
-        .withColumn("amount", F.lit(None).cast("decimal(12,2)")) \
-        .withColumn("currency", F.lit(None).cast("string"))
+    events, malformed = I.flatten_telegram_updates(raw.join(known, "bot_id", "left_semi"))
+    good = events.select(
+        "*", F.lit("platform").alias("source"), F.col("ingest_seq").alias("seq"),
+        F.lit(None).cast("decimal(12,2)").alias("amount"), F.lit(None).cast("string").alias("currency"))
     return IngestOutput(facts=_facts(good), users_delta=_users_delta(good), bots=state.bots,
-                        rejected=_rejected(missing, "platform"))
+                        rejected=_rejected(missing, "platform").unionByName(_rejected(malformed, "platform")))

@@ -671,7 +671,7 @@ ok AS (
   JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = ev.bot_id
   WHERE r.used < r.lim AND r.event_type <> 'error'),
 facts AS (
-  SELECT {stable_id_sql("'activity'", "CAST(event_id * 1048576 AS VARCHAR)")} AS id, bot_id,
+  SELECT {stable_id_sql("'activity'", "'api'", "CAST(event_id AS VARCHAR)", "'0'")} AS id, bot_id,
          CASE WHEN event_type IN ('click', 'view') THEN 'message'
               WHEN event_type = 'purchase' THEN 'payment' ELSE 'user_joined' END AS kind,
          uid, amount, CASE WHEN k % 10 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
@@ -696,7 +696,7 @@ def ingest_platform_messages() -> str:
     """Messages written from platform updates (I4 -> I10): click/view rows."""
     base, _ = _mapping("a")
     return f"""{base}
-SELECT {stable_id_sql("'message'", "CAST(event_id * 1048576 + 1048575 AS VARCHAR)")} AS id, bot_id,
+SELECT {stable_id_sql("'message'", "'platform'", "CAST(event_id AS VARCHAR)", "'1048575'")} AS id, bot_id,
        {stable_id_sql("'user'", "bot_id", "uid")} AS user_id, props AS text,
        {iso("date_trunc('second', ts)")} AS created_at
 FROM ev WHERE event_type IN ('click', 'view')"""

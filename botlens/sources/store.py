@@ -1,37 +1,51 @@
-"""Batch-id storage of facts and state.
+"""Storage of facts and state written by several streams.
 
 Layout under ``root`` (any Hadoop-compatible folder):
 
-    <fact>/batch_id=N/...        append-only facts, one folder per batch
-    users_delta/batch_id=N/...   mergeable user rows of batch N
-    users/v=N/...                compacted users snapshot
-    bots/v=N/, accounts/v=N/, subscriptions/v=N/, billing_events/v=N/
-    rejected/batch_id=N/...
-    _commits/batch_id=N/...      commit record, written LAST
-
-Every batch folder is written with dynamic partition overwrite, so a retried
-batch replaces its own folder instead of duplicating rows.  Readers only
-see batches that have a commit record, so a batch that failed half way is
-invisible: this gives the all-or-nothing behaviour of the reference's
-transaction without a table format.
+    <table>/attempt=<stream>-<batch>-<uuid>/[event_date=D/]part-...
+    _commits/n=<number>/part-...        one small table a commit, written last
+
+Every attempt to write a batch has folders of its own, and only the commit names
+them: a failed attempt is never seen, whatever its retry writes, and no batch
+reads what it overwrites.  Commits are numbered; two streams share one store,
+since a commit carries its stream, and a batch that has a commit is not run
+again.  Facts lie by event date, sorted by bot and time; users, billing events
+and the daily rollup are mergeable deltas; bots, accounts and subscriptions are
+whole versions, replaced only if nobody else has replaced them meanwhile
+(``StoreConflict``: the batch fails and its retry sees the new state).
+
+``compact`` folds deltas and small fact folders together and starts the log
+anew from one snapshot; ``vacuum`` then removes what the snapshot replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from botlens.operators.billing import BILLING_DELTA, merge_billing_events
 from botlens.operators.ingest import merge_users
+from botlens.operators.rollup import ROLLUP_SCHEMA, daily_rollup, merge_rollups
 from botlens.schemas import TABLE_SCHEMAS, empty
+from botlens.session import drop_path
 from botlens.sources.tables import Tables
 
 FACTS = ["messages", "payments", "bot_health_logs", "activity_logs"]
-VERSIONED = ["users", "bots", "accounts", "subscriptions", "billing_events"]
+DELTAS = {"users_delta": TABLE_SCHEMAS["users"], "billing_delta": BILLING_DELTA, "rollup_daily": ROLLUP_SCHEMA}
+VERSIONED = ["bots", "accounts", "subscriptions"]
+LOG = "n long, stream string, batch_id long, table_name string, kind string, folder string"
+
+
+def _folders(log: list, table: str) -> list[str]:
+    return [r.folder for r in log if r.table_name == table and r.kind == "append"]
 
 
-def _with_batch(table: str) -> T.StructType:
-    return T.StructType(list(TABLE_SCHEMAS[table].fields) + [T.StructField("batch_id", T.LongType())])
+class StoreConflict(RuntimeError):
+    """Another stream has replaced a version since this batch read it."""
 
 
 class Store:
@@ -42,116 +56,177 @@ class Store:
     def _path(self, *parts) -> str:
         return "/".join([self.root, *map(str, parts)])
 
-    # --- writing ---------------------------------------------------------------------
-
-    def _write_batch(self, df: DataFrame, table: str, batch_id: int) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("batch_id").parquet(self._path(table)))
-
-    def write_version(self, df: DataFrame, table: str, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(table, f"v={version}"))
+    def _exists(self, path: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+
+    # --- log -------------------------------------------------------------------------
+
+    def log(self) -> list:
+        """Live records: one a (commit, table); a snapshot replaces all records before it."""
+        if not self._exists(self._path("_commits")):
+            return []
+        rows = self.spark.read.schema(LOG).parquet(self._path("_commits")).collect()
+        start = max((r.n for r in rows if r.kind == "snapshot"), default=None)
+        return sorted((r for r in rows if start is None or r.n >= start), key=lambda r: r.n)
+
+    def is_committed(self, stream: str, batch_id: int) -> bool:
+        return any(r.kind == "batch" and (r.stream, r.batch_id) == (stream, batch_id) for r in self.log())
+
+    def versions(self, log: list) -> dict[str, str]:
+        return {r.table_name: r.folder for r in log if r.kind == "version"}      # the last wins
+
+    def _write_log(self, n: int, rows: list) -> None:
+        df = self.spark.createDataFrame(rows, LOG.removeprefix("n long, ")).coalesce(1)
+        df.write.mode("errorifexists").parquet(self._path("_commits", f"n={n}"))   # two cannot take one number
+
+    def commit(self, stream: str, batch_id: int, written: list[tuple[str, str, str]],
+               seen: dict[str, str] | None = None) -> None:
+        """``written``: (table, kind, folder); ``seen``: the versions that the batch has read."""
+        log = self.log()
+        now = self.versions(log)
+        for table, kind, _ in written:
+            if kind == "version" and seen is not None and now.get(table) != seen.get(table):
+                raise StoreConflict(f"{table} was replaced while {stream} batch {batch_id} ran")
+        n = max((r.n for r in log), default=-1) + 1
+        self._write_log(n, [(stream, batch_id, None, "batch", None)]
+                        + [(stream, batch_id, t, k, f) for t, k, f in written])
 
-    def commit(self, batch_id: int, versions: dict, log: str = "_commits") -> None:
-        rows = [("_batch", int(batch_id))] + [(t, int(v)) for t, v in versions.items()]
-        rec = self.spark.createDataFrame(rows, "table_name string, version long")
-        self._write_batch(rec, log, batch_id)
+    # --- writing ---------------------------------------------------------------------
 
-    def write_ingest(self, batch_id: int, out, versions: dict | None = None) -> None:
-        """Persist one ``IngestOutput``; the commit record goes last."""
+    def write(self, df: DataFrame, table: str, attempt: str) -> str:
+        """Write one table of an attempt; the folder's name under the table."""
+        folder = f"attempt={attempt}"
+        if table in FACTS:
+            dated = df.drop("event_date").withColumn("event_date", F.to_date("created_at"))
+            writer = dated.hint("rebalance", "event_date").sortWithinPartitions(
+                "event_date", "bot_id", "created_at").write.partitionBy("event_date")
+        else:
+            writer = df.write
+        writer.parquet(self._path(table, folder))
+        return folder
+
+    def attempt(self, stream: str, batch_id: int) -> str:
+        return f"{stream}-{batch_id}-{uuid.uuid4().hex}"
+
+    def write_ingest(self, stream: str, batch_id: int, out, seen: dict[str, str] | None = None) -> None:
+        """Persist one ``IngestOutput``; the commit goes last, then its staged folders go."""
+        if self.is_committed(stream, batch_id):
+            return
+        name, written = self.attempt(stream, batch_id), []
         for table, df in out.facts.items():
-            self._write_batch(df, table, batch_id)
-        if out.users_delta is not None:
-            self._write_batch(out.users_delta, "users_delta", batch_id)
+            written.append((table, "append", self.write(df, table, name)))
         if out.facts:
-            from botlens.operators.rollup import daily_rollup
-            facts = Tables({t: out.facts.get(t, empty(self.spark, t)) for t in FACTS})
-            self._write_batch(daily_rollup(facts), "rollup_daily", batch_id)
+            # the rollup of what has just been written, so the facts are not computed twice
+            facts = Tables({t: self._read_facts(t, [f]) for t, _, f in written})
+            for t in FACTS:
+                facts.setdefault(t, empty(self.spark, t))
+            written.append(("rollup_daily", "append", self.write(daily_rollup(facts), "rollup_daily", name)))
+        if out.users_delta is not None:
+            written.append(("users_delta", "append", self.write(out.users_delta, "users_delta", name)))
         if out.rejected is not None:
-            self._write_batch(out.rejected, "rejected", batch_id)
-        versions = dict(versions or {})
+            written.append(("rejected", "append", self.write(out.rejected, "rejected", name)))
         if out.bots is not None:
-            self.write_version(out.bots, "bots", batch_id)
-            versions["bots"] = batch_id
-        self.commit(batch_id, versions)
+            written.append(("bots", "version", self.write(out.bots, "bots", name)))
+        self.commit(stream, batch_id, written, seen)
+        for path in out.staged:
+            drop_path(self.spark, path)
+
+    def write_state(self, stream: str, batch_id: int, versions: dict[str, DataFrame], seen: dict[str, str],
+                    appends: dict[str, DataFrame] | None = None) -> None:
+        """Persist new versions (and appended tables, such as rejections) of a batch."""
+        if self.is_committed(stream, batch_id):
+            return
+        name = self.attempt(stream, batch_id)
+        written = [(t, "append", self.write(df, t, name)) for t, df in (appends or {}).items()]
+        written += [(t, "version", self.write(df, t, name)) for t, df in versions.items()]
+        self.commit(stream, batch_id, written, seen)
 
     # --- reading ---------------------------------------------------------------------
 
-    def _log(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self._path(name))
-        except Exception:  # noqa: BLE001 - nothing written yet
-            return None
-
-    def committed(self) -> tuple[int | None, dict]:
-        """(highest committed batch id, latest version per versioned table).
-
-        Streaming batches commit in order and a failed batch is retried with
-        the same id, so every batch up to the highest commit is complete.
-        The commit log is one small row per (batch, table)."""
-        c = self._log("_commits")
-        if c is None:
-            return None, {}
-        rows = c.groupBy("table_name").agg(F.max("version").alias("v")).collect()
-        latest = {r.table_name: r.v for r in rows}
-        return latest.pop("_batch", None), latest
-
-    def _read_batches(self, table: str, lo: int | None, hi: int, schema_of: str | None = None) -> DataFrame:
-        schema_of = schema_of or table
-        try:
-            df = self.spark.read.schema(_with_batch(schema_of)).parquet(self._path(table))
-        except Exception:  # noqa: BLE001 - no batch wrote rows to this table yet
-            return empty(self.spark, schema_of)
-        cond = F.col("batch_id") <= hi
-        if lo is not None:
-            cond = cond & (F.col("batch_id") > lo)
-        return df.filter(cond).drop("batch_id")
-
-    def read_state(self, base: Tables | None = None) -> Tables:
-        """Committed state: base tables plus committed batches."""
+    def _read_facts(self, table: str, folders: list[str]) -> DataFrame:
+        schema = T.StructType([*TABLE_SCHEMAS[table].fields, T.StructField("event_date", T.DateType()),
+                               T.StructField("attempt", T.StringType())])
+        return (self.spark.read.schema(schema).option("basePath", self._path(table))
+                .parquet(*[self._path(table, f) for f in folders]).drop("attempt"))
+
+    def _read(self, table: str, schema, folders: list[str]) -> DataFrame | None:
+        return self.spark.read.schema(schema).parquet(*[self._path(table, f) for f in folders]) if folders else None
+
+    def rejected(self) -> DataFrame | None:
+        folders = _folders(self.log(), "rejected")
+        return self.spark.read.parquet(*[self._path("rejected", f) for f in folders]) if folders else None
+
+    def read_state(self, base: Tables | None = None, log: list | None = None) -> Tables:
+        """Committed state: base tables plus all commits; ``seen_versions`` holds the versions read."""
         base = base or Tables()
-        hi, versions = self.committed()
+        log = self.log() if log is None else log
+        folders = lambda t: _folders(log, t)
         out = Tables(base)
         for table in FACTS:
-            facts = self._read_batches(table, None, hi) if hi is not None else empty(self.spark, table)
-            out[table] = base.get_or_empty(self.spark, table).unionByName(facts)
+            rows = base.get_or_empty(self.spark, table)
+            if "event_date" not in rows.columns:
+                rows = rows.withColumn("event_date", F.to_date("created_at"))
+            out[table] = rows.unionByName(self._read_facts(table, folders(table))) if folders(table) else rows
+        versions = self.versions(log)
         for table in VERSIONED:
             if table in versions:
-                out[table] = self.spark.read.schema(TABLE_SCHEMAS[table]) \
-                    .parquet(self._path(table, f"v={versions[table]}"))
-        compacted = None
-        comp = self._log("_compactions")
-        if comp is not None:
-            compacted = comp.agg(F.max("version").alias("v")).first()["v"]
-            out["users"] = self.spark.read.schema(TABLE_SCHEMAS["users"]) \
-                .parquet(self._path("users", f"v={compacted}"))
-        if hi is not None:
-            deltas = self._read_batches("users_delta", compacted, hi, "users")
-            out["users"] = merge_users(out.get_or_empty(self.spark, "users").unionByName(deltas))
+                out[table] = self._read(table, TABLE_SCHEMAS[table], [versions[table]])
+        users = self._read("users_delta", DELTAS["users_delta"], folders("users_delta"))
+        if users is not None:
+            out["users"] = merge_users(out.get_or_empty(self.spark, "users").unionByName(users))
+        billing = self._read("billing_delta", DELTAS["billing_delta"], folders("billing_delta"))
+        if billing is not None:
+            out["billing_events"] = merge_billing_events(out.get_or_empty(self.spark, "billing_events"), billing)
+        out.seen_versions = versions
         return out
 
-    def read_rollup(self, base_rollup: DataFrame | None = None) -> DataFrame | None:
-        """Merged daily rollup of every committed batch (plus a base one)."""
-        from botlens.operators.rollup import merge_rollups
-        hi, _ = self.committed()
-        parts = [] if base_rollup is None else [base_rollup]
-        if hi is not None:
-            try:
-                df = self.spark.read.parquet(self._path("rollup_daily"))
-                parts.append(df.filter(F.col("batch_id") <= hi).drop("batch_id"))
-            except Exception:  # noqa: BLE001 - no rollup written yet
-                pass
-        if not parts:
-            return None
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return merge_rollups(rows)
-
-    def compact_users(self, base: Tables | None = None) -> None:
-        """Fold committed user deltas into a snapshot (a periodic batch job)."""
-        hi, _ = self.committed()
-        if hi is None:
+    def read_rollup(self, base_rollup: DataFrame | None = None, log: list | None = None) -> DataFrame | None:
+        """Merged daily rollup of every commit (plus a base one)."""
+        log = self.log() if log is None else log
+        own = self._read("rollup_daily", ROLLUP_SCHEMA, _folders(log, "rollup_daily"))
+        parts = [p for p in (base_rollup, own) if p is not None]
+        return merge_rollups(reduce(DataFrame.unionByName, parts)) if parts else None
+
+    # --- maintenance -----------------------------------------------------------------
+
+    def compact(self) -> None:
+        """Fold deltas and the fact folders that no compaction has made, and write a snapshot of the log.
+
+        A periodic batch job; it must not run beside another compaction.  Commits
+        that come in meanwhile have a higher number than the log read here and
+        make the snapshot's number taken, so it fails without effect.
+        """
+        log = self.log()
+        if not log:
             return
-        self.write_version(self.read_state(base).users, "users", hi)
-        self.commit(hi, {"users": hi}, log="_compactions")
+        n = max(r.n for r in log) + 1
+        name, live, gone = f"compact-{n}-{uuid.uuid4().hex}", [], []
+        merge = {"users_delta": merge_users, "rollup_daily": merge_rollups,
+                 "billing_delta": lambda df: merge_billing_events(None, df, delta_out=True)}
+        for table in [*FACTS, *DELTAS]:
+            held = _folders(log, table)
+            done = [f for f in held if f.startswith("attempt=compact-")] if table in FACTS else []
+            fresh = [f for f in held if f not in done]
+            live += [(table, "append", f) for f in done]
+            if fresh:
+                rows = self._read_facts(table, fresh) if table in FACTS else \
+                    merge[table](self._read(table, DELTAS[table], fresh))
+                live.append((table, "append", self.write(rows, table, name)))
+                gone += [(table, "gone", f) for f in fresh]
+        live += [(t, "version", f) for t, f in self.versions(log).items()]
+        gone += [(r.table_name, "gone", r.folder) for r in log if r.kind == "gone"
+                 or r.kind == "version" and r.folder != self.versions(log)[r.table_name]]
+        live += [(r.table_name, "append", r.folder) for r in log
+                 if r.kind == "append" and r.table_name not in FACTS and r.table_name not in DELTAS]
+        batches = [(r.stream, r.batch_id, None, "batch", None) for r in log if r.kind == "batch"]
+        self._write_log(n, [("_compact", n, None, "snapshot", None), *batches]
+                        + [("_compact", n, t, k, f) for t, k, f in live + gone])
+        for old in sorted({r.n for r in log}):
+            drop_path(self.spark, self._path("_commits", f"n={old}"))
+
+    def vacuum(self) -> None:
+        """Remove folders that a compaction has replaced; run it when no reader uses them any more."""
+        for r in self.log():
+            if r.kind == "gone":
+                drop_path(self.spark, self._path(r.table_name, r.folder))

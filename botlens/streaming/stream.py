@@ -2,9 +2,11 @@
 
 Raw JSON lines land in a folder (a Kafka source is a drop-in replacement);
 each micro-batch runs the batch operator inside ``foreachBatch`` and is
-stored under its ``batch_id`` (``botlens.sources.store``).  The streaming
-checkpoint records which batches ran; a re-run batch rewrites its own
-folders, so delivery into the store is exactly-once (T6).
+committed to the store under its stream's name and batch id.  A batch that the
+store has committed is not run again, and a failed attempt is never seen, so
+delivery into the store is exactly-once (T6).  Several streams may write one
+store; if two replace the same versioned table at once, one fails with
+``StoreConflict`` and its retry sees the other's state.
 
 No watermark is set on the event stream: the reference accepts backdated
 events without limit (T2), so dropping late rows would change answers.
@@ -17,9 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from botlens.functions.clock import Clock
+from botlens.operators.billing import apply_account_changes, apply_billing_batch
+from botlens.operators.bots import apply_bot_changes, enforce_bot_cap, resolve_bots
+from botlens.operators.rollup import account_usage_from_rollup, daily_rollup
 from botlens.plans.ingest_batch import Secrets, ingest_api_batch, ingest_platform_batch
-from botlens.sources.store import Store
+from botlens.session import drop_path, stage
+from botlens.sources.store import FACTS, Store
 from botlens.sources.tables import Tables
 
 API_RAW = T.StructType([
@@ -32,44 +37,35 @@ PLATFORM_RAW = T.StructType([
     T.StructField("ingest_seq", T.LongType()), T.StructField("received_at", T.TimestampType())])
 
 
-def _batch_clock(df: DataFrame) -> Clock:
-    """The batch's "now": the latest arrival time in it (one scalar)."""
-    latest = df.agg(F.max("received_at").alias("t")).first()["t"]
-    return Clock.at(latest) if latest is not None else None
-
-
-def api_batch_writer(store: Store, base: Tables, secrets: Secrets):
+def api_batch_writer(store: Store, base: Tables, secrets: Secrets, stream: str = "api"):
     """foreachBatch function for API events.
 
     The quota base comes from the daily rollup (base facts rolled up once,
-    plus the rollup every committed batch appended)."""
-    from botlens.operators.rollup import account_usage_from_rollup, daily_rollup
-    from botlens.session import stage
+    plus the rollup that every commit appends)."""
     base_rollup = {}
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        clock = _batch_clock(batch)
-        if clock is None:
+        log = store.log()
+        if store.is_committed(stream, batch_id) or batch.isEmpty():
             return
         if "r" not in base_rollup:
             base_rollup["r"] = stage(daily_rollup(Tables(
-                {t: base.get_or_empty(batch.sparkSession, t) for t in
-                 ("messages", "payments", "bot_health_logs", "activity_logs")})), "base-rollup")
-        state = store.read_state(base)
-        rollup = store.read_rollup(base_rollup["r"])
-        usage = account_usage_from_rollup(state, rollup, clock)
-        out = ingest_api_batch(batch, state, clock, secrets, usage=usage)
-        store.write_ingest(batch_id, out)
+                {t: base.get_or_empty(batch.sparkSession, t) for t in FACTS})), "base-rollup")
+        state = store.read_state(base, log)
+        rollup = store.read_rollup(base_rollup["r"], log)
+        out = ingest_api_batch(batch, state, secrets,
+                               usage_at=lambda c: account_usage_from_rollup(state, rollup, c))
+        store.write_ingest(stream, batch_id, out, state.seen_versions)
     return run
 
 
-def platform_batch_writer(store: Store, base: Tables):
+def platform_batch_writer(store: Store, base: Tables, stream: str = "platform"):
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        if store.is_committed(stream, batch_id) or batch.isEmpty():
             return
         out = ingest_platform_batch(batch, store.read_state(base))
         out.bots = None                      # platform updates never change bots
-        store.write_ingest(batch_id, out)
+        store.write_ingest(stream, batch_id, out)
     return run
 
 
@@ -109,26 +105,80 @@ BILLING_RAW = T.StructType([
     T.StructField("received_at", T.TimestampType())])
 
 
-def billing_batch_writer(store: Store, base: Tables):
-    """foreachBatch for billing notifications (E3: I14-I17).  The new
-    billing events, subscriptions and accounts states are written as
-    versions of this batch; the commit record makes them visible."""
-    from botlens.operators.billing import apply_billing_batch
+def billing_batch_writer(store: Store, base: Tables, stream: str = "billing"):
+    """foreachBatch for billing notifications (E3: I14-I17).  Billing events are
+    appended as a mergeable delta; subscriptions and accounts are new versions."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if store.is_committed(stream, batch_id) or batch.isEmpty():
+            return
+        state, staged = store.read_state(base), []
+        events, subs, accounts, rejected = apply_billing_batch(batch, state, staged)
+        store.write_state(stream, batch_id, {"subscriptions": subs, "accounts": accounts}, state.seen_versions,
+                          {"billing_delta": events, "billing_rejected": rejected})
+        for path in staged:
+            drop_path(batch.sparkSession, path)
+    return run
+
+
+ACCOUNT_CHANGES = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("change", "email", "name", "api_key_hash", "account_id", "plan")],
+    T.StructField("ingest_seq", T.LongType()), T.StructField("received_at", T.TimestampType())])
+
+BOT_CONNECTS = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("owner_account_id", "bot_type", "bot_value")],
+    T.StructField("ingest_seq", T.LongType()), T.StructField("received_at", T.TimestampType())])
+
+BOT_CHANGES = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("bot_id", "change", "display_name", "telegram_bot_id",
+                                                 "encrypted_token")],
+    T.StructField("token_ok", T.BooleanType()),
+    T.StructField("ingest_seq", T.LongType()), T.StructField("received_at", T.TimestampType())])
+
+
+def account_change_writer(store: Store, base: Tables, stream: str = "account-changes"):
+    """foreachBatch for registrations and plan changes (I18): a new accounts version."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if store.is_committed(stream, batch_id) or batch.isEmpty():
+            return
+        state = store.read_state(base)
+        accounts, rejected = apply_account_changes(state.accounts, batch)
+        store.write_state(stream, batch_id, {"accounts": accounts}, state.seen_versions,
+                          {"account_rejected": rejected})
+    return run
+
+
+def bot_connect_writer(store: Store, base: Tables, secrets: Secrets, stream: str = "bot-connects"):
+    """foreachBatch for connect requests (I7 and I6): a new bots version."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if store.is_committed(stream, batch_id) or batch.isEmpty():
+            return
+        state = store.read_state(base)
+        allowed, over = enforce_bot_cap(batch, state.bots, state.accounts, secrets.token)
+        _, bots, conflicts = resolve_bots(allowed.select(*batch.columns), state.bots, secrets.token)
+        store.write_state(stream, batch_id, {"bots": bots}, state.seen_versions,
+                          {"connect_rejected": over.unionByName(conflicts)})
+    return run
 
+
+def bot_change_writer(store: Store, base: Tables, stream: str = "bot-changes"):
+    """foreachBatch for verification, credentials and tracking (I19): a new bots version."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        if store.is_committed(stream, batch_id) or batch.isEmpty():
             return
         state = store.read_state(base)
-        events, subs, accounts, rejected = apply_billing_batch(batch, state)
-        versions = {}
-        for name, df in (("billing_events", events), ("subscriptions", subs), ("accounts", accounts)):
-            store.write_version(df, name, batch_id)
-            versions[name] = batch_id
-        store._write_batch(rejected, "billing_rejected", batch_id)
-        store.commit(batch_id, versions)
+        bots, rejected = apply_bot_changes(state.bots, batch)
+        store.write_state(stream, batch_id, {"bots": bots}, state.seen_versions, {"bot_rejected": rejected})
     return run
 
 
+def start_changes(spark: SparkSession, source_dir: str, schema: T.StructType, writer, checkpoint: str,
+                  available_now: bool = False):
+    """Start a stream of JSON change rows into one of the change writers."""
+    out = (spark.readStream.schema(schema).json(source_dir).writeStream.foreachBatch(writer)
+           .option("checkpointLocation", checkpoint))
+    return (out.trigger(availableNow=True) if available_now else out).start()
+
+
 def start_billing_ingest(spark: SparkSession, source_dir: str, store: Store, base: Tables,
                          checkpoint: str, available_now: bool = False):
     stream = spark.readStream.schema(BILLING_RAW).json(source_dir)

@@ -3,17 +3,30 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from botlens.operators import rollup, stats
 from botlens.plans import catalog
+from botlens.plans.ingest_batch import ingest_api_batch, ingest_platform_batch
+from botlens.session import checkpoint_dir
 from botlens.sources import fixtures as FX
 from botlens.sources import raw as R
-from botlens.sources.store import Store
-from botlens.streaming.stream import start_api_ingest
+from botlens.sources.store import FACTS, Store, StoreConflict
+from botlens.streaming.stream import (account_change_writer, api_batch_writer, bot_change_writer, bot_connect_writer,
+                                      platform_batch_writer, start_api_ingest)
 
 SF = "/root/testdata/sf0.001"
 
 
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def staged(spark):
+    return set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+
+
 def test_stream_equals_batch(spark):
     work = tempfile.mkdtemp(prefix="botlens-stream-")
     src = os.path.join(work, "in")
@@ -29,17 +42,25 @@ def test_stream_equals_batch(spark):
                 os.rename(os.path.join(d, f), os.path.join(src, f"{p}-{f}"))
     base = FX.mapping_a(spark, SF)
     store = Store(spark, os.path.join(work, "store"))
+    before_run = staged(spark)
     q = start_api_ingest(spark, src, store, base, catalog.SECRETS, os.path.join(work, "ckpt"),
                          available_now=True, max_files_per_trigger=1)
     q.awaitTermination(600)
     state = store.read_state(base)
-    hi, _ = store.committed()
-    assert hi is not None and hi >= 1                       # more than one micro-batch ran
+    assert sum(r.kind == "batch" for r in store.log()) > 1   # more than one micro-batch ran
+    assert not [f for f in staged(spark) - before_run if f.startswith("api-")]   # no staged folder is left
     added = state.activity_logs.count() - base.activity_logs.count()
     assert added > 0
-    store.compact_users(base)
+    before = {t: rows(state[t]) for t in (*FACTS, "users", "bots")}
+    rollup = rows(store.read_rollup())
+    store.compact()
+    store.vacuum()
     again = store.read_state(base)
-    assert again.users.count() == state.users.count()
+    assert {t: rows(again[t]) for t in before} == before and rows(store.read_rollup()) == rollup
+    for t in FACTS:                                          # one folder a table, by event date
+        assert len(os.listdir(os.path.join(work, "store", t))) == 1
+    plan = again.messages.filter(F.col("event_date") >= F.lit("2024-01-20").cast("date"))
+    assert "PartitionFilters: [isnotnull(event_date" in plan._jdf.queryExecution().toString()
 
 
 def test_rollup_matches_overview(spark):
@@ -74,20 +95,116 @@ def test_rollup_dashboard_matches(spark):
     assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
 
 
-def test_store_batch_retry_is_idempotent(spark):
-    from botlens.plans.ingest_batch import ingest_platform_batch
-    work = tempfile.mkdtemp(prefix="botlens-retry-")
+def api_rows(spark):
+    return R.api_events(spark, SF)
+
+
+def test_two_streams_share_one_store_and_retries_change_nothing(spark):
+    """API and platform batches have the same number 0; each runs twice; a failed attempt comes before."""
+    work = tempfile.mkdtemp(prefix="botlens-shared-")
+    base = FX.mapping_a(spark, SF)
+    store = Store(spark, os.path.join(work, "store"))
+    api = api_batch_writer(store, base, catalog.SECRETS)
+    platform = platform_batch_writer(store, base)
+    raw, updates = api_rows(spark), R.platform_updates(spark, SF)
+
+    # an attempt that wrote everything and died before its commit
+    lost = ingest_api_batch(raw, base, catalog.SECRETS)
+    for table, df in lost.facts.items():
+        store.write(df, table, store.attempt("api", 0))
+    assert rows(store.read_state(base).payments) == rows(base.payments.withColumn("event_date", F.to_date("created_at")))
+
+    api(raw, 0)
+    alone = {t: rows(store.read_state(base)[t]) for t in FACTS}
+    platform(updates, 0)
+    api(raw, 0)                        # a crash after the commit, before the stream's own checkpoint
+    platform(updates, 0)
+    state = store.read_state(base)
+    out = ingest_platform_batch(updates, base)
+    for t in FACTS:
+        assert rows(state[t].select(*out.facts[t].columns)) == sorted(
+            [r[:-1] for r in alone[t]] + rows(out.facts[t]), key=repr)
+        ids = state[t].select("id").collect()
+        assert len({r.id for r in ids}) == len(ids)          # ids of the two streams are apart
+    assert state.bots.count() > base.bots.count()            # the API stream's new bots are still there
+    rolled = rollup.overview_from_rollup(state, store.read_rollup(rollup.daily_rollup(base)), FX.AS_OF_A)
+    assert rows(rolled) == rows(stats.overview(state, FX.AS_OF_A))
+
+
+def test_a_retry_with_fewer_rows_leaves_none_behind(spark):
+    work = tempfile.mkdtemp(prefix="botlens-fewer-")
     base = FX.mapping_a(spark, SF)
     store = Store(spark, os.path.join(work, "store"))
     out = ingest_platform_batch(R.platform_updates(spark, SF), base)
-    out.bots = None
-    store.write_ingest(0, out)
-    first = store.read_state(base).messages.count()
-    store.write_ingest(0, out)                      # the same batch again (retry)
-    assert store.read_state(base).messages.count() == first
-    # an uncommitted later batch is invisible
-    store._write_batch(out.facts["messages"], "messages", 1)
-    assert store.read_state(base).messages.count() == first
+    for table, df in out.facts.items():
+        store.write(df, table, store.attempt("platform", 0))
+    none = ingest_platform_batch(R.platform_updates(spark, SF).limit(0), base)
+    none.bots = None
+    store.write_ingest("platform", 0, none)
+    assert store.read_state(base).messages.count() == base.messages.count()
+
+
+def test_versions_conflict_instead_of_losing_an_update(spark):
+    work = tempfile.mkdtemp(prefix="botlens-conflict-")
+    base = FX.mapping_a(spark, SF)
+    store = Store(spark, os.path.join(work, "store"))
+    seen = store.read_state(base).seen_versions
+    store.write_state("one", 0, {"accounts": base.accounts}, seen)
+    with pytest.raises(StoreConflict):
+        store.write_state("two", 0, {"accounts": base.accounts}, seen)
+    store.write_state("two", 0, {"accounts": base.accounts}, store.read_state(base).seen_versions)
+    assert len(store.log()) == 4
+
+
+def test_only_a_missing_path_is_empty(spark):
+    work = tempfile.mkdtemp(prefix="botlens-broken-")
+    base = FX.mapping_a(spark, SF)
+    store = Store(spark, os.path.join(work, "store"))
+    store.write_state("one", 0, {"accounts": base.accounts}, {})
+    folder = store.versions(store.log())["accounts"]
+    for name in os.listdir(os.path.join(work, "store", "accounts", folder)):
+        if name.endswith(".parquet"):
+            with open(os.path.join(work, "store", "accounts", folder, name), "wb") as f:
+                f.write(b"damaged")
+    with pytest.raises(Exception, match="damaged|Parquet|parquet|CANNOT_READ"):
+        store.read_state(base).accounts.collect()
+
+
+def test_account_and_bot_changes_reach_the_quota(spark):
+    """A plan change and a new account through the store decide about the next API batch."""
+    work = tempfile.mkdtemp(prefix="botlens-changes-")
+    base = FX.mapping_a(spark, SF)
+    store = Store(spark, os.path.join(work, "store"))
+    at = "2024-01-31 00:00:00"
+    change = lambda *r: spark.createDataFrame([r], "change string, email string, name string, api_key_hash string, "
+                                              "account_id string, plan string, ingest_seq long").withColumn(
+        "received_at", F.lit(at).cast("timestamp"))
+    from botlens.functions import exprs as X
+    key = spark.range(1).select(X.hmac_sha256_hex(F.lit("key-new"), catalog.SECRETS.api_key).alias("h")).first().h
+    account_change_writer(store, base)(change("create", " New@Example.com ", None, key, None, None, 1), 0)
+    new = store.read_state(base).accounts.filter("email = 'new@example.com'").first()
+    account_change_writer(store, base)(change("plan", None, None, None, new.id, "Growth", 2), 1)
+    assert store.read_state(base).accounts.filter(F.col("id") == new.id).first().plan == "growth"
+    body = '{"botType":"username","botValue":"@fresh","user":{"telegramId":"7"},"text":"hi"}'
+    raw = spark.createDataFrame([("message", "key-new", body, 1)], "kind string, api_key string, body string, ingest_seq long") \
+        .withColumn("received_at", F.lit(at).cast("timestamp"))
+    api_batch_writer(store, base, catalog.SECRETS)(raw, 0)
+    assert store.read_state(base).bots.filter(F.col("owner_account_id") == new.id).count() == 1
+    connects = spark.createDataFrame([(new.id, "username", "@second", 1), ("0", "username", "@third", 2)],
+                                     "owner_account_id string, bot_type string, bot_value string, ingest_seq long") \
+        .withColumn("received_at", F.lit(at).cast("timestamp"))
+    bot_connect_writer(store, base, catalog.SECRETS)(connects, 0)
+    state = store.read_state(base)
+    assert state.bots.filter(F.col("owner_account_id") == new.id).count() == 2
+    assert state.bots.filter("bot_identifier = 'third'").count() == 0      # owner 0 is over its cap
+    bot = state.bots.filter("bot_identifier = 'second'").first()
+    changes = spark.createDataFrame([(bot.id, "verify", 1), (bot.id, "track", 2), ("ghost", "track", 3)],
+                                    "bot_id string, change string, ingest_seq long").selectExpr(
+        "*", "cast(null as string) display_name", "cast(null as string) telegram_bot_id",
+        "cast(null as string) encrypted_token", "true token_ok", f"timestamp'{at}' received_at")
+    bot_change_writer(store, base)(changes, 0)
+    after = store.read_state(base).bots.filter(F.col("id") == bot.id).first()
+    assert (after.verification_status, after.tracking_status, after.webhook_status) == ("verified", "enabled", "pending")
 
 
 def test_read_raw_batch(spark):

@@ -2,8 +2,7 @@
 
 Spark enforces no constraints, so ``check_contracts`` reports every NOT
 NULL, CHECK, UNIQUE and FOREIGN KEY violation as rows
-(table_name, rule, key).  Uniqueness is a grouped count, foreign keys are
-``left_anti`` joins on the key column only.
+(table_name, rule, key): one pass over a table for its row rules, one for its keys.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ ENUMS = [
     ("bot_health_logs", "status", S.HEALTH_STATUSES),
     ("subscriptions", "provider", S.BILLING_PROVIDERS), ("subscriptions", "plan", S.PLANS),
     ("subscriptions", "status", S.SUBSCRIPTION_STATUSES),
+    ("billing_events", "provider", S.BILLING_PROVIDERS),
 ]
 # (table, rule name, condition that must hold; built lazily)
 CHECKS = [
@@ -52,40 +52,46 @@ FOREIGN = [
 ]
 
 
-def _row(table: str, rule: str, key) -> list:
-    return [F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), key.alias("key")]
+def _rule_breaks(t: Tables, name: str, df: DataFrame) -> DataFrame:
+    """NOT NULL, CHECK and FOREIGN KEY violations of one table in one pass: the
+    parents' key sets are joined on, and each row explodes the rules it breaks."""
+    found = []
+    for f in S.TABLE_SCHEMAS[name].fields:
+        if not f.nullable:
+            found.append((f"not_null:{f.name}", F.col(f.name).isNull()))
+    found += [(f"check:{col}", ~F.col(col).isin(allowed)) for table, col, allowed in ENUMS if table == name]
+    found += [(f"check:{rule}", ~cond()) for table, rule, cond in CHECKS if table == name]
+    for child, col, parent in FOREIGN:
+        if child == name and parent in t:
+            keys = t[parent].select(F.col("id").alias(col)).distinct().withColumn(f"_has_{col}", F.lit(True))
+            df = df.join(keys, col, "left")
+            found.append((f"fk:{col}->{parent}", F.col(col).isNotNull() & F.col(f"_has_{col}").isNull()))
+    broken = F.filter(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in found]), lambda x: x.isNotNull())
+    return df.select(F.lit(name).alias("table_name"), F.explode(broken).alias("rule"),
+                     F.col("id").cast("string").alias("key"))
+
+
+def _duplicates(name: str, df: DataFrame) -> DataFrame | None:
+    """UNIQUE violations of one table: all its keys are counted in one shuffle."""
+    sets = [cols for table, cols in UNIQUE if table == name]
+    if not sets:
+        return None
+    keys = F.array(*[F.struct(
+        F.lit("unique:" + ",".join(cols)).alias("rule"),
+        F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]),
+               F.concat_ws("|", *[F.col(c).cast("string") for c in cols])).alias("key")) for cols in sets])
+    return (df.select(F.explode(keys).alias("k")).select("k.*").filter("key is not null")
+            .groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+            .select(F.lit(name).alias("table_name"), "rule", "key"))
 
 
 def check_contracts(t: Tables) -> DataFrame:
     """One row per violation: (table_name, rule, key)."""
     parts = []
     for name, df in t.items():
-        if name not in S.TABLE_SCHEMAS:
-            continue
-        for f in S.TABLE_SCHEMAS[name].fields:
-            if not f.nullable:
-                parts.append(df.filter(F.col(f.name).isNull())
-                             .select(_row(name, f"not_null:{f.name}", F.col("id").cast("string"))))
-    for name, col, allowed in ENUMS:
-        if name in t:
-            parts.append(t[name].filter(~F.col(col).isin(allowed))
-                         .select(_row(name, f"check:{col}", F.col("id"))))
-    for name, rule, cond in CHECKS:
-        if name in t:
-            parts.append(t[name].filter(~cond()).select(_row(name, f"check:{rule}", F.col("id"))))
-    for name, cols in UNIQUE:
-        if name in t:
-            any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-            dup = (t[name].filter(~any_null)
-                   .groupBy(*cols).count().filter(F.col("count") > 1))
-            parts.append(dup.select(_row(name, "unique:" + ",".join(cols),
-                                         F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))))
-    for child, col, parent in FOREIGN:
-        if child in t and parent in t:
-            keys = t[parent].select(F.col("id").alias(col))
-            orphans = t[child].filter(F.col(col).isNotNull()).join(keys, col, "left_anti")
-            parts.append(orphans.select(_row(child, f"fk:{col}->{parent}", F.col("id"))))
-    return reduce(DataFrame.unionByName, parts)
+        if name in S.TABLE_SCHEMAS:
+            parts += [_rule_breaks(t, name, df), _duplicates(name, df)]
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
 def erase_bots(t: Tables, bot_ids: DataFrame) -> Tables:

@@ -8,7 +8,7 @@ does for one bot, generalised to all bots with GROUP BY.
 from __future__ import annotations
 
 from botlens.functions.clock import Clock, sql_date, sql_ts
-from botlens.sources.fixtures import AS_OF_A, AS_OF_B, mapping_a_sql, mapping_b_sql
+from botlens.sources.fixtures import AS_OF_A, AS_OF_B, contract_tables_sql, mapping_a_sql, mapping_b_sql
 
 ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 
@@ -478,47 +478,68 @@ GROUP BY 1"""
 # --- quality (I23, I24) -----------------------------------------------------------------
 
 def erase_starter_accounts() -> str:
-    base, _ = _mapping("a")
-    gone_b = "(SELECT id FROM d_bots WHERE owner_account_id IN (SELECT id FROM d_accounts WHERE plan = 'starter'))"
+    base = contract_tables_sql()
+    gone = "(SELECT id FROM d_accounts WHERE plan = 'starter')"
+    gone_b = f"(SELECT id FROM d_bots WHERE owner_account_id IN {gone})"
     tables = ["users", "messages", "payments", "bot_health_logs", "activity_logs"]
-    parts = [f"SELECT 'accounts' AS table_name, count(*) AS row_count FROM d_accounts WHERE plan <> 'starter'",
-             f"SELECT 'bots', count(*) FROM d_bots WHERE id NOT IN {gone_b}"]
-    parts += [f"SELECT '{t}', count(*) FROM d_{t} WHERE bot_id NOT IN {gone_b}" for t in tables]
+    parts = ["SELECT 'accounts' AS table_name, id AS owner, count(*) AS row_count FROM d_accounts WHERE plan <> 'starter' GROUP BY 2",
+             f"SELECT 'bots', owner_account_id, count(*) FROM d_bots WHERE id NOT IN {gone_b} GROUP BY 2",
+             f"SELECT 'subscriptions', account_id, count(*) FROM d_subscriptions WHERE account_id NOT IN {gone} GROUP BY 2",
+             f"SELECT 'billing_events', CASE WHEN account_id NOT IN {gone} THEN account_id END, count(*) FROM d_billing_events GROUP BY 2"]
+    parts += [f"SELECT '{t}', bot_id, count(*) FROM d_{t} WHERE bot_id NOT IN {gone_b} GROUP BY 2" for t in tables]
     return base + "\n" + "\nUNION ALL\n".join(parts)
 
 
+# The rules of the schema, written down from its DDL and not from the operator's lists.
+DDL_NOT_NULL = {
+    "accounts": "id email api_key_hash plan created_at updated_at",
+    "bots": "id bot_identifier bot_type verification_status tracking_status webhook_status connected_at created_at updated_at",
+    "users": "id bot_id telegram_id created_at last_active_at first_seq last_seq",
+    "messages": "id bot_id user_id created_at", "payments": "id bot_id user_id amount currency created_at",
+    "bot_health_logs": "id bot_id status uptime request_count created_at",
+    "subscriptions": "id account_id provider plan status amount_monthly currency cancel_at_period_end created_at updated_at",
+    "billing_events": "id provider provider_event_id event_type payload processed_at created_at",
+    "activity_logs": "id bot_id event_type description params created_at"}
+DDL_CHECK = [
+    ("accounts", "plan", "plan IN ('starter', 'growth')"), ("bots", "bot_type", "bot_type IN ('token', 'username')"),
+    ("bots", "verification_status", "verification_status IN ('pending', 'verified', 'failed')"),
+    ("bots", "tracking_status", "tracking_status IN ('disabled', 'enabled')"),
+    ("bots", "webhook_status", "webhook_status IN ('pending', 'enabled', 'failed')"),
+    ("bot_health_logs", "status", "status IN ('online', 'offline')"),
+    ("bot_health_logs", "uptime_range", "uptime BETWEEN 0 AND 100"),
+    ("bot_health_logs", "request_count_non_negative", "request_count >= 0"),
+    ("payments", "amount_non_negative", "amount >= 0"),
+    ("subscriptions", "provider", "provider IN ('manual', 'stripe', 'click')"),
+    ("subscriptions", "plan", "plan IN ('starter', 'growth')"),
+    ("subscriptions", "status", "status IN ('inactive', 'trialing', 'active', 'past_due', 'canceled', 'incomplete')"),
+    ("subscriptions", "amount_non_negative", "amount_monthly >= 0"),
+    ("billing_events", "provider", "provider IN ('manual', 'stripe', 'click')")]
+DDL_UNIQUE = [
+    ("accounts", "id"), ("accounts", "email"), ("accounts", "api_key_hash"), ("bots", "id"), ("bots", "bot_type,bot_identifier"),
+    ("users", "id"), ("users", "bot_id,telegram_id"), ("messages", "id"), ("payments", "id"), ("bot_health_logs", "id"),
+    ("subscriptions", "id"), ("subscriptions", "account_id"), ("billing_events", "id"),
+    ("billing_events", "provider,provider_event_id"), ("activity_logs", "id")]
+DDL_FOREIGN = [
+    ("bots", "owner_account_id", "accounts"), ("users", "bot_id", "bots"), ("messages", "bot_id", "bots"),
+    ("messages", "user_id", "users"), ("payments", "bot_id", "bots"), ("payments", "user_id", "users"),
+    ("bot_health_logs", "bot_id", "bots"), ("subscriptions", "account_id", "accounts"),
+    ("billing_events", "account_id", "accounts"), ("activity_logs", "bot_id", "bots")]
+
+
 def contracts_report() -> str:
-    from botlens.operators import quality as Q
-    from botlens.schemas import TABLE_SCHEMAS
-    base, _ = _mapping("a")
-    names = ["accounts", "bots", "users", "messages", "payments", "bot_health_logs", "activity_logs"]
-    parts = []
-    for n in names:
-        for f in TABLE_SCHEMAS[n].fields:
-            if not f.nullable:
-                parts.append(f"SELECT '{n}', 'not_null:{f.name}', CAST(id AS VARCHAR) FROM d_{n} "
-                             f"WHERE {f.name} IS NULL")
-    for n, col, allowed in Q.ENUMS:
-        if n in names:
-            vals = ", ".join(f"'{v}'" for v in allowed)
-            parts.append(f"SELECT '{n}', 'check:{col}', id FROM d_{n} WHERE {col} NOT IN ({vals})")
-    conds = {"amount_non_negative": "amount >= 0", "uptime_range": "uptime >= 0 AND uptime <= 100",
-             "request_count_non_negative": "request_count >= 0"}
-    for n, rule, _ in Q.CHECKS:
-        if n in names:
-            parts.append(f"SELECT '{n}', 'check:{rule}', id FROM d_{n} WHERE NOT ({conds[rule]})")
-    for n, cols in Q.UNIQUE:
-        if n in names:
-            key = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
-            nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
-            parts.append(f"SELECT '{n}', 'unique:{','.join(cols)}', {key} FROM d_{n} WHERE {nn} "
-                         f"GROUP BY {', '.join(cols)} HAVING count(*) > 1")
-    for child, col, parent in Q.FOREIGN:
-        if child in names and parent in names:
-            parts.append(f"SELECT '{child}', 'fk:{col}->{parent}', id FROM d_{child} c "
-                         f"WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_{parent} p WHERE p.id = c.{col})")
+    parts = [f"SELECT '{n}', 'not_null:{c}', id FROM d_{n} WHERE {c} IS NULL"
+             for n, cols in DDL_NOT_NULL.items() for c in cols.split()]
+    parts += [f"SELECT '{n}', 'check:{rule}', id FROM d_{n} WHERE NOT ({cond})" for n, rule, cond in DDL_CHECK]
+    for n, cols in DDL_UNIQUE:
+        names = cols.split(",")
+        key = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in names)
+        filled = " AND ".join(f"{c} IS NOT NULL" for c in names)
+        parts.append(f"SELECT '{n}', 'unique:{cols}', {key} FROM d_{n} WHERE {filled} GROUP BY {cols} HAVING count(*) > 1")
+    parts += [f"SELECT '{child}', 'fk:{col}->{parent}', id FROM d_{child} c "
+              f"WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_{parent} p WHERE p.id = c.{col})"
+              for child, col, parent in DDL_FOREIGN]
     body = "\nUNION ALL\n".join(parts)
-    return f"{base},\nv(table_name, rule, key) AS (\n{body})\nSELECT table_name, rule, key FROM v"
+    return f"{contract_tables_sql()},\nv(table_name, rule, key) AS (\n{body})\nSELECT table_name, rule, key FROM v"
 
 
 # --- lookups (Q24, Q25) -----------------------------------------------------------------
@@ -598,8 +619,7 @@ plans AS (
   SELECT CASE WHEN o_orderkey % 350 = 0 THEN 'missing' ELSE CAST(n_regionkey AS VARCHAR) END AS account_id,
          CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'growth' ELSE 'starter' END AS plan,
          o_orderkey + 2000000 AS seq
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderkey % 50 = 0)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def account_changes_state() -> str:

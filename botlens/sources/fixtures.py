@@ -140,6 +140,57 @@ def mapping_a(spark: SparkSession, sf_dir: str) -> Tables:
         activity_logs=conform(activity, "activity_logs"))
 
 
+def contract_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Mapping A with subscriptions (one a supplier) and billing events (one an
+    order) that break some rules: several subscriptions an account, unknown
+    providers and accounts, negative amounts, redelivered event ids."""
+    t = mapping_a(spark, sf_dir)
+    n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("account_id"))
+    s = read(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    subs = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        key.cast("string").alias("id"), "account_id",
+        F.when(key % 9 == 0, "paypal").otherwise("stripe").alias("provider"),
+        F.lit(None).cast("string").alias("provider_customer_id"),
+        F.lit(None).cast("string").alias("provider_subscription_id"),
+        F.when(key % 8 == 0, "gold").otherwise("growth").alias("plan"),
+        F.when(key % 7 == 0, "paused").otherwise("active").alias("status"),
+        F.when(key % 5 == 0, F.lit(-1)).otherwise(F.lit(99)).cast("decimal(12,2)").alias("amount_monthly"),
+        F.lit("USD").alias("currency"), at.alias("current_period_start"), at.alias("current_period_end"),
+        F.lit(False).alias("cancel_at_period_end"), at.alias("created_at"), at.alias("updated_at"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    key = F.col("o_orderkey")
+    billing = (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+               .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.cast("string").alias("id"), F.when(key % 97 == 0, "missing").otherwise(F.col("account_id")).alias("account_id"),
+        F.when(key % 101 == 0, "paypal").otherwise("stripe").alias("provider"),
+        (key % 5000).cast("string").alias("provider_event_id"), F.lit("subscription.updated").alias("event_type"),
+        F.when(key % 103 != 0, F.lit("{}")).alias("payload"), at.alias("processed_at"), at.alias("created_at")))
+    return t.with_(subscriptions=subs, billing_events=billing)
+
+
+def contract_tables_sql() -> str:
+    return mapping_a_sql() + """,
+d_subscriptions AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(n_regionkey AS VARCHAR) AS account_id,
+         CASE WHEN s_suppkey % 9 = 0 THEN 'paypal' ELSE 'stripe' END AS provider,
+         CASE WHEN s_suppkey % 8 = 0 THEN 'gold' ELSE 'growth' END AS plan,
+         CASE WHEN s_suppkey % 7 = 0 THEN 'paused' ELSE 'active' END AS status,
+         CASE WHEN s_suppkey % 5 = 0 THEN -1.0 ELSE 99.0 END AS amount_monthly, 'USD' AS currency,
+         false AS cancel_at_period_end, TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+d_billing_events AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id,
+         CASE WHEN o_orderkey % 97 = 0 THEN 'missing' ELSE CAST(n_regionkey AS VARCHAR) END AS account_id,
+         CASE WHEN o_orderkey % 101 = 0 THEN 'paypal' ELSE 'stripe' END AS provider,
+         CAST(o_orderkey % 5000 AS VARCHAR) AS provider_event_id, 'subscription.updated' AS event_type,
+         CASE WHEN o_orderkey % 103 <> 0 THEN '{}' END AS payload,
+         TIMESTAMP '2024-01-01' AS processed_at, TIMESTAMP '2024-01-01' AS created_at
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
 def user_arrivals_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals for the user upsert (I9): every event, late by k hours."""
     ev = events_a(spark, sf_dir)
@@ -152,15 +203,14 @@ def user_arrivals_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"))
 
 
-def mapping_b(spark: SparkSession, sf_dir: str, as_of: datetime = AS_OF_B) -> Tables:
-    """Star-schema mapping; facts after ``as_of`` are dropped."""
-    cut = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+def mapping_b(spark: SparkSession, sf_dir: str) -> Tables:
+    """Star-schema mapping over whole tables: rows after the point in time stay,
+    as the reference's windows have no upper bound."""
     cust = read(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("bot_id"))
     orders = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
-        F.col("o_orderdate").cast("timestamp").alias("o_orderdate")) \
-        .filter(F.col("o_orderdate") <= cut)
+        F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
     co = orders.join(cust, orders.o_custkey == cust.c_custkey)
     firsts = co.groupBy("c_custkey", "c_name", "bot_id").agg(
         F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("last_active_at"))
@@ -188,8 +238,7 @@ def mapping_b(spark: SparkSession, sf_dir: str, as_of: datetime = AS_OF_B) -> Ta
         F.col("o_orderdate").alias("created_at"))
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_returnflag",
-        F.col("l_shipdate").cast("timestamp").alias("l_shipdate")) \
-        .filter(F.col("l_shipdate") <= cut)
+        F.col("l_shipdate").cast("timestamp").alias("l_shipdate"))
     lo = li.join(orders.select("o_orderkey", "o_custkey"), li.l_orderkey == orders.o_orderkey) \
            .join(cust, F.col("o_custkey") == cust.c_custkey)
     messages = lo.select(
@@ -298,12 +347,11 @@ d_activity_logs AS (
   FROM ev_kind)"""
 
 
-def mapping_b_sql(as_of: datetime = AS_OF_B) -> str:
-    cut = f"TIMESTAMP '{as_of.strftime('%Y-%m-%d %H:%M:%S')}'"
+def mapping_b_sql() -> str:
     return "WITH" + _sql_common() + f""",
 cust AS (SELECT c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS bot_id FROM customer),
 ords AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate
-         FROM orders WHERE CAST(o_orderdate AS TIMESTAMP) <= {cut}),
+         FROM orders),
 co AS (SELECT * FROM ords JOIN cust ON o_custkey = c_custkey),
 d_users AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id, bot_id, CAST(c_custkey AS VARCHAR) AS telegram_id,
@@ -334,5 +382,4 @@ d_messages AS (
   SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id, c.bot_id,
          CAST(c.c_custkey AS VARCHAR) AS user_id, l_returnflag AS text,
          CAST(l_shipdate AS TIMESTAMP) AS created_at
-  FROM lineitem l JOIN ords o ON l.l_orderkey = o.o_orderkey JOIN cust c ON o.o_custkey = c.c_custkey
-  WHERE CAST(l_shipdate AS TIMESTAMP) <= {cut})"""
+  FROM lineitem l JOIN ords o ON l.l_orderkey = o.o_orderkey JOIN cust c ON o.o_custkey = c.c_custkey)"""

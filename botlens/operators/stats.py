@@ -324,32 +324,17 @@ def dashboard(t: Tables, as_of, bots=None, limit: int = 10,
               uptime_threshold: float = DEFAULT_UPTIME_THRESHOLD) -> DataFrame:
     """Q18: one row per bot with the six dashboard documents as structs.
 
-    The reference issues 16 statements per bot; here each fact table is
-    scanned by one conditional aggregate, the series come from per-day
-    pre-aggregates, and all parts are joined on bot_id.
+    The reference issues 16 statements per bot; here users, messages, payments
+    and health logs are each read once, into one (bot, day) aggregate from
+    which all windows and series follow (they start at day boundaries), and
+    the activity log once, for the newest rows.
     """
-    m = join_measures(bot_keys(t, bots), [
-        _user_agg(t, as_of, bots), _message_agg(t, as_of, bots),
-        _revenue_agg(t, as_of, bots), _health_agg(t, as_of, bots)])
-    series = [
-        nest_series(daily_revenue_series(t, as_of, bots), "revenue_series"),
-        nest_series(daily_message_series(t, as_of, bots), "daily_messages_series"),
-    ]
-    return assemble_dashboard(t, as_of, bots, m, series, limit, uptime_threshold)
-
-
-def assemble_dashboard(t: Tables, as_of, bots, measures: DataFrame, fact_series: list,
-                       limit: int, uptime_threshold) -> DataFrame:
-    """Join the per-bot measures, the series and the recent activity into
-    the dashboard structs (shared by the fact-table and rollup paths)."""
-    m = measures
-    parts = [
-        nest_series(weekly_user_series(t, as_of, bots), "weekly_series"),
-        nest_series(monthly_user_series(t, as_of, bots), "monthly_series"),
-        nest_series(daily_user_series(t, as_of, bots), "growth_series"),
-    ] + fact_series
-    for p in parts:
-        m = m.join(p, "bot_id", "left")
+    from botlens.operators.rollup import dashboard_from_rollup, full_rollup
+    return dashboard_from_rollup(t, full_rollup(t, activity=False), as_of, bots, limit, uptime_threshold)
+
+
+def assemble_dashboard(t: Tables, bots, m: DataFrame, limit: int, uptime_threshold) -> DataFrame:
+    """The dashboard structs from per-bot measures and series, with the recent activity."""
     ra = recent_activity(t, limit, bots)
     ra_nested = ra.groupBy("bot_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "id", "event_type", "description", "event_code", "params", "created_at")))

@@ -81,8 +81,10 @@ def _raw_billing(spark, sf_dir):
     return _landed(RAW.billing_webhooks(spark, sf_dir), "raw-billing")
 
 
-def _dashboard(spark, sf_dir):
-    return stats.to_document_json(stats.dashboard(tables_a(spark, sf_dir), A))
+def _dashboard(mapping, as_of) -> Query:
+    def run(spark, sf_dir):
+        return stats.to_document_json(stats.dashboard(mapping(spark, sf_dir), as_of))
+    return run
 
 
 def _upsert_users(spark, sf_dir):
@@ -295,21 +297,29 @@ def _bot_changes(spark, sf_dir):
                 "verified_at", "tracking_enabled_at")
 
 
+def _stored_rollup(t) -> DataFrame:
+    """The rollup as a deployment has it: a table that ingest maintains, read back."""
+    from botlens.session import stage
+    return stage(RU.full_rollup(t), "daily-rollup")
+
+
 def _overview_rollup(mapping, as_of) -> Query:
     def run(spark, sf_dir):
         t = mapping(spark, sf_dir)
-        return RU.overview_from_rollup(t, RU.daily_rollup(t), as_of)
+        return RU.overview_from_rollup(t, _stored_rollup(t), as_of)
     return run
 
 
 def _account_usage_rollup(spark, sf_dir):
     t = tables_a(spark, sf_dir)
-    return RU.account_usage_from_rollup(t, RU.daily_rollup(t), A)
+    return RU.account_usage_from_rollup(t, _stored_rollup(t), A)
 
 
-def _dashboard_rollup(spark, sf_dir):
-    t = tables_a(spark, sf_dir)
-    return stats.to_document_json(RU.dashboard_from_rollup(t, RU.daily_rollup(t), A))
+def _dashboard_rollup(mapping, as_of) -> Query:
+    def run(spark, sf_dir):
+        t = mapping(spark, sf_dir)
+        return stats.to_document_json(RU.dashboard_from_rollup(t, _stored_rollup(t), as_of))
+    return run
 
 
 def queries() -> dict[str, Query]:
@@ -334,7 +344,8 @@ def queries() -> dict[str, Query]:
         "message_stats": _composite(stats.message_stats, tables_a, A, ["daily_messages_series"]),
         "recent_activity": _recent(tables_a),
         "recent_activity_star": _recent(tables_b),
-        "dashboard": _dashboard,
+        "dashboard": _dashboard(tables_a, A),
+        "dashboard_star": _dashboard(tables_b, B),
         "account_usage": _stat(AC.account_usage, tables_a, A),
         "account_summary": _stat(AC.account_summary, tables_a, A),
         "owner_bots": _stat(AC.owner_bots, tables_a, A),
@@ -359,7 +370,8 @@ def queries() -> dict[str, Query]:
         "bot_changes": _bot_changes,
         "overview_rollup": _overview_rollup(tables_a, A),
         "overview_rollup_star": _overview_rollup(tables_b, B),
-        "dashboard_rollup": _dashboard_rollup,
+        "dashboard_rollup": _dashboard_rollup(tables_a, A),
+        "dashboard_rollup_star": _dashboard_rollup(tables_b, B),
         "account_usage_rollup": _account_usage_rollup,
     }
     return q
@@ -387,6 +399,10 @@ def oracle_sql() -> dict[str, str]:
         "message_stats": O.message_stats("a"),
         "recent_activity": O.recent_activity("a"),
         "recent_activity_star": O.recent_activity("b"),
+        "dashboard": O.dashboard("a"),
+        "dashboard_star": O.dashboard("b"),
+        "dashboard_rollup": O.dashboard("a"),
+        "dashboard_rollup_star": O.dashboard("b"),
         "account_usage": O.account_usage("a"),
         "account_summary": O.account_summary("a"),
         "owner_bots": O.owner_bots("a"),

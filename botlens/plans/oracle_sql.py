@@ -282,6 +282,52 @@ SELECT bot_id, CAST(rnk AS INTEGER) AS rank, id, event_type, description,
 FROM ranked WHERE rnk <= {limit}"""
 
 
+# --- dashboard (Q18): the six documents as one JSON text --------------------------------
+
+def _json_series(name: str, c: Clock, alias: str) -> str:
+    """Series as JSON text with the values' own decimals."""
+    return _series_cte(name, c, alias).replace(js_num("value"), "CAST(value AS VARCHAR)")
+
+
+def dashboard(which: str = "a", limit: int = 10, threshold: int = 99) -> str:
+    base, c = _mapping(which)
+    activity = recent_activity(which, limit)[len(base) + 1:]
+    ctes, _, select = activity.partition("SELECT bot_id, CAST(rnk")
+    num = lambda col, typ="BIGINT": f"CAST({z(col, typ)} AS VARCHAR)"
+    pcts = {k: f"CAST({pct(z(f'u.{k}_current'), z(f'u.{k}_previous'))} AS VARCHAR)" for k in ("weekly", "monthly")}
+    users = f"""'"total_users":' || {num('u.total_users')} || ',"active_users_today":' || {num('u.active_users_today')}
+      || ',"new_users_today":' || {num('u.new_users_today')}"""
+    money = f"""'"revenue_today":' || {num('r.revenue_today', MONEY)} || ',"revenue_this_week":'
+      || {num('r.revenue_this_week', MONEY)} || ',"revenue_this_month":' || {num('r.revenue_this_month', MONEY)}"""
+    return f"""{base}, {user_agg(c)}, {message_agg(c)}, {revenue_agg(c)}, {health_agg(c)},
+{_json_series('weekly_user_series', c, 'ws')}, {_json_series('monthly_user_series', c, 'ms')},
+{_json_series('daily_user_series', c, 'us')}, {_json_series('daily_revenue_series', c, 'rs')},
+{_json_series('daily_message_series', c, 'dm')},
+{ctes.strip().rstrip(',')},
+recent AS (SELECT bot_id, CAST(rnk{select}),
+ra AS (SELECT bot_id, string_agg('{{"rank":' || CAST(rank AS VARCHAR) || ',"id":' || to_json(id) || ',"event_type":'
+    || to_json(event_type) || ',"description":' || to_json(description) || ',"event_code":' || to_json(event_code)
+    || ',"params":' || to_json(params) || ',"created_at":"' || created_at || '"}}', ',' ORDER BY rank) AS txt
+  FROM recent GROUP BY bot_id)
+SELECT b.id AS bot_id,
+  '{{"overview":{{' || {users} || ',"messages_today":' || {num('m.messages_today')} || ',"total_messages":'
+  || {num('m.total_messages')} || ',"weekly_growth_pct":' || {pcts['weekly']} || ',' || {money}
+  || ',"bot_status":"' || coalesce(h.bot_status, 'offline') || '","api_health":"'
+  || CASE WHEN coalesce(h.uptime_pct, 0) >= {threshold} THEN 'healthy' ELSE 'degraded' END || '","uptime_pct":'
+  || {num('h.uptime_pct', 'DECIMAL(5,2)')} || ',"requests_today":' || {num('h.requests_today')} || '}}'
+  || ',"growth":{{"weekly_growth_pct":' || {pcts['weekly']} || ',"monthly_growth_pct":' || {pcts['monthly']}
+  || ',"weekly_series":' || ws.txt || ',"monthly_series":' || ms.txt || '}}'
+  || ',"users":{{' || {users} || ',"growth_series":' || us.txt || '}}'
+  || ',"revenue":{{' || {money} || ',"revenue_series":' || rs.txt || '}}'
+  || ',"messages":{{"total_messages":' || {num('m.total_messages')} || ',"messages_today":' || {num('m.messages_today')}
+  || ',"daily_messages_series":' || dm.txt || '}}'
+  || ',"recent_activity":[' || coalesce(ra.txt, '') || ']}}' AS document
+FROM d_bots b LEFT JOIN u_agg u ON u.bot_id = b.id LEFT JOIN m_agg m ON m.bot_id = b.id
+LEFT JOIN r_agg r ON r.bot_id = b.id LEFT JOIN h_agg h ON h.bot_id = b.id
+JOIN ws ON ws.bot_id = b.id JOIN ms ON ms.bot_id = b.id JOIN us ON us.bot_id = b.id
+JOIN rs ON rs.bot_id = b.id JOIN dm ON dm.bot_id = b.id LEFT JOIN ra ON ra.bot_id = b.id"""
+
+
 # --- accounts (Q19-Q21) -------------------------------------------------------------
 
 def _usage_ctes(c: Clock) -> str:

@@ -46,6 +46,14 @@ def longs(blocks) -> np.ndarray:
     return np.frombuffer(b"".join(blocks), np.int64)
 
 
+def among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values the sorted array holds; a binary search each, however long it is."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(held, values), len(held) - 1)
+    return held[at] == values
+
+
 def by_slot(hashes: np.ndarray, slots: int, *others: np.ndarray):
     """(slot, hashes, *others) of each slot that has some; the order within a slot is kept."""
     slot = (hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(slots)
@@ -106,23 +114,37 @@ def recurring_phrases(docs: DataFrame, size: int, phrase: int, slots: int) -> Da
             .groupBy("slot").applyInPandas(count, "shard long, hashes binary"))
 
 
+ALPHABET = 64          # symbols at each place of a word's number: a node has at most so many children
+
+
 def automaton_of(found: list[list[bytes]]):
-    """Automaton over word numbers for phrases given as words, and the words' numbers (0: any other)."""
-    numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for words in found:
-        automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), len(words))
+    """(automaton, codes, width): phrases as texts of word numbers.
+
+    A number is ``width`` characters, each place with an alphabet of its own, so
+    matches keep to word borders and no node has many children (they are
+    searched one by one).
+    """
+    words = dict.fromkeys(w for phrase in found for w in phrase)
+    width = 1
+    while ALPHABET ** width < len(words):
+        width += 1
+    codes = {w: "".join(chr(1 + place * ALPHABET + i // ALPHABET ** place % ALPHABET) for place in range(width))
+             for i, w in enumerate(words)}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in found:
+        automaton.add_word("".join([codes[w] for w in phrase]))
     automaton.make_automaton()
-    return automaton, numbers
+    return automaton, codes, width
 
 
-def candidates(words: list[bytes], automaton, numbers: dict, size: int) -> np.ndarray:
+def candidates(words: list[bytes], automaton, codes: dict, width: int, size: int) -> np.ndarray:
     """Starts of the windows that hold an occurrence of a phrase."""
     marks = np.zeros(len(words) + 2, np.int32)
-    get = numbers.get
-    for end, length in automaton.iter(tuple([get(w, 0) for w in words])):
-        marks[max(0, end + 1 - size)] += 1           # first start whose window reaches the phrase's end
-        marks[end - length + 2] -= 1
+    get, other = codes.get, "\0" * width
+    for last, length in automaton.iter("".join([get(w, other) for w in words])):
+        end = (last + 1) // width                    # word after the occurrence
+        marks[max(0, end - size)] += 1               # first start whose window reaches the end
+        marks[end - length // width + 1] -= 1
     inside = np.cumsum(marks)[:max(0, len(words) - size + 1)] > 0
     return np.flatnonzero(inside)
 
@@ -145,12 +167,12 @@ def first_windows(docs: DataFrame, recurring: DataFrame, size: int, phrase: int,
             split.append(words)
             hashed.append(hashes)
             at, own = phrases(hashes, size, phrase)
-            for i in at[np.isin(own, wanted)].tolist() if len(wanted) else ():
+            for i in at[among(own, wanted)].tolist():
                 found.setdefault(tuple(words[i:i + phrase]))
         starts = [np.empty(0, np.int64)] * len(split)
         if found:
-            automaton, numbers = automaton_of(list(found))
-            starts = [candidates(w, automaton, numbers, size) for w in split]
+            automaton, codes, width = automaton_of(list(found))
+            starts = [candidates(w, automaton, codes, width, size) for w in split]
         out, windows, owners = [], [], []
         for doc_id, rank, text, words, hashes, own in zip(texts["doc_id"], ranked(texts["doc_id"]), texts["text"], split,
                                                           hashed, starts):
@@ -219,7 +241,7 @@ def cut(docs: DataFrame, earlier: DataFrame, size: int) -> DataFrame:
         local = (r > r[first][group]) | (s > s[first][group])      # an earlier start in this shard
         late = np.empty(len(h), bool)
         late[order] = local
-        late |= np.isin(hashes, away)
+        late |= among(hashes, away)
         out = []
         bounds = np.searchsorted(row, np.arange(len(rows) + 1))
         for i, (doc_id, words) in enumerate(zip(texts["doc_id"], rows)):

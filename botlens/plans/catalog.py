@@ -24,6 +24,7 @@ from botlens.operators.validate import validate_api_events
 from botlens.plans.ingest_batch import Secrets, ingest_api_batch, ingest_platform_batch
 from botlens.sources import raw as RAW
 from botlens.plans import oracle_sql as O
+from botlens.schemas import plan_catalogue
 from botlens.sources import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +98,7 @@ def _upsert_users(spark, sf_dir):
 def _telegram_events(spark, sf_dir):
     ev, _ = IN.flatten_telegram_updates(RAW.platform_updates(spark, sf_dir))
     return _iso(ev.select("bot_id", "ingest_seq", "kind", "sub_seq", "telegram_id", "username",
-                          "first_name", "text", "created_at"), "created_at")
+                          "first_name", "last_name", "text", "created_at"), "created_at")
 
 
 def _api_validation_errors(spark, sf_dir):
@@ -116,7 +117,7 @@ def _billing_events_state(spark, sf_dir):
     t, acc, _ = _accepted_billing(spark, sf_dir)
     from botlens.schemas import empty
     ev = BL.upsert_billing_events(empty(spark, "billing_events"), acc)
-    return _iso(ev.drop("payload"), "processed_at", "created_at")
+    return _iso(ev, "processed_at", "created_at")
 
 
 def _current_subscription(spark, sf_dir):
@@ -129,7 +130,7 @@ def _current_subscription(spark, sf_dir):
 
 def _billing_rejections(spark, sf_dir):
     _, _, rej = _accepted_billing(spark, sf_dir)
-    return rej.groupBy("error_code").agg(F.count(F.lit(1)).alias("events"))
+    return rej.groupBy("error_code", "error_field").agg(F.count(F.lit(1)).alias("events"))
 
 
 def _contracts_report(spark, sf_dir):
@@ -180,13 +181,13 @@ def _lookup_bots_by_identity(spark, sf_dir):
 
 
 def _token_round_trip(spark, sf_dir):
-    ids = _identities(spark, sf_dir).filter(F.col("bot_type") == "token")
-    tokens = ids.select(F.concat((F.lit(7000000) + F.col("n_nationkey")).cast("string"),
-                                 F.lit(":AAH_token-"), F.lower("n_name"),
-                                 F.lit("_xxxxxxxxxxxx")).alias("token")).distinct()
+    """One token an event."""
+    token = F.concat((F.lit(7000000) + F.col("event_id")).cast("string"), F.lit(":AAH_token-"),
+                     F.col("event_type"), F.lit("_xxxxxxxxxxxx"))
+    tokens = FX.events_a(spark, sf_dir).select("event_id", token.alias("token"))
     sealed = BO.protect_tokens(tokens, "token", TOKEN_KEY, out="sealed")
     opened = BO.reveal_tokens(sealed, "sealed", TOKEN_KEY, out="opened")
-    return opened.select("token", (F.col("opened") == F.col("token")).alias("round_trip_ok"))
+    return opened.select("event_id", "token", (F.col("opened") == F.col("token")).alias("round_trip_ok"))
 
 
 def _api_ingest(spark, sf_dir):
@@ -207,6 +208,85 @@ def _ingest_platform_messages(spark, sf_dir):
     return _iso(out.facts["messages"], "created_at")
 
 
+def _no_usage(tables):
+    return lambda _clock: tables.accounts.select(F.col("id").alias("account_id"), F.lit(0).cast("long").alias("monthly_events"))
+
+
+def _bad_inputs(spark, sf_dir):
+    """Outputs of the three sources over malformed inputs: (input rows, accepted rows, rejected rows) each."""
+    t = tables_a(spark, sf_dir)
+    api, platform = (_landed(f(spark, sf_dir), "raw-bad") for f in (RAW.bad_api_events, RAW.bad_platform_updates))
+    out = ingest_api_batch(api, t, SECRETS, usage_at=_no_usage(t))
+    moved = ingest_platform_batch(platform, t)
+    billing = _landed(RAW.bad_billing_webhooks(spark, sf_dir), "raw-bad")
+    ok, refused = BL.accept_billing_events(billing, t.accounts)
+    written = moved.facts["activity_logs"]
+    return {"api": (api, out.facts["activity_logs"], out.rejected), "platform": (platform, written, moved.rejected),
+            "billing": (billing, ok, refused)}
+
+
+def _bad_bodies(spark, sf_dir):
+    parts = [rej.groupBy("error_code", "error_field").agg(F.count(F.lit(1)).alias("events"))
+             .select(F.lit(source).alias("source"), "error_code", "error_field", "events")
+             for source, (_, _, rej) in _bad_inputs(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _ingest_balance(spark, sf_dir):
+    """Rows that came in, were accepted and rejected; what is left wrote nothing (platform updates only)."""
+    counted = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = []
+    for source, (raw, ok, rej) in _bad_inputs(spark, sf_dir).items():
+        parts.append(counted(raw, "input_rows").crossJoin(counted(ok, "accepted_rows"))      # one row each
+                     .crossJoin(counted(rej, "rejected_rows")).select(
+            F.lit(source).alias("source"), "*",
+            (F.col("input_rows") - F.col("accepted_rows") - F.col("rejected_rows")).alias("other_rows")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+QUOTA_LEFT = {"2024-01-01": 700, "2024-02-01": 60}       # events an owner may still send in each month
+
+
+def _ingest_api_quota(spark, sf_dir):
+    """A batch of two months in which the quota rejects: every third event arrives a month later."""
+    t = tables_a(spark, sf_dir)
+    raw = RAW.api_events(spark, sf_dir).withColumn("received_at", F.when(
+        F.col("ingest_seq") % 3 == 0, F.timestamp_add("SECOND", F.col("ingest_seq") % 86400,
+                                                      F.lit("2024-02-01").cast("timestamp"))).otherwise(F.col("received_at")))
+    limits = plan_catalogue(spark).select("plan", "monthly_events")
+
+    def usage(clock):
+        left = QUOTA_LEFT[clock.month_start.isoformat()]
+        return t.accounts.join(F.broadcast(limits), "plan").select(
+            F.col("id").alias("account_id"), (F.col("monthly_events") - left).cast("long").alias("monthly_events"))
+
+    out = ingest_api_batch(_landed(raw, "raw-quota"), t, SECRETS, usage_at=usage)
+    return out.rejected.filter("error_code = 'PLAN_LIMIT_REACHED'").select("ingest_seq", "error_field", "error_detail")
+
+
+def _ingest_api_payments(spark, sf_dir):
+    return _iso(_api_ingest(spark, sf_dir).facts["payments"], "created_at")
+
+
+def _ingest_api_health(spark, sf_dir):
+    return _iso(_api_ingest(spark, sf_dir).facts["bot_health_logs"], "created_at")
+
+
+def _ingest_api_users(spark, sf_dir):
+    return _iso(_api_ingest(spark, sf_dir).users_delta, "created_at", "last_active_at")
+
+
+def _ingest_api_bots(spark, sf_dir):
+    return _iso(_api_ingest(spark, sf_dir).bots, "connected_at", "verified_at", "tracking_enabled_at", "created_at",
+                "updated_at")
+
+
+def _accounts_after_billing(spark, sf_dir):
+    t, acc, _ = _accepted_billing(spark, sf_dir)
+    from botlens.session import stage
+    return _iso(BL.project_account_plan(t.accounts, stage(acc, "billing-accepted")), "created_at", "updated_at")
+
+
 def _connects(spark, sf_dir):
     """Bot "connect" requests: one per events row, identity of its bot."""
     n = F.broadcast(FX.read(spark, sf_dir, "nation"))
@@ -249,7 +329,8 @@ def _account_change_log(spark, sf_dir):
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("api_key_hash"),
         F.when(F.col("o_orderkey") % 350 == 0, F.lit("missing"))
          .otherwise(F.col("n_regionkey").cast("string")).alias("account_id"),
-        F.when(F.substring("o_orderpriority", 1, 1) == "1", "GROWTH").otherwise("starter").alias("plan"),
+        F.when(F.substring("o_orderpriority", 1, 1) == "1", " GROWTH ").when(
+            F.substring("o_orderpriority", 1, 1) == "5", "gold").otherwise("starter").alias("plan"),
         (F.col("o_orderkey") + 2000000).alias("ingest_seq"))
     return (creates.unionByName(again).unionByName(plans)
             .withColumn("received_at", F.timestamp_add("SECOND", F.col("ingest_seq") % 86400,
@@ -259,7 +340,7 @@ def _account_change_log(spark, sf_dir):
 def _account_changes_state(spark, sf_dir):
     t = tables_a(spark, sf_dir)
     acc, _ = BL.apply_account_changes(t.accounts, _account_change_log(spark, sf_dir))
-    return acc.select("id", "email", "plan")
+    return _iso(acc, "created_at", "updated_at")
 
 
 def _account_changes_rejections(spark, sf_dir):
@@ -268,8 +349,8 @@ def _account_changes_rejections(spark, sf_dir):
     return rej.groupBy("error_code").agg(F.count(F.lit(1)).alias("events"))
 
 
-def _bot_changes(spark, sf_dir):
-    """Verify every bot, then enable tracking; token bots send credentials."""
+def _bot_change_log(spark, sf_dir):
+    """Track, verify or send credentials, and track again: each order on some bots."""
     t = tables_a(spark, sf_dir)
     b = t.bots.select("id", "bot_type", "bot_identifier", F.col("id").cast("int").alias("k"))
     token = F.concat((F.lit(7000000) + F.col("k")).cast("string"), F.lit(":AAH_token-"),
@@ -284,17 +365,27 @@ def _bot_changes(spark, sf_dir):
                         *[v.alias(k) for k, v in cols.items()],
                         F.lit("2024-02-01").cast("timestamp").alias("received_at"),
                         (F.col("k") * 10 + seq).cast("long").alias("ingest_seq"))
-    creds = rows("credentials", 1, display_name=F.concat(F.lit("@"), F.col("bot_identifier")),
+    creds = rows("credentials", 2, display_name=F.concat(F.lit("@"), F.col("bot_identifier")),
                  telegram_bot_id=F.col("k").cast("string"),
                  encrypted_token=F.concat(F.lit("enc:"), token)).filter(F.col("bot_type") == "token")
     verify = rows("verify", 2).filter(F.col("bot_type") == "username")
+    early = rows("track", 1).filter(F.col("k") % 2 == 1)         # before the token is known
     track = rows("track", 3).filter(F.col("k") % 4 != 3)
     ghost = rows("track", 4).filter(F.col("k") == 0).withColumn("bot_id", F.lit("no-such-bot"))
-    changes = creds.unionByName(verify).unionByName(track).unionByName(ghost)
-    new_bots, rej = BO.apply_bot_changes(t.bots, changes)
-    return _iso(new_bots.select("id", "display_name", "verification_status", "tracking_status",
-                                "webhook_status", "verified_at", "tracking_enabled_at"),
-                "verified_at", "tracking_enabled_at")
+    odd = rows("rename", 5).filter(F.col("k") == 1)
+    return t, creds.unionByName(verify).unionByName(early).unionByName(track).unionByName(ghost).unionByName(odd)
+
+
+def _bot_changes(spark, sf_dir):
+    t, changes = _bot_change_log(spark, sf_dir)
+    new_bots, _ = BO.apply_bot_changes(t.bots, changes)
+    return _iso(new_bots, "connected_at", "verified_at", "tracking_enabled_at", "created_at", "updated_at")
+
+
+def _bot_changes_rejections(spark, sf_dir):
+    t, changes = _bot_change_log(spark, sf_dir)
+    _, rej = BO.apply_bot_changes(t.bots, changes)
+    return rej.select("bot_id", "change", "ingest_seq", "error_code")
 
 
 def _stored_rollup(t) -> DataFrame:
@@ -368,6 +459,15 @@ def queries() -> dict[str, Query]:
         "account_changes_state": _account_changes_state,
         "account_changes_rejections": _account_changes_rejections,
         "bot_changes": _bot_changes,
+        "bot_changes_rejections": _bot_changes_rejections,
+        "bad_bodies": _bad_bodies,
+        "ingest_balance": _ingest_balance,
+        "ingest_api_quota": _ingest_api_quota,
+        "ingest_api_payments": _ingest_api_payments,
+        "ingest_api_health": _ingest_api_health,
+        "ingest_api_users": _ingest_api_users,
+        "ingest_api_bots": _ingest_api_bots,
+        "accounts_after_billing": _accounts_after_billing,
         "overview_rollup": _overview_rollup(tables_a, A),
         "overview_rollup_star": _overview_rollup(tables_b, B),
         "dashboard_rollup": _dashboard_rollup(tables_a, A),
@@ -428,5 +528,14 @@ def oracle_sql() -> dict[str, str]:
         "ingest_api_activity": O.ingest_api_activity(),
         "ingest_platform_messages": O.ingest_platform_messages(),
         "bot_changes": O.bot_changes(),
+        "bot_changes_rejections": O.bot_changes_rejections(),
+        "bad_bodies": O.bad_bodies(),
+        "ingest_balance": O.ingest_balance(),
+        "ingest_api_quota": O.ingest_api_quota(QUOTA_LEFT),
+        "ingest_api_payments": O.ingest_api_payments(),
+        "ingest_api_health": O.ingest_api_health(),
+        "ingest_api_users": O.ingest_api_users(),
+        "ingest_api_bots": O.ingest_api_bots(),
+        "accounts_after_billing": O.accounts_after_billing(),
         "account_usage_rollup": O.account_usage("a"),
     }

@@ -419,14 +419,14 @@ def telegram_events() -> str:
     return f"""{base}
 SELECT bot_id, event_id AS ingest_seq, 'user_joined' AS kind, 0 AS sub_seq,
        CAST(user_id * 10 + 1 AS VARCHAR) AS telegram_id, CAST(NULL AS VARCHAR) AS username,
-       'Joe' AS first_name, CAST(NULL AS VARCHAR) AS text, {iso("date_trunc('second', ts)")} AS created_at
+       'Joe' AS first_name, CAST(NULL AS VARCHAR) AS last_name, CAST(NULL AS VARCHAR) AS text, {iso("date_trunc('second', ts)")} AS created_at
 FROM ev WHERE event_type = 'signup'
 UNION ALL
-SELECT bot_id, event_id, 'user_joined', 1, CAST(user_id * 10 + 2 AS VARCHAR), 'bo', 'Bo', NULL,
+SELECT bot_id, event_id, 'user_joined', 1, CAST(user_id * 10 + 2 AS VARCHAR), 'bo', 'Bo', NULL, NULL,
        {iso("date_trunc('second', ts)")}
 FROM ev WHERE event_type = 'signup' AND k % 2 = 1
 UNION ALL
-SELECT bot_id, event_id, 'message', 1048575, uid, 'u' || uid, 'Ann', props,
+SELECT bot_id, event_id, 'message', 1048575, uid, 'u' || uid, 'Ann', NULL, props,
        {iso("date_trunc('second', ts)")}
 FROM ev WHERE event_type IN ('click', 'view')"""
 
@@ -482,16 +482,40 @@ ok AS (
 
 
 def billing_events_state() -> str:
+    """The payload is the validated input: keys by length, then by bytes."""
+    q = lambda c: f"coalesce('\"' || {c} || '\"', 'null')"
+    payload = f"""'{{{{"plan":"' || plan || '","type":"' || event_type || '"'
+      || CASE WHEN amount IS NULL THEN '' ELSE ',"amount":' || {js_num('amount')} END
+      || ',"status":"' || status || '","currency":' || {q('currency')} || ',"provider":"stripe","accountId":"' || account_id
+      || '","providerEventId":"' || provider_event_id || '","currentPeriodEnd":"' || {iso('period_end')}
+      || '","currentPeriodStart":"' || {iso('period_start')} || '","providerCustomerId":' || {q('customer_id')}
+      || ',"providerSubscriptionId":"' || subscription_id || '"}}}}'""".replace("{{", "{").replace("}}", "}")
     return f"""{_webhooks_sql()},
 g AS (
   SELECT provider_event_id, arg_min(account_id, seq) AS account_id, arg_min(received_at, seq) AS created_at,
-         arg_max(event_type, seq) AS event_type, arg_max(received_at, seq) AS processed_at
+         arg_max(event_type, seq) AS event_type, arg_max(received_at, seq) AS processed_at,
+         arg_max({payload}, seq) AS payload
   FROM ok GROUP BY provider_event_id)
 SELECT {stable_id_sql("'billing'", "'stripe'", "provider_event_id")} AS id, account_id, 'stripe' AS provider,
-       provider_event_id, event_type, {iso('processed_at')} AS processed_at, {iso('created_at')} AS created_at
+       provider_event_id, event_type, payload, {iso('processed_at')} AS processed_at, {iso('created_at')} AS created_at
 FROM g"""
 
 
+def accounts_after_billing() -> str:
+    """The last accepted event of an account sets plan, customer id and time."""
+    return f"""{_webhooks_sql()},
+cust AS (SELECT account_id, arg_max(customer_id, seq) FILTER (customer_id IS NOT NULL) AS given,
+           min(seq) AS first_seq FROM ok GROUP BY account_id),
+lasts AS (SELECT account_id, max(seq) AS seq FROM ok GROUP BY account_id)
+SELECT a.id, a.email, a.name, a.api_key_hash,
+       CASE WHEN o.seq IS NOT NULL THEN coalesce(c.given, 'cust_' || {stable_id_sql("'cust'", "a.id", "CAST(c.first_seq AS VARCHAR)")})
+         END AS billing_provider_customer_id,
+       CASE WHEN o.seq IS NULL THEN a.plan WHEN o.status IN ('active', 'trialing') THEN o.plan ELSE 'starter' END AS plan,
+       {iso('a.created_at')} AS created_at, {iso('coalesce(o.received_at, a.updated_at)')} AS updated_at
+FROM d_accounts a LEFT JOIN lasts l ON l.account_id = a.id LEFT JOIN ok o ON o.seq = l.seq
+LEFT JOIN cust c ON c.account_id = a.id"""
+
+
 def current_subscription() -> str:
     return f"""{_webhooks_sql()},
 cust AS (
@@ -516,9 +540,11 @@ def billing_rejections() -> str:
     return f"""{_webhooks_sql()}
 SELECT CASE WHEN account_id NOT IN (SELECT id FROM d_accounts) THEN 'ACCOUNT_NOT_FOUND'
             WHEN bad_date THEN 'VALIDATION_ERROR' ELSE 'INTERNAL_ERROR' END AS error_code,
+       CASE WHEN account_id NOT IN (SELECT id FROM d_accounts) THEN 'accountId'
+            WHEN bad_date THEN 'currentPeriod' ELSE 'amount' END AS error_field,
        count(*) AS events
 FROM wh WHERE account_id NOT IN (SELECT id FROM d_accounts) OR bad_date OR amount < 0
-GROUP BY 1"""
+GROUP BY 1, 2"""
 
 
 # --- quality (I23, I24) -----------------------------------------------------------------
@@ -616,11 +642,8 @@ FROM d_bots b JOIN keys k ON k.owner_account_id = b.owner_account_id AND k.bot_t
 
 
 def token_round_trip() -> str:
-    base, _ = _mapping("a")
-    return f"""{base}
-SELECT DISTINCT CAST(7000000 + n_nationkey AS VARCHAR) || ':AAH_token-' || lower(n_name) || '_xxxxxxxxxxxx' AS token,
-       true AS round_trip_ok
-FROM ev JOIN nation ON CAST(n_nationkey AS VARCHAR) = ev.bot_id WHERE n_nationkey % 2 = 1"""
+    return """SELECT event_id, CAST(7000000 + event_id AS VARCHAR) || ':AAH_token-' || event_type || '_xxxxxxxxxxxx' AS token,
+       true AS round_trip_ok FROM events"""
 
 
 # --- bot cap (I7), account changes (I18) ------------------------------------------------
@@ -652,27 +675,33 @@ def _account_changes_ctes() -> str:
     base, _ = _mapping("a")
     return f"""{base},
 creates AS (
-  SELECT lower('C' || CAST(c_custkey AS VARCHAR) || '@Example.com') AS email, c_custkey AS seq FROM customer
+  SELECT lower('C' || CAST(c_custkey AS VARCHAR) || '@Example.com') AS email, c_custkey AS seq, c_name AS name,
+         sha256('C' || CAST(c_custkey AS VARCHAR) || '@Example.com') AS api_key_hash FROM customer
   UNION ALL
-  SELECT lower(upper('C' || CAST(c_custkey AS VARCHAR) || '@Example.com')), c_custkey + 1000000
+  SELECT lower(upper('C' || CAST(c_custkey AS VARCHAR) || '@Example.com')), c_custkey + 1000000, c_name, NULL
   FROM customer WHERE c_custkey % 10 = 0),
 firsts AS (SELECT email, min(seq) AS seq FROM creates GROUP BY email),
 new_acc AS (
-  SELECT {stable_id_sql("'account'", "email")} AS id, email, 'starter' AS plan FROM firsts
-  WHERE email NOT IN (SELECT email FROM d_accounts)),
-allacc AS (SELECT id, email, plan FROM d_accounts UNION ALL SELECT id, email, plan FROM new_acc),
+  SELECT {stable_id_sql("'account'", "f.email")} AS id, f.email, c.name, c.api_key_hash, 'starter' AS plan,
+         TIMESTAMP '2024-02-01' + (f.seq % 86400) * INTERVAL 1 SECOND AS tm
+  FROM firsts f JOIN creates c ON c.email = f.email AND c.seq = f.seq
+  WHERE f.email NOT IN (SELECT email FROM d_accounts)),
+allacc AS (SELECT id, email, name, api_key_hash, plan, created_at, updated_at FROM d_accounts
+           UNION ALL SELECT id, email, name, api_key_hash, plan, tm, tm FROM new_acc),
 plans AS (
   SELECT CASE WHEN o_orderkey % 350 = 0 THEN 'missing' ELSE CAST(n_regionkey AS VARCHAR) END AS account_id,
-         CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'growth' ELSE 'starter' END AS plan,
+         CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'growth' WHEN '5' THEN 'gold' ELSE 'starter' END AS plan,
          o_orderkey + 2000000 AS seq
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def account_changes_state() -> str:
     return f"""{_account_changes_ctes()},
-last_plan AS (SELECT account_id, arg_max(plan, seq) AS plan FROM plans
-              WHERE account_id IN (SELECT id FROM allacc) GROUP BY 1)
-SELECT a.id, a.email, coalesce(l.plan, a.plan) AS plan
+last_plan AS (SELECT account_id, arg_max(plan, seq) AS plan, max(seq) AS seq FROM plans
+              WHERE account_id IN (SELECT id FROM allacc) AND plan IN ('starter', 'growth') GROUP BY 1)
+SELECT a.id, a.email, a.name, a.api_key_hash, CAST(NULL AS VARCHAR) AS billing_provider_customer_id,
+       coalesce(l.plan, a.plan) AS plan, {iso('a.created_at')} AS created_at,
+       {iso("CASE WHEN l.seq IS NULL THEN a.updated_at ELSE TIMESTAMP '2024-02-01' + (l.seq % 86400) * INTERVAL 1 SECOND END")} AS updated_at
 FROM allacc a LEFT JOIN last_plan l ON l.account_id = a.id"""
 
 
@@ -683,7 +712,8 @@ r AS (
   WHERE c.email IN (SELECT email FROM d_accounts)
      OR c.seq <> (SELECT f.seq FROM firsts f WHERE f.email = c.email)
   UNION ALL
-  SELECT 'ACCOUNT_NOT_FOUND' FROM plans WHERE account_id NOT IN (SELECT id FROM allacc))
+  SELECT CASE WHEN account_id NOT IN (SELECT id FROM allacc) THEN 'ACCOUNT_NOT_FOUND' ELSE 'VALIDATION_ERROR' END
+  FROM plans WHERE account_id NOT IN (SELECT id FROM allacc) OR plan NOT IN ('starter', 'growth'))
 SELECT error_code, count(*) AS events FROM r GROUP BY 1"""
 
 
@@ -768,22 +798,155 @@ SELECT {stable_id_sql("'message'", "'platform'", "CAST(event_id AS VARCHAR)", "'
 FROM ev WHERE event_type IN ('click', 'view')"""
 
 
-def bot_changes() -> str:
-    """I19 on the nation bots: token bots send credentials, username bots
-    verify (needs a display name), then tracking (needs verified)."""
+def _bot_changes_ctes() -> str:
+    """Token bots send credentials (2), username bots verify (2); odd bots track before (1), three of four after (3)."""
     base, _ = _mapping("a")
-    at = "TIMESTAMP '2024-02-01 00:00:00'"
     return f"""{base},
-b AS (SELECT *, CAST(id AS INTEGER) AS k FROM d_bots),
-v AS (SELECT id FROM b WHERE bot_type = 'token' OR display_name IS NOT NULL),
-t AS (SELECT id FROM b WHERE k % 4 <> 3 AND (verification_status = 'verified' OR id IN (SELECT id FROM v)))
-SELECT id,
+b AS (SELECT *, CAST(id AS INTEGER) AS k, bot_type = 'token' OR display_name IS NOT NULL AS passes,
+        verification_status = 'verified' AS was FROM d_bots),
+s AS (SELECT *, k % 2 = 1 AND was AS early, k % 4 <> 3 AND (was OR passes) AS late FROM b)"""
+
+
+def bot_changes() -> str:
+    """The webhook is enabled if the bot has a token when tracking is (last) enabled."""
+    at = "TIMESTAMP '2024-02-01 00:00:00'"
+    token = "CAST(7000000 + k AS VARCHAR) || ':AAH_token-' || bot_identifier || '_xxxxxxxxxxxx'"
+    return f"""{_bot_changes_ctes()}
+SELECT id, owner_account_id, bot_identifier, bot_type,
        CASE WHEN bot_type = 'token' THEN '@' || bot_identifier ELSE display_name END AS display_name,
-       CASE WHEN id IN (SELECT id FROM v) THEN 'verified' ELSE verification_status END AS verification_status,
-       CASE WHEN id IN (SELECT id FROM t) THEN 'enabled' ELSE tracking_status END AS tracking_status,
-       CASE WHEN id IN (SELECT id FROM t)
-            THEN CASE WHEN bot_type = 'token' THEN 'enabled' ELSE 'pending' END
-            ELSE webhook_status END AS webhook_status,
-       {iso(f"CASE WHEN id IN (SELECT id FROM v) THEN {at} ELSE verified_at END")} AS verified_at,
-       {iso(f"CASE WHEN id IN (SELECT id FROM t) THEN {at} ELSE tracking_enabled_at END")} AS tracking_enabled_at
-FROM b"""
+       CASE WHEN bot_type = 'token' THEN id END AS telegram_bot_id,
+       CASE WHEN bot_type = 'token' THEN 'enc:' || {token} END AS encrypted_token,
+       CASE WHEN passes THEN 'verified' ELSE verification_status END AS verification_status,
+       CASE WHEN early OR late THEN 'enabled' ELSE tracking_status END AS tracking_status,
+       CASE WHEN late AND bot_type = 'token' THEN 'enabled' WHEN early OR late THEN 'pending' ELSE webhook_status END AS webhook_status,
+       {iso('connected_at')} AS connected_at, {iso(f"CASE WHEN passes THEN {at} ELSE verified_at END")} AS verified_at,
+       {iso(f"CASE WHEN early OR late THEN {at} ELSE tracking_enabled_at END")} AS tracking_enabled_at,
+       {iso('created_at')} AS created_at, {iso(f"CASE WHEN passes OR early OR late THEN {at} ELSE updated_at END")} AS updated_at
+FROM s"""
+
+
+def bot_changes_rejections() -> str:
+    return f"""{_bot_changes_ctes()}
+SELECT id AS bot_id, 'verify' AS change, CAST(k * 10 + 2 AS BIGINT) AS ingest_seq, 'VERIFICATION_FAILED' AS error_code
+FROM s WHERE NOT passes
+UNION ALL SELECT id, 'track', k * 10 + 1, 'VERIFICATION_FAILED' FROM s WHERE k % 2 = 1 AND NOT was
+UNION ALL SELECT id, 'track', k * 10 + 3, 'VERIFICATION_FAILED' FROM s WHERE k % 4 <> 3 AND NOT (was OR passes)
+UNION ALL SELECT 'no-such-bot', 'track', k * 10 + 4, 'BOT_NOT_FOUND' FROM s WHERE k = 0
+UNION ALL SELECT id, 'rename', k * 10 + 5, 'VALIDATION_ERROR' FROM s WHERE k = 1"""
+
+
+# --- malformed inputs (I1-I4, I14), quota, the other outputs of an API batch --------------------
+
+def _bad_cases() -> str:
+    """(source, n, i, error_code, error_field): the expected outcome of each case."""
+    from botlens.sources import raw as R
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    rows = [f"('{source}', {len(cases)}, {i}, {text(c[-2])}, {text(c[-1])})" for source, cases in (
+        ("api", R.BAD_API), ("platform", R.BAD_PLATFORM), ("billing", R.BAD_BILLING)) for i, c in enumerate(cases)]
+    return f"""WITH cases(source, n, i, error_code, error_field) AS (VALUES {', '.join(rows)}),
+numbers AS (SELECT 'api' AS source, event_id AS number FROM events UNION ALL SELECT 'platform', event_id FROM events
+            UNION ALL SELECT 'billing', o_orderkey FROM orders),
+found AS (
+  SELECT s.source, CASE WHEN s.source = 'platform' AND number % 11 = 0 THEN 'BOT_NOT_FOUND' ELSE error_code END AS error_code,
+         CASE WHEN s.source = 'platform' AND number % 11 = 0 THEN 'botId' ELSE error_field END AS error_field
+  FROM numbers s JOIN cases c ON c.source = s.source AND s.number % c.n = c.i)"""
+
+
+def bad_bodies() -> str:
+    return f"""{_bad_cases()}
+SELECT source, error_code, error_field, count(*) AS events FROM found
+WHERE error_code IS NOT NULL AND error_code <> 'ignored' GROUP BY ALL"""
+
+
+def ingest_balance() -> str:
+    return f"""{_bad_cases()}
+SELECT source, count(*) AS input_rows, count(*) FILTER (error_code IS NULL) AS accepted_rows,
+       count(*) FILTER (error_code <> 'ignored') AS rejected_rows, count(*) FILTER (error_code = 'ignored') AS other_rows
+FROM found GROUP BY source"""
+
+
+def ingest_api_quota(left: dict) -> str:
+    """Owner and month each have their own running count; an event counts if it is dated in its arrival month or later."""
+    base, _ = _mapping("a")
+    jan, feb = left.values()
+    return f"""{base},
+e AS (
+  SELECT ev.event_id, CAST(n.n_regionkey AS VARCHAR) AS owner, event_id % 3 = 0 AS later,
+         CASE WHEN a.plan = 'growth' THEN 250000 ELSE 5000 END AS lim,
+         CASE WHEN event_type <> 'error' AND (event_id % 3 <> 0 OR k % 5 = 0) THEN 1 ELSE 0 END AS counts
+  FROM ev JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = ev.bot_id
+  JOIN d_accounts a ON a.id = CAST(n.n_regionkey AS VARCHAR) WHERE k <> 99),
+ran AS (
+  SELECT *, lim - CASE WHEN later THEN {feb} ELSE {jan} END + coalesce(sum(counts) OVER (
+      PARTITION BY owner, later ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e)
+SELECT event_id AS ingest_seq, 'monthlyEvents' AS error_field,
+       'current ' || CAST(used AS VARCHAR) || ', limit ' || CAST(lim AS VARCHAR) AS error_detail
+FROM ran WHERE used >= lim"""
+
+
+def _api_facts() -> str:
+    return ingest_api_activity().rsplit("SELECT id, bot_id, kind AS event_type", 1)[0].rstrip()
+
+
+def _api_fact_id(kind: str) -> str:
+    return stable_id_sql(f"'{kind}'", "'api'", "CAST(ok.event_id AS VARCHAR)", "'0'")
+
+
+def _created(alias: str = "ok") -> str:
+    return (f"CASE WHEN {alias}.k % 5 <> 0 THEN CAST(strftime({alias}.ts, '%Y-%m-%d %H:%M:%S.%g') AS TIMESTAMP) "
+            f"ELSE {alias}.ts + INTERVAL 5 SECOND END")
+
+
+def ingest_api_payments() -> str:
+    return f"""{_api_facts()}
+SELECT {_api_fact_id('payment')} AS id, bot_id, {stable_id_sql("'user'", "bot_id", "uid")} AS user_id, amount,
+       CASE WHEN k % 10 = 0 THEN 'EUR' ELSE 'USD' END AS currency, {iso(_created())} AS created_at
+FROM ok WHERE event_type = 'purchase'"""
+
+
+def ingest_api_health() -> str:
+    return f"""{_api_facts()}
+SELECT {_api_fact_id('health')} AS id, bot_id, 'online' AS status, CAST(100 AS DECIMAL(5,2)) AS uptime,
+       CAST(1 AS INTEGER) AS request_count, {iso(_created())} AS created_at FROM ok"""
+
+
+def ingest_api_users() -> str:
+    return f"""{_api_facts()},
+u AS (SELECT bot_id, uid, arg_min(tm, event_id) AS created_at, max(tm) AS last_active_at, min(event_id) AS first_seq,
+        max(event_id) AS last_seq, max_by({{'u': CASE WHEN k % 7 <> 0 THEN 'u' || uid END,
+                                            'f': CASE WHEN k % 3 = 0 THEN 'First' END}}, event_id) AS p
+      FROM (SELECT *, {_created()} AS tm FROM ok) GROUP BY bot_id, uid)
+SELECT {stable_id_sql("'user'", "bot_id", "uid")} AS id, bot_id, uid AS telegram_id, p.u AS username, p.f AS first_name,
+       CAST(NULL AS VARCHAR) AS last_name, {iso('created_at')} AS created_at, {iso('last_active_at')} AS last_active_at,
+       first_seq, last_seq FROM u"""
+
+
+def ingest_api_bots() -> str:
+    """Known bots are touched, unknown identities created; an event with a bad date does both."""
+    from botlens.sources.fixtures import sql_hmac
+    from botlens.sources.raw import TOKEN_SECRET
+    token = "CAST(7000000 + n.n_nationkey AS VARCHAR) || ':AAH_token-' || lower(n.n_name) || '_xxxxxxxxxxxx'"
+    prefix = ingest_api_rejections().rsplit("SELECT error_code", 1)[0].rstrip()
+    return f"""{prefix},
+res AS (
+  SELECT r.owner, CASE WHEN n.n_nationkey % 2 = 0 OR r.event_type = 'error' THEN 'username' ELSE 'token' END AS bot_type,
+         CASE WHEN n.n_nationkey % 2 = 0 THEN lower(n.n_name) WHEN r.event_type = 'error' THEN lower({token})
+              ELSE {sql_hmac(token, TOKEN_SECRET)} END AS bot_identifier, ev.ts + INTERVAL 5 SECOND AS tm
+  FROM ran r JOIN ev ON ev.event_id = r.event_id JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = ev.bot_id
+  WHERE r.used < r.lim AND (r.event_type <> 'error' OR r.k % 10 = 8)),
+g AS (SELECT owner, bot_type, bot_identifier, min(tm) AS first_at, max(tm) AS last_at FROM res GROUP BY ALL),
+allb AS (
+  SELECT b.id, b.owner_account_id, b.bot_identifier, b.bot_type, b.display_name, b.verification_status, b.tracking_status,
+         greatest(b.connected_at, coalesce(g.last_at, b.connected_at)) AS connected_at, b.verified_at, b.tracking_enabled_at,
+         b.created_at, greatest(b.updated_at, coalesce(g.last_at, b.updated_at)) AS updated_at
+  FROM d_bots b LEFT JOIN g ON g.bot_type = b.bot_type AND g.bot_identifier = b.bot_identifier
+  UNION ALL
+  SELECT {stable_id_sql("'bot'", "g.bot_type", "g.bot_identifier")}, g.owner, g.bot_identifier, g.bot_type,
+         CASE WHEN g.bot_type = 'username' THEN '@' || g.bot_identifier ELSE 'Telegram Bot' END, 'pending', 'disabled',
+         last_at, NULL, NULL, first_at, last_at
+  FROM g WHERE NOT EXISTS (SELECT 1 FROM d_bots b WHERE b.bot_type = g.bot_type AND b.bot_identifier = g.bot_identifier))
+SELECT id, owner_account_id, bot_identifier, bot_type, display_name, CAST(NULL AS VARCHAR) AS telegram_bot_id,
+       CAST(NULL AS VARCHAR) AS encrypted_token, verification_status, tracking_status, 'pending' AS webhook_status,
+       {iso('connected_at')} AS connected_at, {iso('verified_at')} AS verified_at,
+       {iso('tracking_enabled_at')} AS tracking_enabled_at, {iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at
+FROM allb"""

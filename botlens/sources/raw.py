@@ -136,3 +136,91 @@ def billing_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.iso_text(F.timestamp_add("DAY", F.lit(30), F.col("o_orderdate"))).alias("currentPeriodEnd")))
     return x.select(body.alias("body"), key.alias("ingest_seq"),
                     F.timestamp_add("SECOND", key % 86400, F.col("o_orderdate")).alias("received_at"))
+
+
+# --- malformed inputs ---------------------------------------------------------------------
+# One case a row, chosen by the row's number, so every case occurs in proportion to the table.
+# (body with {bot}, {key} placeholders, expected error code and field; no code: accepted)
+_USER = '"user":{"telegramId":"7"}'
+_NAMED = '"botType":"username","botValue":"@{bot}"'
+BAD_API = [
+    ("message", '{"a":1},"x":2', "INVALID_JSON", "body"),
+    ("message", '1,"v":{"a":2}', "INVALID_JSON", "body"),
+    ("message", "{" + _NAMED + "," + _USER + '} x', "INVALID_JSON", "body"),
+    ("message", "", "VALIDATION_ERROR", "body"),
+    ("message", "null", "INTERNAL_ERROR", "body"),
+    ("payment", "{" + _NAMED + "," + _USER + ',"amount":"abc","currency":"usd"}', "VALIDATION_ERROR", "amount"),
+    ("payment", "{" + _NAMED + "," + _USER + ',"amount":100000000000,"currency":"usd"}', "VALIDATION_ERROR", "amount"),
+    ("message", "{" + _NAMED + "," + _USER + ',"createdAt":"12:30:00"}', "VALIDATION_ERROR", "createdAt"),
+    ("message", "{" + _NAMED + "," + _USER + ',"createdAt":"T12:30"}', "VALIDATION_ERROR", "createdAt"),
+    ("message", "{" + _NAMED + ',"user":{"telegramId":42}}', "VALIDATION_ERROR", "user.telegramId"),
+    ("message", "{" + _NAMED + "," + _USER + ',"text":"fine"}', None, None),
+    ("user_joined", "{" + _NAMED + ',"user":[1]}', "VALIDATION_ERROR", "user.telegramId"),
+    ("user_joined", '{"botType":"username","botValue":"' + "v" * 513 + '",' + _USER + "}", "VALIDATION_ERROR", "botValue"),
+    ("payment", "{" + _NAMED + "," + _USER + ',"amount":-1,"currency":"usd"}', "VALIDATION_ERROR", "amount"),
+    ("user_joined", '{"botType":"x",' + _NAMED + "," + _USER + "}", None, None),
+    ("payment", "{" + _NAMED + "," + _USER + ',"amount":1,"currency":"ABCDEFGHI"}', "VALIDATION_ERROR", "currency"),
+]
+# expected code ``ignored``: valid, but nothing to write
+BAD_PLATFORM = [
+    ("", "VALIDATION_ERROR", "body"),
+    ("not json", "INVALID_JSON", "body"),
+    ('{"message":{"from":{"id":1},"date":1704067200,"text":"x"}} x', "INVALID_JSON", "body"),
+    ('{"a":1},"x":2', "INVALID_JSON", "body"),
+    ("null", "INTERNAL_ERROR", "body"),
+    ('{"message":{"from":{"id":1},"text":"x"}}', "INTERNAL_ERROR", "message.date"),
+    ('{"message":{"from":{"id":1},"date":"abc","text":"x"}}', "INTERNAL_ERROR", "message.date"),
+    ('{"message":{"from":{"id":1},"date":1e30,"text":"x"}}', "INTERNAL_ERROR", "message.date"),
+    ('{"message":{"from":{"id":1}}}', "ignored", None),
+    ('{"update_id":1}', "ignored", None),
+    ('{"message":{"date":1704067200,"text":"no sender"}}', "ignored", None),
+    ('{"message":{"from":{"id":1},"date":1704067200,"new_chat_members":[{"id":"text","is_bot":false}]}}', None, None),
+    ('{"message":{"from":{"id":1},"date":1704067200,"text":""}}', None, None),
+]
+_PAID = '"provider":"stripe","type":"t","providerEventId":"{key}","plan":"growth","status":"active"'
+BAD_BILLING = [
+    ("{" + _PAID + ',"accountId":"1","amount":"abc"}', "VALIDATION_ERROR", "amount"),
+    ("{" + _PAID + ',"accountId":"1","amount":100000000000}', "INTERNAL_ERROR", "amount"),
+    ("{" + _PAID + ',"accountId":"1","amount":-1}', "INTERNAL_ERROR", "amount"),
+    ("{" + _PAID + ',"accountId":"1","currentPeriodStart":"12:30:00"}', "VALIDATION_ERROR", "currentPeriod"),
+    ("{" + _PAID + ',"accountId":"1","currentPeriodEnd":"soon"}', "VALIDATION_ERROR", "currentPeriod"),
+    ("{" + _PAID + ',"accountId":"missing"}', "ACCOUNT_NOT_FOUND", "accountId"),
+    ("{" + _PAID + ',"accountId":"1","plan":"gold"}', "VALIDATION_ERROR", "plan"),
+    ("{" + _PAID + ',"accountId":"1","status":"paused"}', "VALIDATION_ERROR", "status"),
+    ("{" + _PAID + ',"accountId":"1","provider":5}', "VALIDATION_ERROR", "provider"),
+    ("{" + _PAID + ',"accountId":"1"} x', "INVALID_JSON", "body"),
+    ('{"a":1},"x":2', "INVALID_JSON", "body"),
+    ("", "VALIDATION_ERROR", "body"),
+    ("null", "INTERNAL_ERROR", "body"),
+    ("{" + _PAID + ',"accountId":"1","amount":5}', None, None),
+]
+
+
+def _case(number, values):
+    """The value of the row's case."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def bad_api_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events_a(spark, sf_dir).join(_nation(spark, sf_dir), "bot_id")
+    number = F.col("event_id")
+    return ev.select(
+        _case(number, [c[0] for c in BAD_API]).alias("kind"),
+        F.concat(F.lit("key-"), F.col("n_regionkey").cast("string")).alias("api_key"),
+        F.replace(_case(number, [c[1] for c in BAD_API]), F.lit("{bot}"), F.concat(F.lit("bad"), F.col("n_regionkey"))).alias("body"),
+        number.alias("ingest_seq"), F.col("ts").alias("received_at"))
+
+
+def bad_platform_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 11th row names a bot that does not exist."""
+    number = F.col("event_id")
+    return events_a(spark, sf_dir).select(
+        F.when(number % 11 == 0, "no-such-bot").otherwise(F.col("bot_id")).alias("bot_id"),
+        _case(number, [c[0] for c in BAD_PLATFORM]).alias("body"), number.alias("ingest_seq"), F.col("ts").alias("received_at"))
+
+
+def bad_billing_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        F.replace(_case(number, [c[0] for c in BAD_BILLING]), F.lit("{key}"), number.cast("string")).alias("body"),
+        number.alias("ingest_seq"), F.col("o_orderdate").cast("timestamp").alias("received_at"))

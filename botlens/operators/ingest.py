@@ -143,8 +143,11 @@ def enforce_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
                .join(base, ["owner_account_id"] + ["_month"] * by_month, "left"))
     ran = exclusive_running_sum(flagged, ["owner_account_id", "_month"], seq_col, "_counts", "_before",
                                 chunk=chunk)
-    used = F.coalesce(F.col("_base"), F.lit(0)) + F.col("_before")
-    decided = ran.withColumn("_ok", F.coalesce(used < F.col("_limit"), F.lit(False))).withColumn("_used", used)
+    base_count = F.coalesce(F.col("_base"), F.lit(0))
+    used = base_count + F.col("_before")
+    # refused events do not count, so the count an event meets stops at the limit (or at a base above it)
+    met = F.greatest(base_count, F.least(used, F.coalesce(F.col("_limit").cast("long"), base_count)))
+    decided = ran.withColumn("_ok", F.coalesce(used < F.col("_limit"), F.lit(False))).withColumn("_used", met)
     accepted = decided.filter("_ok").drop("_counts", "_limit", "_base", "_before", "_ok", "_used", "_month")
     keep = [c for c in events.columns if c not in ("error_code", "error_field", "error_detail")]
     rejected = decided.filter(~F.col("_ok")).select(

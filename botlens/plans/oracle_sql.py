@@ -880,7 +880,7 @@ ran AS (
   SELECT *, lim - CASE WHEN later THEN {feb} ELSE {jan} END + coalesce(sum(counts) OVER (
       PARTITION BY owner, later ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e)
 SELECT event_id AS ingest_seq, 'monthlyEvents' AS error_field,
-       'current ' || CAST(used AS VARCHAR) || ', limit ' || CAST(lim AS VARCHAR) AS error_detail
+       'current ' || CAST(lim AS VARCHAR) || ', limit ' || CAST(lim AS VARCHAR) AS error_detail
 FROM ran WHERE used >= lim"""
 
 

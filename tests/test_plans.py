@@ -9,12 +9,29 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_time_filters_reach_the_scan(spark):
+def test_only_needed_columns_are_read(spark):
     plan = _plan(E.queries()["overview_star"](spark, SF))
-    pass
     assert "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp_ntz>" in plan
 
 
+def test_dashboard_reads_each_table_once(spark):
+    """Stored tables: users, messages, payments and health logs have one scan each."""
+    import os
+    import tempfile
+
+    from botlens.operators import stats
+    from botlens.sources import fixtures as FX
+    from botlens.sources.tables import read_tables
+
+    root = tempfile.mkdtemp(prefix="botlens-scans-")
+    t = FX.mapping_a(spark, SF)
+    for name, df in t.items():
+        df.write.parquet(os.path.join(root, name))
+    plan = _plan(stats.dashboard(read_tables(spark, root, list(t)), FX.AS_OF_A))
+    for name in ("users", "messages", "payments", "bot_health_logs", "activity_logs"):
+        assert plan.count(f"Location: InMemoryFileIndex(1 paths)[file:{root}/{name}]") == 1, name
+
+
 def test_top_n_is_limited_before_the_shuffle(spark):
     plan = _plan(E.queries()["recent_activity_star"](spark, SF))
     assert plan.count("WindowGroupLimit") >= 2        # partial (map side) and final

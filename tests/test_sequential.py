@@ -1,39 +1,43 @@
 """Sequential rules computed in one batch equal a one-at-a-time Python fold."""
 
 import random
+from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from botlens.functions.sequential import exclusive_running_sum
 from botlens.operators import ingest as I
 
 
-def test_quota_matches_fold(spark):
-    rnd = random.Random(7)
-    rows = [(s, rnd.choice(["a", "b", "c"]), rnd.random() < 0.7) for s in range(600)]
-    limit = {"a": 50, "b": 120, "c": 10}
-    base = {"a": 10, "b": 0, "c": 12}
-    used, expect = dict(base), {}
-    for seq, owner, counts in rows:                      # the reference, one request at a time
-        ok = used[owner] < limit[owner]
-        expect[seq] = ok
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quota_matches_fold(spark, seed):
+    """The operator itself against one request at a time: owners near their limits, two
+    months in one batch, an owner whose plan the catalogue does not know."""
+    rnd = random.Random(seed)
+    plans = {"a": "starter", "b": "growth", "c": "starter", "d": "gold"}
+    limits = {"starter": 5000, "growth": 250000}
+    left = {("a", 1): 40, ("a", 2): 5, ("b", 1): 90, ("b", 2): 0, ("c", 1): -3, ("c", 2): 500, ("d", 1): 9, ("d", 2): 9}
+    used = {(o, m): limits.get(plans[o], 5000) - n for (o, m), n in left.items()}
+    usage = spark.createDataFrame([(o, date(2024, m, 1), n) for (o, m), n in used.items()],
+                                  "account_id string, month date, monthly_events long")
+    rows, expect = [], {}
+    for seq in range(800):
+        owner, month, counts = rnd.choice("abcd"), rnd.choice([1, 1, 2]), rnd.random() < 0.7
+        rows.append((seq, owner, plans[owner], datetime(2024, month, rnd.randint(1, 28)), counts))
+        ok = owner != "d" and used[owner, month] < limits[plans[owner]]
+        expect[seq] = None if ok else used[owner, month]
         if ok and counts:
-            used[owner] += 1
-    ev = spark.createDataFrame(rows, "ingest_seq long, owner_account_id string, c boolean") \
-        .withColumn("plan", F.when(F.col("owner_account_id") == "b", "growth").otherwise("starter"))
-    usage = spark.createDataFrame([(k, v) for k, v in base.items()], "account_id string, monthly_events long")
-    # scale the plan limits down to the test's numbers through a custom catalogue
-    ran = exclusive_running_sum(ev.withColumn("_n", F.col("c").cast("int")), ["owner_account_id"],
-                                "ingest_seq", "_n", "before", chunk=64)
-    lim = F.create_map(*[x for k, v in limit.items() for x in (F.lit(k), F.lit(v))])
-    bmap = F.create_map(*[x for k, v in base.items() for x in (F.lit(k), F.lit(v))])
-    got = {r.ingest_seq: r.ok for r in ran.select(
-        "ingest_seq", ((bmap[F.col("owner_account_id")] + F.col("before")) < lim[F.col("owner_account_id")])
-        .alias("ok")).collect()}
-    assert got == expect
-    # the operator itself with the real plan limits (nothing rejected at this size)
-    acc, rej = I.enforce_event_quota(ev, usage, F.col("c"), chunk=64)
-    assert acc.count() == 600 and rej.count() == 0
+            used[owner, month] += 1
+    events = spark.createDataFrame(rows, "ingest_seq long, owner_account_id string, plan string, received_at timestamp, c boolean")
+    acc, rej = I.enforce_event_quota(events, usage, F.col("c"), chunk=64)
+    got = {r.ingest_seq: None for r in acc.collect()}
+    for r in rej.collect():
+        assert r.ingest_seq not in got and r.error_code == "PLAN_LIMIT_REACHED"
+        got[r.ingest_seq] = int(r.error_detail.split(" ")[1].rstrip(","))
+    known = {s: v for s, v in expect.items() if rows[s][1] != "d"}
+    assert {s: got[s] for s in known} == known
+    assert all(got[s] is not None for s in expect if rows[s][1] == "d") and len(got) == len(rows)
+    assert sum(v is not None for v in known.values()) > 100
 
 
 def test_upsert_users_split_batches(spark):
@@ -57,7 +61,6 @@ def test_upsert_users_split_batches(spark):
     for r in whole.collect():
         assert r.username == last[r.telegram_id][2]
         assert r.created_at.strftime("%Y-%m-%d %H:%M:%S") == first[r.telegram_id][5]
-    assert key
 
 
 def test_last_non_null_matches_fold(spark):

@@ -61,6 +61,34 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return grams
 
 
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+LONG = 64              # bytes of a word from which it is hashed on its own
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a UTF-8 text, in order.
+
+    A word's hash is a polynomial of its bytes, taken from prefix sums over the
+    whole text, without a loop over the words.  Long words, for which a
+    polynomial modulo 2 ** 64 has known collisions, are hashed by xxHash.
+    """
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~BLANK[data]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
+    out = (sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts]
+    out ^= out >> np.uint64(32)
+    out *= MIX
+    out ^= out >> np.uint64(29)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(text[starts[i]:ends[i]])
+    return out
+
+
 def sliding(values: np.ndarray, span: int, pick) -> np.ndarray:
     """``pick`` (np.minimum or np.maximum) over every ``span`` consecutive values, by doubling."""
     width = 1

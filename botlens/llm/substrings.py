@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from botlens.session import stage
 
 from .common import WORD_BYTES, encode
-from .grams import Hashes, least_in_windows, rolling
+from .grams import least_in_windows, rolling, word_hashes
 
 SHARD = 4 << 20        # bytes of text in a shard of documents, about
 SLOT = 16 << 20        # bytes of text whose hashes a slot takes, about
@@ -75,7 +75,7 @@ def phrases(hashes: np.ndarray, size: int, phrase: int) -> tuple[np.ndarray, np.
 def recurring_phrases(docs: DataFrame, size: int, phrase: int, slots: int) -> DataFrame:
     """(shard, hashes): packed hashes of the recurring phrases that a shard's documents have."""
     def emit(batches):
-        cache, held, shards, n = Hashes(), [], [], 0
+        held, shards, n = [], [], 0
 
         def blocks():
             for slot, h, s in by_slot(np.concatenate(held), slots, np.concatenate(shards)):
@@ -84,7 +84,7 @@ def recurring_phrases(docs: DataFrame, size: int, phrase: int, slots: int) -> Da
         columns = ["slot", "hashes", "shards"]
         for batch in batches:
             for shard, text in zip(batch["shard"].tolist(), batch["text"]):
-                _, own = phrases(cache.of(WORD_BYTES.findall(encode(text))), size, phrase)
+                _, own = phrases(word_hashes(encode(text)), size, phrase)
                 own, count = np.unique(own, return_counts=True)
                 own = np.concatenate([own, own[count > 1]])       # twice tells that it recurs
                 held.append(own)
@@ -158,21 +158,25 @@ def first_windows(docs: DataFrame, recurring: DataFrame, size: int, phrase: int,
     """Rows of two kinds: documents (slot null) with their candidate starts, and, by slot, packed
     hashes of the shard's candidate windows with the least document that holds each."""
     def run(key, texts, blocks):
-        shard, cache = int(key[0]), Hashes()
+        shard = int(key[0])
         wanted = np.sort(longs(blocks["hashes"]))
-        split, hashed, found = [], [], {}
+        split, hashed, has, found = [], [], [], {}
         for text in texts["text"]:
-            words = WORD_BYTES.findall(encode(text))
-            hashes = cache.of(words)
+            raw = encode(text)
+            words, hashes = WORD_BYTES.findall(raw), word_hashes(raw)
             split.append(words)
             hashed.append(hashes)
             at, own = phrases(hashes, size, phrase)
-            for i in at[among(own, wanted)].tolist():
+            at = at[among(own, wanted)]
+            has.append(len(at))
+            for i in at.tolist():
                 found.setdefault(tuple(words[i:i + phrase]))
         starts = [np.empty(0, np.int64)] * len(split)
         if found:
             automaton, codes, width = automaton_of(list(found))
-            starts = [candidates(w, automaton, codes, width, size) for w in split]
+            # a text none of whose windows stands for a recurring phrase has no window that recurs
+            starts = [candidates(w, automaton, codes, width, size) if n else none
+                      for w, n, none in zip(split, has, starts)]
         out, windows, owners = [], [], []
         for doc_id, rank, text, words, hashes, own in zip(texts["doc_id"], ranked(texts["doc_id"]), texts["text"], split,
                                                           hashed, starts):
@@ -221,13 +225,13 @@ def earlier_elsewhere(blocks: DataFrame) -> DataFrame:
 def cut(docs: DataFrame, earlier: DataFrame, size: int) -> DataFrame:
     """Documents with candidates after removal: (doc_id, n_words, n_removed, kept_sha256, removed)."""
     def run(key, texts, blocks):
-        cache, away = Hashes(), np.sort(longs(blocks["hashes"]))
+        away = np.sort(longs(blocks["hashes"]))
         rows, all_hashes, all_starts, all_ranks = [], [], [], []
         for rank, text, starts in zip(ranked(texts["doc_id"]), texts["text"], texts["starts"]):
-            words = WORD_BYTES.findall(encode(text))
+            raw = encode(text)
             at = np.frombuffer(starts, np.int32).astype(np.int64)
-            rows.append(words)
-            all_hashes.append(rolling(cache.of(words), size)[at].view(np.int64))
+            rows.append(WORD_BYTES.findall(raw))
+            all_hashes.append(rolling(word_hashes(raw), size)[at].view(np.int64))
             all_starts.append(at)
             all_ranks.append(np.full(len(at), rank))
         if not rows:

@@ -70,6 +70,18 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_word_hashes_tell_words_apart():
+    rng = np.random.default_rng(2)
+    for text in ("", " ", "a", " a  b\n", "é à\x0b b\xa0c d", "x" * 70 + " y", "aa a aaa \x00 \x00\x00"):
+        found = grams.word_hashes(text.encode())
+        assert len(found) == len(words(text))
+        assert len(set(found.tolist())) == len(set(words(text)))
+    many = {"".join(chr(97 + c) for c in rng.integers(0, 4, n)) for n in rng.integers(1, 12, 40_000)}
+    assert len(set(grams.word_hashes(" ".join(many).encode()).tolist())) == len(many)
+    a, b = grams.word_hashes(b"one two one"), grams.word_hashes("éé  one\ttwo".encode())
+    assert a[0] == a[2] == b[1] and a[1] == b[2]
+
+
 def test_window_selection_and_rolling_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 11, 12, 300):

@@ -135,6 +135,7 @@ def judge(pages: DataFrame, lists: DataFrame, keep: list[str], url: str = "url")
     # distinct label counts and prefix lengths of the list: short lists of small numbers
     labels, lengths = shape.agg(F.sort_array(F.collect_set("labels")),
                                 F.sort_array(F.collect_set("length"))).first()
+    labels, lengths = labels or [1], lengths or [0]      # an empty list
     seen = parsed(pages.select(F.struct(*keep).alias("_row"), F.col(url).alias("_url")), "_url").drop("_url")
     with_keys = seen.withColumn("keys", candidates(labels, lengths))
     universe = with_keys.select(F.explode("keys.key").alias("key")).distinct()

@@ -180,6 +180,31 @@ def _lookup_bots_by_identity(spark, sf_dir):
         F.col("id").alias("bot_id"), "owner_account_id", "bot_type", "bot_identifier", "display_name")
 
 
+def _lookup_bots_by_id(spark, sf_dir):
+    """The bots of all events, by id."""
+    keys = FX.events_a(spark, sf_dir).select(F.col("bot_id").alias("id")).distinct()
+    return AC.lookup_bots(tables_a(spark, sf_dir).bots, keys).select("id", "owner_account_id", "bot_identifier")
+
+
+def _lookup_bots_by_owner(spark, sf_dir):
+    """Each event asks for its bot in the name of owner user_id % 5; only the right owners find it."""
+    keys = FX.events_a(spark, sf_dir).select(
+        F.col("bot_id").alias("id"), (F.col("user_id") % 5).cast("string").alias("owner_account_id"))
+    return AC.lookup_bots(tables_a(spark, sf_dir).bots, keys).select("id", "owner_account_id", "bot_identifier")
+
+
+def _lookup_accounts_by_id(spark, sf_dir):
+    """Accounts named by billing webhooks, by id (one of them unknown)."""
+    keys = RAW.billing_webhooks(spark, sf_dir).select(F.get_json_object("body", "$.accountId").alias("id"))
+    return AC.lookup_accounts(tables_a(spark, sf_dir).accounts, keys).select("id", "email", "plan")
+
+
+def _current_subscription_of_many(spark, sf_dir):
+    """Q22 where accounts have many rows; like times are settled by the id."""
+    subs = FX.contract_tables(spark, sf_dir)["subscriptions"]
+    return AC.current_subscription(subs).select("account_id", "id", "provider", "plan", "status", "amount_monthly")
+
+
 def _token_round_trip(spark, sf_dir):
     """One token an event."""
     token = F.concat((F.lit(7000000) + F.col("event_id")).cast("string"), F.lit(":AAH_token-"),
@@ -451,6 +476,10 @@ def queries() -> dict[str, Query]:
         "erase_starter_accounts": _erase_starter_accounts,
         "lookup_accounts_by_key": _lookup_accounts_by_key,
         "lookup_bots_by_identity": _lookup_bots_by_identity,
+        "lookup_bots_by_id": _lookup_bots_by_id,
+        "lookup_bots_by_owner": _lookup_bots_by_owner,
+        "lookup_accounts_by_id": _lookup_accounts_by_id,
+        "current_subscription_of_many": _current_subscription_of_many,
         "token_round_trip": _token_round_trip,
         "ingest_api_rejections": _ingest_api_rejections,
         "ingest_api_activity": _ingest_api_activity,
@@ -517,6 +546,10 @@ def oracle_sql() -> dict[str, str]:
         "erase_starter_accounts": O.erase_starter_accounts(),
         "lookup_accounts_by_key": O.lookup_accounts_by_key(),
         "lookup_bots_by_identity": O.lookup_bots_by_identity(),
+        "lookup_bots_by_id": O.lookup_bots_by_id(),
+        "lookup_bots_by_owner": O.lookup_bots_by_owner(),
+        "lookup_accounts_by_id": O.lookup_accounts_by_id(),
+        "current_subscription_of_many": O.current_subscription_of_many(),
         "token_round_trip": O.token_round_trip(),
         "bot_cap_connects": O.bot_cap_connects(),
         "account_changes_state": O.account_changes_state(),

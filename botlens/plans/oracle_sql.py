@@ -641,6 +641,31 @@ FROM d_bots b JOIN keys k ON k.owner_account_id = b.owner_account_id AND k.bot_t
   AND k.bot_identifier = b.bot_identifier"""
 
 
+def lookup_bots_by_id() -> str:
+    base, _ = _mapping("a")
+    return f"""{base}
+SELECT id, owner_account_id, bot_identifier FROM d_bots WHERE id IN (SELECT bot_id FROM ev)"""
+
+
+def lookup_bots_by_owner() -> str:
+    base, _ = _mapping("a")
+    return f"""{base}
+SELECT id, owner_account_id, bot_identifier FROM d_bots b
+WHERE EXISTS (SELECT 1 FROM ev WHERE ev.bot_id = b.id AND CAST(ev.user_id % 5 AS VARCHAR) = b.owner_account_id)"""
+
+
+def lookup_accounts_by_id() -> str:
+    return f"""{_webhooks_sql()}
+SELECT id, email, plan FROM d_accounts WHERE id IN (SELECT account_id FROM wh)"""
+
+
+def current_subscription_of_many() -> str:
+    return f"""{contract_tables_sql()}
+SELECT account_id, id, provider, plan, status, CAST(amount_monthly AS DECIMAL(12,2)) AS amount_monthly
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY updated_at DESC, id DESC) AS r FROM d_subscriptions)
+WHERE r = 1"""
+
+
 def token_round_trip() -> str:
     return """SELECT event_id, CAST(7000000 + event_id AS VARCHAR) || ':AAH_token-' || event_type || '_xxxxxxxxxxxx' AS token,
        true AS round_trip_ok FROM events"""

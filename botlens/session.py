@@ -69,8 +69,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    """A sub-folder of the shared checkpoint folder for this application's written tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/botlens-{spark.sparkContext.applicationId}/{name}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove every table that this application has staged (when no result is read any more)."""
+    drop_path(spark, scratch_path(spark, ""))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from botlens.operators import rollup, stats
 from botlens.plans import catalog
 from botlens.plans.ingest_batch import ingest_api_batch, ingest_platform_batch
-from botlens.session import checkpoint_dir
+from botlens.session import scratch_path
 from botlens.sources import fixtures as FX
 from botlens.sources import raw as R
 from botlens.sources.store import FACTS, Store, StoreConflict
@@ -24,7 +24,8 @@ def rows(df):
 
 
 def staged(spark):
-    return set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+    folder = scratch_path(spark, "").removeprefix("file:")
+    return set(os.listdir(folder)) if os.path.exists(folder) else set()
 
 
 def test_stream_equals_batch(spark):

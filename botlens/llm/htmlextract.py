@@ -39,6 +39,8 @@ MARKED = set("ad ads advert adverts advertisement advertising sponsor sponsored
              "breadcrumbs pagination pager footer masthead topbar header comment comments respond disqus share sharing social "
              "related recommended recommendations newsletter subscribe subscription signup login search widget toolbar "
              "complementary contentinfo".split())
+# parts of names that speak of a page's frame or its content, as in "has-sidebar" or "article-header"
+NEUTRAL = set("has with no page site layout wrapper wrap container content main article post entry story body text".split())
 DEFAULT_WORD = {"content": 1.0, "outside": -1.0, "link": 0.2}
 DEFAULT_TAG = -0.3
 
@@ -51,8 +53,10 @@ def boilerplate(name: str, attributes: str, within_article: bool) -> bool:
     if name == "header":
         return not within_article
     for groups in NAMES.findall(attributes) if attributes.strip() else ():
-        if not MARKED.isdisjoint(PART.findall("".join(groups).lower())):
-            return True
+        for token in "".join(groups).lower().split():
+            parts = set(PART.findall(token))
+            if parts & MARKED and not parts & NEUTRAL and not (within_article and "header" in parts):
+                return True
     return False
 
 

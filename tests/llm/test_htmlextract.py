@@ -49,6 +49,13 @@ def test_boilerplate_inside_and_around():
         "The headline <1>", f"{prose} {prose}", "First point of some length", "Second point of it", f"{prose} after break"])
 
 
+def test_frames_named_after_boilerplate_keep_their_content():
+    prose = "This is a sentence of the article with quite a few words in it."
+    page = f"""<body class="menu-open"><div class="page has-sidebar"><div class="sidebar-left">Links to other things</div>
+      <div class="post-content"><div class="article-header"><h1>Headline</h1></div><p>{prose}</p></div></div></body>"""
+    assert H.extract(page, {}) == f"Headline\n{prose}"
+
+
 def test_nulls_empty_and_broken(spark):
     rows = [(1, None, "u"), (2, "", "u"), (3, "plain words only", None), (4, "<p>open <b>tag", "u"), (4, "<p>open <b>tag", "u"),
             (None, "<div class='ad'>ad words</div>", "u"), (5, "<article><p>" + "word " * 50_000, "u"), (6, "<" * 2000, "u")]

@@ -39,8 +39,9 @@ MARKED = set("ad ads advert adverts advertisement advertising sponsor sponsored
              "breadcrumbs pagination pager footer masthead topbar header comment comments respond disqus share sharing social "
              "related recommended recommendations newsletter subscribe subscription signup login search widget toolbar "
              "complementary contentinfo".split())
-# parts of names that speak of a page's frame or its content, as in "has-sidebar" or "article-header"
-NEUTRAL = set("has with no page site layout wrapper wrap container content main article post entry story body text".split())
+# parts of names that tell about a frame's state, as in "has-sidebar"; headers of these parts are content
+FRAME = set("has with without no open layout".split())
+HEADED = set("article post entry story content".split())
 DEFAULT_WORD = {"content": 1.0, "outside": -1.0, "link": 0.2}
 DEFAULT_TAG = -0.3
 
@@ -55,7 +56,10 @@ def boilerplate(name: str, attributes: str, within_article: bool) -> bool:
     for groups in NAMES.findall(attributes) if attributes.strip() else ():
         for token in "".join(groups).lower().split():
             parts = set(PART.findall(token))
-            if parts & MARKED and not parts & NEUTRAL and not (within_article and "header" in parts):
+            marked = parts & MARKED
+            if "header" in marked and (within_article or parts & HEADED):
+                marked -= {"header"}
+            if marked and not parts & FRAME:
                 return True
     return False
 

@@ -52,7 +52,9 @@ def test_boilerplate_inside_and_around():
 def test_frames_named_after_boilerplate_keep_their_content():
     prose = "This is a sentence of the article with quite a few words in it."
     page = f"""<body class="menu-open"><div class="page has-sidebar"><div class="sidebar-left">Links to other things</div>
-      <div class="post-content"><div class="article-header"><h1>Headline</h1></div><p>{prose}</p></div></div></body>"""
+      <div class="post-content"><div class="article-header"><h1>Headline</h1></div><p>{prose}</p></div>
+      <div class="ad-container">An advert with some words in it</div><div class="post-comments"><p>{prose}</p></div>
+      <div class="site-footer">All the usual words of a footer</div></div></body>"""
     assert H.extract(page, {}) == f"Headline\n{prose}"
 
 

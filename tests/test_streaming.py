@@ -14,7 +14,7 @@ from botlens.sources import fixtures as FX
 from botlens.sources import raw as R
 from botlens.sources.store import FACTS, Store, StoreConflict
 from botlens.streaming.stream import (account_change_writer, api_batch_writer, bot_change_writer, bot_connect_writer,
-                                      platform_batch_writer, start_api_ingest)
+                                      platform_batch_writer, start_api_ingest, start_platform_ingest)
 
 SF = "/root/testdata/sf0.001"
 
@@ -208,3 +208,25 @@ def test_read_raw_batch(spark):
     df = read_raw(spark, os.path.join(work, "p"), "platform")
     assert df.columns == ["bot_id", "body", "ingest_seq", "received_at"]
     assert df.count() == R.platform_updates(spark, SF).count()
+
+
+def test_redelivered_updates_are_dropped_on_request_and_late_events_stay(spark):
+    """T4: the same update twice within the watermark counts once, only if asked for; T2: an
+    event backdated by years is written and does not move last_active_at back (T3)."""
+    work = tempfile.mkdtemp(prefix="botlens-dedupe-")
+    src = os.path.join(work, "in")
+    base = FX.mapping_a(spark, SF)
+    body = '{"update_id":%d,"message":{"from":{"id":7},"date":%d,"text":"x"}}'
+    rows_in = [("1", body % (n % 3, 1706000000 + n), n) for n in range(6)] + [("2", body % (0, 1000000000), 6)] \
+        + [("2", body % (1, 1706000000), 7), ("2", body % (2, 1000000000), 8)]
+    spark.createDataFrame(rows_in, "bot_id string, body string, ingest_seq long").withColumn(
+        "received_at", F.lit("2024-01-29 10:00:00").cast("timestamp")).coalesce(1).write.json(src)
+    for dedupe, want in (("1 hour", 6), (None, 9)):
+        store = Store(spark, os.path.join(work, f"store-{dedupe}"))
+        q = start_platform_ingest(spark, src, store, base, os.path.join(work, f"ckpt-{dedupe}"), available_now=True,
+                                  dedupe_within=dedupe)
+        q.awaitTermination(600)
+        state = store.read_state(base)
+        assert state.messages.count() - base.messages.count() == want
+    late = state.users.filter("bot_id = '2' and telegram_id = '7'").first()
+    assert late.last_active_at.year == 2024 and late.created_at.year == 2001

@@ -21,6 +21,7 @@ from .common import BLANKS, bucket, let, total, words_of
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50            # base rule: fewer words fail
 MIN_GROUP = 200           # documents a (language, source) sketch needs to judge alone
+PAIRS = 50_000            # (language, source) pairs whose fences are broadcast, some 100 bytes each
 SPREAD = 4                # fences stand this many quartile ranges outside the quartiles
 
 # feature -> (scaled integer expression over the base counts, least distance of a
@@ -147,6 +148,9 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
         inside = inside & (F.col(f"f_{k}") <= F.col(f"fence.hi_{k}"))
         if low:
             inside = inside & (F.col(f"f_{k}") >= F.col(f"fence.lo_{k}"))
+    known = stage(known, "quality-fences")
+    if known.count() <= PAIRS:          # a bounded side; beyond it the rows are shuffled to their pair
+        known = F.broadcast(known)
     joined = features.join(known, F.col("lang").eqNullSafe(F.col("_l"))
                            & F.col("source").eqNullSafe(F.col("_s")), "left")
     return joined.select(

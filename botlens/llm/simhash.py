@@ -198,7 +198,8 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFra
     best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tie", F.col("_at").alias("at")))
     stay = (marked.join(classes(marked.select("doc_id", "fp"), distance), "fp")
             .groupBy("root").agg(best.alias("best")).select(F.col("best.at").alias("_at")))
-    return rows.join(stage(stay, "kept"), "_at", "left_semi").select("_row.*")
+    # the rows that stay grow with the input: a shuffle join at every size
+    return rows.join(stay.hint("merge"), "_at", "left_semi").select("_row.*")
 
 
 def hex_fp(fp):

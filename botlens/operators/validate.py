@@ -98,11 +98,24 @@ def extract(df: DataFrame, v: str, fields: list[str]) -> DataFrame:
     which keeps the generated code small (the optimizer does not inline an
     expensive alias that is referenced several times).
     """
-    subs = [F.variant_get(F.col(v), "$." + f, "variant").alias(_slot(f) + "_v") for f in fields]
+    # one pass over an object for all its fields: the body's, then the nested objects'
+    tops = list(dict.fromkeys(f.split(".")[0] for f in fields))
+    parts: dict[str, list[str]] = {}
+    for f in fields:
+        if "." in f:
+            parts.setdefault(f.split(".")[0], []).append(f.split(".")[1])
+
+    def fields_of(source: Column, names: list[str]) -> Column:
+        return F.try_variant_get(source, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+
+    out = df.select("*", fields_of(F.col(v), tops).alias("_top"))
+    out = out.select("*", *[fields_of(F.col(f"_top.{p}"), names).alias(f"_in_{p}") for p, names in parts.items()])
+    subs = [F.col(f"_in_{f.split('.')[0]}.{f.split('.')[1]}" if "." in f else f"_top.{f}").alias(_slot(f) + "_v")
+            for f in fields]
     # ``_task`` (nondeterministic) is an optimizer barrier: a later filter on
     # the error columns is not pushed below this projection, which would
     # inline every JSON extraction into the predicate (hundreds of copies).
-    out = df.select("*", *subs, F.spark_partition_id().alias("_task"))
+    out = out.select(*df.columns, *subs, F.spark_partition_id().alias("_task"))
     cols = []
     for f in fields:
         sub = F.col(_slot(f) + "_v")

@@ -15,8 +15,8 @@ WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 # Arrow batches are bounded in rows and bytes, so a batch of very long texts
 # does not outgrow a Python worker.
 ARROW_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 

@@ -9,6 +9,7 @@ records at a partition's two borders share a window with a neighbour.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -34,14 +35,21 @@ class Encoder:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.path = path
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        """Loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []

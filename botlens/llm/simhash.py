@@ -104,7 +104,7 @@ def ties(fps: np.ndarray, cell: int, prefix: int, distance: int) -> np.ndarray:
 
 
 STEP = 12                # bits by which a prefix grows
-CELL = 4_000_000         # variants a cell may hold before it is dealt by a longer prefix
+CELL = 1_000_000         # variants a cell may hold before it is dealt by a longer prefix
 
 
 def deal(rows: DataFrame, prefix: int, distance: int) -> DataFrame:

@@ -11,9 +11,9 @@ FAST = ["overview", "overview_star", "growth", "revenue_stats", "recent_activity
         "contracts_report", "erase_starter_accounts", "lookup_accounts_by_key", "token_round_trip",
         "ingest_api_rejections", "ingest_api_activity", "ingest_platform_messages", "bot_changes",
         "bot_cap_connects", "account_changes_state", "overview_rollup", "account_usage_rollup", "dashboard",
-        "dashboard_rollup", "bad_bodies", "ingest_balance", "ingest_api_quota", "ingest_api_payments", "ingest_api_bots",
-        "ingest_api_users", "accounts_after_billing", "billing_events_state", "account_changes_rejections",
-        "bot_changes_rejections"]
+        "bad_bodies", "ingest_api_quota", "ingest_api_bots", "accounts_after_billing", "billing_events_state",
+        "account_changes_rejections", "bot_changes_rejections"]
+# the other registered queries are compared by tests/oracle_check.py
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,8 @@ Fixed patterns find assignments, access keys and long hex runs.  Beyond them,
 every long token in a sensitive context is measured: zstandard, primed with a
 dictionary of the corpus's most frequent identifiers, compresses the text
 around the token with and without it; a token whose marginal bytes stay near its
-length is no name or word and is reported.
+length is no name or word and is reported.  Copies of the token in that text do
+not count as surroundings.
 
 The dictionary comes from counts over all documents; its size is a parameter.
 Scanning is a map over whole texts.
@@ -36,6 +37,7 @@ SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|access.?key|
                        r"bearer|authorization", re.I | re.A)
 BEFORE = 48            # characters before a token in which a sensitive word must stand
 AROUND = 400           # characters of surrounding text on either side that prime the measure
+COPIED = 8             # characters from which a part of a token (between ``=``) counts as copied in the surroundings
 NOVEL = 0.65           # marginal bytes a character from which a token is reported (six bits are 0.75)
 DICTIONARY = 4096      # identifiers in the dictionary
 
@@ -62,6 +64,9 @@ class Meter:
 
     def novelty(self, text: str, start: int, end: int) -> float:
         before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
+        # further copies would make any token a reference to them
+        for part in {p for p in text[start:end].split("=") if len(p) >= COPIED}:
+            before, after = before.replace(part, ""), after.replace(part, "")
         with_it = len(self.compress((before + text[start:end] + after).encode("utf-8", "surrogatepass")))
         without = len(self.compress((before + after).encode("utf-8", "surrogatepass")))
         return (with_it - without) / (end - start)

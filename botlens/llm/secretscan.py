@@ -33,25 +33,33 @@ ASSIGN_VALUE = 6
 KINDS = ["assign", "access", "hex", "novel"]
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIXED = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")      # with digit and letter
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|"
                        r"bearer|authorization", re.I | re.A)
 BEFORE = 48            # characters before a token in which a sensitive word must stand
+GAP = re.compile(r"[\W_]*(?:[0-9]{1,3}[.)][\W_]*)?")      # between a reported token and the next: punctuation, a list's number
+TAIL = re.compile(r"\s+([A-Za-z0-9+/=]{1,15})(?=\s*-----END)")      # the short last line of a key block
 AROUND = 400           # characters of surrounding text on either side that prime the measure
 COPIED = 8             # characters from which a part of a token (between ``=``) counts as copied in the surroundings
 NOVEL = 0.65           # marginal bytes a character from which a token is reported (six bits are 0.75)
+PLAIN_NOVEL = 0.75     # the same for tokens without a digit: names of several words come to 0.67, random letters to 0.87
 DICTIONARY = 4096      # identifiers in the dictionary
 
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY) -> bytes:
     """The corpus's most frequent identifiers, the most frequent last (nearest for the compressor).
 
-    They hold no digit, so a secret in thousands of copies does not get in: a
-    token to be measured holds one.
+    A secret in thousands of copies does not get in: they hold no digit, and long
+    ones must be explained by the shorter ones.
     """
     words = docs.select(F.explode(words_of(F.col("text"))).alias("word")).filter(
         F.col("word").rlike("^[A-Za-z_.]{4,40}$"))
     top, _ = frequent(stage(words.groupBy("word").agg(F.count("*").alias("c")), "identifiers"), size)
-    return b" ".join(reversed(top))
+    short = [w for w in top if not TOKEN.search(w.decode())]
+    meter = Meter(b" ".join(reversed(short)))
+    around = " ".join(w.decode() for w in short[:AROUND // 8]) + " "
+    held = set(short) | {w for w in top if meter.novelty(around + w.decode(), len(around), len(around) + len(w)) < PLAIN_NOVEL}
+    return b" ".join(w for w in reversed(top) if w in held)
 
 
 class Meter:
@@ -67,6 +75,8 @@ class Meter:
         # further copies would make any token a reference to them
         for part in {p for p in text[start:end].split("=") if len(p) >= COPIED}:
             before, after = before.replace(part, ""), after.replace(part, "")
+        # nor do other possible secrets prime the measure, as in a list of them
+        before, after = MIXED.sub("", before), MIXED.sub("", after)
         with_it = len(self.compress((before + text[start:end] + after).encode("utf-8", "surrogatepass")))
         without = len(self.compress((before + after).encode("utf-8", "surrogatepass")))
         return (with_it - without) / (end - start)
@@ -81,17 +91,32 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def novel_spans(text: str, base: list, meter: Meter) -> list[tuple[int, int, int]]:
-    """Incompressible tokens in a sensitive context that no base span touches."""
+    """Incompressible tokens in a sensitive context that no base span touches.
+
+    A token that follows a reported one with nothing but white space or
+    punctuation between is in its context too: lines of a key, values of a list.
+    """
     out = []
+    ends, at = sorted(e for _, _, e in base), 0
+    reported = -1                             # end of the last span before the token
     for m in TOKEN.finditer(text):
         start, end = m.span()
         token = m.group()
-        if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+        while at < len(ends) and ends[at] <= start:
+            reported = max(reported, ends[at])
+            at += 1
+        if not re.search("[A-Za-z]", token):
             continue
         if any(s < end and e > start for s, _, e in base):
             continue
-        if SENSITIVE.search(text, max(0, start - BEFORE), start) and meter.novelty(text, start, end) >= NOVEL:
+        least = NOVEL if re.search("[0-9]", token) else PLAIN_NOVEL
+        if (SENSITIVE.search(text, max(0, start - BEFORE), start) or reported >= 0 and GAP.fullmatch(text, reported, start)) \
+                and meter.novelty(text, start, end) >= least:
             out.append((start, 3, end))
+            reported = end
+            tail = TAIL.match(text, end)
+            if tail:
+                out.append((tail.start(1), 3, tail.end(1)))
     return out
 
 

@@ -2,7 +2,8 @@
 
 A page is read as a row of words and tags.  Words of content score positive,
 words of boilerplate containers and all tags negative, and one linear scan
-finds the contiguous region of the highest score.  The weights come from
+finds the contiguous region of the highest score.  Boxes of boilerplate within an
+open ``article`` or ``main`` count nothing.  The weights come from
 labelled pages: those with one ``article`` or ``main`` element, whose words are
 labelled inside or outside of it.  Blocks of boilerplate within the region
 (asides, adverts, forms, comments) are left out of the text.
@@ -158,7 +159,9 @@ def extract(page: str | None, weights: dict[tuple[str, str], float]) -> str:
         return ""
     row = list(events(page))
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (is_text, value, context, _) in enumerate(row):
+    for i, (is_text, value, context, inside) in enumerate(row):
+        if inside and context == "outside":
+            continue                             # a box in an article is left out below and ends no region
         if is_text:
             total += len(value.split()) * weights.get(("word", context), DEFAULT_WORD[context])
         else:

@@ -49,6 +49,20 @@ def test_boilerplate_inside_and_around():
         "The headline <1>", f"{prose} {prose}", "First point of some length", "Second point of it", f"{prose} after break"])
 
 
+def test_long_boxes_inside_an_article_cut_nothing():
+    """Short lead, long box, body, long box, short end; weights as learned on pages without such boxes."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    for tag in ("article", "main"):
+        for box in ('div class="newsletter"', "aside", 'section class="related"'):
+            page = f"""<body><nav>{words("nav", 30)}</nav><{tag}><h1>{words("head", 8)}</h1><p>{words("lead", 30)}</p>
+              <{box}><p>{words("box", 45)}</p><ul><li>{words("item", 60)}</li></ul></{box.split()[0]}><p>{words("body", 500)}</p>
+              <{box}><p>{words("other", 60)}</p></{box.split()[0]}><p>{words("end", 40)}</p></{tag}>
+              <footer>{words("foot", 50)}</footer></body>"""
+            want = "\n".join([words("head", 8), words("lead", 30), words("body", 500), words("end", 40)])
+            assert H.extract(page, {("word", "outside"): -1.0, ("word", "content"): 1.0}) == want
+            assert H.extract(page, {}) == want
+
+
 def test_frames_named_after_boilerplate_keep_their_content():
     prose = "This is a sentence of the article with quite a few words in it."
     page = f"""<body class="menu-open"><div class="page has-sidebar"><div class="sidebar-left">Links to other things</div>

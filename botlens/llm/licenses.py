@@ -18,6 +18,46 @@ from pyspark.sql import functions as F
 
 LEAST = 0.8            # Dice from which a passage carries a licence
 
+# wording that several licences share
+AS_IS = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+         "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+         "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+         "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+AUTHOR = ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+          "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+          "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+          "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+          "PERFORMANCE OF THIS SOFTWARE.")
+REDISTRIBUTION = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+                  "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+                  "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+                  "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+                  "other materials provided with the distribution. ")
+HOLDERS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+           "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+           "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+           "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+           "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+           "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+           "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+# (SPDX name, title, (version, version as written, date of the text))
+GNU = [("GPL", "GNU General Public License", (("1.0", "1", "February 1989"), ("2.0", "2", "June 1991"), ("3.0", "3", "29 June 2007"))),
+       ("LGPL", "GNU Library General Public License", (("2.0", "2", "June 1991"),)),
+       ("LGPL", "GNU Lesser General Public License", (("2.1", "2.1", "February 1999"), ("3.0", "3", "29 June 2007"))),
+       ("AGPL", "GNU Affero General Public License", (("3.0", "3", "19 November 2007"),))]
+GNU_NOTICE = ("This program is free software: you can redistribute it and/or modify it under the terms of the {title} as published "
+              "by the Free Software Foundation, either version {how} of the License, or (at your option) any later version. ",
+              "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+              "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {title} for more details. You should have "
+              "received a copy of the {title} along with this program. If not, see http://www.gnu.org/licenses/.")
+NAMED = [("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"),
+         ("MPL-1.1", "Mozilla Public License, Version 1.1"), ("MPL-2.0", "Mozilla Public License, Version 2.0"),
+         ("EPL-1.0", "Eclipse Public License, Version 1.0"), ("EPL-2.0", "Eclipse Public License, Version 2.0"),
+         ("MIT", "MIT License"), ("Apache-2.0", "Apache License, Version 2.0")]
+COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+           ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+           ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+
 # fixed values: public licence notices and short licence texts
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -49,6 +89,62 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+              "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+              "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+              "Software, and to permit persons to whom the Software is furnished to do so. " + AS_IS),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies. " + AUTHOR),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+             "granted. " + AUTHOR),
+    ("BSD-2-Clause", REDISTRIBUTION + HOLDERS),
+    ("BSD-3-Clause", REDISTRIBUTION + "3. Neither the name of the copyright holder nor the names of its contributors may be "
+                     "used to endorse or promote products derived from this software without specific prior written "
+                     "permission. " + HOLDERS),
+    ("BSD-4-Clause", REDISTRIBUTION + "3. All advertising materials mentioning features or use of this software must display "
+                     "the following acknowledgement: This product includes software developed by the organization. 4. Neither "
+                     "the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                     "products derived from this software without specific prior written permission. " + HOLDERS),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+             "liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+             "software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject "
+             "to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim "
+             "that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+             "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as "
+             "such, and must not be misrepresented as being the original software. 3. This notice may not be removed or "
+             "altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+                "http://www.boost.org/LICENSE_1_0.txt)"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not "
+                "use this file except in compliance with the License. You may obtain a copy of the License at "
+                "http://www.mozilla.org/MPL/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the "
+                "Eclipse Public License v1.0 which accompanies this distribution, and is available at "
+                "http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+                "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+                "this work."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    *[(f"{short}-{version}", text) for short, title, versions in GNU for version, how, date in versions for text in (
+        f"This work is licensed under the {title}, version {how}.", f"Licensed under the {title}, version {how}.",
+        f"{title} Version {how}, {date}",
+        *(lead.format(title=title, how=how) + rest.format(title=title)
+          for lead, rest in (GNU_NOTICE, (GNU_NOTICE[0], ""))))],
+    *[(name, f"{verb} under the {title}") for name, title in NAMED for verb in ("Licensed", "Released", "Distributed")],
+    *[(f"CC-{kind}-{version}", text) for kind, title in COMMONS for version in ("1.0", "2.0", "2.5", "3.0", "4.0") for text in (
+        f"Licensed under CC {kind} {version}.",
+        f"This work is licensed under a Creative Commons {title} {version} International License.",
+        f"Creative Commons {title} {version} International Public License")],
 ]
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")

@@ -70,3 +70,12 @@ def test_query_and_empty_table(spark, tmp_path):
     got = {r.doc_id: tuple(r)[1:] for r in queries.queries()["op8_license_scans"](spark, str(tmp_path)).collect()}
     assert got == {1: (2, "CC-BY-NC-4.0", 1.0, "CC-BY-NC-4.0,MIT"), 2: (0, None, None, ""), 3: (0, None, None, "")}
     assert L.scan(df.limit(0)).collect() == []
+
+
+def test_families_and_versions_are_told_apart():
+    known = L.Templates(L.TEMPLATES, L.LEAST)
+    for name, notice in L.TEMPLATES:
+        assert {m[2:] for m in known.scan(notice)} == {(name, 1.0)}
+    names = {n for n, _ in L.TEMPLATES}
+    assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "CC0-1.0",
+            "Unlicense", "Zlib", "BSL-1.0", "CC-BY-SA-3.0"} <= names

@@ -1,6 +1,6 @@
 """Licence scan: passages compared to licence templates by Dice over word bigrams.
 
-A passage is a run of consecutive lines.  Dice of two bigram multisets is at
+A passage is a window of words, or a run of consecutive lines.  Dice of two bigram multisets is at
 least t only if the smaller holds t / (2 - t) of the larger, so a passage is
 compared only with templates within these size bounds, and only if it holds a
 bigram of some template.  A scan is a map over whole texts; the templates are a
@@ -9,6 +9,7 @@ short fixed list.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 
@@ -172,6 +173,15 @@ class Templates:
         self.words = {w for g in self.known for w in g}
         reach = least / (2 - least)
         self.bounds = [(reach * sum(g.values()), sum(g.values()) / reach) for _, g in self.entries]
+        self.holders: dict[tuple, list[int]] = {}
+        for i, (_, grams) in enumerate(self.entries):
+            for gram in grams:
+                self.holders.setdefault(gram, []).append(i)
+        self.versions = []                     # words for the version of each template that has such a word
+        for name, grams in self.entries:
+            number = "".join(re.findall(r"-(\d+\.\d+)$", name))
+            self.versions.append({x for n in (number, number.removesuffix(".0")) for x in (n, f"v{n}")}
+                                 & {w for gram in grams for w in gram})
         self.most = max((high for _, high in self.bounds), default=0)
 
     def best(self, words: list[str]) -> list[tuple[float, str]]:
@@ -222,18 +232,94 @@ class Templates:
                 out.append((start, stop, name, -d))
         return sorted(out)
 
+    def windows(self, text: str | None) -> list[tuple[int, int, str, float]]:
+        """(first word, word after the last, licence, dice) of each word window that matches, wherever lines end.
 
-def find(text: Column, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> Column:
-    """Matches of a text as array<struct<first, after, licence, dice>> (lines from 0); null and empty: none."""
+        Of overlapping matches the best stays, then the longest, then the first.  A
+        window without the version that its template has gives the licence without one.
+        """
+        words = normalised(text) if text else []
+        grams = list(zip(words, words[1:]))
+        hits: dict[int, list[int]] = {}                  # template -> places of its bigrams
+        for at, gram in enumerate(grams):
+            for i in self.holders.get(gram, ()):
+                hits.setdefault(i, []).append(at)
+        queue: list[tuple] = []                          # windows, and starts with a bound for theirs
+        for i, places in hits.items():
+            queue += self.starts(i, grams, places)
+        heapq.heapify(queue)
+        out: list[tuple[int, int, str, float]] = []
+        taken: set[int] = set()
+        while queue:
+            worse, short, start, stop, name, i, k = heapq.heappop(queue)
+            if start in taken:
+                continue
+            if i >= 0:
+                for window in self.from_start(i, grams, hits[i], k):
+                    heapq.heappush(queue, window)
+            elif taken.isdisjoint(range(start, stop)):
+                taken.update(range(start, stop))
+                version = self.versions[-1 - i]
+                if version and version.isdisjoint(words[start:stop]):
+                    name = name.rsplit("-", 1)[0]
+                out.append((start, stop, name, -worse))
+        return sorted(out)
+
+    def starts(self, i: int, grams: list, places: list[int]):
+        """The places where a window of the template can start, with the Dice it can reach at most."""
+        _, template = self.entries[i]
+        size = sum(template.values())
+        low, high = self.bounds[i]
+        if len(places) < low - 1e-9:
+            return
+        inside: Counter = Counter()
+        shared = after = 0
+        for k, start in enumerate(places):
+            while after < len(places) and places[after] - start + 1 <= high + 1e-9:
+                gram = grams[places[after]]
+                inside[gram] += 1
+                shared += inside[gram] <= template[gram]
+                after += 1
+            if shared >= low - 1e-9:
+                yield -2 * shared / (size + shared), float("-inf"), start, 0, "", i, k
+            gram = grams[start]
+            shared -= inside[gram] <= template[gram]
+            inside[gram] -= 1
+
+    def from_start(self, i: int, grams: list, places: list[int], k: int):
+        name, template = self.entries[i]
+        size = sum(template.values())
+        start, high = places[k], self.bounds[i][1]
+        inside: Counter = Counter()
+        shared = 0
+        for place in places[k:]:
+            length = place - start + 1
+            if length > high + 1e-9:
+                break
+            gram = grams[place]
+            inside[gram] += 1
+            if inside[gram] <= template[gram]:
+                shared += 1
+                d = 2 * shared / (size + length)
+                if d >= self.least:
+                    yield -d, -length, start, place + 2, name, -1 - i, 0
+
+
+def find(text: Column, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, lines: bool = True) -> Column:
+    """Matches of a text as array<struct<first, after, licence, dice>>; null and empty: none.
+
+    Passages are runs of whole lines (numbered from 0) or, without ``lines``, any words.
+    """
     @F.pandas_udf("array<struct<first long, after long, licence string, dice double>>")
     def run(texts: pd.Series) -> pd.Series:
         known = Templates(templates, least)
-        return pd.Series([[{"first": a, "after": b, "licence": n, "dice": d} for a, b, n, d in known.scan(t)]
+        search = known.scan if lines else known.windows
+        return pd.Series([[{"first": a, "after": b, "licence": n, "dice": d} for a, b, n, d in search(t)]
                           for t in texts], dtype=object)
 
     return run(text)
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, lines: bool = True) -> DataFrame:
     """doc_id and matches of every row; rows that repeat are scanned each, an empty table gives an empty result."""
-    return docs.select("doc_id", find(F.col("text"), templates, least).alias("matches"))
+    return docs.select("doc_id", find(F.col("text"), templates, least, lines).alias("matches"))

@@ -57,7 +57,7 @@ def op7_decontamination(spark, sf_dir):
 
 def op8_license_scans(spark, sf_dir):
     """The licence of the best match (ties: the first in the text), its Dice, and all licences found."""
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"), lines=False)
     best = F.get(F.sort_array(F.transform("matches", lambda m: F.struct(
         (-m["dice"]).alias("d"), m["first"].alias("first"), m["licence"].alias("licence")))), 0)
     return found.select(

@@ -79,3 +79,52 @@ def test_families_and_versions_are_told_apart():
     names = {n for n, _ in L.TEMPLATES}
     assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "CC0-1.0",
             "Unlicense", "Zlib", "BSL-1.0", "CC-BY-SA-3.0"} <= names
+
+
+def brute_windows(text, templates, least):
+    """Best Dice of every word window against every template, without pruning."""
+    words, found = L.normalised(text or ""), []
+    for name, template in templates:
+        other = L.bigrams(L.normalised(template))
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                d = L.dice(L.bigrams(words[a:b]), other)
+                if d >= least:
+                    found.append((-d, a - b, a, b, name))
+    out, taken = [], set()
+    for d, _, a, b, name in sorted(found):
+        if taken.isdisjoint(range(a, b)):
+            taken |= set(range(a, b))
+            out.append((a, b, -d))
+    return sorted(out)
+
+
+def test_word_windows_match_unpruned_comparison():
+    rng = random.Random(8)
+    templates = [x for x in L.TEMPLATES if len(x[1].split()) <= 12][::7]
+    known, some = L.Templates(templates, L.LEAST), 0
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randrange(5)):
+            words += rng.choices(["the", "license", "under", "of", "word", "public", "version"], k=rng.randrange(8))
+            notice = rng.choice(templates)[1].split()
+            if rng.random() < 0.5:
+                notice[rng.randrange(len(notice))] = rng.choice(["the", "x"])
+            words += notice
+        text = " ".join(words)
+        want = brute_windows(text, templates, L.LEAST)
+        assert [(a, b, d) for a, b, _, d in known.windows(text)] == want
+        some += len(want)
+    assert some > 40
+
+
+def test_notices_in_mid_line_and_neighbours():
+    known = L.Templates(L.TEMPLATES, L.LEAST)
+    prose = "some other words that stand around the notice in a long paragraph"
+    for name, notice in L.TEMPLATES:
+        for text in (notice, f"{prose} {notice} {prose}", f"{prose} {notice} {prose} " * 2):
+            found = known.windows(text)
+            assert found and {m[2] for m in found if m[3] > 0.999} == {name}, (name, notice, found)
+    assert [m[2:] for m in known.windows(f"{prose} Released under the MIT License. {prose}")] == [("MIT", 1.0)]
+    assert [m[2] for m in known.windows("This work is licensed under the GNU General Public License.")] == ["GPL"]
+    assert known.windows("word " * 20_000 + "of the license of the software and the " * 3000) == []

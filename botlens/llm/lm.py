@@ -5,9 +5,12 @@ transition P(c | class before) and the word emission P(w | c).  The CLUSTERED
 most frequent words get their class by exchange clustering: their bigram counts
 over all training documents stay in Spark, every round counts the classes that
 stand before and after each word, and the words of one half move to the class
-that gives the corpus the highest likelihood.  All other words, seen or not,
-belong to one of four fixed classes by their last character; their counts are
-exact and the vocabulary has no limit.
+that gives the corpus the highest likelihood.  Then all other words seen LEAST
+times or more get theirs by the same exchange in the tasks, which have the
+contexts of a word whole; only their classes (a byte a word) and the class
+transitions pass through the driver.  Rarer words, seen or not, belong to one of
+four fixed classes by their last character; their counts are exact and the
+vocabulary has no limit.
 
 Workers hold the HEAD most frequent words in memory.  The rarer ones are looked
 up by a join on the word, where no key is frequent.
@@ -24,11 +27,17 @@ from pyspark.sql import functions as F
 
 from botlens.session import stage
 
-from .common import frequent, words_lower, words_of
+from .common import encode, frequent, words_lower, words_of
+from .grams import word_hashes
+from .substrings import packed
 from .urlfilter import LOWER, UPPER
 
 CLASSES = 40              # classes found by clustering
-CLUSTERED = 4096          # words that are clustered
+CLUSTERED = 4096          # words that are clustered first, among themselves
+LEAST = 5                 # times a word must be seen to be clustered after them
+LATER = 4                 # exchange rounds of these, half of the words moving in each but the first
+SLOT = 1 << 18            # tokens whose pairs a slot takes, about
+PAIRS = 1 << 18           # pairs with such words counted at once in a task
 HEAD = 1 << 18            # words whose counts every worker holds
 ROUNDS = 8                # exchange rounds, half of the words moving in each
 SMOOTH = 50.0             # weight of the class's overall share in a transition
@@ -182,6 +191,152 @@ def exchange(pairs: DataFrame, n_words: int, rounds: int = ROUNDS) -> tuple[np.n
     return best[1], best[2]
 
 
+def later_words(counts: DataFrame, held: list[bytes], held_counts: np.ndarray, first: int):
+    """(hashes, fixed): of the words seen LEAST times or more that are not held, sorted hashes; and the fixed
+    classes of all words that are clustered after the ``first``: held ones, then by hash."""
+    n_held = max(first, int((held_counts >= LEAST).sum()))
+    fixed = np.array([LAST[w[-1]] for w in held[first:n_held]], np.int8)
+    others = counts.filter(F.col("c") >= LEAST)
+    if held:
+        others = others.filter(F.col("c") < int(held_counts[-1]))
+
+    def run(batches):
+        for batch in batches:
+            words = [encode(w) for w in batch["word"]]
+            yield pd.DataFrame({"h": [packed(word_hashes(b" ".join(words)).view(np.int64))],
+                                "k": [packed(np.array([LAST[w[-1]] for w in words], np.int8))]})
+
+    rows = others.select("word").mapInPandas(run, "h binary, k binary").collect()
+    hashes = np.frombuffer(b"".join(r.h for r in rows), np.int64)
+    hashes, at = np.unique(hashes, return_index=True)
+    return n_held, hashes, np.concatenate([fixed, np.frombuffer(b"".join(r.k for r in rows), np.int8)[at]])
+
+
+def find_hashed(words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """Places of words among sorted hashes, -1 for others."""
+    if not words or not len(hashes):
+        return np.full(len(words), -1)
+    own = word_hashes(b" ".join(words)).view(np.int64)
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    return np.where(hashes[at] == own, at, -1)
+
+
+def later_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, first: int, tokens: int) -> DataFrame:
+    """(codes, n): blocks of packed pairs, all those of a word after the ``first`` being in one block.
+
+    A code is (word * 2 + side) * size + other, with numbers as in pair_counts.
+    """
+    known = len(words) + len(hashes)
+    size = known + FIXED + 1
+    slots = max(12, tokens // SLOT)
+    span = 2 * (known // slots + 1)                     # words of a slot, twice
+    shared = train.sparkSession.sparkContext.broadcast((words, hashes))
+
+    def run(batches):
+        words, hashes = shared.value
+        ids = Ids({w: i for i, w in enumerate(words)})
+        held, n = [], 0
+
+        def dealt():
+            a, b = np.concatenate(held).T
+            before, after = (b >= first) & (b < known), (a >= first) & (a < known)
+            word = np.concatenate([b[before] * 2, a[after] * 2 + 1])
+            other = np.concatenate([a[before], b[after]])
+            # words by slot, so one sort counts the pairs and deals them
+            code, count = np.unique((word // 2 % slots * span + word // 2 // slots * 2 + word % 2) * size + other,
+                                    return_counts=True)
+            found, starts = np.unique(code // size // span, return_index=True)
+            count = count.astype(np.int32)
+            return pd.DataFrame([(int(s), packed(c), packed(k)) for s, c, k in zip(
+                found, np.split(code, starts[1:]), np.split(count, starts[1:]))], columns=["slot", "codes", "n"])
+
+        for batch in batches:
+            for text in batch["text"]:
+                found = words_lower(text)
+                row = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
+                if len(hashes):
+                    rare = np.flatnonzero(row < 0)
+                    at = find_hashed([found[i] for i in rare.tolist()], hashes)
+                    row[rare[at >= 0]] = len(words) + at[at >= 0]
+                row[row < 0] = known - 1 - row[row < 0]
+                row = np.concatenate([[size - 1], row, [size - 1]])
+                later = (row >= first) & (row < known)
+                held.append(np.stack([row[:-1], row[1:]], 1)[later[:-1] | later[1:]])
+                n += len(held[-1])
+                if n >= PAIRS:
+                    yield dealt()
+                    held, n = [], 0
+        if n:
+            yield dealt()
+
+    def merge(pdf):
+        codes = np.frombuffer(b"".join(pdf["codes"]), np.int64)
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        n = np.frombuffer(b"".join(pdf["n"]), np.int32)[order].astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        code, n = codes[starts], np.add.reduceat(n, starts)
+        slot, code = code // (span * size), code % (span * size)
+        word = code // (2 * size) * slots + slot
+        code = word * (2 * size) + code % (2 * size)
+        return pd.DataFrame({"codes": [packed(code)], "n": [packed(n)]})
+
+    return stage(train.select("text").mapInPandas(run, "slot long, codes binary, n binary")
+                 .groupBy("slot").applyInPandas(merge, "codes binary, n binary"), "later-pairs")
+
+
+def later_exchange(blocks: DataFrame, classes: np.ndarray, moves: np.ndarray, fixed: np.ndarray, first: int,
+                   rounds: int = LATER) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words (and of the fixed numbers after them), and the transition counts.
+
+    ``classes`` and ``moves`` are those of the ``first`` words, all others being in their fixed classes.
+    """
+    known, kinds = first + len(fixed), BORDER + 1
+    size = known + FIXED + 1
+    start = np.concatenate([classes[:first], CLASSES + fixed, np.arange(CLASSES, kinds)]).astype(np.int16)
+    classes, base = start, moves
+    best = (likelihood(moves), classes, moves)
+    for turn in range(rounds + 1):
+        into = np.log((moves + 0.5) / (moves.sum(1, keepdims=True) + 0.5 * kinds))
+        shared = blocks.sparkSession.sparkContext.broadcast((classes, start, into, np.log(moves.sum(0)[:CLASSES] + 1)))
+
+        def run(batches):
+            now, start, into, cost = shared.value
+            for batch in batches:
+                for codes, n in zip(batch["codes"], batch["n"]):
+                    codes, n = np.frombuffer(codes, np.int64), np.frombuffer(n, np.int64)
+                    word, other = codes // size, codes % size
+                    side, word = word % 2, word // 2
+                    own, at = np.unique(word, return_inverse=True)
+                    found = np.bincount((at * 2 + side) * kinds + now[other], n, len(own) * 2 * kinds).reshape(-1, 2, kinds)
+                    gain = (found[:, 0] @ into + found[:, 1] @ into.T)[:, :CLASSES] - found[:, 0].sum(1)[:, None] * cost
+                    # pairs of two of these words are in two blocks: the one before counts
+                    once = (side == 1) | (other < first) | (other >= known)
+                    word, other, side, n = word[once], other[once], side[once], n[once]
+                    before, after = np.where(side == 1, word, other), np.where(side == 1, other, word)
+                    delta = np.bincount(now[before].astype(np.int64) * kinds + now[after], n, kinds * kinds) \
+                        - np.bincount(start[before].astype(np.int64) * kinds + start[after], n, kinds * kinds)
+                    yield pd.DataFrame({"words": [packed(own)], "classes": [packed(gain.argmax(1).astype(np.int8))],
+                                        "delta": [packed(delta)]})
+
+        rows = blocks.mapInPandas(run, "words binary, classes binary, delta binary").collect()
+        shared.unpersist()
+        moves = base + sum((np.frombuffer(r.delta, np.float64).reshape(kinds, kinds) for r in rows), np.zeros((kinds, kinds)))
+        value = likelihood(moves)
+        if value > best[0]:
+            best = (value, classes, moves)
+        elif turn > 1:
+            break
+        if turn == rounds:
+            break
+        classes = classes.copy()
+        for r in rows:
+            own, new = np.frombuffer(r.words, np.int64), np.frombuffer(r.classes, np.int8)
+            half = (own % 2 == turn % 2) | (turn == 0)
+            classes[own[half]] = new[half]
+    return best[1].astype(np.int64), best[2]
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -198,29 +353,32 @@ def score(docs: DataFrame) -> DataFrame:
     types, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     total, n_types = tokens + ends, types + (ends > 0)
     classes, moves = exchange(pair_counts(train, held[:clustered]), clustered)
+    n_held, hashes, later = later_words(counts, held, held_counts, clustered)
+    if len(later):
+        classes, moves = later_exchange(later_pairs(train, held[:n_held], hashes, clustered, tokens), classes, moves, later,
+                                        clustered)
+    hashed_class = classes[n_held:n_held + len(hashes)].astype(np.int8)
     # emission totals of the fixed classes: all words but the clustered ones, and one unseen type
-    rest = {r.k: (r.n, r.v) for r in counts.groupBy(last_class(F.col("word")).alias("k")).agg(
-        F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    fixed_n = np.array([rest.get(k, (0, 0))[0] for k in range(FIXED)], float)
-    fixed_v = np.array([rest.get(k, (0, 0))[1] for k in range(FIXED)], float) + 1
+    rest = {r.k: r.v for r in counts.groupBy(last_class(F.col("word")).alias("k")).agg(F.count("*").alias("v")).collect()}
     own = np.array([LAST[w[-1]] for w in held], np.int64)
-    np.subtract.at(fixed_n, own[:clustered], held_counts[:clustered])
-    np.subtract.at(fixed_v, own[:clustered], 1)
-    fixed_total = fixed_n + fixed_v
+    fixed_v = np.array([rest.get(k, 0) for k in range(FIXED)], float) + 1
+    np.subtract.at(fixed_v, np.concatenate([own[:clustered], later.astype(np.int64)]), 1)
+    per_class = moves.sum(0)                             # tokens of each class
+    fixed_total = per_class[CLASSES:BORDER] + fixed_v
 
     share = (moves.sum(0) + 1) / (moves.sum() + BORDER + 1)
     step = np.log10((moves + SMOOTH * share) / (moves.sum(1, keepdims=True) + SMOOTH))
-    class_of = np.concatenate([classes[:clustered], CLASSES + own[clustered:], CLASSES + np.arange(FIXED)[::-1]])
-    per_class = np.bincount(classes[:clustered], held_counts[:clustered], CLASSES)
-    emit = np.concatenate([np.log10(held_counts[:clustered] / per_class[classes[:clustered]]),
-                           np.log10((held_counts[clustered:] + 1) / fixed_total[own[clustered:]]), np.zeros(FIXED)])
+    class_of = np.concatenate([classes[:n_held], CLASSES + own[n_held:], CLASSES + np.arange(FIXED)[::-1]])
+    kept = class_of[:len(held)]
+    totals = np.concatenate([np.maximum(per_class[:CLASSES], 1), fixed_total])
+    emit = np.concatenate([np.log10((held_counts + (kept >= CLASSES)) / totals[kept]), np.zeros(FIXED)])
     floor = np.log10(total + n_types + 1)
     base = np.concatenate([np.log10(held_counts + 1) - floor, np.zeros(FIXED)])
     end = float(np.log10(ends + 1) - floor)
-    shared = docs.sparkSession.sparkContext.broadcast((held, class_of, emit, base, step, BORDER))
+    shared = docs.sparkSession.sparkContext.broadcast((held, class_of, emit, base, step, BORDER, hashes, hashed_class))
 
     def run(batches):
-        words, class_of, emit, base, step, border = shared.value
+        words, class_of, emit, base, step, border, hashes, hashed_class = shared.value
         ids = Ids({w: i for i, w in enumerate(words)})
         for batch in batches:
             out = []
@@ -229,24 +387,29 @@ def score(docs: DataFrame) -> DataFrame:
                 row = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
                 rare = np.flatnonzero(row < 0)
                 c = np.concatenate([[border], class_of[row], [border]])       # -1 - k is the k-th from the end
-                left = Counter(found[i] for i in rare.tolist())
+                names = [found[i] for i in rare.tolist()]
+                if len(hashes):
+                    at = find_hashed(names, hashes)
+                    c[1 + rare[at >= 0]] = hashed_class[at[at >= 0]]
+                left = Counter(zip(names, c[1 + rare].tolist()))
                 out.append((len(found) + 1, len(found) + 1 - len(rare), float(base[row].sum()) + end,
                             float(emit[row].sum() + step[c[:-1], c[1:]].sum()),
-                            [{"word": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in left.items()]))
+                            [{"word": w.decode("utf-8", "surrogatepass"), "k": k, "n": n} for (w, k), n in left.items()]))
             table = pd.DataFrame(out, columns=["n_tokens", "held", "base_part", "part", "rare"])
             yield pd.concat([batch[["row"]].reset_index(drop=True), batch["doc_id"].astype("Int64").reset_index(drop=True),
                              batch[["held_out"]].reset_index(drop=True), table], axis=1)
 
     parts = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInPandas(
         run, "row long, doc_id long, held_out boolean, n_tokens long, held long, base_part double, part double, "
-             "rare array<struct<word string, n long>>"), "scores")
-    emission = F.element_at(F.array(*[F.lit(float(np.log10(t))) for t in fixed_total]), last_class(F.col("word")) + 1)
+             "rare array<struct<word string, k int, n long>>"), "scores")
+    emission = F.element_at(F.array(*[F.lit(float(np.log10(t))) for t in totals]), F.col("k") + 1)
     c = F.coalesce("c", F.lit(0))
-    rare = (parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    extra = F.when(F.col("k") < CLASSES, F.when(c == 0, 1).otherwise(0)).otherwise(1)
+    rare = (parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k", "r.n")
             .join(counts, "word", "left").groupBy("row").agg(
                 F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
                 F.sum(F.col("n") * (F.log10(c + 1) - floor)).alias("base_rest"),
-                F.sum(F.col("n") * (F.log10(c + 1) - emission)).alias("rest")))
+                F.sum(F.col("n") * (F.log10(c + extra) - emission)).alias("rest")))
     zero = lambda name: F.coalesce(name, F.lit(0))
     return parts.drop("rare").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens",

@@ -95,3 +95,44 @@ def test_empty_table_and_no_training_document(spark):
     only = next(i for i in range(100) if held(i))
     r = lm.score(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 60])
+def test_words_beyond_the_first_are_clustered_too(spark, monkeypatch, head):
+    """Whether workers hold them or know them by hash: the later words' classes tell what follows."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "CLUSTERED", 30)
+    df = spark.createDataFrame(corpus(300), "doc_id long, text string").cache()
+
+    def gain():
+        out = [r for r in lm.score(df).collect() if r.held_out and 3 < r.n_tokens < 100]
+        return sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+
+    with_later = gain()
+    monkeypatch.setattr(lm, "LEAST", 1 << 40)
+    assert with_later > gain() + 0.1
+
+
+def test_later_transitions_are_those_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SLOT", 500)
+    rows = [r for r in corpus(120) if r[1] and not held(r[0])][:100]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm.vocabulary(train).cache()
+    words, n = lm.frequent(counts, 50)
+    first = 20
+    n_held, hashes, fixed = lm.later_words(counts, words, n, first)
+    assert len(hashes) and n_held == len(words)
+    start, moves = lm.exchange(lm.pair_counts(train, words[:first]), first)
+    classes, after = lm.later_exchange(lm.later_pairs(train, words, hashes, first, 3000), start, moves, fixed, first)
+    size = len(words) + len(hashes)
+    assert lm.likelihood(after) > lm.likelihood(moves) and (classes[:size] < lm.CLASSES).mean() > 0.9
+    want = np.zeros_like(after)
+    for _, text in rows:
+        row = [lm.BORDER]
+        for w in map(str.encode, tokens(text)):
+            at = int(lm.find_hashed([w], hashes)[0])
+            row.append(classes[words.index(w)] if w in words else classes[len(words) + at] if at >= 0
+                       else lm.CLASSES + lm.LAST[w[-1]])
+        for a, b in zip(row, [*row[1:], lm.BORDER]):
+            want[a, b] += 1
+    assert np.array_equal(after, want)

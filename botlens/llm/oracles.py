@@ -119,3 +119,48 @@ n AS (SELECT rn, count(*) AS n_removed FROM gone GROUP BY rn)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (rn) LEFT JOIN kept USING (rn)
 """
+
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rn, line, i, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT rn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+shared AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rn) >= 10),
+kept AS (SELECT rn, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM l ANTI JOIN shared USING (key) GROUP BY rn)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, len(ls)::BIGINT - coalesce(n, 0) AS n_dropped, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rn)
+"""
+
+
+LEXICAL_SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+size AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+tf AS (SELECT rn, term, count(*) AS tf FROM (SELECT rn, unnest(ws) AS term FROM d) GROUP BY rn, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item, item_id, term, count(*) AS repeats FROM (SELECT row_number() OVER () AS item, item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item, item_id, term),
+s AS (SELECT item, item_id, d.rn, d.doc_id, sum(repeats * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ws) * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN d USING (rn), size GROUP BY item, item_id, d.rn, d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+HARD_NEGATIVES = r"""
+WITH e AS (SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.rn AS an, a.vec_id AS anchor_id, a.label = b.label AS same, b.rn, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.rn <> b.rn WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY an ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+  WHERE place <= 5),
+n AS (SELECT p.an, p.anchor_id, p.place, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id,
+    s.score AS negative_score, row_number() OVER (PARTITION BY p.an, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.an = p.an AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""

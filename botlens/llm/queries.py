@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from botlens.session import apply_conf
 
-from . import decontam, htmlextract, licenses, lm, oracles, packing, quality, secretscan, simhash, substrings, urlfilter
+from . import (decontam, hardneg, htmlextract, lexsearch, licenses, linededup, lm, oracles, packing, quality, secretscan,
+               simhash, substrings, urlfilter)
 from .common import bounded_batches, table
 
 
@@ -76,6 +77,21 @@ def op10_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_line_dedup(spark, sf_dir):
+    found = linededup.dedup(table(spark, sf_dir, "documents"), least=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexsearch.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", moved), every=50, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -87,6 +103,9 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -104,4 +123,7 @@ def oracle_sql():
     return {"op1_quality_rules": oracles.quality_sql(),
             "op2_url_filters": oracles.URL_FILTERS,
             "op7_decontamination": oracles.DECONTAMINATION,
-            "op10_substring_dedup": oracles.SUBSTRING_DEDUP}
+            "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+            "op11_line_dedup": oracles.LINE_DEDUP,
+            "op12_lexical_search": oracles.LEXICAL_SEARCH,
+            "op13_hard_negatives": oracles.HARD_NEGATIVES}

@@ -45,7 +45,7 @@ BITS = 2
 BLOCK = 1024
 CHUNK = 512
 WAVE = 16 << 20
-NONE = np.iinfo(np.int64).min
+NONE = -(1 << 63)
 
 
 # ---- the curve ----
@@ -310,7 +310,7 @@ def negatives_of(blocks: DataFrame, chunks: DataFrame, grid: Grid, k: int, low:
                 if row.chunk not in held:
                     of = np.array(row.owner, np.int64)
                     floor = np.array([-(-low * int(p) // 100) for p in row.score], np.int64)
-                    ceiling = np.array([high * int(p) // 100 for p in row.score], np.int64)
+                    ceiling = np.array([min(high * int(p) // 100, -1 - NONE) for p in row.score], np.int64)
                     held[row.chunk] = grid.read(row.anchors), of, ceiling, Best(floor, k)
                 anchors, of, ceiling, best = held[row.chunk]
                 least, most = score_bounds(anchors, row.least, row.most)
@@ -347,8 +347,9 @@ def mine_wave(blocks: DataFrame, chunks: DataFrame, grid: Grid, positives: int,
     windows = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("anchor", "rank", "score", "id"))).alias("w"))
     part = stage(chunks.join(windows, "chunk").select(
         "chunk", "label", "ids", "vectors", "least", "most", F.col("w.anchor").alias("owner"), F.col("w.score").alias("score"),
-        F.col("w.id").alias("positive"), F.expr(f"array_min(transform(w.score, p -> p * {low} div 100 - 1))").alias("lowest"),
-        F.expr(f"array_max(transform(w.score, p -> p * {high} div 100 + 1))").alias("highest")), "mining-windows")
+        F.col("w.id").alias("positive"), F.array_min(F.transform("w.score", lambda p: F.floor(p.cast("decimal(19,0)") * low / 100))).alias("lowest"),
+        F.array_max(F.transform("w.score", lambda p: F.ceil(p.cast("decimal(19,0)") * high / 100))).alias("highest")),
+        "mining-windows")
 
     def named(batches):
         for batch in batches:

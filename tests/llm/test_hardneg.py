@@ -56,10 +56,14 @@ def test_matches_brute_force(spark, monkeypatch, block, chunk, wave):
     assert run(spark, rows, every=25) == brute(rows, every=25)
 
 
+def times(rows, factor):
+    return [(i, lab, [float(np.float32(factor * x)) for x in v] if v and v[0] is not None else v) for i, lab, v in rows]
+
+
 def test_wide_values_and_options(spark):
-    rows = [(i, lab, [300.0 * x for x in v] if v and v[0] is not None else v) for i, lab, v in table(200, 5, 2)]
+    rows = times(table(200, 5, 2), 300.0)
     assert run(spark, rows, every=20, positives=2, negatives=4) == brute(rows, 20, 2, 4)
-    large = [(i, lab, [1e4 * x for x in v] if v and v[0] is not None else v) for i, lab, v in rows]
+    large = times(rows, 1e4)
     assert run(spark, large, every=20) == brute(large, 20)
     with pytest.raises(ValueError, match="64 bits"):
         run(spark, [(0, 1, [1e30, 1.0])])

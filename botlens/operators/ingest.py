@@ -120,9 +120,9 @@ def resolve_owners(events: DataFrame, accounts: DataFrame, api_key_secret: str,
     return ok, rejected
 
 
-def enforce_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
-                        seq_col: str = "ingest_seq", chunk: int = 1 << 20):
-    """I8: reject an owner's event once its monthly count reached the limit.
+def decide_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
+                       seq_col: str = "ingest_seq", chunk: int = 1 << 20) -> DataFrame:
+    """I8: every event with ``_ok`` (accepted), ``_used`` (the count it meets) and ``_limit``.
 
     ``usage`` is (account_id, monthly_events) at batch start (Q19), or with a
     column ``month`` one row per month; ``counts`` marks events that add an
@@ -148,13 +148,24 @@ def enforce_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
     # refused events do not count, so the count an event meets stops at the limit (or at a base above it)
     met = F.greatest(base_count, F.least(used, F.coalesce(F.col("_limit").cast("long"), base_count)))
     decided = ran.withColumn("_ok", F.coalesce(used < F.col("_limit"), F.lit(False))).withColumn("_used", met)
-    accepted = decided.filter("_ok").drop("_counts", "_limit", "_base", "_before", "_ok", "_used", "_month")
+    return decided.drop("_counts", "_base", "_before", "_month")
+
+
+def quota_detail() -> Column:
+    """The error detail of an event that ``decide_event_quota`` refused."""
+    return F.concat(F.lit("current "), F.col("_used").cast("string"), F.lit(", limit "),
+                    F.coalesce(F.col("_limit").cast("string"), F.lit("none")))
+
+
+def enforce_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
+                        seq_col: str = "ingest_seq", chunk: int = 1 << 20):
+    """I8 as (accepted, rejected): reject an owner's event once its monthly count reached the limit."""
+    decided = decide_event_quota(events, usage, counts, seq_col, chunk)
+    accepted = decided.filter("_ok").drop("_limit", "_ok", "_used")
     keep = [c for c in events.columns if c not in ("error_code", "error_field", "error_detail")]
     rejected = decided.filter(~F.col("_ok")).select(
         *keep, F.lit("PLAN_LIMIT_REACHED").alias("error_code"),
-        F.lit("monthlyEvents").alias("error_field"),
-        F.concat(F.lit("current "), F.col("_used").cast("string"), F.lit(", limit "),
-                 F.coalesce(F.col("_limit").cast("string"), F.lit("none"))).alias("error_detail"))
+        F.lit("monthlyEvents").alias("error_field"), quota_detail().alias("error_detail"))
     return accepted, rejected
 
 

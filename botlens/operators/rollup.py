@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from botlens.functions import exprs as X
 from botlens.functions.clock import Clock, date_lit
 from botlens.operators import stats as S
+from botlens.operators.ingest import merge_users
+from botlens.operators.recent import recent_from_newest
 from botlens.schemas import DEFAULT_UPTIME_THRESHOLD
 from botlens.sources.tables import Tables
 
@@ -72,6 +74,21 @@ def user_rollup(users: DataFrame) -> DataFrame:
     return merge_rollups(_part(rows, users=F.col("users"), active_users=F.col("active_users")))
 
 
+def user_step(state: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What one batch does to the users and to their rollup: (new rows of the touched users, signed rollup rows).
+
+    ``delta`` holds the batch's users rows (``merge_users`` form).  The days of a touched user's old row
+    are taken back and those of the new row are added, so the sum of all batches' rows is the rollup of
+    the present users, and no reader needs the users any more.  Only touched users leave the join.
+    """
+    keys = ["bot_id", "telegram_id"]
+    old = state.join(delta.select(*keys).distinct(), keys, "left_semi")
+    new = merge_users(old.unionByName(delta))
+    minus = user_rollup(old)
+    minus = minus.withColumns({n: -F.col(n) for n in ("users", "active_users")})
+    return new, merge_rollups(minus.unionByName(user_rollup(new)))
+
+
 def full_rollup(t: Tables, activity: bool = True) -> DataFrame:
     """Facts' and users' rollup; each table is read once."""
     facts = Tables({n: df for n, df in t.items() if activity or n != "activity_logs"})
@@ -159,8 +176,9 @@ def _day_series(days: str, start, end, typ: str, name: str) -> Column:
 
 
 def dashboard_from_rollup(t: Tables, rollup: DataFrame, as_of, bots=None, limit: int = 10,
-                          uptime_threshold: float = DEFAULT_UPTIME_THRESHOLD) -> DataFrame:
-    """Q18: all six documents from one aggregation of the rollup, and the recent activity."""
+                          uptime_threshold: float = DEFAULT_UPTIME_THRESHOLD, newest: DataFrame | None = None) -> DataFrame:
+    """Q18: all six documents from one aggregation of the rollup, and the recent activity: from
+    the ``newest`` state (``operators.recent``) if given, else from the activity log."""
     c = as_of if isinstance(as_of, Clock) else Clock.at(as_of)
     m = S.join_measures(S.bot_keys(t, bots), [_rollup_measures(rollup, c, bots, series=True)])
     months = F.array(*[F.struct(F.lit(c.months_ago(n).isoformat()).alias("date"),
@@ -170,7 +188,8 @@ def dashboard_from_rollup(t: Tables, rollup: DataFrame, as_of, bots=None, limit:
         _day_series("_users", c.days_ago(29), c.today, "long", "growth_series"),
         _day_series("_revenue", c.days_ago(29), c.today, "decimal(22,2)", "revenue_series"),
         _day_series("_messages", c.days_ago(29), c.today, "long", "daily_messages_series"))
-    return S.assemble_dashboard(t, bots, m, limit, uptime_threshold)
+    recent = S.recent_activity(t, limit, bots) if newest is None else recent_from_newest(newest, limit, bots)
+    return S.assemble_dashboard(bots, m, recent, uptime_threshold)
 
 
 def account_usage_from_rollup(t: Tables, rollup: DataFrame, as_of, owners=None) -> DataFrame:

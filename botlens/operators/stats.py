@@ -309,6 +309,11 @@ def recent_activity(t: Tables, limit: int = 10, bots=None) -> DataFrame:
     ranked = (_restrict(t.activity_logs, bots)
               .withColumn("rank", F.row_number().over(w))
               .filter(F.col("rank") <= limit))
+    return resolved_activity(ranked)
+
+
+def resolved_activity(ranked: DataFrame) -> DataFrame:
+    """Ranked activity rows with their stored code and params, or those read from the description."""
     code, params = X.activity_fallback("event_type", "description")
     stored = F.col("event_code").isNotNull() & (F.col("event_code") != "")
     return ranked.select(
@@ -333,9 +338,8 @@ def dashboard(t: Tables, as_of, bots=None, limit: int = 10,
     return dashboard_from_rollup(t, full_rollup(t, activity=False), as_of, bots, limit, uptime_threshold)
 
 
-def assemble_dashboard(t: Tables, bots, m: DataFrame, limit: int, uptime_threshold) -> DataFrame:
-    """The dashboard structs from per-bot measures and series, with the recent activity."""
-    ra = recent_activity(t, limit, bots)
+def assemble_dashboard(bots, m: DataFrame, ra: DataFrame, uptime_threshold) -> DataFrame:
+    """The dashboard structs from per-bot measures and series, with the recent activity ``ra``."""
     ra_nested = ra.groupBy("bot_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "id", "event_type", "description", "event_code", "params", "created_at")))
         .alias("recent_activity"))

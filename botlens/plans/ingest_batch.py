@@ -107,22 +107,26 @@ def ingest_api_batch(raw: DataFrame, state: Tables, secrets: Secrets, chunk: int
     without the body; rejected rows get theirs back by ``ingest_seq``.
     """
     staged: list[str] = []
-    owned, _ = I.resolve_owners(raw, state.accounts, secrets.api_key, keep_unknown=True)
-    checked = check_api_events(owned).drop("body", "api_key")
+    # validation reads nothing but the row: it runs where the bodies lie, before any shuffle
+    checked = check_api_events(raw).drop("body")
     created = parse_event_time(F.col("created_at_text"), F.col("received_at"))
     post_err = (F.when(created.isNull(), F.lit("createdAt"))
                  .when((F.col("kind") == "payment") & F.col("amount").isNull(), F.lit("amount")))
-    checked = stage(checked.withColumn("created_at", created).withColumn("_post", post_err),
-                    "api-checked", staged)
-    counts = F.col("error_code").isNull() & F.col("_post").isNull() \
+    checked = stage(checked.withColumn("created_at", created).withColumn("_post", post_err), "api-checked", staged)
+    owned, _ = I.resolve_owners(checked, state.accounts, secrets.api_key, keep_unknown=True)
+    counts = F.col("owner_account_id").isNotNull() & F.col("error_code").isNull() & F.col("_post").isNull() \
         & (F.col("created_at") >= F.trunc("received_at", "MM"))
     usage = usage_by_month(checked, usage_at or (lambda c: A.account_usage(state, c)))
-    unknown = checked.filter(F.col("owner_account_id").isNull()).select(
-        "ingest_seq", F.lit("INVALID_API_KEY").alias("error_code"), F.lit("api_key").alias("error_field"),
-        F.lit("Invalid API key").alias("error_detail"))
-    passed, rej_quota = I.enforce_event_quota(
-        checked.filter(F.col("owner_account_id").isNotNull()), usage, counts, chunk=chunk)
-    to_resolve = passed.filter(F.col("error_code").isNull()).drop(*ERRORS)
+    owned = owned.drop("api_key")
+    limited = I.decide_event_quota(owned.filter(F.col("owner_account_id").isNotNull()), usage, counts, chunk=chunk)
+    # the first of: unknown key, quota, body
+    over = {"error_code": F.lit("PLAN_LIMIT_REACHED"), "error_field": F.lit("monthlyEvents"),
+            "error_detail": I.quota_detail()}
+    limited = limited.withColumns({n: F.when(F.col("_ok"), F.col(n)).otherwise(over[n]) for n in ERRORS})
+    unknown = owned.filter(F.col("owner_account_id").isNull()).withColumns({
+        "error_code": F.lit("INVALID_API_KEY"), "error_field": F.lit("api_key"), "error_detail": F.lit("Invalid API key")})
+    decided = stage(limited.drop("_limit", "_ok", "_used").unionByName(unknown), "api-decided", staged)
+    to_resolve = decided.filter(F.col("error_code").isNull()).drop(*ERRORS)
     resolved, bots, rej_conflict = BO.resolve_bots(to_resolve, state.bots, secrets.token)
     resolved = stage(resolved, "api-resolved", staged)   # feeds every output below
     bad_post = resolved.filter(F.col("_post").isNotNull()).select(
@@ -131,8 +135,8 @@ def ingest_api_batch(raw: DataFrame, state: Tables, secrets: Secrets, chunk: int
          .otherwise(F.lit("numeric field overflow")).alias("error_detail"))
     good = resolved.filter(F.col("_post").isNull()).select(
         "*", F.lit("api").alias("source"), F.col("ingest_seq").alias("seq"), F.lit(0).alias("sub_seq"))
-    errors = [unknown, bad_post] + [df.select("ingest_seq", *ERRORS) for df in (
-        rej_quota, passed.filter(F.col("error_code").isNotNull()), rej_conflict)]
+    errors = [bad_post] + [df.select("ingest_seq", *ERRORS) for df in (
+        decided.filter(F.col("error_code").isNotNull()), rej_conflict)]
     refused = stage(reduce(DataFrame.unionByName, errors), "api-refused", staged)
     return IngestOutput(facts=_facts(good), users_delta=_users_delta(good), bots=bots,
                         rejected=_rejected(raw.join(refused, "ingest_seq"), "api"), staged=staged)

@@ -16,11 +16,21 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM does not compile methods beyond 8,000 bytes of bytecode: a fused stage of many
+    # columns (validation) would run interpreted, so such a stage is not fused
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # JSON bodies may repeat a key; the last one wins like JSON.parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
+# Settings that only a new session can take.
+STATIC_CONF = {
+    # plans here are built from thousands of column expressions; recording the call site of each takes seconds
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def get_session(master: str | None = None, app: str = "botlens",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
@@ -37,7 +47,7 @@ def get_session(master: str | None = None, app: str = "botlens",
         builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in {**SESSION_CONF, **(extra or {})}.items():
+    for key, value in {**SESSION_CONF, **STATIC_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     apply_conf(spark)

@@ -79,3 +79,49 @@ def test_billing_rules(spark):
     assert len(v) == 1 and (v[0].provider, v[0].plan, v[0].status) == ("stripe", "growth", "active")
     got = {r.ingest_seq: r.error_field for r in rejected.collect()}
     assert got == {i + 1: f for i, (_, f) in enumerate(bad)}
+
+
+def _bodies(seed, n):
+    """Bodies from plain to broken: odd spacing, escapes, repeated and unknown names, wrong types, cut texts."""
+    import json
+    import random
+    rng = random.Random(seed)
+    texts = ["", " x ", "@Bot", "é😀", "a\"b\\c\n", "n" * 300, "t" * 4001, " ", "{\"k\": 1}", "username", "token", "usd", "12",
+             "2024-01-01T00:00:00Z", "/", "\x7f"]
+    value = lambda: rng.choice([rng.choice(texts)] * 6 + [None, 5, -1, 2.5, 1e11, 1e400, True, [1], {}, {"telegramId": "1"}])
+    out = []
+    for _ in range(n):
+        body = {"botType": rng.choice(["username", "token", "email"]), "botValue": rng.choice(texts),
+                "user": {"telegramId": rng.choice(texts)}, "text": rng.choice(texts),
+                "amount": rng.choice([1, 0, -3, 2.375, 12345678901, 0.005, 1e400]), "currency": rng.choice(["usd", " eur "])}
+        for where in (body, body["user"]):
+            for name in rng.sample(["username", "firstName", "text", "amount", "createdAt", "user", "botType", "extra", "b"], 2):
+                if rng.random() < 0.4:
+                    where[name] = value()
+        text = json.dumps(body, ensure_ascii=rng.random() < 0.3, indent=rng.choice([None, None, 1]))
+        text = text.replace("Infinity", "1e400")
+        if rng.random() < 0.2:
+            text = text[:-1] + ',"botType":"token"' * rng.randrange(1, 4) + rng.choice(["}", ',"text":null}', ',"user":{}}'])
+        if rng.random() < 0.15:
+            text = rng.choice([text + " ", text + "x", text[:-1], " " + text, text.replace('"', "'"), text.replace(":", "::", 1),
+                               text.replace('"botType"', '"bot\\u0054ype"'), text.replace(",", ",,", 1), text + "\n{}",
+                               text.replace('"amount": ', '"amount": 0'), text.replace('"amount": ', '"amount": +')])
+        out.append((rng.choice(["message", "payment", "user_joined"]), text))
+    return out + [("message", None), ("message", "{}"), ("message", "[]"), ("payment", "{" + " " * 50_000 + "}"),
+                  ("message", '{' + HEAD + ',"user":' + OK_USER + ',"text":"' + "\\n" * 30_000 + '"}'),
+                  ("message", '{' + HEAD + ',"user":' + OK_USER + "".join(f',"k{i}":{i}' for i in range(500)) + '}')]
+
+
+def test_both_tiers_agree(spark, monkeypatch):
+    from botlens.operators import validate as V
+    raw = _raw(spark, _bodies(11, 3000)).cache()
+    shape = V.API_SHAPE
+    clean = raw.filter(V.clean_body(raw.body, shape)).count()
+    assert 800 < clean < 2200
+    def run():
+        got = V.check_api_events(raw).collect()
+        return sorted((tuple(r) for r in got), key=repr)
+    both = run()
+    monkeypatch.setattr(V, "CLEAN_BYTES", -1)
+    assert raw.filter(V.clean_body(raw.body, shape)).count() == 0
+    assert both == run()

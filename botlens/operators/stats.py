@@ -210,6 +210,12 @@ def _series(t: Tables, facts: DataFrame, bots, start, end, value: Column,
            .filter((created >= ts_lit(start)) & (created < hi))
            .groupBy("bot_id", bucket.alias("bucket_date"))
            .agg(value.alias("value")))
+    return fill_series(t, agg, bots, start, end, step, zero)
+
+
+def fill_series(t: Tables, agg: DataFrame, bots, start, end, step: Column | None = None, zero=0) -> DataFrame:
+    """(bot_id, bucket_date, value) rows as a series without gaps for every bot."""
+    step = F.expr("INTERVAL 1 DAY") if step is None else step
     spine = bot_keys(t, bots).select(
         "bot_id", F.explode(F.sequence(date_lit(start), date_lit(end), step)).alias("bucket_date"))
     return (spine.join(agg, ["bot_id", "bucket_date"], "left")

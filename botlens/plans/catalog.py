@@ -7,6 +7,7 @@ are the TPC-H-like tables (line items as messages), the others on the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botlens.functions import exprs as X
+from botlens.functions.clock import Clock, date_lit
 from botlens.operators import accounts as AC
 from botlens.operators import billing as BL
 from botlens.operators import bots as BO
@@ -27,7 +29,9 @@ from botlens.plans.ingest_batch import Secrets, ingest_api_batch, ingest_platfor
 from botlens.sources import raw as RAW
 from botlens.plans import oracle_sql as O
 from botlens.schemas import plan_catalogue
+from botlens.session import scratch_path
 from botlens.sources import fixtures as FX
+from botlens.streaming.totals import add_up, read_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -274,12 +278,17 @@ def _ingest_balance(spark, sf_dir):
 QUOTA_LEFT = {"2024-01-01": 700, "2024-02-01": 60}       # events an owner may still send in each month
 
 
+def _two_months(raw, later):
+    """API events of which those ``later`` arrive a month later."""
+    return raw.withColumn("received_at", F.when(
+        later, F.timestamp_add("SECOND", F.col("ingest_seq") % 86400,
+                                                      F.lit("2024-02-01").cast("timestamp"))).otherwise(F.col("received_at")))
+
+
 def _ingest_api_quota(spark, sf_dir):
     """A batch of two months in which the quota rejects: every third event arrives a month later."""
     t = tables_a(spark, sf_dir)
-    raw = RAW.api_events(spark, sf_dir).withColumn("received_at", F.when(
-        F.col("ingest_seq") % 3 == 0, F.timestamp_add("SECOND", F.col("ingest_seq") % 86400,
-                                                      F.lit("2024-02-01").cast("timestamp"))).otherwise(F.col("received_at")))
+    raw = _two_months(RAW.api_events(spark, sf_dir), F.col("ingest_seq") % 3 == 0)
     limits = plan_catalogue(spark).select("plan", "monthly_events")
 
     def usage(clock):
@@ -484,6 +493,68 @@ def _overview_maintained(spark, sf_dir):
     return RU.overview_from_rollup(facts, RU.merge_rollups(rollup), A)
 
 
+STREAM_FILES = 3
+
+
+def _arrive(df: DataFrame, name: str) -> str:
+    """Land rows as one file a ``_part``, part 0 first: the micro-batches of a replay.  The folder."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df = _landed(df, name)
+    for n in range(STREAM_FILES):
+        df.filter(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _stream_series(facts: str, value, typ: str) -> Query:
+    """Q11, Q13, Q15 from day buckets in the state store; the facts come in any order, days late."""
+    def run(spark, sf_dir):
+        t = tables_a(spark, sf_dir)
+        path = _arrive(t[facts].select("bot_id", F.to_date("created_at").alias("bucket_date"), value.alias("value"),
+                                       F.pmod(F.xxhash64("id"), F.lit(STREAM_FILES)).alias("_part")), "late")
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        keys = {n: F.col(n) for n in ("bot_id", "bucket_date")}
+        add_up(stream, keys, {"value": F.col("value")}, f"{path}-checkpoint")
+        c = Clock.at(A)
+        totals = read_totals(spark, f"{path}-checkpoint", ["value"]).withColumn("value", F.col("value").cast(typ))
+        inside = F.col("bucket_date").between(date_lit(c.days_ago(29)), date_lit(c.today))
+        return stats.fill_series(t, totals.filter(inside), None, c.days_ago(29), c.today)
+    return run
+
+
+LATER_HALF = "2 * event_id >= (SELECT max(event_id) FROM events)"
+
+
+def _quota_stream(spark, sf_dir):
+    """Two months of events as a stream of several micro-batches: each takes its quota base from the
+    counters in the state store, which the batches before it have raised."""
+    from botlens.sources.sink import Sink
+    from botlens.streaming.stream import api_batch_writer
+    t = tables_a(spark, sf_dir)
+    raw = RAW.api_events(spark, sf_dir)
+    last = raw.agg(F.max("ingest_seq")).first()[0]
+    raw = _two_months(raw, 2 * F.col("ingest_seq") >= last)
+    size = last // STREAM_FILES + 1
+    path = _arrive(raw.withColumn("_part", F.floor(F.col("ingest_seq") / size)), "raw-quota")
+    # counted from the month's first day, so a later month's events count for an earlier one too
+    left = list(QUOTA_LEFT.items())
+    limits = plan_catalogue(spark).select("plan", "monthly_events")
+    accounts = t.accounts.join(F.broadcast(limits), "plan").select(F.col("id").alias("account_id"), "monthly_events")
+    usage = accounts.select("account_id", date_lit(Clock.at(left[1][0]).today).alias("month"),
+                            (F.col("monthly_events") - left[1][1]).alias("events")).unionByName(
+        accounts.select("account_id", date_lit(Clock.at(left[0][0]).today).alias("month"),
+                        F.lit(left[1][1] - left[0][1]).alias("events"))).withColumn("events", F.col("events").cast("long"))
+    sink = Sink(spark, f"{path}-sink")
+    none = type(t)({"bots": t.bots, "accounts": t.accounts})
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = (stream.writeStream.foreachBatch(api_batch_writer(sink, none, SECRETS, usage=usage))
+             .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return sink.rejected().filter("error_code = 'PLAN_LIMIT_REACHED'").select("ingest_seq", "error_field", "error_detail")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "user_window": _stat(stats.user_window, tables_a, A),
@@ -548,6 +619,10 @@ def queries() -> dict[str, Query]:
         "recent_activity_newest": _recent_newest(tables_a),
         "recent_activity_newest_star": _recent_newest(tables_b),
         "overview_maintained": _overview_maintained,
+        "stream_user_series": _stream_series("users", F.lit(1).cast("long"), "long"),
+        "stream_message_series": _stream_series("messages", F.lit(1).cast("long"), "long"),
+        "stream_revenue_series": _stream_series("payments", F.col("amount"), "decimal(22,2)"),
+        "quota_stream": _quota_stream,
         "dashboard_rollup": _dashboard_rollup(tables_a, A),
         "dashboard_rollup_star": _dashboard_rollup(tables_b, B),
         "account_usage_rollup": _account_usage_rollup,
@@ -580,6 +655,10 @@ def oracle_sql() -> dict[str, str]:
         "recent_activity_newest": O.recent_activity("a"),
         "recent_activity_newest_star": O.recent_activity("b"),
         "overview_maintained": O.overview("a"),
+        "stream_user_series": O.series("daily_user_series", "a"),
+        "stream_message_series": O.series("daily_message_series", "a"),
+        "stream_revenue_series": O.series("daily_revenue_series", "a"),
+        "quota_stream": O.ingest_api_quota(QUOTA_LEFT, LATER_HALF),
         "dashboard": O.dashboard("a"),
         "dashboard_star": O.dashboard("b"),
         "dashboard_rollup": O.dashboard("a"),

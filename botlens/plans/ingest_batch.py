@@ -7,8 +7,8 @@ A bad date is detected after the bot was resolved, so it still creates or
 touches the bot, as in the reference.
 
 The batch is all-or-nothing at the storage level: the caller writes every
-output under the batch id and switches the state pointer last
-(``botlens.sources.store``).
+output under the batch id and the batch's own row last
+(``botlens.sources.sink``).
 """
 
 from __future__ import annotations

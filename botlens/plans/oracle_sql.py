@@ -890,15 +890,16 @@ SELECT source, count(*) AS input_rows, count(*) FILTER (error_code IS NULL) AS a
 FROM found GROUP BY source"""
 
 
-def ingest_api_quota(left: dict) -> str:
-    """Owner and month each have their own running count; an event counts if it is dated in its arrival month or later."""
+def ingest_api_quota(left: dict, later: str = "event_id % 3 = 0") -> str:
+    """Owner and month each have their own running count; an event counts if it is dated in its arrival month or later.
+    ``later``: which events arrive in the second month."""
     base, _ = _mapping("a")
     jan, feb = left.values()
     return f"""{base},
 e AS (
-  SELECT ev.event_id, CAST(n.n_regionkey AS VARCHAR) AS owner, event_id % 3 = 0 AS later,
+  SELECT ev.event_id, CAST(n.n_regionkey AS VARCHAR) AS owner, {later} AS later,
          CASE WHEN a.plan = 'growth' THEN 250000 ELSE 5000 END AS lim,
-         CASE WHEN event_type <> 'error' AND (event_id % 3 <> 0 OR k % 5 = 0) THEN 1 ELSE 0 END AS counts
+         CASE WHEN event_type <> 'error' AND (NOT ({later}) OR k % 5 = 0) THEN 1 ELSE 0 END AS counts
   FROM ev JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = ev.bot_id
   JOIN d_accounts a ON a.id = CAST(n.n_regionkey AS VARCHAR) WHERE k <> 99),
 ran AS (

@@ -1,12 +1,11 @@
 """Structured Streaming ingest.
 
 Raw JSON lines land in a folder (a Kafka source is a drop-in replacement);
-each micro-batch runs the batch operator inside ``foreachBatch`` and is
-committed to the store under its stream's name and batch id.  A batch that the
-store has committed is not run again, and a failed attempt is never seen, so
-delivery into the store is exactly-once (T6).  Several streams may write one
-store; if two replace the same versioned table at once, one fails with
-``StoreConflict`` and its retry sees the other's state.
+each micro-batch runs the batch operator inside ``foreachBatch`` and is written to
+the sink under its stream's name and batch id.  A committed batch is not run again,
+and a failed attempt is never seen, so delivery into the sink is exactly-once (T6).
+The streams of one deployment run in one driver; a batch holds the sink's lock while
+it reads the state and writes.
 
 No watermark is set on the event stream: the reference accepts backdated
 events without limit (T2), so dropping late rows would change answers.
@@ -21,11 +20,11 @@ from pyspark.sql import types as T
 
 from botlens.operators.billing import apply_account_changes, apply_billing_batch
 from botlens.operators.bots import apply_bot_changes, enforce_bot_cap, resolve_bots
-from botlens.operators.rollup import account_usage_from_rollup, daily_rollup
 from botlens.plans.ingest_batch import Secrets, ingest_api_batch, ingest_platform_batch
 from botlens.session import drop_path, stage
-from botlens.sources.store import FACTS, Store
+from botlens.sources.sink import Sink
 from botlens.sources.tables import Tables
+from botlens.streaming.totals import QuotaCounters, usage_by_month
 
 API_RAW = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("api_key", T.StringType()),
@@ -37,53 +36,59 @@ PLATFORM_RAW = T.StructType([
     T.StructField("ingest_seq", T.LongType()), T.StructField("received_at", T.TimestampType())])
 
 
-def api_batch_writer(store: Store, base: Tables, secrets: Secrets, stream: str = "api"):
-    """foreachBatch function for API events.
-
-    The quota base comes from the daily rollup (base facts rolled up once,
-    plus the rollup that every commit appends)."""
-    base_rollup = {}
-
+def _once(sink: Sink, stream: str, body):
+    """foreachBatch function that runs ``body(batch, batch_id)`` for batches not committed yet, one at a time."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        log = store.log()
-        if store.is_committed(stream, batch_id) or batch.isEmpty():
-            return
-        if "r" not in base_rollup:
-            base_rollup["r"] = stage(daily_rollup(Tables(
-                {t: base.get_or_empty(batch.sparkSession, t) for t in FACTS})), "base-rollup")
-        state = store.read_state(base, log)
-        rollup = store.read_rollup(base_rollup["r"], log)
-        out = ingest_api_batch(batch, state, secrets,
-                               usage_at=lambda c: account_usage_from_rollup(state, rollup, c))
-        store.write_ingest(stream, batch_id, out, state.seen_versions)
+        with sink.lock:
+            if not sink.is_committed(stream, batch_id) and not batch.isEmpty():
+                body(batch, batch_id)
     return run
 
 
-def platform_batch_writer(store: Store, base: Tables, stream: str = "platform"):
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if store.is_committed(stream, batch_id) or batch.isEmpty():
-            return
-        out = ingest_platform_batch(batch, store.read_state(base))
+def api_batch_writer(sink: Sink, base: Tables, secrets: Secrets, stream: str = "api", usage: DataFrame | None = None):
+    """foreachBatch function for API events.
+
+    The quota base comes from the counters in the state store, which take in every
+    committed batch; ``usage`` (account_id, month, events) is what was there before,
+    by default the base facts, counted once."""
+    counters = {}
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        if not counters:
+            before = usage if usage is not None else (
+                usage_by_month(base) if "activity_logs" in base
+                else batch.sparkSession.createDataFrame([], "account_id string, month date, events long"))
+            counters["quota"] = QuotaCounters(sink, stage(before, "base-usage"))
+        counters["quota"].refresh()
+        state = sink.read_state(base)
+        sink.write_ingest(stream, batch_id, ingest_api_batch(batch, state, secrets, usage_at=counters["quota"].usage_at), state)
+    return _once(sink, stream, body)
+
+
+def platform_batch_writer(sink: Sink, base: Tables, stream: str = "platform"):
+    def body(batch: DataFrame, batch_id: int) -> None:
+        state = sink.read_state(base)
+        out = ingest_platform_batch(batch, state)
         out.bots = None                      # platform updates never change bots
-        store.write_ingest(stream, batch_id, out)
-    return run
+        sink.write_ingest(stream, batch_id, out, state)
+    return _once(sink, stream, body)
 
 
-def start_api_ingest(spark: SparkSession, source_dir: str, store: Store, base: Tables,
+def start_api_ingest(spark: SparkSession, source_dir: str, sink: Sink, base: Tables,
                      secrets: Secrets, checkpoint: str, available_now: bool = False,
-                     max_files_per_trigger: int | None = None):
+                     max_files_per_trigger: int | None = None, usage: DataFrame | None = None):
     """Start the API event stream: JSON lines with ``API_RAW`` fields."""
     reader = spark.readStream.schema(API_RAW)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(source_dir)
-    writer = (stream.writeStream.foreachBatch(api_batch_writer(store, base, secrets))
+    writer = (stream.writeStream.foreachBatch(api_batch_writer(sink, base, secrets, usage=usage))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 
 
-def start_platform_ingest(spark: SparkSession, source_dir: str, store: Store, base: Tables,
+def start_platform_ingest(spark: SparkSession, source_dir: str, sink: Sink, base: Tables,
                           checkpoint: str, available_now: bool = False,
                           dedupe_within: str | None = None):
     """Start the platform update stream.  ``dedupe_within`` (e.g. "1 hour")
@@ -94,7 +99,7 @@ def start_platform_ingest(spark: SparkSession, source_dir: str, store: Store, ba
                   .withWatermark("received_at", dedupe_within)
                   .dropDuplicatesWithinWatermark(["bot_id", "update_id"])
                   .drop("update_id"))
-    writer = (stream.writeStream.foreachBatch(platform_batch_writer(store, base))
+    writer = (stream.writeStream.foreachBatch(platform_batch_writer(sink, base))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
@@ -105,19 +110,17 @@ BILLING_RAW = T.StructType([
     T.StructField("received_at", T.TimestampType())])
 
 
-def billing_batch_writer(store: Store, base: Tables, stream: str = "billing"):
+def billing_batch_writer(sink: Sink, base: Tables, stream: str = "billing"):
     """foreachBatch for billing notifications (E3: I14-I17).  Billing events are
-    appended as a mergeable delta; subscriptions and accounts are new versions."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if store.is_committed(stream, batch_id) or batch.isEmpty():
-            return
-        state, staged = store.read_state(base), []
-        events, subs, accounts, rejected = apply_billing_batch(batch, state, staged)
-        store.write_state(stream, batch_id, {"subscriptions": subs, "accounts": accounts}, state.seen_versions,
-                          {"billing_delta": events, "billing_rejected": rejected})
+    appended as mergeable rows; subscriptions and accounts are written whole."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        staged: list[str] = []
+        events, subs, accounts, rejected = apply_billing_batch(batch, sink.read_state(base), staged)
+        sink.write_tables(stream, batch_id, {"subscriptions": subs, "accounts": accounts, "billing_delta": events,
+                                             "billing_rejected": rejected})
         for path in staged:
             drop_path(batch.sparkSession, path)
-    return run
+    return _once(sink, stream, body)
 
 
 ACCOUNT_CHANGES = T.StructType([
@@ -135,40 +138,30 @@ BOT_CHANGES = T.StructType([
     T.StructField("ingest_seq", T.LongType()), T.StructField("received_at", T.TimestampType())])
 
 
-def account_change_writer(store: Store, base: Tables, stream: str = "account-changes"):
-    """foreachBatch for registrations and plan changes (I18): a new accounts version."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if store.is_committed(stream, batch_id) or batch.isEmpty():
-            return
-        state = store.read_state(base)
-        accounts, rejected = apply_account_changes(state.accounts, batch)
-        store.write_state(stream, batch_id, {"accounts": accounts}, state.seen_versions,
-                          {"account_rejected": rejected})
-    return run
+def account_change_writer(sink: Sink, base: Tables, stream: str = "account-changes"):
+    """foreachBatch for registrations and plan changes."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        accounts, rejected = apply_account_changes(sink.read_state(base).accounts, batch)
+        sink.write_tables(stream, batch_id, {"accounts": accounts, "account_rejected": rejected})
+    return _once(sink, stream, body)
 
 
-def bot_connect_writer(store: Store, base: Tables, secrets: Secrets, stream: str = "bot-connects"):
-    """foreachBatch for connect requests (I7 and I6): a new bots version."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if store.is_committed(stream, batch_id) or batch.isEmpty():
-            return
-        state = store.read_state(base)
+def bot_connect_writer(sink: Sink, base: Tables, secrets: Secrets, stream: str = "bot-connects"):
+    """foreachBatch for connect requests."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        state = sink.read_state(base)
         allowed, over = enforce_bot_cap(batch, state.bots, state.accounts, secrets.token)
         _, bots, conflicts = resolve_bots(allowed.select(*batch.columns), state.bots, secrets.token)
-        store.write_state(stream, batch_id, {"bots": bots}, state.seen_versions,
-                          {"connect_rejected": over.unionByName(conflicts)})
-    return run
+        sink.write_tables(stream, batch_id, {"bots": bots, "connect_rejected": over.unionByName(conflicts)})
+    return _once(sink, stream, body)
 
 
-def bot_change_writer(store: Store, base: Tables, stream: str = "bot-changes"):
-    """foreachBatch for verification, credentials and tracking (I19): a new bots version."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if store.is_committed(stream, batch_id) or batch.isEmpty():
-            return
-        state = store.read_state(base)
-        bots, rejected = apply_bot_changes(state.bots, batch)
-        store.write_state(stream, batch_id, {"bots": bots}, state.seen_versions, {"bot_rejected": rejected})
-    return run
+def bot_change_writer(sink: Sink, base: Tables, stream: str = "bot-changes"):
+    """foreachBatch for verification, credentials and tracking."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        bots, rejected = apply_bot_changes(sink.read_state(base).bots, batch)
+        sink.write_tables(stream, batch_id, {"bots": bots, "bot_rejected": rejected})
+    return _once(sink, stream, body)
 
 
 def start_changes(spark: SparkSession, source_dir: str, schema: T.StructType, writer, checkpoint: str,
@@ -179,10 +172,10 @@ def start_changes(spark: SparkSession, source_dir: str, schema: T.StructType, wr
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
-def start_billing_ingest(spark: SparkSession, source_dir: str, store: Store, base: Tables,
+def start_billing_ingest(spark: SparkSession, source_dir: str, sink: Sink, base: Tables,
                          checkpoint: str, available_now: bool = False):
     stream = spark.readStream.schema(BILLING_RAW).json(source_dir)
-    writer = (stream.writeStream.foreachBatch(billing_batch_writer(store, base))
+    writer = (stream.writeStream.foreachBatch(billing_batch_writer(sink, base))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()

@@ -10,6 +10,7 @@ records at a partition's two borders share a window with a neighbour.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 
@@ -29,7 +30,7 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 
 
 class Encoder:
-    """Ids of byte_bpe_50k.json, strings of special tokens being ordinary text."""
+    """Ids of byte_bpe_50k.json as ``tokenizers`` gives them, the file's added tokens included."""
 
     def __init__(self, path: str, ranks_path: str, pattern: str):
         import base64
@@ -37,6 +38,8 @@ class Encoder:
         import tiktoken
 
         self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.added = [t["content"] for t in json.load(file).get("added_tokens", [])]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -46,14 +49,12 @@ class Encoder:
         """Loaded when the first text needs it."""
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and not any(a in text for a in self.added):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 
@@ -98,9 +99,10 @@ def pieces(docs: DataFrame, length: int = 2048, encoder=public_encoder, with_ids
     last are full.
     """
     written = stage(tokenized(docs, encoder), "tokens")
-    starts = offsets(written)
+    shipped = docs.sparkSession.sparkContext.broadcast(offsets(written))
 
     def run(batches):
+        starts = shipped.value
         for batch in batches:
             out = []
             for part, before, doc_id, raw in batch.itertuples(index=False):

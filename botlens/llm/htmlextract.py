@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,11 +22,10 @@ from pyspark.sql import functions as F
 
 LABELLED = 2000        # about so many labelled pages, drawn by a hash of the html, give the weights
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>", re.S | re.I)
+RAW = set("script style noscript template textarea svg iframe title".split())      # skipped with all they hold
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+ATTRIBUTE = re.compile(r"[^\s=>\"']*[^\s=>]?(?:\s*=\s*)?")       # a name, with the sign before its value
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -47,6 +47,56 @@ DEFAULT_WORD = {"content": 1.0, "outside": -1.0, "link": 0.2}
 DEFAULT_TAG = -0.3
 
 
+def markup(page: str):
+    """(start, end, name, closes, attributes) of comments (name empty), tags and raw elements (name empty), in order.
+
+    One pass: every character is looked at a bounded number of times, whatever is left open.  Quotes
+    count only as a value's; a quote that never closes is an ordinary character.  An unfinished
+    tag or comment takes the rest of the page.
+    """
+    size, at = len(page), 0
+    last = {q: page.rfind(q) for q in "\"'"}
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        tag = TAG.match(page, start)
+        if not tag:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                end = size if end < 0 else end + 3
+            elif page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                end = size if end < 0 else end + 1
+            else:
+                at = start + 1                   # a mere character
+                continue
+            yield start, end, "", False, ""
+            at = end
+            continue
+        at = inner = tag.end()
+        while at < size and page[at] != ">":
+            if page[at].isspace() or page[at] == "/":
+                at += 1
+                continue
+            m = ATTRIBUTE.match(page, at)
+            has_value = m.group().rstrip().endswith("=")
+            at = max(m.end(), at + 1)
+            if has_value and at < size and page[at] in last and last[page[at]] > at:
+                at = page.find(page[at], at + 1) + 1
+            elif has_value:
+                while at < size and page[at] != ">" and not page[at].isspace():
+                    at += 1
+        attributes, end = page[inner:at], min(size, at + 1)
+        name, closes = tag.group(1).lower(), page[start + 1] == "/"
+        if name in RAW and not closes:
+            close = RAW_END[name].search(page, end)
+            end = close.end() if close else size
+            name = ""
+        yield start, end, name, closes, attributes
+        at = end
+
+
 def boilerplate(name: str, attributes: str, within_article: bool) -> bool:
     if name in OUTSIDE:
         return True
@@ -72,30 +122,31 @@ def events(page: str):
     of a link, else ``content``.
     """
     stack: list[tuple[str, bool]] = []          # open containers and whether words in them are boilerplate
+    opened: Counter = Counter()                 # how many of each name are open
     links = articles = 0
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
+    for start, end, name, closes, attributes in markup(page):
+        if start > at:
             flagged = bool(stack) and stack[-1][1]
             kind = "outside" if flagged else "link" if links else "content"
-            yield True, page[at:m.start()], kind, articles
-        at = m.end()
-        name = m.group(3)
+            yield True, page[at:start], kind, articles
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name == "a":
-            links = 0 if m.group(2) else 1
+            links = 0 if closes else 1
         if name in CONTAINERS:
             links = 0
-            if not m.group(2):
+            if not closes:
                 opens = name in ("article", "main")
                 above = bool(stack) and stack[-1][1] and not opens
-                stack.append((name, above or boilerplate(name, m.group(4), bool(articles))))
+                stack.append((name, above or boilerplate(name, attributes, bool(articles))))
+                opened[name] += 1
                 articles += opens
-            elif any(n == name for n, _ in stack):
+            elif opened[name]:
                 while stack:
                     closed = stack.pop()[0]
+                    opened[closed] -= 1
                     articles -= closed in ("article", "main")
                     if closed == name:
                         break

@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from botlens.llm import htmlextract as H
 
@@ -81,3 +84,27 @@ def test_nulls_empty_and_broken(spark):
             (5, " ".join(["word"] * 50_000)), (6, "<" * 2000)]
     assert got == sorted(want, key=repr)
     assert H.main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", ["<script " * 130_000, "<a " * 350_000, "<p title='x " * 80_000, "<" * 1_000_000,
+                                  "<ul>" + "<li><b>" * 140_000, "<div>" * 100_000 + "</nav>" * 80_000, "<!--" * 250_000,
+                                  "<a b=" * 200_000, "<p a" + " " * 1_000_000, "<textarea>" * 100_000, "</" * 500_000,
+                                  '<a href="' * 110_000, "<title>x</title " * 60_000, "&" * 1_000_000])
+def test_malformed_pages_take_a_linear_pass(page):
+    started = time.perf_counter()
+    H.extract(page, {})
+    assert time.perf_counter() - started < 5
+
+
+def test_attributes_and_open_ends():
+    text = lambda page: H.extract(page, {})
+    words = "one two three four five six"
+    assert text(f"<p title=it's>{words}</p>") == words
+    assert text(f"<p title='it>s' class=x/>{words}</p>") == words
+    assert text(f'<p title="a > b">{words}</p>') == words
+    assert text(f"<p a = 'x' b c=>{words}</p>") == words
+    assert text(f"<div class=nav>menu</div><p id=''>{words}") == words
+    assert text(f"<p>{words}</p><!-- never closed {words}") == words
+    assert text(f"<p>{words} 1 < 2</p>") == f"{words} 1 < 2"
+    assert text(f"<p>{words}</p><p unfinished {words}") == words
+    assert text(f"<p title='open>{words}</p>") == words

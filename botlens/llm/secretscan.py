@@ -13,6 +13,8 @@ Scanning is a map over whole texts.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pandas as pd
@@ -98,6 +100,7 @@ def novel_spans(text: str, base: list, meter: Meter) -> list[tuple[int, int, int
     """
     out = []
     ends, at = sorted(e for _, _, e in base), 0
+    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
     reported = -1                             # end of the last span before the token
     for m in TOKEN.finditer(text):
         start, end = m.span()
@@ -107,7 +110,8 @@ def novel_spans(text: str, base: list, meter: Meter) -> list[tuple[int, int, int
             at += 1
         if not re.search("[A-Za-z]", token):
             continue
-        if any(s < end and e > start for s, _, e in base):
+        before = bisect.bisect_left(starts, end)
+        if before and reach[before - 1] > start:
             continue
         least = NOVEL if re.search("[0-9]", token) else PLAIN_NOVEL
         if (SENSITIVE.search(text, max(0, start - BEFORE), start) or reported >= 0 and GAP.fullmatch(text, reported, start)) \
@@ -173,5 +177,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with all secrets replaced in text and n_chars, if there, counted anew."""
-    clean = docs.withColumn("text", redact(F.col("text"), identifier_dictionary(docs)))
+    clean = docs.withColumn("text", redact(F.col("text"), identifier_dictionary(docs.select("text"))))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean

@@ -122,3 +122,11 @@ def test_query_digest(spark, tmp_path):
         joined = ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in base)
         want.append((repr(i), *[sum(k == n for _, k, _ in base) for n in range(3)], hashlib.sha256(joined.encode()).hexdigest()))
     assert sorted((repr(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted(want)
+
+
+def test_many_spans_take_a_linear_pass():
+    import time
+    text = "\n".join(f"password = hunter{i:05d}" for i in range(20_000))
+    started = time.perf_counter()
+    assert len(S.spans_of(text, S.Meter(b""))) == 20_000
+    assert time.perf_counter() - started < 5

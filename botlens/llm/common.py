@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(columns: list[str]) -> Column:
+    """The named columns as one struct, whatever is in their names: others can then be put beside it."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array (null: none)."""
     spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * (len(BLANKS) - 1))

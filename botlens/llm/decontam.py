@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import stage
 
-from .common import encode
+from .common import encode, packed
 from .grams import Hashes, gram_hashes, least_in_windows
 
 # fixed value: the words of the contract, in bytes (all delimiters are ASCII)
@@ -157,6 +157,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, item_id: str = "item
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs`` without a hit, with the columns they came with."""
     found = scan(docs.select("doc_id", "text"), items, size).filter("n_hit > 0")
-    hit = stage(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    hit = stage(found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "contaminated")
+    rows = docs.select(packed(docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash")),
+                     "left_anti").select("_row.*")

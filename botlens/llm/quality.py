@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import stage
 
-from .common import BLANKS, bucket, let, total, words_of
+from .common import BLANKS, bucket, let, packed, total, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50            # base rule: fewer words fail
@@ -119,21 +119,18 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     own; null and empty texts have zero words and fail the base rule; rows that
     repeat are judged alike, each.  An empty table gives an empty result.
     """
-    counted = base_counts(docs.select(*keep, F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-                                      F.col("text").alias("_text")).select(
-        F.struct(*keep).alias("_row"), F.col("_lang").alias("lang"), F.col("_source").alias("source"),
-        F.col("_text").alias("text"))).drop("text")
+    counted = base_counts(docs.select(packed(keep).alias("_row"), "lang", "source", "text")).drop("text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     features = stage(counted.select(
         "*", failed.alias("base_failed"),
         *[F.expr(e).cast("long").alias(f"f_{k}") for k, (e, _, _) in FEATURES.items()]), "quality")
     counts = stage(sketches(features), "quality-sketches")
     limits = [c for k, (_, _, low) in FEATURES.items() for c in ([f"hi_{k}", f"lo_{k}"] if low else [f"hi_{k}"])]
-    packed = lambda df, name, by: df.select(
+    folded = lambda df, name, by: df.select(
         *[F.col(c).alias(f"_{name}_{c}") for c in by],
         F.when(F.col("docs") >= MIN_GROUP, F.struct(*limits)).alias(name))
-    pair = packed(fences(counts, ["lang", "source"]), "pair", ["lang", "source"])
-    lang = packed(fences(counts, ["lang"]), "language", ["lang"])
+    pair = folded(fences(counts, ["lang", "source"]), "pair", ["lang", "source"])
+    lang = folded(fences(counts, ["lang"]), "language", ["lang"])
     every = fences(counts.withColumn("one", F.lit(1)), ["one"]).select(F.struct(*limits).alias("every"))
     # the fences of every known pair, with those it falls back on: one row a pair
     known = (counts.select("lang", "source").distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import stage
 
-from .common import words_lower
+from .common import packed, words_lower
 from .components import connected
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -191,7 +191,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFra
     one, that with the least text hash, then the first read.
     """
     rows = stage(docs.select(
-        F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_at"),
+        packed(docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_at"),
         F.col("doc_id").cast("long").alias("_id"), fingerprints(F.col("text"), shingle).alias("_fp")), "fingerprinted")
     marked = rows.select("_at", F.col("_id").alias("doc_id"), F.col("_fp").alias("fp"),
                          F.coalesce(F.xxhash64("_row.text"), F.lit(0)).alias("tie"))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import test_decontam, test_packing, test_secretscan, test_simhash
 
@@ -20,6 +21,8 @@ def sf(spark, tmp_path_factory):
     rows = [(*r, i % 3 == 0, i, f"r{i}") for i, r in enumerate(docs)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
                                      "kept boolean, n_words int, fp string")
+    for n, name in enumerate(["_lang", "_text", "_source", "_id", "_hash", "_row", "_at", "_fp", "hash", "id", "a.b", "x`y", "c d"]):
+        df = df.withColumn(name, F.lit(n))
     df.write.parquet(str(out / "documents.parquet"))
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(out / "benchmark.parquet"))
     return str(out)

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from botlens.functions import exprs as X
 from botlens.functions.sequential import last_non_null
 from botlens.operators.ingest import stable_id
-from botlens.operators.validate import check_billing_events, parse_iso, split_checked
+from botlens.functions.dates import parse_js_date
+from botlens.operators.validate import check_billing_events, split_checked
 from botlens.session import stage
 from botlens.schemas import ACTIVE_SUBSCRIPTION_STATUSES, PLANS, TABLE_SCHEMAS, conform, plan_catalogue
 from botlens.sources.tables import Tables
@@ -36,7 +37,7 @@ def accept_billing_events(raw: DataFrame, accounts: DataFrame, staged: list[str]
     v = valid.join(known, "account_id", "left")
     # an empty text is no date, as null
     given = lambda c: F.when(F.col(c) != "", F.col(c))
-    start, end = parse_iso(given("period_start_text")), parse_iso(given("period_end_text"))
+    start, end = parse_js_date(given("period_start_text")), parse_js_date(given("period_end_text"))
     err = (F.when(F.col("_known").isNull(),
                   F.struct(F.lit("ACCOUNT_NOT_FOUND").alias("code"), F.lit("accountId").alias("field"),
                            F.lit("Account not found").alias("detail")))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from botlens.functions import exprs as X
+from botlens.functions.dates import parse_js_date
 from botlens.schemas import BILLING_PROVIDERS, BOT_TYPES, PLANS, SUBSCRIPTION_STATUSES
 
 NUMERIC_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
@@ -331,19 +332,9 @@ def validate_api_events(raw: DataFrame, body_col: str = "body", kind_col: str =
     return valid.drop(body_col), rejected
 
 
-# ISO dates, alone or with a time of day; text that is only a time has no date of its own
-ISO_SHAPE = (r"^[+-]?\d{4,6}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?"
-             r"\s*(Z|[+-]\d{2}:?\d{2})?)?)?)?\z")
-
-
-def parse_iso(text: Column) -> Column:
-    """ISO text -> timestamp, else null."""
-    return F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
-
-
 def parse_event_time(text: Column, received_at: Column) -> Column:
-    """absent -> received time; ISO text -> timestamp; else null."""
-    return F.when(text.isNull(), received_at).otherwise(parse_iso(text))
+    """absent -> received time; a text that names a date -> timestamp; else null."""
+    return F.when(text.isNull(), received_at).otherwise(parse_js_date(text))
 
 
 BILLING_SHAPE = Shape(strings=["provider", "type", "plan", "status", "providerEventId", "accountId"],

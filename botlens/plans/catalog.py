@@ -11,11 +11,12 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from botlens.functions import exprs as X
 from botlens.functions.clock import Clock, date_lit
+from botlens.functions.dates import parse_js_date
 from botlens.operators import accounts as AC
 from botlens.operators import billing as BL
 from botlens.operators import bots as BO
@@ -31,6 +32,9 @@ from botlens.plans import oracle_sql as O
 from botlens.schemas import plan_catalogue
 from botlens.session import scratch_path
 from botlens.sources import fixtures as FX
+from botlens.sources import keyed as KE
+from botlens.sources.sink import Sink
+from botlens.streaming.stream import api_batch_writer, drop_redelivered
 from botlens.streaming.totals import add_up, read_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -493,6 +497,56 @@ def _overview_maintained(spark, sf_dir):
     return RU.overview_from_rollup(facts, RU.merge_rollups(rollup), A)
 
 
+def _event_date_texts(spark, sf_dir):
+    """order dates written in the styles that a JavaScript date accepts (and one that it does not), read back."""
+    o = FX.read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    at = F.timestamp_add("SECOND", key % 86400, F.col("o_orderdate").cast("timestamp"))
+    styles = ["MMMM d, yyyy HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "d MMMM yyyy", "yyyy/MM/dd HH:mm", "M/d/yyyy h:mm:ss a",
+              "EEE MMM dd yyyy HH:mm:ss 'GMT+0200 (Eastern European Standard Time)'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+              "dd-MMM-yyyy HH:mm:ss 'EST'", "'week 'D' of 'yyyy"]
+    text = F.coalesce(*[F.when(key % len(styles) == n, F.date_format(at, s)) for n, s in enumerate(styles)])
+    return _iso(o.select("o_orderkey", parse_js_date(text).alias("created_at")), "created_at")
+
+
+def _keyed(df, name: str, keys: list[str]) -> str:
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    KE.write_keyed(df, path, keys)
+    return path
+
+
+def _lookup_users_keyed(spark, sf_dir):
+    """Users asked for by id, from a table dealt by id: only the folders of the asked ids are read."""
+    t = tables_a(spark, sf_dir)
+    path = _keyed(t.users, "users-by-id", ["id"])
+    asked = FX.events_a(spark, sf_dir).filter(F.col("user_id") % 50 == 0).select(F.col("event_id").cast("string").alias("id"))
+    found = KE.lookup(KE.read_keyed(spark, path, t.users.schema), asked, ["id"])
+    return _iso(found.select("id", "bot_id", "username", "last_active_at"), "last_active_at")
+
+
+def _upsert_users_keyed(spark, sf_dir):
+    """I9 over several batches on a table dealt by key: each batch rewrites only the folders that it touches."""
+    t = tables_a(spark, sf_dir)
+    keys = ["bot_id", "telegram_id"]
+    path = _keyed(t.users, "users-by-key", keys)
+    arrivals = FX.user_arrivals_a(spark, sf_dir).withColumn("seq", F.col("seq") + F.lit(O.ARRIVAL_SEQ_BASE))
+    rows = _landed(IN.arrivals_to_users(arrivals), "user-arrivals")
+    for n in range(USER_BATCHES):
+        batch = IN.merge_users(rows.filter(F.col("first_seq") % USER_BATCHES == n))
+        KE.upsert(spark, path, t.users.schema, batch, keys, IN.merge_users)
+    return _iso(KE.read_keyed(spark, path, t.users.schema).drop("part"), "created_at", "last_active_at")
+
+
+def _erase_by_file(spark, sf_dir):
+    """I24 on stored messages: only files that hold a row of an erased user are written anew; what is left by bot."""
+    t = tables_a(spark, sf_dir)
+    path = _keyed(t.messages, "messages-by-user", ["user_id"])
+    table = KE.read_keyed(spark, path, t.messages.schema)
+    gone = t.messages.select("user_id").filter(F.col("user_id").cast("long") % 40 == 0)
+    KE.erase(table, path, gone, ["user_id"])
+    return KE.read_keyed(spark, path, t.messages.schema).groupBy("bot_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
 STREAM_FILES = 3
 
 
@@ -525,11 +579,33 @@ def _stream_series(facts: str, value, typ: str) -> Query:
 LATER_HALF = "2 * event_id >= (SELECT max(event_id) FROM events)"
 
 
+def _owner_bots_ordered(spark, sf_dir):
+    """Q21 with L3: the bots of an owner, newest connection first; the place tells the order."""
+    rows = AC.owner_bots(tables_a(spark, sf_dir), A, ordered=True)
+    place = F.row_number().over(Window.partitionBy("owner_account_id").orderBy(F.desc("connected_at"), "bot_id"))
+    return rows.select("owner_account_id", "bot_id", "connected_at", "total_messages", place.alias("place"))
+
+
+def _telegram_dedupe(spark, sf_dir):
+    """T4: a stream in which every third update comes twice, de-duplicated by update_id within a watermark."""
+    updates = RAW.platform_updates(spark, sf_dir)
+    again = updates.filter(F.col("ingest_seq") % 3 == 0).withColumn("ingest_seq", F.col("ingest_seq") + 100_000_000)
+    path = scratch_path(spark, f"updates-{uuid.uuid4().hex}")
+    updates.unionByName(again).withColumn("received_at", F.lit("2024-02-01 00:00:00").cast("timestamp")).write.parquet(path)
+    stream = drop_redelivered(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), "1 hour")
+    out = f"{path}-kept"
+    query = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}-checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    events, _ = IN.flatten_telegram_updates(spark.read.schema(updates.schema).parquet(out))
+    return events.groupBy("bot_id", "kind").agg(F.count(F.lit(1)).alias("events"))
+
+
 def _quota_stream(spark, sf_dir):
     """Two months of events as a stream of several micro-batches: each takes its quota base from the
     counters in the state store, which the batches before it have raised."""
-    from botlens.sources.sink import Sink
-    from botlens.streaming.stream import api_batch_writer
     t = tables_a(spark, sf_dir)
     raw = RAW.api_events(spark, sf_dir)
     last = raw.agg(F.max("ingest_seq")).first()[0]
@@ -623,6 +699,12 @@ def queries() -> dict[str, Query]:
         "stream_message_series": _stream_series("messages", F.lit(1).cast("long"), "long"),
         "stream_revenue_series": _stream_series("payments", F.col("amount"), "decimal(22,2)"),
         "quota_stream": _quota_stream,
+        "event_date_texts": _event_date_texts,
+        "lookup_users_keyed": _lookup_users_keyed,
+        "upsert_users_keyed": _upsert_users_keyed,
+        "erase_by_file": _erase_by_file,
+        "owner_bots_ordered": _owner_bots_ordered,
+        "telegram_dedupe": _telegram_dedupe,
         "dashboard_rollup": _dashboard_rollup(tables_a, A),
         "dashboard_rollup_star": _dashboard_rollup(tables_b, B),
         "account_usage_rollup": _account_usage_rollup,
@@ -659,6 +741,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_message_series": O.series("daily_message_series", "a"),
         "stream_revenue_series": O.series("daily_revenue_series", "a"),
         "quota_stream": O.ingest_api_quota(QUOTA_LEFT, LATER_HALF),
+        "event_date_texts": O.event_date_texts(),
+        "lookup_users_keyed": O.lookup_users_keyed(),
+        "upsert_users_keyed": O.upsert_users(),
+        "erase_by_file": O.erase_by_file(),
+        "owner_bots_ordered": O.owner_bots_ordered(),
+        "telegram_dedupe": O.telegram_dedupe(),
         "dashboard": O.dashboard("a"),
         "dashboard_star": O.dashboard("b"),
         "dashboard_rollup": O.dashboard("a"),

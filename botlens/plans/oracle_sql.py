@@ -976,3 +976,42 @@ SELECT id, owner_account_id, bot_identifier, bot_type, display_name, CAST(NULL A
        {iso('connected_at')} AS connected_at, {iso('verified_at')} AS verified_at,
        {iso('tracking_enabled_at')} AS tracking_enabled_at, {iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at
 FROM allb"""
+
+
+# --- dates (F13), keyed tables (I9, I24, Q24), order (L3), redelivery (T4) ----------------
+
+def event_date_texts() -> str:
+    at = "CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 86400) * INTERVAL 1 SECOND"
+    read = {2: "date_trunc('day', t0)", 3: "date_trunc('minute', t0)", 5: "t0 - INTERVAL 2 HOUR", 7: "t0 + INTERVAL 5 HOUR",
+            8: "NULL"}
+    cases = " ".join(f"WHEN {n} THEN {e}" for n, e in read.items())
+    return f"""
+WITH o AS (SELECT o_orderkey, date_trunc('second', {at}) AS t0 FROM orders),
+r AS (SELECT o_orderkey, CASE o_orderkey % 9 {cases} ELSE t0 END AS ts FROM o)
+SELECT o_orderkey, {iso('ts')} AS created_at FROM r"""
+
+
+def lookup_users_keyed() -> str:
+    base, _ = _mapping("a")
+    return f"""{base}
+SELECT id, bot_id, username, {iso('last_active_at')} AS last_active_at FROM d_users
+WHERE id IN (SELECT CAST(event_id AS VARCHAR) FROM ev WHERE user_id % 50 = 0)"""
+
+
+def erase_by_file() -> str:
+    base, _ = _mapping("a")
+    return f"""{base}
+SELECT bot_id, count(*) AS messages FROM d_messages WHERE CAST(user_id AS BIGINT) % 40 <> 0 GROUP BY bot_id"""
+
+
+def owner_bots_ordered() -> str:
+    return f"""
+WITH b AS ({owner_bots("a")})
+SELECT owner_account_id, bot_id, connected_at, total_messages,
+       CAST(row_number() OVER (PARTITION BY owner_account_id ORDER BY connected_at DESC, bot_id) AS INTEGER) AS place FROM b"""
+
+
+def telegram_dedupe() -> str:
+    return f"""
+WITH t AS ({telegram_events()})
+SELECT bot_id, kind, count(*) AS events FROM t GROUP BY bot_id, kind"""

@@ -88,6 +88,14 @@ def start_api_ingest(spark: SparkSession, source_dir: str, sink: Sink, base: Tab
     return writer.start()
 
 
+def drop_redelivered(stream: DataFrame, within: str) -> DataFrame:
+    """Platform updates of a stream without those whose update_id has come within the watermark (T4)."""
+    return (stream.withColumn("update_id", F.get_json_object("body", "$.update_id").cast("long"))
+            .withWatermark("received_at", within)
+            .dropDuplicatesWithinWatermark(["bot_id", "update_id"])
+            .drop("update_id"))
+
+
 def start_platform_ingest(spark: SparkSession, source_dir: str, sink: Sink, base: Tables,
                           checkpoint: str, available_now: bool = False,
                           dedupe_within: str | None = None):
@@ -95,10 +103,7 @@ def start_platform_ingest(spark: SparkSession, source_dir: str, sink: Sink, base
     drops redelivered updates with the same update_id inside that watermark."""
     stream = spark.readStream.schema(PLATFORM_RAW).json(source_dir)
     if dedupe_within:
-        stream = (stream.withColumn("update_id", F.get_json_object("body", "$.update_id").cast("long"))
-                  .withWatermark("received_at", dedupe_within)
-                  .dropDuplicatesWithinWatermark(["bot_id", "update_id"])
-                  .drop("update_id"))
+        stream = drop_redelivered(stream, dedupe_within)
     writer = (stream.writeStream.foreachBatch(platform_batch_writer(sink, base))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer

@@ -23,7 +23,7 @@ HEADLINE = [
     "overview_star",            # Q7 on the star mapping (line items as messages)
     "overview_rollup_star",     # Q7 answered from a maintained daily rollup
     "dashboard_star",           # Q18, all parts, one row per bot
-    "dashboard_rollup_star",    # Q18 with fact parts from the maintained rollup
+    "dashboard_rollup_star",    # Q18 from the maintained rollup and newest activity: no fact is read
     "owner_bots_star",          # Q21
     "recent_activity_star",     # Q17 top-10 per bot
     "overview",                 # Q7 on the events mapping
@@ -60,7 +60,7 @@ def build(spark, sf_dir):
             df = df.unionByName(p)
         return df
 
-    from botlens.operators import rollup
+    from botlens.operators import recent, rollup
     from botlens.session import stage
 
     def overview_rollup_star(s, d):
@@ -75,7 +75,9 @@ def build(spark, sf_dir):
         t = catalog.tables_b(s, d)
         if "r" not in prebuilt:
             prebuilt["r"] = stage(rollup.full_rollup(t), "bench-rollup")
-        return stats.to_document_json(rollup.dashboard_from_rollup(t, prebuilt["r"], catalog.B))
+        if "n" not in prebuilt:
+            prebuilt["n"] = stage(recent.newest_daily(t.activity_logs), "bench-newest")
+        return stats.to_document_json(rollup.dashboard_from_rollup(t, prebuilt["r"], catalog.B, newest=prebuilt["n"]))
 
     extra = {"dashboard_star": dashboard_star, "ingest_api": ingest_api,
              "overview_rollup_star": overview_rollup_star,

@@ -560,11 +560,11 @@ def _arrive(df: DataFrame, name: str) -> str:
     return path
 
 
-def _stream_series(facts: str, value, typ: str) -> Query:
+def _stream_series(facts: str, value: str, typ: str) -> Query:
     """Q11, Q13, Q15 from day buckets in the state store; the facts come in any order, days late."""
     def run(spark, sf_dir):
         t = tables_a(spark, sf_dir)
-        path = _arrive(t[facts].select("bot_id", F.to_date("created_at").alias("bucket_date"), value.alias("value"),
+        path = _arrive(t[facts].select("bot_id", F.to_date("created_at").alias("bucket_date"), F.expr(value).alias("value"),
                                        F.pmod(F.xxhash64("id"), F.lit(STREAM_FILES)).alias("_part")), "late")
         stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
         keys = {n: F.col(n) for n in ("bot_id", "bucket_date")}
@@ -695,9 +695,9 @@ def queries() -> dict[str, Query]:
         "recent_activity_newest": _recent_newest(tables_a),
         "recent_activity_newest_star": _recent_newest(tables_b),
         "overview_maintained": _overview_maintained,
-        "stream_user_series": _stream_series("users", F.lit(1).cast("long"), "long"),
-        "stream_message_series": _stream_series("messages", F.lit(1).cast("long"), "long"),
-        "stream_revenue_series": _stream_series("payments", F.col("amount"), "decimal(22,2)"),
+        "stream_user_series": _stream_series("users", "CAST(1 AS BIGINT)", "long"),
+        "stream_message_series": _stream_series("messages", "CAST(1 AS BIGINT)", "long"),
+        "stream_revenue_series": _stream_series("payments", "amount", "decimal(22,2)"),
         "quota_stream": _quota_stream,
         "event_date_texts": _event_date_texts,
         "lookup_users_keyed": _lookup_users_keyed,

@@ -63,3 +63,11 @@ def test_stored_domain_tables_round_trip(spark):
     assert a == b
     plan = _plan(stats.daily_message_series(stored, FX.AS_OF_A))
     assert "GreaterThanOrEqual(created_at" in plan
+
+
+def test_registration_needs_no_session():
+    """The queries are listed before any session exists."""
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as E; q, o = E.queries(), E.oracle_sql(); assert q and not set(o) - set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=E.__file__.rsplit("/", 1)[0], timeout=120)

@@ -1,16 +1,17 @@
 """Brown class-based bigram model, trained and applied over whole texts.
 
 P(text) is the product over its tokens (words and one end) of the class
-transition P(c | class before) and the word emission P(w | c).  The CLUSTERED
-most frequent words get their class by exchange clustering: their bigram counts
-over all training documents stay in Spark, every round counts the classes that
-stand before and after each word, and the words of one half move to the class
-that gives the corpus the highest likelihood.  Then all other words seen LEAST
-times or more get theirs by the same exchange in the tasks, which have the
-contexts of a word whole; only their classes (a byte a word) and the class
-transitions pass through the driver.  Rarer words, seen or not, belong to one of
-four fixed classes by their last character; their counts are exact and the
-vocabulary has no limit.
+transition P(c | class before) and the word emission P(w | c).  The classes
+are found by exchange: one pass over the training texts counts which words stand
+before and after each word seen LEAST times or more, in blocks that stay in
+Spark.  Every round counts the classes there and moves half of the words to the
+class that gives the corpus the highest likelihood: at first the CLUSTERED most
+frequent words only, then all.  Tasks choose for a word whose contexts lie in one
+block.  The contexts of the most frequent words are split over the blocks; their
+class counts are added up by Spark and they move on the driver, which also gets
+the class transitions and the classes that change.  Rarer words, seen or not,
+belong to one of four fixed classes by their last character; their counts are
+exact and the vocabulary has no limit.
 
 Workers hold the HEAD most frequent words in memory.  The rarer ones are looked
 up by a join on the word, where no key is frequent.
@@ -19,9 +20,11 @@ up by a join on the word, where no key is frequent.
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +33,18 @@ from botlens.session import stage
 from .common import encode, frequent, words_lower, words_of
 from .grams import word_hashes
 from .substrings import packed
-from .urlfilter import LOWER, UPPER
 
 CLASSES = 40              # classes found by clustering
 CLUSTERED = 4096          # words that are clustered first, among themselves
 LEAST = 5                 # times a word must be seen to be clustered after them
-LATER = 4                 # exchange rounds of these, half of the words moving in each but the first
-SLOT = 1 << 18            # tokens whose pairs a slot takes, about
-PAIRS = 1 << 18           # pairs with such words counted at once in a task
+LATER = 4                 # exchange rounds of all words, half of them moving in each
+SLOT = 1 << 19            # contexts that a slot takes, about
 HEAD = 1 << 18            # words whose counts every worker holds
-ROUNDS = 8                # exchange rounds, half of the words moving in each
+TYPES = 1 << 18           # words that a task counts at once
+ROUNDS = 8                # exchange rounds of the first words, half of them moving in each
+PARTS = 16                # pieces that sums are added up in
 SMOOTH = 50.0             # weight of the class's overall share in a transition
-CHUNK = 1 << 22           # pairs counted at once in a task
+CHUNK = 1 << 20           # pairs counted at once in a task
 FIXED = 4                 # classes of all other words: . ! ? / , ; : / ASCII / other last characters
 # class numbers: clustered 0..CLASSES-1, then the fixed ones, then the text border
 BORDER = CLASSES + FIXED
@@ -74,73 +77,172 @@ def training(docs: DataFrame) -> DataFrame:
 
 def vocabulary(train: DataFrame) -> DataFrame:
     """(word, c) of every word of the training texts, ends not counted."""
-    lower = F.translate(F.col("text"), UPPER, LOWER)
-    return train.select(F.explode(words_of(lower)).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    def run(batches):
+        found = Counter()
+
+        def rows():
+            return pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in found], "c": list(found.values())})
+
+        for batch in batches:
+            for text in batch["text"]:
+                found.update(words_lower(text))
+                if len(found) >= TYPES:
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+
+    return train.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def find_hashed(words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """Places of words among sorted hashes, -1 for others."""
+    if not words or not len(hashes):
+        return np.full(len(words), -1)
+    own = word_hashes(b" ".join(words)).view(np.int64)
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    return np.where(hashes[at] == own, at, -1)
 
 
-def pair_counts(train: DataFrame, words: list[bytes]) -> DataFrame:
-    """(w, side, other, n): how often ``other`` stands before (0) or after (1) ``w``.
+class Pairs(NamedTuple):
+    """How often which number stands before (side 0) or after (1) which word.
 
-    Numbers: the clustered words', then the fixed classes' and the border's.
+    Numbers: ``known`` words, the ``first`` of them being the most frequent, then
+    the fixed classes and the border.  ``blocks`` holds (codes, n), packed and
+    sorted, a code being (number * 2 + side) * size + other.  The contexts of the
+    first words and of the numbers after the words are dealt by the other number,
+    those of any other word lie in one block.  ``rows`` (shared) has the row of
+    each number in what contexts() counts.
     """
-    size = len(words) + FIXED + 1
-    shared = train.sparkSession.sparkContext.broadcast(words)
+    blocks: DataFrame
+    first: int
+    known: int
+    rows: Broadcast
+
+
+def word_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, fixed: np.ndarray, first: int,
+               tokens: int) -> Pairs:
+    """Pairs of the words held (numbered first) and hashed; ``fixed`` are the fixed classes of those after the first."""
+    known = len(words) + len(hashes)
+    size = known + FIXED + 1
+    slots = max(12, 2 * tokens // SLOT)
+    shared = train.sparkSession.sparkContext.broadcast((words, hashes))
 
     def run(batches):
-        ids = Ids({w: i for i, w in enumerate(shared.value)})
+        words, hashes = shared.value
+        ids = Ids({w: i for i, w in enumerate(words)})
         held, n = [], 0
 
-        def counted():
+        def dealt():
             code, count = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"code": code, "n": count.astype(np.int64)})
+            a, b, count = code // size, code % size, count.astype(np.int32)
+            word = b < known
+            number, side = np.concatenate([a, b[word]]), np.repeat([1, 0], [len(a), int(word.sum())])
+            other, count = np.concatenate([b, a[word]]), np.concatenate([count, count[word]])
+            slot = np.where((number < first) | (number >= known), number + other, number) % slots
+            order = np.argsort(slot, kind="stable")
+            codes, count = ((number * 2 + side) * size + other)[order], count[order]
+            found, starts = np.unique(slot[order], return_index=True)
+            return pd.DataFrame([(int(s), packed(c), packed(k)) for s, c, k in zip(
+                found, np.split(codes, starts[1:]), np.split(count, starts[1:]))], columns=["slot", "codes", "n"])
 
         for batch in batches:
             for text in batch["text"]:
                 found = words_lower(text)
-                row = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
-                row[row < 0] = len(shared.value) - 1 - row[row < 0]
-                row = np.concatenate([[size - 1], row, [size - 1]])
+                row = np.empty(len(found) + 2, np.int64)
+                row[0] = row[-1] = size - 1
+                row[1:-1] = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
+                rare = np.flatnonzero(row < 0)
+                if len(rare) and len(hashes):
+                    at = find_hashed([found[i - 1] for i in rare.tolist()], hashes)
+                    row[rare[at >= 0]] = len(words) + at[at >= 0]
+                    rare = rare[at < 0]
+                row[rare] = known - 1 - row[rare]
                 held.append(row[:-1] * size + row[1:])
-                n += len(row) - 1
+                n += len(row)
                 if n >= CHUNK:
-                    yield counted()
+                    yield dealt()
                     held, n = [], 0
-        if held:
-            yield counted()
-
-    pairs = stage(train.select("text").mapInPandas(run, "code long, n long")
-                  .groupBy("code").agg(F.sum("n").alias("n"))
-                  .select((F.col("code") / size).cast("int").alias("a"), (F.col("code") % size).cast("int").alias("b"), "n"),
-                  "word-pairs")
-    both = pairs.select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("other"), "n").union(
-        pairs.select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("other"), "n"))
-    return stage(both.repartition("w"), "word-contexts")
+        if n:
+            yield dealt()
 
+    def merge(pdf):
+        codes = np.frombuffer(b"".join(pdf["codes"]), np.int64)
+        order = np.argsort(codes)
+        codes, n = codes[order], np.frombuffer(b"".join(pdf["n"]), np.int32)[order].astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        return pd.DataFrame({"codes": [packed(codes[starts])], "n": [packed(np.add.reduceat(n, starts))]})
 
-def contexts(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """[w, side, class] counts: at most (CLUSTERED + 5) * 2 * (CLASSES + 5) numbers."""
-    kinds = BORDER + 1
-    width = 2 * kinds
+    blocks = stage(train.select("text").mapInPandas(run, "slot long, codes binary, n binary")
+                   .groupBy("slot").applyInPandas(merge, "codes binary, n binary"), "word-pairs")
+    rows = np.concatenate([np.arange(first), first + fixed, first + np.arange(FIXED + 1)]).astype(np.int32)
+    return Pairs(blocks, first, known, train.sparkSession.sparkContext.broadcast(rows))
 
-    def run(batches):
-        found = np.zeros(len(classes) * width, np.int64)
-        for b in batches:
-            at = b["w"].to_numpy() * width + b["side"].to_numpy() * kinds + classes[b["other"].to_numpy()]
-            np.add.at(found, at, b["n"].to_numpy())
-        at = np.flatnonzero(found)
-        yield pd.DataFrame({"at": at, "n": found[at]})
 
-    rows = pairs.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(classes) * width)
-    out[rows["at"].to_numpy(np.int64)] = rows["n"]
-    return out.reshape(len(classes), 2, kinds)
+def contexts(pairs: Pairs, now: np.ndarray, moves: np.ndarray | None = None):
+    """(found, moves, chosen) under the classes ``now`` of all numbers.
 
+    found: [row, side, class] counts, a row for each of the first words, each
+    fixed class with the later words in it, and the border: at most
+    (CLUSTERED + 5) * 2 * (CLASSES + 5) numbers.  moves: [class before, class]
+    counts.  chosen, if transition counts are given: (words, classes) of the later
+    words that go to another class by these.
+    """
+    kinds, first, known = BORDER + 1, pairs.first, pairs.known
+    size, n_rows = known + FIXED + 1, pairs.first + FIXED + 1
+    cells = n_rows * 2 * kinds
+    into = None if moves is None else log_share(moves)
+    cost = None if moves is None else np.log(moves.sum(0)[:CLASSES] + 1)
+    shared, rows = pairs.blocks.sparkSession.sparkContext.broadcast((now.astype(np.int16), into, cost)), pairs.rows
 
-def transitions(found: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """[class before, class] counts."""
-    out = np.zeros((BORDER + 1, BORDER + 1))
-    np.add.at(out, classes, found[:, 1])
-    return out
+    def run(batches):
+        (now, into, cost), row_of = shared.value, rows.value
+        sums = np.zeros(cells + kinds * kinds)
+        for batch in batches:
+            for codes, n in zip(batch["codes"], batch["n"]):
+                codes, n = np.frombuffer(codes, np.int64), np.frombuffer(n, np.int64)
+                number, c = codes // size, now[codes % size].astype(np.int64)
+                number, side = number // 2, number % 2
+                sums[:cells] += np.bincount((row_of[number] * 2 + side) * kinds + c, n, cells)
+                after = side == 1
+                sums[cells:] += np.bincount(now[number[after]].astype(np.int64) * kinds + c[after], n[after], kinds * kinds)
+                part = slice(*np.searchsorted(number, [first, known]))
+                if into is None or part.start == part.stop:
+                    continue
+                own, at = np.unique(number[part], return_inverse=True)
+                found = np.bincount((at * 2 + side[part]) * kinds + c[part], n[part], len(own) * 2 * kinds)
+                best = best_class(found.reshape(-1, 2, kinds), into, cost)
+                own, best = own[best != now[own]], best[best != now[own]]
+                yield pd.DataFrame({"part": [-1], "sums": [None], "words": [packed(own)], "classes": [packed(best.astype(np.int16))]})
+        split = np.array_split(sums, PARTS)
+        yield pd.DataFrame({"part": range(PARTS), "sums": map(packed, split), "words": None, "classes": None})
+
+    def add_up(key, pdf):
+        return pd.DataFrame({"part": [int(key[0])], "sums": [packed(np.sum([np.frombuffer(x) for x in pdf["sums"]], 0))]})
+
+    out = pairs.blocks.mapInPandas(run, "part int, sums binary, words binary, classes binary")
+    chosen = []
+    if moves is not None:
+        out = stage(out, "contexts")
+        chosen = [(np.frombuffer(r.words, np.int64), np.frombuffer(r.classes, np.int16))
+                  for r in out.filter("part < 0").select("words", "classes").collect()]
+    sums = out.filter("part >= 0").groupBy("part").applyInPandas(add_up, "part int, sums binary").collect()
+    shared.unpersist()
+    total = np.zeros(cells + kinds * kinds)
+    if sums:
+        total = np.concatenate([np.frombuffer(r.sums) for r in sorted(sums, key=lambda r: r.part)])
+    return total[:cells].reshape(n_rows, 2, kinds), total[cells:].reshape(kinds, kinds), chosen
+
+
+def log_share(moves: np.ndarray) -> np.ndarray:
+    """[class before, class] log shares of the transitions."""
+    return np.log((moves + 0.5) / (moves.sum(1, keepdims=True) + 0.5 * (BORDER + 1)))
+
+
+def best_class(found: np.ndarray, into: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The class of highest likelihood for words with these [word, side, class] contexts."""
+    gain = (found[:, 0] @ into + found[:, 1] @ into.T)[:, :CLASSES]
+    return (gain - found[:, 0].sum(1)[:, None] * cost).argmax(1)
 
 
 def likelihood(moves: np.ndarray) -> float:
@@ -149,13 +251,16 @@ def likelihood(moves: np.ndarray) -> float:
     return float(log(moves).sum() - log(moves.sum(0)).sum() - log(moves.sum(1)).sum())
 
 
-def first_classes(pairs: DataFrame, n_words: int) -> np.ndarray:
-    """Start of the exchange: words grouped by the most frequent words around them (k-means, fixed seeds)."""
+def first_classes(pairs: Pairs) -> np.ndarray:
+    """Start of the exchange: the first words grouped by the most frequent words around them (k-means, fixed seeds)."""
     fixed = np.arange(CLASSES, BORDER + 1)
-    around = contexts(pairs, np.concatenate([np.minimum(np.arange(n_words), CLASSES - 1), fixed]))[:n_words]
-    rows = np.sqrt(around / np.maximum(around.sum(2, keepdims=True), 1)).reshape(n_words, -1)
-    seeds, far = [0], np.full(n_words, np.inf)
-    while len(seeds) < min(CLASSES, n_words):         # the word farthest from all seeds so far
+    if not pairs.first:
+        return fixed
+    near = np.concatenate([np.minimum(np.arange(pairs.first), CLASSES - 1), fixed])
+    around = contexts(pairs, near[pairs.rows.value])[0][:pairs.first]
+    rows = np.sqrt(around / np.maximum(around.sum(2, keepdims=True), 1)).reshape(pairs.first, -1)
+    seeds, far = [0], np.full(pairs.first, np.inf)
+    while len(seeds) < min(CLASSES, pairs.first):     # the word farthest from all seeds so far
         far = np.minimum(far, ((rows - rows[seeds[-1]]) ** 2).sum(1))
         seeds.append(int(far.argmax()))
     centres = rows[seeds]
@@ -166,34 +271,39 @@ def first_classes(pairs: DataFrame, n_words: int) -> np.ndarray:
     return np.concatenate([classes, fixed])
 
 
-def exchange(pairs: DataFrame, n_words: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the words (and of the fixed numbers after them), and the transition counts."""
-    classes = first_classes(pairs, n_words) if n_words else np.arange(CLASSES, BORDER + 1)
-    best = (-np.inf, classes, None)
-    for turn in range(rounds + 1):
-        found = contexts(pairs, classes)
-        moves = transitions(found, classes)
-        value = likelihood(moves)
-        if value <= best[0]:
-            if turn > 1:
+def exchange(pairs: Pairs, rounds: int = ROUNDS, later: int = LATER) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all numbers, and the transition counts.
+
+    In the first ``rounds`` the first words move, the others being in their fixed
+    classes; in the ``later`` ones all words do, the first time only those that
+    have not yet.  Half of the words move at once, and what does not raise the
+    likelihood is not kept.
+    """
+    first, best = pairs.first, (-np.inf, first_classes(pairs)[pairs.rows.value], None)
+    for all_move, turns in ((False, rounds), (True, later if pairs.known > first else -1)):
+        now, last = best[1:]
+        for turn in range(turns + 1):
+            found, moves, chosen = contexts(pairs, now, last if all_move else None)
+            value, last = likelihood(moves), moves
+            if value > best[0]:
+                best = (value, now, moves)
+            elif turn > 1:
+                break
+            if turn == turns:
                 break
-        else:
-            best = (value, classes, moves)
-        if turn == rounds:
-            break
-        into = np.log((moves + 0.5) / (moves.sum(1, keepdims=True) + 0.5 * (BORDER + 1)))   # [before, class]
-        gain = (found[:, 0] @ into + found[:, 1] @ into.T)[:n_words, :CLASSES]
-        weight = found[:n_words, 0].sum(1)
-        gain -= weight[:, None] * np.log(moves.sum(0)[:CLASSES] + 1)
-        half = np.arange(n_words) % 2 == turn % 2
-        classes = classes.copy()
-        classes[:n_words][half] = gain.argmax(1)[half]
-    return best[1], best[2]
+            now = now.copy()
+            for words, classes in chosen:
+                half = (words % 2 == turn % 2) | (turn == 0)
+                now[words[half]] = classes[half]
+            if first and not (all_move and turn == 0):
+                half = np.arange(first) % 2 == turn % 2
+                now[:first][half] = best_class(found[:first], log_share(moves), np.log(moves.sum(0)[:CLASSES] + 1))[half]
+    return best[1].astype(np.int64), best[2]
 
 
 def later_words(counts: DataFrame, held: list[bytes], held_counts: np.ndarray, first: int):
-    """(hashes, fixed): of the words seen LEAST times or more that are not held, sorted hashes; and the fixed
-    classes of all words that are clustered after the ``first``: held ones, then by hash."""
+    """(n_held, hashes, fixed) of the words seen LEAST times or more: how many are held, the sorted hashes of the
+    others, and the fixed classes of all after the ``first``: held ones, then by hash."""
     n_held = max(first, int((held_counts >= LEAST).sum()))
     fixed = np.array([LAST[w[-1]] for w in held[first:n_held]], np.int8)
     others = counts.filter(F.col("c") >= LEAST)
@@ -212,131 +322,6 @@ def later_words(counts: DataFrame, held: list[bytes], held_counts: np.ndarray, f
     return n_held, hashes, np.concatenate([fixed, np.frombuffer(b"".join(r.k for r in rows), np.int8)[at]])
 
 
-def find_hashed(words: list[bytes], hashes: np.ndarray) -> np.ndarray:
-    """Places of words among sorted hashes, -1 for others."""
-    if not words or not len(hashes):
-        return np.full(len(words), -1)
-    own = word_hashes(b" ".join(words)).view(np.int64)
-    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    return np.where(hashes[at] == own, at, -1)
-
-
-def later_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, first: int, tokens: int) -> DataFrame:
-    """(codes, n): blocks of packed pairs, all those of a word after the ``first`` being in one block.
-
-    A code is (word * 2 + side) * size + other, with numbers as in pair_counts.
-    """
-    known = len(words) + len(hashes)
-    size = known + FIXED + 1
-    slots = max(12, tokens // SLOT)
-    span = 2 * (known // slots + 1)                     # words of a slot, twice
-    shared = train.sparkSession.sparkContext.broadcast((words, hashes))
-
-    def run(batches):
-        words, hashes = shared.value
-        ids = Ids({w: i for i, w in enumerate(words)})
-        held, n = [], 0
-
-        def dealt():
-            a, b = np.concatenate(held).T
-            before, after = (b >= first) & (b < known), (a >= first) & (a < known)
-            word = np.concatenate([b[before] * 2, a[after] * 2 + 1])
-            other = np.concatenate([a[before], b[after]])
-            # words by slot, so one sort counts the pairs and deals them
-            code, count = np.unique((word // 2 % slots * span + word // 2 // slots * 2 + word % 2) * size + other,
-                                    return_counts=True)
-            found, starts = np.unique(code // size // span, return_index=True)
-            count = count.astype(np.int32)
-            return pd.DataFrame([(int(s), packed(c), packed(k)) for s, c, k in zip(
-                found, np.split(code, starts[1:]), np.split(count, starts[1:]))], columns=["slot", "codes", "n"])
-
-        for batch in batches:
-            for text in batch["text"]:
-                found = words_lower(text)
-                row = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
-                if len(hashes):
-                    rare = np.flatnonzero(row < 0)
-                    at = find_hashed([found[i] for i in rare.tolist()], hashes)
-                    row[rare[at >= 0]] = len(words) + at[at >= 0]
-                row[row < 0] = known - 1 - row[row < 0]
-                row = np.concatenate([[size - 1], row, [size - 1]])
-                later = (row >= first) & (row < known)
-                held.append(np.stack([row[:-1], row[1:]], 1)[later[:-1] | later[1:]])
-                n += len(held[-1])
-                if n >= PAIRS:
-                    yield dealt()
-                    held, n = [], 0
-        if n:
-            yield dealt()
-
-    def merge(pdf):
-        codes = np.frombuffer(b"".join(pdf["codes"]), np.int64)
-        order = np.argsort(codes, kind="stable")
-        codes = codes[order]
-        n = np.frombuffer(b"".join(pdf["n"]), np.int32)[order].astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        code, n = codes[starts], np.add.reduceat(n, starts)
-        slot, code = code // (span * size), code % (span * size)
-        word = code // (2 * size) * slots + slot
-        code = word * (2 * size) + code % (2 * size)
-        return pd.DataFrame({"codes": [packed(code)], "n": [packed(n)]})
-
-    return stage(train.select("text").mapInPandas(run, "slot long, codes binary, n binary")
-                 .groupBy("slot").applyInPandas(merge, "codes binary, n binary"), "later-pairs")
-
-
-def later_exchange(blocks: DataFrame, classes: np.ndarray, moves: np.ndarray, fixed: np.ndarray, first: int,
-                   rounds: int = LATER) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all words (and of the fixed numbers after them), and the transition counts.
-
-    ``classes`` and ``moves`` are those of the ``first`` words, all others being in their fixed classes.
-    """
-    known, kinds = first + len(fixed), BORDER + 1
-    size = known + FIXED + 1
-    start = np.concatenate([classes[:first], CLASSES + fixed, np.arange(CLASSES, kinds)]).astype(np.int16)
-    classes, base = start, moves
-    best = (likelihood(moves), classes, moves)
-    for turn in range(rounds + 1):
-        into = np.log((moves + 0.5) / (moves.sum(1, keepdims=True) + 0.5 * kinds))
-        shared = blocks.sparkSession.sparkContext.broadcast((classes, start, into, np.log(moves.sum(0)[:CLASSES] + 1)))
-
-        def run(batches):
-            now, start, into, cost = shared.value
-            for batch in batches:
-                for codes, n in zip(batch["codes"], batch["n"]):
-                    codes, n = np.frombuffer(codes, np.int64), np.frombuffer(n, np.int64)
-                    word, other = codes // size, codes % size
-                    side, word = word % 2, word // 2
-                    own, at = np.unique(word, return_inverse=True)
-                    found = np.bincount((at * 2 + side) * kinds + now[other], n, len(own) * 2 * kinds).reshape(-1, 2, kinds)
-                    gain = (found[:, 0] @ into + found[:, 1] @ into.T)[:, :CLASSES] - found[:, 0].sum(1)[:, None] * cost
-                    # pairs of two of these words are in two blocks: the one before counts
-                    once = (side == 1) | (other < first) | (other >= known)
-                    word, other, side, n = word[once], other[once], side[once], n[once]
-                    before, after = np.where(side == 1, word, other), np.where(side == 1, other, word)
-                    delta = np.bincount(now[before].astype(np.int64) * kinds + now[after], n, kinds * kinds) \
-                        - np.bincount(start[before].astype(np.int64) * kinds + start[after], n, kinds * kinds)
-                    yield pd.DataFrame({"words": [packed(own)], "classes": [packed(gain.argmax(1).astype(np.int8))],
-                                        "delta": [packed(delta)]})
-
-        rows = blocks.mapInPandas(run, "words binary, classes binary, delta binary").collect()
-        shared.unpersist()
-        moves = base + sum((np.frombuffer(r.delta, np.float64).reshape(kinds, kinds) for r in rows), np.zeros((kinds, kinds)))
-        value = likelihood(moves)
-        if value > best[0]:
-            best = (value, classes, moves)
-        elif turn > 1:
-            break
-        if turn == rounds:
-            break
-        classes = classes.copy()
-        for r in rows:
-            own, new = np.frombuffer(r.words, np.int64), np.frombuffer(r.classes, np.int8)
-            half = (own % 2 == turn % 2) | (turn == 0)
-            classes[own[half]] = new[half]
-    return best[1].astype(np.int64), best[2]
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -352,11 +337,8 @@ def score(docs: DataFrame) -> DataFrame:
     clustered = min(CLUSTERED, len(held))
     types, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     total, n_types = tokens + ends, types + (ends > 0)
-    classes, moves = exchange(pair_counts(train, held[:clustered]), clustered)
     n_held, hashes, later = later_words(counts, held, held_counts, clustered)
-    if len(later):
-        classes, moves = later_exchange(later_pairs(train, held[:n_held], hashes, clustered, tokens), classes, moves, later,
-                                        clustered)
+    classes, moves = exchange(word_pairs(train, held[:n_held], hashes, later, clustered, tokens))
     hashed_class = classes[n_held:n_held + len(hashes)].astype(np.int8)
     # emission totals of the fixed classes: all words but the clustered ones, and one unseen type
     rest = {r.k: r.v for r in counts.groupBy(last_class(F.col("word")).alias("k")).agg(F.count("*").alias("v")).collect()}
@@ -394,24 +376,26 @@ def score(docs: DataFrame) -> DataFrame:
                 left = Counter(zip(names, c[1 + rare].tolist()))
                 out.append((len(found) + 1, len(found) + 1 - len(rare), float(base[row].sum()) + end,
                             float(emit[row].sum() + step[c[:-1], c[1:]].sum()),
-                            [{"word": w.decode("utf-8", "surrogatepass"), "k": k, "n": n} for (w, k), n in left.items()]))
-            table = pd.DataFrame(out, columns=["n_tokens", "held", "base_part", "part", "rare"])
+                            b" ".join([w for w, _ in left]).decode("utf-8", "surrogatepass"),
+                            np.array([k for _, k in left], np.int32), np.array(list(left.values()), np.int64)))
+            table = pd.DataFrame(out, columns=["n_tokens", "held", "base_part", "part", "rare", "k", "n"])
             yield pd.concat([batch[["row"]].reset_index(drop=True), batch["doc_id"].astype("Int64").reset_index(drop=True),
                              batch[["held_out"]].reset_index(drop=True), table], axis=1)
 
     parts = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInPandas(
         run, "row long, doc_id long, held_out boolean, n_tokens long, held long, base_part double, part double, "
-             "rare array<struct<word string, k int, n long>>"), "scores")
+             "rare string, k array<int>, n array<long>"), "scores")
     emission = F.element_at(F.array(*[F.lit(float(np.log10(t))) for t in totals]), F.col("k") + 1)
     c = F.coalesce("c", F.lit(0))
     extra = F.when(F.col("k") < CLASSES, F.when(c == 0, 1).otherwise(0)).otherwise(1)
-    rare = (parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k", "r.n")
+    each = F.arrays_zip(F.split("rare", " ").alias("word"), "k", "n")
+    rare = (parts.filter("rare != ''").select("row", F.explode(each).alias("r")).select("row", "r.word", "r.k", "r.n")
             .join(counts, "word", "left").groupBy("row").agg(
                 F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
                 F.sum(F.col("n") * (F.log10(c + 1) - floor)).alias("base_rest"),
                 F.sum(F.col("n") * (F.log10(c + extra) - emission)).alias("rest")))
     zero = lambda name: F.coalesce(name, F.lit(0))
-    return parts.drop("rare").join(rare, "row", "left").select(
+    return parts.drop("rare", "k", "n").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         # the end is known once a document has trained
         (F.col("held") - F.lit(int(ends == 0)) + zero("known")).cast("long").alias("n_known"),

@@ -83,7 +83,9 @@ def test_exchange_finds_the_word_kinds(spark, monkeypatch):
     train = spark.createDataFrame(rows[:400], "doc_id long, text string")
     words = [f"{k}{i}".encode() for i in range(30) for k in "anv"]
     random.Random(3).shuffle(words)
-    classes, moves = lm.exchange(lm.pair_counts(train, words), len(words), rounds=12)
+    none = np.empty(0, np.int64)
+    pairs = lm.word_pairs(train, words, none, none, len(words), 12_000)
+    classes, moves = lm.exchange(pairs, rounds=12)
     by_kind = {k: Counter(int(c) for w, c in zip(words, classes) if w[:1] == k) for k in (b"a", b"n", b"v")}
     assert len({c.most_common(1)[0][0] for c in by_kind.values()}) == 3
     assert all(c.most_common(1)[0][1] >= 25 for c in by_kind.values())
@@ -122,8 +124,10 @@ def test_later_transitions_are_those_of_the_texts(spark, monkeypatch):
     first = 20
     n_held, hashes, fixed = lm.later_words(counts, words, n, first)
     assert len(hashes) and n_held == len(words)
-    start, moves = lm.exchange(lm.pair_counts(train, words[:first]), first)
-    classes, after = lm.later_exchange(lm.later_pairs(train, words, hashes, first, 3000), start, moves, fixed, first)
+    pairs = lm.word_pairs(train, words, hashes, fixed, first, 3000)
+    assert pairs.blocks.count() > 5
+    _, moves = lm.exchange(pairs, later=0)
+    classes, after = lm.exchange(pairs)
     size = len(words) + len(hashes)
     assert lm.likelihood(after) > lm.likelihood(moves) and (classes[:size] < lm.CLASSES).mean() > 0.9
     want = np.zeros_like(after)
@@ -136,3 +140,74 @@ def test_later_transitions_are_those_of_the_texts(spark, monkeypatch):
         for a, b in zip(row, [*row[1:], lm.BORDER]):
             want[a, b] += 1
     assert np.array_equal(after, want)
+
+
+def test_contexts_are_those_of_the_texts(spark, monkeypatch):
+    """Whatever the blocks: counts of the classes around each word, and the choice of the words that lie in one block."""
+    monkeypatch.setattr(lm, "SLOT", 300)
+    rows = [r for r in corpus(60) if r[1]][:60]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    words, n = lm.frequent(lm.vocabulary(train).cache(), 1000)
+    words = words[:80]
+    first, rng = 10, np.random.default_rng(1)
+    fixed = np.array([lm.LAST[w[-1]] for w in words[first:]])
+    pairs = lm.word_pairs(train, words, np.empty(0, np.int64), fixed, first, 2000)
+    now = np.concatenate([rng.integers(0, lm.CLASSES, len(words)), np.arange(lm.CLASSES, lm.BORDER + 1)])
+    last = rng.integers(1, 100, (lm.BORDER + 1, lm.BORDER + 1)).astype(float)
+    found, moves, chosen = lm.contexts(pairs, now, last)
+    want, steps = np.zeros((len(now), 2, lm.BORDER + 1)), np.zeros_like(last)
+    number = {w: i for i, w in enumerate(words)}
+    for _, text in rows:
+        row = [number.get(w, len(words) + lm.LAST[w[-1]]) for w in map(str.encode, tokens(text))]
+        row = [len(now) - 1, *row, len(now) - 1]
+        for a, b in zip(row, row[1:]):
+            want[a, 1, now[b]] += 1
+            want[b, 0, now[a]] += 1
+            steps[now[a], now[b]] += 1
+    assert np.array_equal(found[:first], want[:first]) and np.array_equal(moves, steps)
+    best = lm.best_class(want[first:len(words)], lm.log_share(last), np.log(last.sum(0)[:lm.CLASSES] + 1))
+    got = now[first:len(words)].copy()
+    for w, c in chosen:
+        got[w - first] = c
+    assert np.array_equal(got, best)
+
+
+def test_score_is_the_model_s_probability(spark, monkeypatch):
+    """The score of every text by brute force from the classes that exchange gave, words held or found by hash."""
+    monkeypatch.setattr(lm, "HEAD", 60)
+    monkeypatch.setattr(lm, "CLUSTERED", 20)
+    seen, plain = {}, lm.exchange
+    monkeypatch.setattr(lm, "exchange", lambda pairs: seen.setdefault("model", plain(pairs)))
+    rows = corpus(200)
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes, moves = seen["model"]
+    count = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    docs = spark.createDataFrame([r for r in rows if not held(r[0])], "doc_id long, text string")
+    counts = lm.vocabulary(docs).cache()
+    assert {r.word: r.c for r in counts.collect()} == count
+    words, n = lm.frequent(counts, 60)
+    n_held, hashes, _ = lm.later_words(counts, words, n, 20)
+
+    def number(w):
+        if w in words[:n_held]:
+            return int(classes[words.index(w)])
+        at = int(lm.find_hashed([w], hashes)[0])
+        return int(classes[n_held + at]) if at >= 0 else lm.CLASSES + int(lm.LAST[w[-1]])
+
+    kind = {w: number(w.encode()) for w in {w for _, t in rows for w in tokens(t)}}
+    mass = Counter()
+    for w, c in count.items():
+        mass[kind[w]] += c + (kind[w] >= lm.CLASSES)
+    share = (moves.sum(0) + 1) / (moves.sum() + lm.BORDER + 1)
+    step = (moves + lm.SMOOTH * share) / (moves.sum(1, keepdims=True) + lm.SMOOTH)
+    want = []
+    for i, t in rows:
+        total, before = 0.0, lm.BORDER
+        for w in tokens(t):
+            k, c = kind[w], count[w]
+            # one unseen type has a place in every fixed class
+            emit = (c + 1) / (mass[k] + 1) if k >= lm.CLASSES else max(c, 1) / max(mass[k], 1)
+            total, before = total + math.log10(step[before, k]) + math.log10(emit), k
+        want.append((repr(i), total + math.log10(step[before, lm.BORDER])))
+    for a, b in zip(sorted((repr(r.doc_id), r.score) for r in got), sorted(want), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-9)

@@ -175,7 +175,7 @@ def word_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, fixed:
 
     blocks = stage(train.select("text").mapInPandas(run, "slot long, codes binary, n binary")
                    .groupBy("slot").applyInPandas(merge, "codes binary, n binary"), "word-pairs")
-    rows = np.concatenate([np.arange(first), first + fixed, first + np.arange(FIXED + 1)]).astype(np.int32)
+    rows = np.concatenate([np.arange(first), first + fixed.astype(np.int64), first + np.arange(FIXED + 1)]).astype(np.int32)
     return Pairs(blocks, first, known, train.sparkSession.sparkContext.broadcast(rows))
 
 

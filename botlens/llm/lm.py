@@ -44,7 +44,7 @@ TYPES = 1 << 18           # words that a task counts at once
 ROUNDS = 8                # exchange rounds of the first words, half of them moving in each
 PARTS = 16                # pieces that sums are added up in
 SMOOTH = 50.0             # weight of the class's overall share in a transition
-CHUNK = 1 << 20           # pairs counted at once in a task
+CHUNK = 1 << 19           # pairs counted at once in a task
 FIXED = 4                 # classes of all other words: . ! ? / , ; : / ASCII / other last characters
 # class numbers: clustered 0..CLASSES-1, then the fixed ones, then the text border
 BORDER = CLASSES + FIXED
@@ -104,15 +104,49 @@ def find_hashed(words: list[bytes], hashes: np.ndarray) -> np.ndarray:
     return np.where(hashes[at] == own, at, -1)
 
 
+BLOCK = "size int, runs int, a binary, lengths binary, b binary, n binary"
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest bytes each that hold the largest."""
+    top = int(values.max())
+    return packed(values.astype(np.min_scalar_type(top)))
+
+
+def widened(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
+
+
+def put_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple:
+    """A row of BLOCK columns: a (sorted) by its runs, and the others, in few bytes."""
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    return (len(a), len(starts), narrow(a[starts]), narrow(np.diff(np.r_[starts, len(a)])), narrow(b), narrow(n))
+
+
+def get_pairs(frame: pd.DataFrame):
+    """(a, b, n) of each row of BLOCK columns."""
+    for size, runs, a, lengths, b, n in frame[["size", "runs", "a", "lengths", "b", "n"]].itertuples(index=False):
+        yield np.repeat(widened(a, runs), widened(lengths, runs)), widened(b, size), widened(n, size)
+
+
+def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int):
+    """The distinct pairs (a, b), b < size, sorted, with the sums of n."""
+    code = a * size + b
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[starts] // size, code[starts] % size, np.add.reduceat(n, starts)
+
+
 class Pairs(NamedTuple):
     """How often which number stands before (side 0) or after (1) which word.
 
     Numbers: ``known`` words, the ``first`` of them being the most frequent, then
-    the fixed classes and the border.  ``blocks`` holds (codes, n), packed and
-    sorted, a code being (number * 2 + side) * size + other.  The contexts of the
-    first words and of the numbers after the words are dealt by the other number,
-    those of any other word lie in one block.  ``rows`` (shared) has the row of
-    each number in what contexts() counts.
+    the fixed classes and the border.  ``blocks`` holds (number * 2 + side, other,
+    n), sorted and put by put_pairs.  The contexts of the first words and of the
+    numbers after the words are dealt by the other number, those of any other word
+    lie in one block.  ``rows`` (shared) has the row of each number in what
+    contexts() counts.
     """
     blocks: DataFrame
     first: int
@@ -135,16 +169,20 @@ def word_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, fixed:
 
         def dealt():
             code, count = np.unique(np.concatenate(held), return_counts=True)
-            a, b, count = code // size, code % size, count.astype(np.int32)
-            word = b < known
-            number, side = np.concatenate([a, b[word]]), np.repeat([1, 0], [len(a), int(word.sum())])
-            other, count = np.concatenate([b, a[word]]), np.concatenate([count, count[word]])
-            slot = np.where((number < first) | (number >= known), number + other, number) % slots
-            order = np.argsort(slot, kind="stable")
-            codes, count = ((number * 2 + side) * size + other)[order], count[order]
-            found, starts = np.unique(slot[order], return_index=True)
-            return pd.DataFrame([(int(s), packed(c), packed(k)) for s, c, k in zip(
-                found, np.split(codes, starts[1:]), np.split(count, starts[1:]))], columns=["slot", "codes", "n"])
+            a, b = code // size, code % size
+            word = np.flatnonzero(b < known)
+            # each pair stands with the number before it and, if a word comes after, with that one
+            number, other = np.concatenate([a * 2 + 1, b[word] * 2]), np.concatenate([b, a[word]])
+            count = np.concatenate([count, count[word]])
+            slot = number // 2
+            slot += np.where((slot < first) | (slot >= known), other, 0)
+            slot %= slots
+            order = np.lexsort((number, slot.astype(np.min_scalar_type(slots))))
+            number, other, count, slot = number[order], other[order], count[order], slot[order]
+            found, starts = np.unique(slot, return_index=True)
+            return pd.DataFrame([(int(s), *put_pairs(x, y, z)) for s, x, y, z in zip(
+                found, np.split(number, starts[1:]), np.split(other, starts[1:]), np.split(count, starts[1:]))],
+                columns=["slot", "size", "runs", "a", "lengths", "b", "n"])
 
         for batch in batches:
             for text in batch["text"]:
@@ -167,18 +205,45 @@ def word_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, fixed:
             yield dealt()
 
     def merge(pdf):
-        codes = np.frombuffer(b"".join(pdf["codes"]), np.int64)
-        order = np.argsort(codes)
-        codes, n = codes[order], np.frombuffer(b"".join(pdf["n"]), np.int32)[order].astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        return pd.DataFrame({"codes": [packed(codes[starts])], "n": [packed(np.add.reduceat(n, starts))]})
-
-    blocks = stage(train.select("text").mapInPandas(run, "slot long, codes binary, n binary")
-                   .groupBy("slot").applyInPandas(merge, "codes binary, n binary"), "word-pairs")
+        parts = map(np.concatenate, zip(*get_pairs(pdf)))
+        return pd.DataFrame([put_pairs(*summed(*parts, size))], columns=["size", "runs", "a", "lengths", "b", "n"])
+
+    blocks = stage(train.select("text").mapInPandas(run, f"slot long, {BLOCK}")
+                   .groupBy("slot").applyInPandas(merge, BLOCK), "word-pairs")
     rows = np.concatenate([np.arange(first), first + fixed.astype(np.int64), first + np.arange(FIXED + 1)]).astype(np.int32)
     return Pairs(blocks, first, known, train.sparkSession.sparkContext.broadcast(rows))
 
 
+def first_pairs(pairs: Pairs) -> Pairs:
+    """The pairs as they are with all later words in their fixed classes: few, for the rounds of the first words."""
+    rows, first = pairs.rows, pairs.first
+    size = first + FIXED + 1
+
+    def run(batches):
+        held, n = [], 0
+
+        def block():
+            return pd.DataFrame([put_pairs(*summed(*map(np.concatenate, zip(*held)), size))],
+                                columns=["size", "runs", "a", "lengths", "b", "n"])
+
+        for batch in batches:
+            for a, b, count in get_pairs(batch):
+                row_of = rows.value
+                number, side = row_of[a // 2].astype(np.int64), a % 2
+                kept = (side == 1) | (number < first)
+                held.append(summed((number * 2 + side)[kept], row_of[b].astype(np.int64)[kept], count[kept], size)
+                            if kept.any() else (a[:0], b[:0], count[:0]))
+                n += len(held[-1][0])
+                if n >= CHUNK:
+                    yield block()
+                    held, n = [], 0
+        if n:
+            yield block()
+
+    blocks = stage(pairs.blocks.mapInPandas(run, BLOCK), "first-pairs")
+    return Pairs(blocks, first, first, blocks.sparkSession.sparkContext.broadcast(np.arange(size, dtype=np.int32)))
+
+
 def contexts(pairs: Pairs, now: np.ndarray, moves: np.ndarray | None = None):
     """(found, moves, chosen) under the classes ``now`` of all numbers.
 
@@ -189,7 +254,7 @@ def contexts(pairs: Pairs, now: np.ndarray, moves: np.ndarray | None = None):
     words that go to another class by these.
     """
     kinds, first, known = BORDER + 1, pairs.first, pairs.known
-    size, n_rows = known + FIXED + 1, pairs.first + FIXED + 1
+    n_rows = pairs.first + FIXED + 1
     cells = n_rows * 2 * kinds
     into = None if moves is None else log_share(moves)
     cost = None if moves is None else np.log(moves.sum(0)[:CLASSES] + 1)
@@ -199,10 +264,8 @@ def contexts(pairs: Pairs, now: np.ndarray, moves: np.ndarray | None = None):
         (now, into, cost), row_of = shared.value, rows.value
         sums = np.zeros(cells + kinds * kinds)
         for batch in batches:
-            for codes, n in zip(batch["codes"], batch["n"]):
-                codes, n = np.frombuffer(codes, np.int64), np.frombuffer(n, np.int64)
-                number, c = codes // size, now[codes % size].astype(np.int64)
-                number, side = number // 2, number % 2
+            for a, b, n in get_pairs(batch):
+                number, side, c = a // 2, a % 2, now[b].astype(np.int64)
                 sums[:cells] += np.bincount((row_of[number] * 2 + side) * kinds + c, n, cells)
                 after = side == 1
                 sums[cells:] += np.bincount(now[number[after]].astype(np.int64) * kinds + c[after], n[after], kinds * kinds)
@@ -279,11 +342,16 @@ def exchange(pairs: Pairs, rounds: int = ROUNDS, later: int = LATER) -> tuple[np
     have not yet.  Half of the words move at once, and what does not raise the
     likelihood is not kept.
     """
-    first, best = pairs.first, (-np.inf, first_classes(pairs)[pairs.rows.value], None)
-    for all_move, turns in ((False, rounds), (True, later if pairs.known > first else -1)):
+    few, first = first_pairs(pairs), pairs.first
+    best = (-np.inf, first_classes(few), None)
+    for part, turns in ((few, rounds), (pairs, later if pairs.known > first else -1)):
         now, last = best[1:]
+        all_move = part is pairs
+        if all_move:                                  # the classes of all numbers from here on
+            now = now[pairs.rows.value]
+            best = (best[0], now, last)
         for turn in range(turns + 1):
-            found, moves, chosen = contexts(pairs, now, last if all_move else None)
+            found, moves, chosen = contexts(part, now, last if all_move else None)
             value, last = likelihood(moves), moves
             if value > best[0]:
                 best = (value, now, moves)

@@ -118,7 +118,7 @@ def widened(raw: bytes, n: int) -> np.ndarray:
 
 
 def put_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple:
-    """A row of BLOCK columns: a (sorted) by its runs, and the others, in few bytes."""
+    """A row of BLOCK columns: a by its runs, and the others, in few bytes."""
     starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     return (len(a), len(starts), narrow(a[starts]), narrow(np.diff(np.r_[starts, len(a)])), narrow(b), narrow(n))
 
@@ -177,7 +177,7 @@ def word_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, fixed:
             slot = number // 2
             slot += np.where((slot < first) | (slot >= known), other, 0)
             slot %= slots
-            order = np.lexsort((number, slot.astype(np.min_scalar_type(slots))))
+            order = np.argsort(slot.astype(np.min_scalar_type(slots)), kind="stable")
             number, other, count, slot = number[order], other[order], count[order], slot[order]
             found, starts = np.unique(slot, return_index=True)
             return pd.DataFrame([(int(s), *put_pairs(x, y, z)) for s, x, y, z in zip(

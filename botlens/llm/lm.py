@@ -2,9 +2,9 @@
 
 P(text) is the product over its tokens (words and one end) of the class
 transition P(c | class before) and the word emission P(w | c).  The classes
-are found by exchange: one pass over the training texts counts which words stand
-before and after each word seen LEAST times or more, in blocks that stay in
-Spark.  Every round counts the classes there and moves half of the words to the
+are found by exchange: the texts are written as numbers of words once, and one pass
+over those that train counts which words stand before and after each word seen
+LEAST times or more, in blocks that stay in Spark.  Every round counts the classes there and moves half of the words to the
 class that gives the corpus the highest likelihood: at first the CLUSTERED most
 frequent words only, then all.  Tasks choose for a word whose contexts lie in one
 block.  The contexts of the most frequent words are split over the blocks; their
@@ -44,7 +44,7 @@ TYPES = 1 << 18           # words that a task counts at once
 ROUNDS = 8                # exchange rounds of the first words, half of them moving in each
 PARTS = 16                # pieces that sums are added up in
 SMOOTH = 50.0             # weight of the class's overall share in a transition
-CHUNK = 1 << 19           # pairs counted at once in a task
+CHUNK = 1 << 20           # pairs counted at once in a task
 FIXED = 4                 # classes of all other words: . ! ? / , ; : / ASCII / other last characters
 # class numbers: clustered 0..CLASSES-1, then the fixed ones, then the text border
 BORDER = CLASSES + FIXED
@@ -109,12 +109,11 @@ BLOCK = "size int, runs int, a binary, lengths binary, b binary, n binary"
 
 def narrow(values: np.ndarray) -> bytes:
     """Numbers from 0 in the fewest bytes each that hold the largest."""
-    top = int(values.max())
-    return packed(values.astype(np.min_scalar_type(top)))
+    return packed(values.astype(np.min_scalar_type(int(values.max(initial=0)))))
 
 
 def widened(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
+    return np.frombuffer(raw, f"u{len(raw) // n if n else 1}").astype(np.int64)
 
 
 def put_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple:
@@ -154,17 +153,52 @@ class Pairs(NamedTuple):
     rows: Broadcast
 
 
-def word_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, fixed: np.ndarray, first: int,
+def numbered(docs: DataFrame, words: list[bytes], hashes: np.ndarray) -> DataFrame:
+    """(row, doc_id, held_out, low, high, rare): each document's words as numbers (two bytes and the rest), those
+    that are not among ``words`` also as texts.  Numbers: the words held, the hashed ones, the fixed classes."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, hashes))
+
+    def run(batches):
+        words, hashes = shared.value
+        ids = Ids({w: i for i, w in enumerate(words)})
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                found = words_lower(text)
+                row = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
+                rare = np.flatnonzero(row < 0)
+                names = [found[i] for i in rare.tolist()]
+                at = find_hashed(names, hashes)
+                row[rare] = len(words) + np.where(at >= 0, at, len(hashes) - 1 - row[rare])
+                out.append((packed((row & 0xFFFF).astype(np.uint16)), narrow(row >> 16),
+                            b" ".join(names).decode("utf-8", "surrogatepass")))
+            table = pd.DataFrame(out, columns=["low", "high", "rare"])
+            yield pd.concat([batch[["row"]].reset_index(drop=True), batch["doc_id"].astype("Int64").reset_index(drop=True),
+                             batch[["held_out"]].reset_index(drop=True), table], axis=1)
+
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInPandas(
+        run, "row long, doc_id long, held_out boolean, low binary, high binary, rare string"), "numbered")
+
+
+def numbers(low: bytes, high: bytes) -> np.ndarray:
+    low = np.frombuffer(low, np.uint16).astype(np.int64)
+    return low | widened(high, len(low)) << 16
+
+
+def word_pairs(train: DataFrame, n_held: int, n_words: int, fixed: np.ndarray, own: np.ndarray, first: int,
                tokens: int) -> Pairs:
-    """Pairs of the words held (numbered first) and hashed; ``fixed`` are the fixed classes of those after the first."""
-    known = len(words) + len(hashes)
+    """Pairs of the numbered words: all but those held from ``n_held`` on, ``own`` being the fixed classes of these.
+
+    ``n_words`` are all, and ``fixed`` has the fixed classes of those after the first.
+    """
+    known = n_words - len(own)
     size = known + FIXED + 1
     slots = max(12, 2 * tokens // SLOT)
-    shared = train.sparkSession.sparkContext.broadcast((words, hashes))
+    number_of = np.concatenate([np.arange(n_held), known + own, np.arange(n_held, size)]).astype(np.int32)
+    shared = train.sparkSession.sparkContext.broadcast(number_of)
 
     def run(batches):
-        words, hashes = shared.value
-        ids = Ids({w: i for i, w in enumerate(words)})
+        number_of = shared.value
         held, n = [], 0
 
         def dealt():
@@ -185,17 +219,9 @@ def word_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, fixed:
                 columns=["slot", "size", "runs", "a", "lengths", "b", "n"])
 
         for batch in batches:
-            for text in batch["text"]:
-                found = words_lower(text)
-                row = np.empty(len(found) + 2, np.int64)
-                row[0] = row[-1] = size - 1
-                row[1:-1] = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
-                rare = np.flatnonzero(row < 0)
-                if len(rare) and len(hashes):
-                    at = find_hashed([found[i - 1] for i in rare.tolist()], hashes)
-                    row[rare[at >= 0]] = len(words) + at[at >= 0]
-                    rare = rare[at < 0]
-                row[rare] = known - 1 - row[rare]
+            for low, high in zip(batch["low"], batch["high"]):
+                row = np.full(len(low) // 2 + 2, size - 1)
+                row[1:-1] = number_of[numbers(low, high)]
                 held.append(row[:-1] * size + row[1:])
                 n += len(row)
                 if n >= CHUNK:
@@ -208,7 +234,7 @@ def word_pairs(train: DataFrame, words: list[bytes], hashes: np.ndarray, fixed:
         parts = map(np.concatenate, zip(*get_pairs(pdf)))
         return pd.DataFrame([put_pairs(*summed(*parts, size))], columns=["size", "runs", "a", "lengths", "b", "n"])
 
-    blocks = stage(train.select("text").mapInPandas(run, f"slot long, {BLOCK}")
+    blocks = stage(train.select("low", "high").mapInPandas(run, f"slot long, {BLOCK}")
                    .groupBy("slot").applyInPandas(merge, BLOCK), "word-pairs")
     rows = np.concatenate([np.arange(first), first + fixed.astype(np.int64), first + np.arange(FIXED + 1)]).astype(np.int32)
     return Pairs(blocks, first, known, train.sparkSession.sparkContext.broadcast(rows))
@@ -406,11 +432,12 @@ def score(docs: DataFrame) -> DataFrame:
     types, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     total, n_types = tokens + ends, types + (ends > 0)
     n_held, hashes, later = later_words(counts, held, held_counts, clustered)
-    classes, moves = exchange(word_pairs(train, held[:n_held], hashes, later, clustered, tokens))
-    hashed_class = classes[n_held:n_held + len(hashes)].astype(np.int8)
+    own = np.array([LAST[w[-1]] for w in held], np.int64)
+    texts = numbered(rows, held, hashes)
+    n_words = len(held) + len(hashes)
+    classes, moves = exchange(word_pairs(texts.filter("not held_out"), n_held, n_words, later, own[n_held:], clustered, tokens))
     # emission totals of the fixed classes: all words but the clustered ones, and one unseen type
     rest = {r.k: r.v for r in counts.groupBy(last_class(F.col("word")).alias("k")).agg(F.count("*").alias("v")).collect()}
-    own = np.array([LAST[w[-1]] for w in held], np.int64)
     fixed_v = np.array([rest.get(k, 0) for k in range(FIXED)], float) + 1
     np.subtract.at(fixed_v, np.concatenate([own[:clustered], later.astype(np.int64)]), 1)
     per_class = moves.sum(0)                             # tokens of each class
@@ -418,39 +445,33 @@ def score(docs: DataFrame) -> DataFrame:
 
     share = (moves.sum(0) + 1) / (moves.sum() + BORDER + 1)
     step = np.log10((moves + SMOOTH * share) / (moves.sum(1, keepdims=True) + SMOOTH))
-    class_of = np.concatenate([classes[:n_held], CLASSES + own[n_held:], CLASSES + np.arange(FIXED)[::-1]])
+    class_of = np.concatenate([classes[:n_held], CLASSES + own[n_held:], classes[n_held:-1]]).astype(np.int8)
     kept = class_of[:len(held)]
     totals = np.concatenate([np.maximum(per_class[:CLASSES], 1), fixed_total])
-    emit = np.concatenate([np.log10((held_counts + (kept >= CLASSES)) / totals[kept]), np.zeros(FIXED)])
+    emit = np.log10((held_counts + (kept >= CLASSES)) / totals[kept])
     floor = np.log10(total + n_types + 1)
-    base = np.concatenate([np.log10(held_counts + 1) - floor, np.zeros(FIXED)])
+    base = np.log10(held_counts + 1) - floor
     end = float(np.log10(ends + 1) - floor)
-    shared = docs.sparkSession.sparkContext.broadcast((held, class_of, emit, base, step, BORDER, hashes, hashed_class))
+    shared = docs.sparkSession.sparkContext.broadcast((class_of, emit, base, step, BORDER))
 
     def run(batches):
-        words, class_of, emit, base, step, border, hashes, hashed_class = shared.value
-        ids = Ids({w: i for i, w in enumerate(words)})
+        class_of, emit, base, step, border = shared.value
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                found = words_lower(text)
-                row = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
-                rare = np.flatnonzero(row < 0)
-                c = np.concatenate([[border], class_of[row], [border]])       # -1 - k is the k-th from the end
-                names = [found[i] for i in rare.tolist()]
-                if len(hashes):
-                    at = find_hashed(names, hashes)
-                    c[1 + rare[at >= 0]] = hashed_class[at[at >= 0]]
-                left = Counter(zip(names, c[1 + rare].tolist()))
-                out.append((len(found) + 1, len(found) + 1 - len(rare), float(base[row].sum()) + end,
-                            float(emit[row].sum() + step[c[:-1], c[1:]].sum()),
-                            b" ".join([w for w, _ in left]).decode("utf-8", "surrogatepass"),
+            for low, high, names in zip(batch["low"], batch["high"], batch["rare"]):
+                row = numbers(low, high)
+                c = np.concatenate([[border], class_of[row], [border]])
+                rare = row >= len(emit)
+                left = Counter(zip(names.split(" ") if names else (), c[1:-1][rare].tolist()))
+                row = row[~rare]
+                out.append((len(rare) + 1, len(row) + 1, float(base[row].sum()) + end,
+                            float(emit[row].sum() + step[c[:-1], c[1:]].sum()), " ".join([w for w, _ in left]),
                             np.array([k for _, k in left], np.int32), np.array(list(left.values()), np.int64)))
             table = pd.DataFrame(out, columns=["n_tokens", "held", "base_part", "part", "rare", "k", "n"])
             yield pd.concat([batch[["row"]].reset_index(drop=True), batch["doc_id"].astype("Int64").reset_index(drop=True),
                              batch[["held_out"]].reset_index(drop=True), table], axis=1)
 
-    parts = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInPandas(
+    parts = stage(texts.mapInPandas(
         run, "row long, doc_id long, held_out boolean, n_tokens long, held long, base_part double, part double, "
              "rare string, k array<int>, n array<long>"), "scores")
     emission = F.element_at(F.array(*[F.lit(float(np.log10(t))) for t in totals]), F.col("k") + 1)

@@ -84,7 +84,7 @@ def test_exchange_finds_the_word_kinds(spark, monkeypatch):
     words = [f"{k}{i}".encode() for i in range(30) for k in "anv"]
     random.Random(3).shuffle(words)
     none = np.empty(0, np.int64)
-    pairs = lm.word_pairs(train, words, none, none, len(words), 12_000)
+    pairs = lm.word_pairs(lm.numbered(lm.training(train), words, none), len(words), len(words), none, none, len(words), 12_000)
     classes, moves = lm.exchange(pairs, rounds=12)
     by_kind = {k: Counter(int(c) for w, c in zip(words, classes) if w[:1] == k) for k in (b"a", b"n", b"v")}
     assert len({c.most_common(1)[0][0] for c in by_kind.values()}) == 3
@@ -124,7 +124,8 @@ def test_later_transitions_are_those_of_the_texts(spark, monkeypatch):
     first = 20
     n_held, hashes, fixed = lm.later_words(counts, words, n, first)
     assert len(hashes) and n_held == len(words)
-    pairs = lm.word_pairs(train, words, hashes, fixed, first, 3000)
+    n_words, none = len(words) + len(hashes), np.empty(0, np.int64)
+    pairs = lm.word_pairs(lm.numbered(lm.training(train), words, hashes), n_held, n_words, fixed, none, first, 3000)
     assert pairs.blocks.count() > 5
     _, moves = lm.exchange(pairs, later=0)
     classes, after = lm.exchange(pairs)
@@ -148,10 +149,10 @@ def test_contexts_are_those_of_the_texts(spark, monkeypatch):
     rows = [r for r in corpus(60) if r[1]][:60]
     train = spark.createDataFrame(rows, "doc_id long, text string")
     words, n = lm.frequent(lm.vocabulary(train).cache(), 1000)
-    words = words[:80]
-    first, rng = 10, np.random.default_rng(1)
-    fixed = np.array([lm.LAST[w[-1]] for w in words[first:]])
-    pairs = lm.word_pairs(train, words, np.empty(0, np.int64), fixed, first, 2000)
+    all_words, words = words[:90], words[:80]        # ten words are held, but not clustered
+    first, rng, last_of = 10, np.random.default_rng(1), np.array([lm.LAST[w[-1]] for w in all_words])
+    texts = lm.numbered(lm.training(train), all_words, np.empty(0, np.int64))
+    pairs = lm.word_pairs(texts, 80, 90, last_of[first:80], last_of[80:], first, 2000)
     now = np.concatenate([rng.integers(0, lm.CLASSES, len(words)), np.arange(lm.CLASSES, lm.BORDER + 1)])
     last = rng.integers(1, 100, (lm.BORDER + 1, lm.BORDER + 1)).astype(float)
     found, moves, chosen = lm.contexts(pairs, now, last)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from botlens.functions import exprs as X
-from botlens.functions.sequential import exclusive_running_sum
+from botlens.functions.sequential import exclusive_running_sum, last_non_null
 from botlens.operators.validate import MSG_BODY, NUMERIC_TYPE, parse_body
 from botlens.schemas import conform, plan_catalogue
 
@@ -151,6 +151,63 @@ def decide_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
     return decided.drop("_counts", "_base", "_before", "_month")
 
 
+def with_plan_in_force(events: DataFrame, changes: DataFrame, seq_col: str = "ingest_seq",
+                       chunk: int = 1 << 20) -> DataFrame:
+    """Events with the ``plan`` of their owner at their arrival, and ``_since``, the arrival of the change
+    that set it (-1: the plan at batch start).
+
+    ``changes`` is (owner_account_id, seq_col, plan) in the same arrival order (I16 and I18 write such plans).
+    An as-of join: the last change is carried along the arrival order, a hot owner being split into chunks.
+    """
+    change = F.struct(F.col("plan"), F.col(seq_col).cast("long").alias("seq"))
+    both = (events.withColumn("_event", F.lit(True)).withColumn("_change", F.when(F.lit(False), change))
+            .unionByName(changes.select("owner_account_id", F.col(seq_col).cast(events.schema[seq_col].dataType).alias(seq_col),
+                                        change.alias("_change"), F.lit(False).alias("_event")), allowMissingColumns=True))
+    return (last_non_null(both, ["owner_account_id"], seq_col, "_change", "_now", chunk).filter("_event")
+            .withColumn("plan", F.when(F.col("_now").isNotNull(), F.col("_now.plan")).otherwise(F.col("plan")))
+            .withColumn("_since", F.coalesce("_now.seq", F.lit(-1).cast("long")))
+            .drop("_event", "_change", "_now"))
+
+
+def decide_event_quota_as_of(events: DataFrame, usage: DataFrame, changes: DataFrame, counts: Column,
+                             seq_col: str = "ingest_seq", chunk: int = 1 << 20) -> DataFrame:
+    """I8 with plans that change inside the batch: as decide_event_quota, by the plan in force at each arrival.
+
+    Between two changes the limit stands, so a stretch with n counting events takes
+    the count from u to max(u, min(u + n, limit)).  These steps are folded for each
+    owner and month over one row a stretch (as many as the owner's changes, not its
+    events); within a stretch the running count decides.  Rows of a null owner or
+    of an unknown plan are rejected.
+    """
+    by_month = "month" in usage.columns
+    keys = ["owner_account_id", "_month"]
+    limits = F.broadcast(plan_catalogue(events.sparkSession).select("plan", F.col("monthly_events").cast("long").alias("_limit")))
+    base = usage.select(F.col("account_id").alias("owner_account_id"),
+                        (F.col("month") if by_month else F.lit(0)).alias("_month"), F.col("monthly_events").cast("long").alias("_base"))
+    owned = (with_plan_in_force(events.filter("owner_account_id is not null"), changes, seq_col, chunk)
+             .withColumn("_counts", F.when(counts, 1).otherwise(0))
+             .withColumn("_month", F.trunc("received_at", "MM") if by_month else F.lit(0)).join(limits, "plan", "left"))
+    stretches = owned.groupBy(*keys, "_since").agg(F.sum("_counts").alias("n"), F.first("_limit").alias("l"))
+    start = F.coalesce("_base", F.lit(0).cast("long"))
+
+    def step(done, s):
+        u = done["u"]
+        after = F.when(s["l"].isNull(), u).otherwise(F.greatest(u, F.least(u + s["n"], s["l"])))
+        return F.struct(after.alias("u"), F.concat(done["met"], F.array(F.struct(s["_since"].alias("since"), u.alias("u")))).alias("met"))
+
+    none = F.array().cast("array<struct<since:bigint,u:bigint>>")
+    folded = (stretches.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_since", "n", "l"))).alias("s"))
+              .join(base, keys, "left")
+              .select(*keys, F.explode(F.aggregate("s", F.struct(start.alias("u"), none.alias("met")), step)["met"]).alias("m"))
+              .select(*keys, F.col("m.since").alias("_since"), F.col("m.u").alias("_start")))
+    ran = exclusive_running_sum(owned, [*keys, "_since"], seq_col, "_counts", "_before", chunk=chunk)
+    used = F.col("_start") + F.col("_before")
+    met = F.greatest(F.col("_start"), F.least(used, F.coalesce(F.col("_limit"), F.col("_start"))))
+    decided = (ran.join(folded, [*keys, "_since"]).withColumn("_ok", F.coalesce(used < F.col("_limit"), F.lit(False)))
+               .withColumn("_used", met).drop("_counts", "_before", "_start", "_since", "_month"))
+    return decided.unionByName(events.filter("owner_account_id is null").withColumn("_ok", F.lit(False)), allowMissingColumns=True)
+
+
 def quota_detail() -> Column:
     """The error detail of an event that ``decide_event_quota`` refused."""
     return F.concat(F.lit("current "), F.col("_used").cast("string"), F.lit(", limit "),

@@ -603,6 +603,22 @@ def _telegram_dedupe(spark, sf_dir):
     return events.groupBy("bot_id", "kind").agg(F.count(F.lit(1)).alias("events"))
 
 
+def _quota_as_of(spark, sf_dir):
+    """Quota while plans change: every order sets its customer's plan (growth if dear), every event is its user's;
+    both arrive in the order of their ids, the order first."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    owner = F.col("c_custkey").cast("string")
+    usage = read("customer").select(owner.alias("account_id"), (4970 + F.col("c_nationkey")).cast("long").alias("monthly_events"))
+    changes = read("orders").select(F.col("o_custkey").cast("string").alias("owner_account_id"),
+                                    (2 * F.col("o_orderkey")).alias("ingest_seq"),
+                                    F.when(F.col("o_totalprice") > 250000, "growth").otherwise("starter").alias("plan"))
+    events = read("events").select((2 * F.col("event_id") + 1).alias("ingest_seq"), "event_id",
+                                   F.col("user_id").cast("string").alias("owner_account_id"), "event_type",
+                                   F.lit("starter").alias("plan"))
+    return IN.decide_event_quota_as_of(events, usage, changes, F.col("event_type") != "error").select(
+        "event_id", "plan", F.col("_used").alias("used"), F.col("_ok").alias("accepted"))
+
+
 def _quota_stream(spark, sf_dir):
     """Two months of events as a stream of several micro-batches: each takes its quota base from the
     counters in the state store, which the batches before it have raised."""
@@ -699,6 +715,7 @@ def queries() -> dict[str, Query]:
         "stream_message_series": _stream_series("messages", "CAST(1 AS BIGINT)", "long"),
         "stream_revenue_series": _stream_series("payments", "amount", "decimal(22,2)"),
         "quota_stream": _quota_stream,
+        "quota_as_of": _quota_as_of,
         "event_date_texts": _event_date_texts,
         "lookup_users_keyed": _lookup_users_keyed,
         "upsert_users_keyed": _upsert_users_keyed,
@@ -740,6 +757,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_user_series": O.series("daily_user_series", "a"),
         "stream_message_series": O.series("daily_message_series", "a"),
         "stream_revenue_series": O.series("daily_revenue_series", "a"),
+        "quota_as_of": O.quota_as_of(),
         "quota_stream": O.ingest_api_quota(QUOTA_LEFT, LATER_HALF),
         "event_date_texts": O.event_date_texts(),
         "lookup_users_keyed": O.lookup_users_keyed(),

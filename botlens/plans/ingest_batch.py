@@ -98,12 +98,14 @@ def usage_by_month(raw: DataFrame, usage_at) -> DataFrame:
 
 
 def ingest_api_batch(raw: DataFrame, state: Tables, secrets: Secrets, chunk: int = 1 << 20,
-                     usage_at=None) -> IngestOutput:
+                     usage_at=None, plan_changes: DataFrame | None = None) -> IngestOutput:
     """raw: kind, api_key, body, ingest_seq, received_at.
 
     The quota is that of the month an event arrives in.  ``usage_at`` (clock ->
     account_id, monthly_events before the batch) defaults to the activity facts
-    (Q19); a streaming job passes the daily rollup's.  Typed rows are staged
+    (Q19); a streaming job passes the daily rollup's.  ``plan_changes``
+    (owner_account_id, ingest_seq, plan) count from their place in the arrival
+    order on; without them the plans at batch start hold.  Typed rows are staged
     without the body; rejected rows get theirs back by ``ingest_seq``.
     """
     staged: list[str] = []
@@ -118,7 +120,9 @@ def ingest_api_batch(raw: DataFrame, state: Tables, secrets: Secrets, chunk: int
         & (F.col("created_at") >= F.trunc("received_at", "MM"))
     usage = usage_by_month(checked, usage_at or (lambda c: A.account_usage(state, c)))
     owned = owned.drop("api_key")
-    limited = I.decide_event_quota(owned.filter(F.col("owner_account_id").isNotNull()), usage, counts, chunk=chunk)
+    with_owner = owned.filter(F.col("owner_account_id").isNotNull())
+    limited = I.decide_event_quota(with_owner, usage, counts, chunk=chunk) if plan_changes is None else \
+        I.decide_event_quota_as_of(with_owner, usage, plan_changes, counts, chunk=chunk)
     # the first of: unknown key, quota, body
     over = {"error_code": F.lit("PLAN_LIMIT_REACHED"), "error_field": F.lit("monthlyEvents"),
             "error_detail": I.quota_detail()}

@@ -910,6 +910,32 @@ SELECT event_id AS ingest_seq, 'monthlyEvents' AS error_field,
 FROM ran WHERE used >= lim"""
 
 
+def quota_as_of() -> str:
+    """The plan by an ASOF join; the counts of the stretches between two changes by recursion."""
+    return """WITH RECURSIVE ch AS (
+  SELECT o_custkey AS owner, 2 * o_orderkey AS seq, CASE WHEN o_totalprice > 250000 THEN 'growth' ELSE 'starter' END AS plan
+  FROM orders),
+e AS (
+  SELECT ev.*, coalesce(ch.plan, 'starter') AS plan, coalesce(ch.seq, -1) AS since
+  FROM (SELECT event_id, user_id AS owner, event_type, 2 * event_id + 1 AS seq FROM events) ev
+  ASOF LEFT JOIN ch ON ev.owner = ch.owner AND ev.seq >= ch.seq),
+r AS (
+  SELECT *, CASE WHEN plan = 'growth' THEN 250000 ELSE 5000 END AS lim,
+         count(*) FILTER (event_type <> 'error') OVER (PARTITION BY owner, since ORDER BY seq
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+st AS (
+  SELECT owner, since, any_value(lim) AS lim, count(*) FILTER (event_type <> 'error') AS n,
+         row_number() OVER (PARTITION BY owner ORDER BY since) AS i FROM r GROUP BY owner, since),
+f AS (
+  SELECT st.owner, i, since, lim, n, CAST(coalesce(4970 + c_nationkey, 0) AS BIGINT) AS u
+  FROM st LEFT JOIN customer ON c_custkey = st.owner WHERE i = 1
+  UNION ALL
+  SELECT st.owner, st.i, st.since, st.lim, st.n, greatest(f.u, least(f.u + f.n, f.lim))
+  FROM f JOIN st ON st.owner = f.owner AND st.i = f.i + 1)
+SELECT event_id, plan, greatest(f.u, least(f.u + r.before, r.lim)) AS used, f.u + r.before < r.lim AS accepted
+FROM r JOIN f ON r.owner = f.owner AND r.since = f.since"""
+
+
 def _api_facts() -> str:
     return ingest_api_activity().rsplit("SELECT id, bot_id, kind AS event_type", 1)[0].rstrip()
 

@@ -250,19 +250,22 @@ class Templates:
         heapq.heapify(queue)
         out: list[tuple[int, int, str, float]] = []
         taken: set[int] = set()
+        left: dict[tuple, list[tuple]] = {}              # (start, template) -> its windows not in the queue, best last
         while queue:
             worse, short, start, stop, name, i, k = heapq.heappop(queue)
             if start in taken:
                 continue
             if i >= 0:
-                for window in self.from_start(i, grams, hits[i], k):
-                    heapq.heappush(queue, window)
+                left[start, -1 - i] = sorted(self.from_start(i, grams, hits[i], k), reverse=True)
+                i = -1 - i
             elif taken.isdisjoint(range(start, stop)):
                 taken.update(range(start, stop))
                 version = self.versions[-1 - i]
                 if version and version.isdisjoint(words[start:stop]):
                     name = name.rsplit("-", 1)[0]
                 out.append((start, stop, name, -worse))
+            if start not in taken and left[start, i]:    # only the best window of a start waits
+                heapq.heappush(queue, left[start, i].pop())
         return sorted(out)
 
     def starts(self, i: int, grams: list, places: list[int]):

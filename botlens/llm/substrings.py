@@ -12,8 +12,8 @@
 4. Every other occurrence of a window loses its words.
 
 What recurs is exchanged by hash in blocks of packed numbers: a block holds what
-one task has for one slot, so a phrase of a third of all documents is sent once a
-task, and a slot holds a bounded share of the hashes.  Window hashes have 64 bits;
+one task has for one slot.  A phrase goes to its slot once for each document that
+has it, twice if it recurs there, as two numbers; a window once for each shard.  Window hashes have 64 bits;
 two different windows take each other's place with a chance of 2 ** -64 a pair.
 """
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from botlens.session import stage
 
-from .common import encode, frequent, words_lower, words_of
+from .common import encode, frequent, words_lower
 from .grams import word_hashes
 from .substrings import packed
 

@@ -14,17 +14,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+CHUNK = 1 << 17           # arrivals of a chunk: so many rows of a key a task sorts at once, whatever the key's share
+
 
 def exclusive_running_sum(df: DataFrame, keys: list[str], order: str, value: str,
-                          out: str, chunk: int = 1 << 20) -> DataFrame:
+                          out: str, chunk: int = CHUNK, of_keys: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows with the same ``keys`` and a
-    smaller ``order`` (which must be unique per key)."""
+    smaller ``order`` (which must be unique per key).
+
+    ``of_keys`` (``keys`` and other columns) is left-joined to the rows; the join
+    meets the chunk totals, so the rows of a hot key do not gather in one task."""
     with_chunk = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     totals = with_chunk.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_ct"))
-    prior = Window.partitionBy(*keys).orderBy("_chunk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk",
-                            F.coalesce(F.sum("_ct").over(prior), F.lit(0)).alias("_off"))
+    if of_keys is not None:
+        totals = totals.join(of_keys, keys, "left")
+    # by value: a key that ``of_keys`` has twice counts its rows twice, as in a join with the rows
+    prior = Window.partitionBy(*keys).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_ct").over(prior), F.lit(0))).drop("_ct")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, -1)
     return (with_chunk.join(offsets, [*keys, "_chunk"])
@@ -34,7 +40,7 @@ def exclusive_running_sum(df: DataFrame, keys: list[str], order: str, value: str
 
 
 def last_non_null(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                  chunk: int = 1 << 20) -> DataFrame:
+                  chunk: int = CHUNK) -> DataFrame:
     """``out`` = latest non-null ``value`` up to and including each row.
 
     Used for "customer id so far" style state.  Two levels as above: one

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from botlens.functions import exprs as X
-from botlens.functions.sequential import exclusive_running_sum, last_non_null
+from botlens.functions.sequential import CHUNK, exclusive_running_sum, last_non_null
 from botlens.operators.validate import MSG_BODY, NUMERIC_TYPE, parse_body
 from botlens.schemas import conform, plan_catalogue
 
@@ -121,7 +121,7 @@ def resolve_owners(events: DataFrame, accounts: DataFrame, api_key_secret: str,
 
 
 def decide_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
-                       seq_col: str = "ingest_seq", chunk: int = 1 << 20) -> DataFrame:
+                       seq_col: str = "ingest_seq", chunk: int = CHUNK) -> DataFrame:
     """I8: every event with ``_ok`` (accepted), ``_used`` (the count it meets) and ``_limit``.
 
     ``usage`` is (account_id, monthly_events) at batch start (Q19), or with a
@@ -135,14 +135,13 @@ def decide_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
                          .select("plan", F.col("monthly_events").alias("_limit")))
     by_month = "month" in usage.columns
     base = usage.select(F.col("account_id").alias("owner_account_id"),
-                        *([F.col("month").alias("_month")] if by_month else []),
+                        (F.col("month") if by_month else F.lit(0)).alias("_month"),
                         F.col("monthly_events").alias("_base"))
     flagged = (events.withColumn("_counts", F.when(counts, 1).otherwise(0))
                .withColumn("_month", F.trunc("received_at", "MM") if by_month else F.lit(0))
-               .join(limits, "plan", "left")
-               .join(base, ["owner_account_id"] + ["_month"] * by_month, "left"))
+               .join(limits, "plan", "left"))
     ran = exclusive_running_sum(flagged, ["owner_account_id", "_month"], seq_col, "_counts", "_before",
-                                chunk=chunk)
+                                chunk=chunk, of_keys=base)
     base_count = F.coalesce(F.col("_base"), F.lit(0))
     used = base_count + F.col("_before")
     # refused events do not count, so the count an event meets stops at the limit (or at a base above it)
@@ -152,7 +151,7 @@ def decide_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
 
 
 def with_plan_in_force(events: DataFrame, changes: DataFrame, seq_col: str = "ingest_seq",
-                       chunk: int = 1 << 20) -> DataFrame:
+                       chunk: int = CHUNK) -> DataFrame:
     """Events with the ``plan`` of their owner at their arrival, and ``_since``, the arrival of the change
     that set it (-1: the plan at batch start).
 
@@ -170,7 +169,7 @@ def with_plan_in_force(events: DataFrame, changes: DataFrame, seq_col: str = "in
 
 
 def decide_event_quota_as_of(events: DataFrame, usage: DataFrame, changes: DataFrame, counts: Column,
-                             seq_col: str = "ingest_seq", chunk: int = 1 << 20) -> DataFrame:
+                             seq_col: str = "ingest_seq", chunk: int = CHUNK) -> DataFrame:
     """I8 with plans that change inside the batch: as decide_event_quota, by the plan in force at each arrival.
 
     Between two changes the limit stands, so a stretch with n counting events takes
@@ -215,7 +214,7 @@ def quota_detail() -> Column:
 
 
 def enforce_event_quota(events: DataFrame, usage: DataFrame, counts: Column,
-                        seq_col: str = "ingest_seq", chunk: int = 1 << 20):
+                        seq_col: str = "ingest_seq", chunk: int = CHUNK):
     """I8 as (accepted, rejected): reject an owner's event once its monthly count reached the limit."""
     decided = decide_event_quota(events, usage, counts, seq_col, chunk)
     accepted = decided.filter("_ok").drop("_limit", "_ok", "_used")

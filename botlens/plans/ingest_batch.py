@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botlens.functions.clock import Clock, date_lit
+from botlens.functions.sequential import CHUNK
 from botlens.operators import accounts as A
 from botlens.operators import bots as BO
 from botlens.operators import ingest as I
@@ -97,7 +98,7 @@ def usage_by_month(raw: DataFrame, usage_at) -> DataFrame:
         usage_at(Clock.at("1970-01-01")).withColumn("month", F.lit(None).cast("date")).limit(0)
 
 
-def ingest_api_batch(raw: DataFrame, state: Tables, secrets: Secrets, chunk: int = 1 << 20,
+def ingest_api_batch(raw: DataFrame, state: Tables, secrets: Secrets, chunk: int = CHUNK,
                      usage_at=None, plan_changes: DataFrame | None = None) -> IngestOutput:
     """raw: kind, api_key, body, ingest_seq, received_at.
 

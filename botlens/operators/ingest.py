@@ -14,6 +14,7 @@ from botlens.functions import exprs as X
 from botlens.functions.sequential import CHUNK, exclusive_running_sum, last_non_null
 from botlens.operators.validate import MSG_BODY, NUMERIC_TYPE, parse_body
 from botlens.schemas import conform, plan_catalogue
+from botlens.session import stage
 
 SENDER_SUB = (1 << 20) - 1      # the sender's message sorts after all joins
 
@@ -37,7 +38,7 @@ def user_id_of(bot_id, telegram_id) -> Column:
 
 # --- I4 ------------------------------------------------------------------------------
 
-def flatten_telegram_updates(raw: DataFrame, body_col: str = "body"):
+def flatten_telegram_updates(raw: DataFrame, body_col: str = "body", staged: list[str] | None = None):
     """I4: platform updates -> (events, rejected).
 
     One ``user_joined`` per non-bot new chat member (in array order), then
@@ -46,6 +47,9 @@ def flatten_telegram_updates(raw: DataFrame, body_col: str = "body"):
     nothing, as in the reference.  An empty body is a VALIDATION_ERROR, text
     that is not JSON INVALID_JSON, and an update that would write rows without
     a usable date INTERNAL_ERROR.  ``sub_seq`` orders the events of one update.
+
+    With ``staged`` (a list, to which the folder is appended) the bodies are parsed once
+    for all that is read of both results; the body of a row that is not rejected is not kept.
     """
     v, json_ok = parse_body(F.col(body_col))
     b = raw.select("*", v.alias("_v"), json_ok.alias("_json_ok"))
@@ -89,6 +93,9 @@ def flatten_telegram_updates(raw: DataFrame, body_col: str = "body"):
         F.spark_partition_id().alias("_task"))
     found = found.withColumn("_code", F.when(F.col("_task") >= 0, F.coalesce("_code", F.when(
         (F.size("_events") > 0) & F.col("created_at").isNull(), F.lit("DATE")))))
+    if staged is not None:
+        body = F.when(F.col("_code").isNotNull(), F.col(body_col))
+        found = stage(found.withColumn(body_col, body).drop("_task"), "platform-parsed", staged)
     rejected = found.filter(F.col("_code").isNotNull()).select(
         *raw.columns, F.when(F.col("_code") == "DATE", "INTERNAL_ERROR").otherwise(F.col("_code")).alias("error_code"),
         F.when(F.col("_code") == "DATE", "message.date").otherwise("body").alias("error_field"),

@@ -157,9 +157,10 @@ def ingest_platform_batch(raw: DataFrame, state: Tables) -> IngestOutput:
     missing = raw.join(known, "bot_id", "left_anti").select(
         "*", F.lit("BOT_NOT_FOUND").alias("error_code"),
         F.lit("botId").alias("error_field"), F.lit("Bot not found").alias("error_detail"))
-    events, malformed = I.flatten_telegram_updates(raw.join(known, "bot_id", "left_semi"))
+    staged: list[str] = []
+    events, malformed = I.flatten_telegram_updates(raw.join(known, "bot_id", "left_semi"), staged=staged)   # feeds every output below
     good = events.select(
         "*", F.lit("platform").alias("source"), F.col("ingest_seq").alias("seq"),
         F.lit(None).cast("decimal(12,2)").alias("amount"), F.lit(None).cast("string").alias("currency"))
     return IngestOutput(facts=_facts(good), users_delta=_users_delta(good), bots=state.bots,
-                        rejected=_rejected(missing, "platform").unionByName(_rejected(malformed, "platform")))
+                        rejected=_rejected(missing, "platform").unionByName(_rejected(malformed, "platform")), staged=staged)

@@ -7,7 +7,8 @@ variants, nearly all of which meet nothing; shuffling each would move a
 hundred times the input.  So the variants are dealt by a prefix of theirs: a
 task gets, for each prefix that a fingerprint's variants have, the fingerprint
 once, makes the variants with this prefix again and sorts them.  With a prefix of 12
-bits these are 79 rows a fingerprint instead of 2081, over 4096 cells.
+bits these are 79 rows a fingerprint instead of 2081, over 4096 cells; larger
+inputs and crowded cells take prefixes of a few bits more.
 
 Fingerprints that share a variant are within r bits of each other, so a
 variant's group needs no pairs: its members are tied to the least one, each tie
@@ -16,6 +17,7 @@ is verified, and a cell passes on a spanning forest of its ties.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -58,64 +60,94 @@ def fingerprints(text: Column, shingle: int) -> Column:
     return run(text)
 
 
+@functools.cache
 def masks(bits: int, radius: int) -> np.ndarray:
     """All words of ``bits`` bits with at most ``radius`` bits set."""
     out = [sum(1 << b for b in flips) for k in range(radius + 1) for flips in itertools.combinations(range(bits), k)]
     return np.array(out, np.uint64)
 
 
-def ties(fps: np.ndarray, cell: int, prefix: int, distance: int) -> np.ndarray:
-    """Spanning forest of the links that the variants of one cell show: (index, index of the least).
+STEP = 4                 # bits by which a prefix grows
+FIRST = 12               # bits of the shortest prefix that is dealt
+CELL = 8_000_000         # variants a cell may hold before it is dealt by a longer prefix
+ROWS = 1_000_000         # fingerprints it may hold
+BATCH = 250_000          # variants that a task makes at a time
 
-    Every fingerprint makes its variants whose top ``prefix`` bits are ``cell``;
-    those that share one are tied to the least and each tie is verified.
-    """
-    half = distance // 2
-    fps = np.unique(fps)
-    low = masks(64 - prefix, half)
-    weight = np.bitwise_count(low)
-    used = np.bitwise_count((fps >> np.uint64(64 - prefix)) ^ np.uint64(cell))
-    below = fps & np.uint64((1 << (64 - prefix)) - 1)
-    variants, owners = [], []
-    for spent in range(half + 1):
-        mine, allowed = np.flatnonzero(used == spent), low[weight <= half - spent]
-        variants.append((below[mine][:, None] ^ allowed[None, :]).ravel())
-        owners.append(np.repeat(mine, len(allowed)))
-    variant, owner = np.concatenate(variants), np.concatenate(owners)
-    order = np.argsort(variant)
-    variant, owner = variant[order], owner[order]
-    starts = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
-    sizes = np.diff(np.r_[starts, len(variant)])
-    least = np.repeat(np.minimum.reduceat(owner, starts), sizes)
-    pairs = np.unique(np.stack([owner, least], axis=1)[(owner != least)], axis=0)
-    pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= distance]
-    if not len(pairs):
-        return np.empty((0, 2), np.uint64)
-    label = np.arange(len(fps))
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Spanning forest of ``pairs`` of indices, each tied to its tree's least."""
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    label = np.arange(len(nodes))
     while True:                                      # hook the larger root to the smaller, then shorten
-        x, y = label[pairs[:, 0]], label[pairs[:, 1]]
+        x, y = label[ends[:, 0]], label[ends[:, 1]]
         if (x == y).all():
             break
         np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
         while (label[label] != label).any():
             label = label[label]
-    tied = np.flatnonzero(label != np.arange(len(fps)))
-    return np.stack([fps[tied], fps[label[tied]]], axis=1)
+    tied = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[tied], nodes[label[tied]]], axis=1)
+
+
+def meetings(fps: np.ndarray, mine: np.ndarray, cell: int, prefix: int, distance: int):
+    """Forests of the pairs among ``fps[mine]`` that share a variant of the cell.
+
+    A cell of more than BATCH variants is dealt by a longer prefix first; so is one whose
+    members are too many for a number of theirs in the bits that the prefix leaves free.
+    """
+    half, own = distance // 2, fps[mine]
+    used = np.bitwise_count((own >> np.uint64(64 - prefix)) ^ np.uint64(cell))
+    left = [masks(64 - prefix, half - spent) for spent in range(half + 1)]
+    made = sum(int((used == spent).sum()) * len(left[spent]) for spent in range(half + 1))
+    if prefix < 64 and (made > BATCH or len(mine) > 1 << prefix):
+        step = min(STEP, 64 - prefix)
+        below = (own >> np.uint64(64 - prefix - step)) & np.uint64((1 << step) - 1)
+        keys = []
+        for flip in masks(step, half):
+            fit = np.flatnonzero(used + np.bitwise_count(flip) <= half).astype(np.uint64)
+            keys.append((below[fit] ^ flip) << np.uint64(32) | fit)
+        keys = np.sort(np.concatenate(keys))
+        tops, at = keys >> np.uint64(32), (keys & np.uint64((1 << 32) - 1)).astype(np.int64)
+        borders = np.searchsorted(tops, np.arange((1 << step) + 1, dtype=np.uint64))
+        for top, (start, end) in enumerate(itertools.pairwise(borders.tolist())):
+            if end - start > 1:
+                yield from meetings(fps, mine[at[start:end]], cell << step | top, prefix + step, distance)
+        return
+    # a variant's bits below the prefix, then the number of its member: sorted, those that meet lie together
+    base = own << np.uint64(prefix) | np.arange(len(mine), dtype=np.uint64)
+    keys = np.concatenate([(base[used == spent][:, None] ^ (left[spent] << np.uint64(prefix))[None, :]).ravel()
+                           for spent in range(half + 1)])
+    keys.sort()
+    same = np.flatnonzero((keys[1:] ^ keys[:-1]) >> np.uint64(prefix) == 0)
+    if not len(same):
+        return
+    first = np.r_[True, np.diff(same) != 1]
+    starts = same[first][np.cumsum(first) - 1]
+    pairs = mine[(keys[np.stack([same + 1, starts], axis=1)] & np.uint64((1 << prefix) - 1)).astype(np.int64)]
+    yield forest(pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= distance])
 
 
-STEP = 12                # bits by which a prefix grows
-CELL = 1_000_000         # variants a cell may hold before it is dealt by a longer prefix
+def ties(fps: np.ndarray, cell: int, prefix: int, distance: int) -> np.ndarray:
+    """Spanning forest of the links that the variants of one cell show: (fingerprint, the least it is tied to).
+
+    Every fingerprint makes its variants whose top ``prefix`` bits are ``cell``;
+    those that share one are tied to the least and each tie is verified.
+    """
+    fps = np.unique(fps)
+    found = list(meetings(fps, np.arange(len(fps)), cell, prefix, distance))
+    return fps[forest(np.concatenate(found))] if found else np.empty((0, 2), np.uint64)
 
 
-def deal(rows: DataFrame, prefix: int, distance: int) -> DataFrame:
-    """(fp, cell) with ``prefix`` bits from (fp, cell) with STEP fewer."""
-    step = min(STEP, 64 - (prefix - STEP))
+def deal(rows: DataFrame, prefix: int, distance: int, before: int | None = None) -> DataFrame:
+    """(fp, cell) with ``prefix`` bits from (fp, cell) with ``before`` (STEP fewer)."""
+    before = prefix - STEP if before is None else before
+    step = prefix - before
     flips = F.explode(F.array(*[F.lit(int(m)) for m in masks(step, distance // 2)]).cast("array<bigint>"))
-    top = 64 - (prefix - STEP) - step
-    own = F.shiftrightunsigned("fp", top).bitwiseAND(F.lit((1 << step) - 1))
+    own = F.shiftrightunsigned("fp", 64 - prefix).bitwiseAND(F.lit((1 << step) - 1))
     cell = F.shiftleft(F.col("cell"), step).bitwiseOR(own.bitwiseXOR(F.col("flip")))
     made = rows.select("fp", "cell", flips.alias("flip")).select("fp", cell.alias("cell"))
-    return made.filter(spent(prefix - STEP + step) <= distance // 2)
+    return made.filter(spent(prefix) <= distance // 2)
 
 
 def spent(prefix: int):
@@ -124,16 +156,20 @@ def spent(prefix: int):
 
 
 def heavy(rows: DataFrame, prefix: int, distance: int) -> DataFrame:
-    """Cells in which more than CELL variants meet."""
-    left = np.bitwise_count(masks(64 - prefix, distance // 2))
+    """Cells in which more than CELL variants or ROWS fingerprints meet."""
     made = F.lit(0)
     for used in range(distance // 2 + 1):
-        made = F.when(spent(prefix) == used, int((left <= distance // 2 - used).sum())).otherwise(made)
-    return rows.groupBy("cell").agg(F.sum(made).alias("n")).filter(F.col("n") > CELL).select("cell")
+        made = F.when(spent(prefix) == used, len(masks(64 - prefix, distance // 2 - used))).otherwise(made)
+    return (rows.groupBy("cell").agg(F.sum(made).alias("n"), F.count("*").alias("rows"))
+            .filter((F.col("n") > CELL) | (F.col("rows") > ROWS)).select("cell"))
 
 
 def links(fps: DataFrame, distance: int) -> DataFrame:
-    """Spanning links (a, b) among distinct fingerprints (column fp): each cell's forest."""
+    """Spanning links (a, b) among distinct fingerprints (column fp): each cell's forest.
+
+    The first prefix grows with the number of fingerprints, crowded cells are dealt by a few
+    bits more: a cell then holds a good part of CELL at any size, and cells grow no faster than the input.
+    """
     if distance % 2:
         raise ValueError("the ball method needs an even bit distance")
 
@@ -143,16 +179,18 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
         return pd.DataFrame({"a": found[:, 0].astype(np.uint64).view(np.int64),
                              "b": found[:, 1].astype(np.uint64).view(np.int64)})
 
-    rows, prefix, parts = fps.select("fp", F.lit(0).cast("long").alias("cell")), 0, []
+    prefix, variants = FIRST, fps.count() * len(masks(64, distance // 2))
+    while prefix < 64 and variants >> prefix > CELL // 2:
+        prefix += STEP
+    rows, parts = deal(fps.select("fp", F.lit(0).cast("long").alias("cell")), prefix, distance, 0), []
     while True:
-        rows = deal(rows, prefix + STEP, distance)
-        prefix = min(64, prefix + STEP)
         full = None if prefix == 64 else stage(heavy(rows, prefix, distance), "cells")
         if full is None or not full.limit(1).count():
             parts.append(rows.withColumn("prefix", F.lit(prefix)))
             break
         parts.append(rows.join(full, "cell", "left_anti").select("fp", "cell").withColumn("prefix", F.lit(prefix)))
-        rows = rows.join(full, "cell", "left_semi").select("fp", "cell")
+        rows = deal(rows.join(full, "cell", "left_semi").select("fp", "cell"), prefix + STEP, distance)
+        prefix += STEP
     dealt = parts[0]
     for part in parts[1:]:
         dealt = dealt.unionByName(part)

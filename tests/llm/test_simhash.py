@@ -78,3 +78,70 @@ def test_smaller_radius_empty_table_and_odd_distance(spark):
     assert run(spark, []) == []
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+def clustered(n, seed):
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        base = rng.choice(out) if out and rng.random() < 0.6 else rng.getrandbits(64)
+        for _ in range(rng.randrange(4)):
+            base ^= 1 << rng.randrange(64)
+        out.append(base)
+    return sorted(set(out))
+
+
+def test_cells_slightly_over_the_limit_are_not_dealt_many_times(spark, monkeypatch):
+    fps = sorted({f & (1 << 52) - 1 | 0xABC << 52 for f in clustered(300, 4)})
+    monkeypatch.setattr(simhash, "CELL", len(fps) * 1379 // 2)           # the cell of all fingerprints holds twice as much
+    dealt, deal = [], simhash.deal
+
+    def counted(*args):
+        dealt.append(deal(*args))
+        return dealt[-1]
+    monkeypatch.setattr(simhash, "deal", counted)
+    found = simhash.links(spark.createDataFrame([(f - (1 << 64) * (f >> 63),) for f in fps], "fp long"), 4).collect()
+    assert [rows.select("cell").distinct().count() for rows in dealt] == [79, 16]       # by 12 bits more: 4096
+    mask = (1 << 64) - 1
+    assert roots_of(fps, [(r.a & mask, r.b & mask) for r in found]) == roots_of(fps, close_pairs(fps, 4))
+
+
+def close_pairs(fps, distance):
+    return [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= distance]
+
+
+def roots_of(fps, pairs):
+    label = {f: f for f in fps}
+
+    def find(f):
+        while label[f] != f:
+            f = label[f]
+        return f
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        label[max(x, y)] = min(x, y)
+    return {f: find(f) for f in fps}
+
+
+@pytest.mark.parametrize("batch", [500, 20_000, 250_000])
+def test_forest_of_a_cell_however_it_is_split(monkeypatch, batch):
+    monkeypatch.setattr(simhash, "BATCH", batch)
+    cell = 0xABC
+    fps = sorted({f & (1 << 52) - 1 | (cell ^ flip) << 52 for f in clustered(250, 5) for flip in (0, 1, 0x900)}
+                 | {f ^ 3 << 20 for f in clustered(5, 6)})
+    got = simhash.ties(simhash.np.array(fps + fps[:9], "uint64"), cell, 12, 4).tolist()
+    expected = [pair for pair in close_pairs(fps, 4) if meet(*pair, cell)]
+    assert roots_of(fps, got) == roots_of(fps, expected)
+    assert len(got) == sum(f != r for f, r in roots_of(fps, expected).items())
+
+
+def meet(a, b, cell):
+    """Whether two words share a variant (two flips each at most) whose top 12 bits are ``cell``."""
+    used = [(f >> 52 ^ cell).bit_count() for f in (a, b)]
+    return max(used) <= 2 and ((a ^ b) & (1 << 52) - 1).bit_count() <= 4 - sum(used)
+
+
+def test_forest_of_the_longest_prefix():
+    fps = [0b1, 0b10, 0b100, 0b11000, 0b111]
+    got = simhash.ties(simhash.np.array(fps, "uint64"), 0, 64, 4).tolist()
+    assert sorted(got) == [[0b10, 0b1], [0b100, 0b1], [0b11000, 0b1]]

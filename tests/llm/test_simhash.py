@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+import corpus_pipeline
 from botlens.llm import simhash
 
 
@@ -91,21 +92,41 @@ def clustered(n, seed):
     return sorted(set(out))
 
 
-def test_cells_slightly_over_the_limit_are_not_dealt_many_times(spark, monkeypatch):
+def crowded(monkeypatch):
+    """Fingerprints (signed too) of one cell of 12 bits that holds twice what it may; the tables deal() then makes."""
     fps = sorted({f & (1 << 52) - 1 | 0xABC << 52 for f in clustered(300, 4)})
-    monkeypatch.setattr(simhash, "CELL", len(fps) * 1379 // 2)           # the cell of all fingerprints holds twice as much
+    monkeypatch.setattr(simhash, "CELL", len(fps) * 1379 // 2)
     dealt, deal = [], simhash.deal
 
     def counted(*args):
         dealt.append(deal(*args))
         return dealt[-1]
     monkeypatch.setattr(simhash, "deal", counted)
-    found = simhash.links(spark.createDataFrame([(f - (1 << 64) * (f >> 63),) for f in fps], "fp long"), 4).collect()
-    assert [rows.select("cell").distinct().count() for rows in dealt] == [79, 16]       # by 12 bits more: 4096
+    return fps, [f - (1 << 64) * (f >> 63) for f in fps], dealt
+
+
+def cells(dealt):
+    return [rows.select("cell").distinct().count() for rows in dealt]
+
+
+def test_cells_slightly_over_the_limit_are_not_dealt_many_times(spark, monkeypatch):
+    fps, signed, dealt = crowded(monkeypatch)
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4).collect()
+    assert cells(dealt) == [79, 16]                  # by 12 bits more: 4096
     mask = (1 << 64) - 1
     assert roots_of(fps, [(r.a & mask, r.b & mask) for r in found]) == roots_of(fps, close_pairs(fps, 4))
 
 
+def test_pipeline_stage_with_cells_over_the_limit(spark, monkeypatch):
+    fps, signed, dealt = crowded(monkeypatch)
+    monkeypatch.setattr(simhash, "fingerprints", lambda text, shingle: text.cast("long"))
+    docs = spark.createDataFrame([(i, str(f)) for i, f in enumerate(signed)], "doc_id long, text string")
+    left = corpus_pipeline.near_duplicates(spark, docs, None).collect()
+    assert cells(dealt) == [79, 16]
+    roots = set(roots_of(fps, close_pairs(fps, 4)).values())
+    assert sorted(r.doc_id for r in left) == sorted(fps.index(f) for f in roots)
+
+
 def close_pairs(fps, distance):
     return [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= distance]
 
